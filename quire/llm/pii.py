@@ -51,16 +51,21 @@ def running_totals(values: Column) -> Column:
     return F.flatten(F.zip_with(parts, short(ends), lambda p, end: F.transform(p, lambda x: x + end - F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0).cast("long")))))
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Structs of start, end (code points), the match, and the text near it up to the matches beside it, of all leftmost matches."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    before = F.concat(F.array(F.lit("")), hits)
-    steps = F.zip_with(gaps, before, lambda g, h: (F.char_length(g) + F.char_length(h)).cast("long"))
-    count = F.size(hits)
-    near = F.zip_with(F.slice(gaps, 1, count), F.slice(gaps, 2, count), lambda a, b: F.concat(F.substring(a, -AROUND, AROUND), F.lit(" "), F.substring(b, 1, AROUND)))
-    places = F.zip_with(hits, F.slice(running_totals(steps), 1, count), lambda h, at: F.struct(at.alias("start"), (at + F.char_length(h)).alias("end"), h.alias("value")))
-    return F.zip_with(places, near, lambda p, n: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value"), n.alias("near")))
+def _with_found(df: DataFrame, may: Column, pattern: str) -> DataFrame:
+    """Adds ``raw``: all leftmost matches with start, end (code points), and the text near each up to the matches beside it.
+
+    Steps are columns of their own, so each is worked out once."""
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"hits": F.when(may, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)})
+    df = df.withColumns({"gaps": F.when(F.size("hits") > 0, F.split("text", pattern, -1)).otherwise(none)})
+    steps = F.zip_with("gaps", F.concat(F.array(F.lit("")), F.col("hits")), lambda g, h: (F.char_length(g) + F.char_length(h)).cast("long"))
+    df = df.withColumns({"steps": F.when(F.size("hits") > 0, steps).otherwise(F.array().cast("array<long>"))})
+    count = F.size("hits")
+    near = F.zip_with(F.slice("gaps", 1, count), F.slice("gaps", 2, count), lambda a, b: F.concat(F.substring(a, -AROUND, AROUND), F.lit(" "), F.substring(b, 1, AROUND)))
+    places = F.zip_with("hits", F.slice(running_totals(F.col("steps")), 1, count), lambda h, at: F.struct(at.alias("start"), (at + F.char_length(h)).alias("end"), h.alias("value")))
+    spans = F.zip_with(places, near, lambda p, n: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value"), n.alias("near")))
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint,value:string,near:string>>")
+    return df.withColumns({"raw": F.when(count > 0, spans).otherwise(nothing)}).drop("hits", "gaps", "steps")
 
 
 def _digits(value: Column) -> Column:
@@ -104,8 +109,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
     for kind, pattern, sign, base, up, down in KINDS:
         may = F.contains("text", F.lit(sign)) if sign else F.col("digits")
-        raw = F.when(may, _found(F.col("text"), pattern)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string,near:string>>"))
-        out = out.withColumn("raw", raw)
+        out = _with_found(out, may, pattern)
         good = _scored(F.col("raw"), kind, base, up, down)
         if kind not in BASE:
             good = F.filter(good, lambda s: s["score"] >= MIN_SCORE)

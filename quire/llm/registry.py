@@ -9,7 +9,9 @@ _MODULES = (
     ("op1_chat_format", "chat"),
     ("op4_pii", "pii"),
     ("op6_exact_dedup", "exact"),
+    ("op7_language_id", "langid"),
     ("op8_url_filter", "urls"),
+    ("op9_byte_bpe", "bpe"),
 )
 
 
