@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name, module.
 _MODULES = (
     ("op1_chat_format", "chat"),
+    ("op2_source_mix", "mixing"),
     ("op4_pii", "pii"),
     ("op6_exact_dedup", "exact"),
     ("op7_language_id", "langid"),
