@@ -8,11 +8,13 @@ from importlib import import_module
 _MODULES = (
     ("op1_chat_format", "chat"),
     ("op2_source_mix", "mixing"),
+    ("op3_ngram_join", "ngrams"),
     ("op4_pii", "pii"),
     ("op6_exact_dedup", "exact"),
     ("op7_language_id", "langid"),
     ("op8_url_filter", "urls"),
     ("op9_byte_bpe", "bpe"),
+    ("op10_vector_dedup", "vectors"),
 )
 
 
