@@ -4,7 +4,8 @@ The words of a block of documents are taken once each. All their bytes stand in
 the rank of a token pair to the places where that pair stands holds all merges that are due. Ranks are taken in order
 from a heap, each is applied at all its places, and only the pairs beside a merged place are looked at anew. A merge
 can open a pair of lower rank; that word is then finished alone, so every word gets the ids that merging it by itself
-would give. Encoded words are kept in a cache of bounded size while a Python worker lives.
+would give. Encoded words are kept in two caches of
+bounded size while a Python worker lives; a full one becomes the older one, out of which words in use are taken over.
 
 The rank file is read on the driver and broadcast: its size is that of the vocabulary, not of the data.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .scratch import table
 
-CACHE_WORDS, BLOCK_BYTES = 200_000, 2_000_000
+CACHE_WORDS, BLOCK_BYTES = 250_000, 2_000_000
 
 
 class Merges:
@@ -37,16 +38,17 @@ class Merges:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.find = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pair(self, a: int, b: int) -> int:
         """The rank of two tokens side by side, or -1."""
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 24 | b)
         if found is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
+            found = self.pairs[a << 24 | b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
         return found
 
     def alone(self, tokens: list[int]) -> list[int]:
@@ -140,9 +142,12 @@ class Merges:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.find(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHE_WORDS:  # words that come up again move on, the others go
+            self.cache, self.older = {}, self.cache
         missing = set().union(*split).difference(self.cache)
+        again = missing.intersection(self.older)
+        self.cache.update((w, self.older[w]) for w in again)
+        missing -= again
         if missing:
             self.learn(missing)
         get = self.cache.__getitem__
