@@ -10,6 +10,7 @@ _MODULES = (
     ("op2_source_mix", "mixing"),
     ("op3_ngram_join", "ngrams"),
     ("op4_pii", "pii"),
+    ("op5_line_dedup", "lines"),
     ("op6_exact_dedup", "exact"),
     ("op7_language_id", "langid"),
     ("op8_url_filter", "urls"),
