@@ -19,6 +19,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import table
 
@@ -166,12 +167,18 @@ def learn(docs: DataFrame) -> dict | None:
     return {"langs": langs, "code": code, "weights": weights, "trust": trust / trust.sum()}
 
 
-def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean"
+def predict(docs: DataFrame, model: dict | None, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous; with ``carry`` all columns of ``docs`` instead of doc_id."""
+    rows = docs.drop("lang_pred", "score", "ambiguous") if carry else docs.select("doc_id", "text")
     if model is None:
-        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+        out = rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(True)})
+        return out if carry else out.drop("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in rows.columns if c != "text"]
+    sent = rows.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("binary").alias("raw"))
+    names = [*names, "raw"] if carry else names
+    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    schema = T.StructType([*(sent.schema[c] for c in names), *added])
 
     def run(batches):
         import numpy as np
@@ -196,9 +203,10 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
             sure = letters & (n > 0)
             pred = [m["langs"][k] if ok else UNKNOWN for k, ok in zip(best, sure, strict=True)]
             score = np.where(sure, score, 0.0)
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(pred, pa.string()), pa.array(score), pa.array(score < CLEAR)], ["doc_id", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(rows[c] for c in names), pa.array(pred, pa.string()), pa.array(score), pa.array(score < CLEAR)], [*names, *added.names])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, schema)
+    out = sent.mapInArrow(run, schema)
+    return out.select(*[(F.col("raw").cast("string") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in added.names], *added.names) if carry else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

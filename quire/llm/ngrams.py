@@ -9,9 +9,9 @@ that no longer prefix has brought up, until the estimated recall reaches the tar
 is that of its own new pairs. Last, candidates are verified on the exact shingle sets; a sketch estimate rules out
 pairs more than ``SLACK`` standard deviations under the threshold.
 
-Defined cases: null and empty texts, and texts of white space, have no shingles and link with nothing, each its own
-class; repeated rows are copies of each other; an empty table gives no rows; columns beyond doc_id and text are
-ignored.
+Defined cases: null and empty texts, and texts of white space, have no words: they are one class, copies of each other,
+and link with nothing else; repeated rows are copies of each other; an empty table gives no rows; columns beyond doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def _signed(batches):
         (words, first), (hashes, bounds) = shingles(texts)
         some = np.diff(bounds) > 0
         sig = iter(signatures(hashes, bounds))
-        keys = [_class_key(words[lo:hi]) if ok else None for ok, lo, hi in zip(some, first[:-1], first[1:], strict=True)]
+        keys = [_class_key(words[lo:hi]) for lo, hi in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(keys, pa.binary()), pa.array([next(sig).tobytes() if ok else None for ok in some], pa.binary())], ["doc_id", "c_key", "sketch"])
 
 
@@ -230,14 +230,14 @@ def ngram_join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL
     base = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = cut(base.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(_signed, f"doc_id {kind}, c_key binary, sketch binary"), "signed")
-    classes = signed.filter("c_key IS NOT NULL").groupBy("c_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"))
+    classes = signed.groupBy("c_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    sketches = classes.select("id", "sketch")
+    sketches = classes.filter("sketch IS NOT NULL").select("id", "sketch")
     depth, before, parts = FIRST, None, []
     seen = total = 0.0
     while True:
         prefixes = F.array(*[F.xxhash64(F.substring("sketch", DEEP * t + 1, depth)) for t in range(TREES)])
-        dealt = buckets.tasks(classes.select("id", prefixes.alias("keys")))
+        dealt = buckets.tasks(classes.filter("sketch IS NOT NULL").select("id", prefixes.alias("keys")))
         found = cut(buckets.units(dealt, sketches, _keeper(jaccard, depth, before)), "units")
         parts.append(found)
         if found_chance(jaccard, depth) >= recall or depth == 1:
