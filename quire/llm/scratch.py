@@ -1,33 +1,5 @@
 """Reading tables, and cutting lineage through tables in the folder that the cluster shares."""
 
-from __future__ import annotations
+from ..scratch import cut, shared_dir, table
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one of our own only in local mode, where it is unset."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if path:
-        return path
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="quire-")
-    context.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later failures recompute from files, not from the source."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quire/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_dir", "table"]
