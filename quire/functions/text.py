@@ -139,7 +139,8 @@ def quotability(text: Column) -> Column:
     value = F.lit(0.0)
     for weight, part in parts:
         value = value + weight * F.round(part, 4)
-    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(F.round(_unit(value), 4))
+    # four rounded parts often add up to a half; it goes up whatever the last bits say
+    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(F.round(_unit(value + 1e-9), 4))
 
 
 def bytes_of(text: Column) -> Column:
