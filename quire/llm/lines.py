@@ -95,7 +95,8 @@ def _may(x: str, y: str) -> Column:
 
 def _suspects(lines: DataFrame, counts: bytes) -> DataFrame:
     """h of lines that may have a partner of another text. lines: h, s, one row for each h."""
-    rows = _prefixes(_token_sets(lines), counts, "h").select("k", "h", F.col("n"), "at", "bits")
+    # written out once: both sides then read one file and share one exchange
+    rows = cut(_prefixes(_token_sets(lines), counts, "h").select("k", "h", "n", "at", "bits"), "prefixes")
     x, y = rows.alias("x"), rows.alias("y")
     near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & _may("x", "y"), "left_semi")
     return near.select("h").distinct()
