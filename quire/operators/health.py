@@ -66,7 +66,7 @@ def section_diff(sections: DataFrame, files: DataFrame, ids: list[str]) -> DataF
 
 def stale_pages(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """doc_path, source, state: pages (doc_path, content, file_hash map as source_hashes) whose front matter names sources that are missing, modified or untracked."""
-    block = F.regexp_extract("content", r"(?s)\A---\n.*?\nsources:\s*\n((?:\s*-\s*[^\n]+\n)+)", 1)
+    block = F.regexp_extract("content", r"(?s)\A---\n.*?\nsources:[ \t]*\n((?:[ \t]+-[ \t]+[^\n]+\n)+)", 1)
     named = pages.select("doc_path", "source_hashes", F.explode(F.filter(F.split(block, "\n"), lambda x: F.trim(x) != "")).alias("x")).select("doc_path", "source_hashes", F.trim(F.regexp_replace("x", r"^\s*-\s*", "")).alias("source"))
     met = named.join(sources.select(F.col("doc_path").alias("source"), F.col("file_hash").alias("now")), "source", "left").withColumn("then", F.col("source_hashes")[F.col("source")])
     state = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "untracked").when(F.col("then") != F.col("now"), "modified").otherwise("current")

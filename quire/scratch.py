@@ -31,3 +31,11 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/quire/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut`` wrote, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for f in df.inputFiles()[:1]:
+        where = context._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

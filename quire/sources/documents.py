@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,9 +62,8 @@ def scan(spark: SparkSession, folder: str, repo: str, ignore: tuple[str, ...] =
     With more than ``max_files`` the newest stay. ``only`` limits the scan to relative paths, which may be folders."""
     root = folder.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root if "://" in root else os.path.abspath(root))
-    tail = F.regexp_replace(F.col("path"), r"^[a-zA-Z]+:/+(?=/)", "")
-    relative = F.substring(F.substring_index(tail, F.concat(F.regexp_replace(base, r"^[a-zA-Z]+:/+(?=/)", ""), F.lit("/")), -1), 1, 4096)
+    base = re.sub(r"^[a-zA-Z]+:/*(?=/)", "", root if ":/" in root else os.path.abspath(root))
+    relative = F.regexp_replace("path", rf"^(?:[a-zA-Z]+:/*(?=/))?\Q{base}\E/", "")
     found = files.select(F.lit(repo).alias("repo"), relative.alias("doc_path"), F.col("content").alias("raw"), F.col("modificationTime").alias("modified"), "length")
     found = found.filter(wanted(F.col("doc_path"), F.col("length"), ignore))
     if only:

@@ -21,7 +21,8 @@ class Store:
     def exists(self, name: str) -> bool:
         context = self.spark.sparkContext
         where = context._jvm.org.apache.hadoop.fs.Path(self.at(name))
-        return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
+        fs = where.getFileSystem(context._jsc.hadoopConfiguration())
+        return fs.exists(where) and any(not x.getPath().getName().startswith(("_", ".")) for x in fs.listStatus(where))
 
     def load(self, name: str, repo: str | None = None) -> DataFrame | None:
         """A table, or None where there is none. A repo prunes partitions."""
@@ -96,6 +97,8 @@ class Store:
 
     def repos(self) -> DataFrame:
         sections = self.load("sections")
+        if sections is None:
+            return self.spark.createDataFrame([], "repo string, doc_count bigint, section_count bigint")
         return sections.groupBy("repo").agg(F.countDistinct("doc_path").alias("doc_count"), F.count("*").alias("section_count"))
 
     def resolve(self, name: str) -> str:
