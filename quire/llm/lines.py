@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .packed import flag, look_up, pack, pack_flags
-from .scratch import cut, table
+from .packed import flag, flags, literal, look_up, packed
+from .scratch import cut, discard, table
 
 NUM, DEN = 4, 5
 COUNT_BITS, FLAG_CHARS = 18, 1 << 19
@@ -60,11 +60,11 @@ def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - COUNT_BITS)
 
 
-def frequencies(lines: DataFrame) -> bytes:
+def frequencies(lines: DataFrame) -> Column:
     """The quantised counts of all tokens, by bucket."""
     tokens = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''").select(_bucket(F.xxhash64("w")).alias("place"))
     counts = tokens.groupBy("place").agg(F.count("*").alias("c"))
-    return pack(counts.select("place", F.least(F.lit(94), F.floor(F.log2(F.col("c")) * 3) + 1).alias("value")), 1 << COUNT_BITS)
+    return literal(packed(counts.select("place", F.least(F.lit(94), F.floor(F.log2(F.col("c")) * 3) + 1).alias("value")), 1 << COUNT_BITS))
 
 
 def _token_sets(lines: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def _token_sets(lines: DataFrame) -> DataFrame:
     return lines.withColumn("tokens", hashed).withColumn("n", F.size("tokens")).filter("n > 0")
 
 
-def _prefixes(sets: DataFrame, counts: bytes, *keep: str) -> DataFrame:
+def _prefixes(sets: DataFrame, counts: Column, *keep: str) -> DataFrame:
     """A row for each prefix token: k, at (its place in the order), n, bits, and the columns to keep."""
     # the bucket is a function of the hash, so the rank and 56 of its bits tell tokens apart
     ordered = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(look_up(counts, _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
@@ -93,16 +93,18 @@ def _may(x: str, y: str) -> Column:
     return length & place & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= n + m - need * 2)
 
 
-def _suspects(lines: DataFrame, counts: bytes) -> DataFrame:
+def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
     """h of lines that may have a partner of another text. lines: h, s, one row for each h."""
     # written out once: both sides then read one file and share one exchange
     rows = cut(_prefixes(_token_sets(lines), counts, "h").select("k", "h", "n", "at", "bits"), "prefixes")
     x, y = rows.alias("x"), rows.alias("y")
     near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & _may("x", "y"), "left_semi")
-    return near.select("h").distinct()
+    found = cut(near.select("h").distinct(), "suspects")
+    discard(rows)
+    return found
 
 
-def _settle(sets: DataFrame, counts: bytes) -> DataFrame:
+def _settle(sets: DataFrame, counts: Column) -> DataFrame:
     """h, h2 of lines with an earlier similar one. sets: h, h2, first (the first line's place), tokens, n."""
     rows = cut(_prefixes(sets, counts, "h", "h2", "first"), "prefixes")
     ranked = cut(rows.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy("first"))), "ranked")
@@ -112,9 +114,10 @@ def _settle(sets: DataFrame, counts: bytes) -> DataFrame:
         x, y = probes.alias("x"), index.alias("y")
         pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y"))
         pairs = pairs.select(F.col("x.h").alias("h"), F.col("x.h2").alias("h2"), F.col("y.h").alias("e"), F.col("y.h2").alias("e2")).distinct()
-        mine = sets.select("h", "h2", F.col("tokens").alias("a"), F.col("n").alias("na"))
-        theirs = sets.select(F.col("h").alias("e"), F.col("h2").alias("e2"), F.col("tokens").alias("b"), F.col("n").alias("nb"))
-        checked = pairs.join(mine, ["h", "h2"]).join(theirs, ["e", "e2"]).filter(F.size(F.array_intersect("a", "b")) >= _least_overlap(F.col("na"), F.col("nb")))
+        # both sides read the sets by the same key, so they share one exchange
+        mine, theirs = sets.select("h", "h2", "tokens", "n").alias("m"), sets.select("h", "h2", "tokens", "n").alias("t")
+        met = pairs.alias("p").join(mine, (F.col("p.h") == F.col("m.h")) & (F.col("p.h2") == F.col("m.h2"))).join(theirs, (F.col("p.e") == F.col("t.h")) & (F.col("p.e2") == F.col("t.h2")))
+        checked = met.filter(F.size(F.array_intersect("m.tokens", "t.tokens")) >= _least_overlap(F.col("m.n"), F.col("t.n"))).select("p.h", "p.h2")
         found = cut(checked.select("h", "h2").distinct(), "similar")
         gone = found if gone is None else gone.unionByName(found)
         if high:
@@ -133,12 +136,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "r", "line")
     classes = named.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
     copies = cut(classes.filter("c > 1"), "copies")
-    repeated = pack_flags(copies.select(_place(F.col("h")).alias("place")), FLAG_CHARS)
+    repeated = cut(flags(copies.select(_place(F.col("h")).alias("place")), FLAG_CHARS), "flags").scalar()
     flagged = lines.select(F.xxhash64("s").alias("h"), "s").withColumn("again", flag(repeated, _place(F.col("h"))))
     single = flagged.filter("NOT again").select("h", "s")
     several = flagged.filter("again").select("h", "s").dropDuplicates(["h"])
-    suspects = cut(_suspects(single.unionByName(several), counts), "suspects")
-    marked = pack_flags(suspects.select(_place(F.col("h")).alias("place")), FLAG_CHARS)
+    suspects = _suspects(single.unionByName(several), counts)
+    marked = cut(flags(suspects.select(_place(F.col("h")).alias("place")), FLAG_CHARS), "flags").scalar()
     back = lines.select("doc_id", "r", "line", "s", *_hashes(F.col("s"))).filter(flag(marked, _place(F.col("h")))).join(suspects, "h", "left_semi")
     sets = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first"))
     sets = cut(_token_sets(sets).select("h", "h2", "first", "tokens", "n"), "sets")

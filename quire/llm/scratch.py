@@ -1,5 +1,5 @@
 """Reading tables, and cutting lineage through tables in the folder that the cluster shares."""
 
-from ..scratch import cut, shared_dir, table
+from ..scratch import cut, discard, shared_dir, table
 
-__all__ = ["cut", "shared_dir", "table"]
+__all__ = ["cut", "discard", "shared_dir", "table"]
