@@ -33,6 +33,14 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the Arrow batches that go to Python by their bytes, where the session leaves them unbounded: rows may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "-1").rstrip("bB")
+    if not now.isdigit() or int(now) > (1 << 28):
+        spark.conf.set(key, str(size))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``cut`` wrote, once nothing reads it any more."""
     context = df.sparkSession.sparkContext

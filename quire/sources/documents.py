@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..scratch import bounded_batches
 from . import convert, openapi, outline
 
 # The format of each file ending.
@@ -116,6 +117,7 @@ def _split(batches: Iterator) -> Iterator:
 
 def sections(files: DataFrame) -> DataFrame:
     """Rows of sections from repo, doc_path and raw. One document is handled by one call; documents spread over tasks."""
+    bounded_batches(files.sparkSession)
     return enrich(files.select("repo", "doc_path", F.col("raw").cast("binary").alias("raw")).mapInPandas(_split, SECTION))
 
 
