@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import bounded_batches, table
 
 CACHE_WORDS, BLOCK_BYTES = 250_000, 2_000_000
 
@@ -196,6 +196,7 @@ def vocabulary(spark: SparkSession, rank_path: str, pattern: str):
 def encode(docs: DataFrame, vocab) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens."""
 
+    bounded_batches(docs.sparkSession)
     def run(batches):
         import pyarrow as pa
 
@@ -211,6 +212,7 @@ def encode(docs: DataFrame, vocab) -> DataFrame:
 def decode(encoded: DataFrame, vocab) -> DataFrame:
     """doc_id, ids, n_tokens and decoded (binary)."""
 
+    bounded_batches(encoded.sparkSession)
     def run(batches):
         import pyarrow as pa
 

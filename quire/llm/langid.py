@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import table
+from .scratch import bounded_batches, table
 
 SAMPLE, BUCKET_BITS, GRAMS = 2000, 13, (1, 2, 3)
 #: n-grams of a text that count as independent evidence, and the score under which a decision is ambiguous.
@@ -124,6 +124,7 @@ def learn(docs: DataFrame) -> dict | None:
     """A model from doc_id, text and lang; None without anything to learn from."""
     import numpy as np
 
+    bounded_batches(docs.sparkSession)
     size = 1 << BUCKET_BITS
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
@@ -173,6 +174,7 @@ def predict(docs: DataFrame, model: dict | None, carry: bool = False) -> DataFra
     if model is None:
         out = rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(True)})
         return out if carry else out.drop("text")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if c != "text"]
     sent = rows.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("binary").alias("raw"))

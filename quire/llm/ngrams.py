@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import buckets
 from .components import components
-from .scratch import cut, table
+from .scratch import bounded_batches, cut, table
 
 WORDS, JACCARD, RECALL = 5, 0.8, 0.998
 TREES, DEEP, FIRST = 16, 8, 7
@@ -227,6 +227,7 @@ def _estimate(found: DataFrame, sketches: DataFrame, depth: int, jaccard: float)
 
 def ngram_join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), n_links (other rows at or above the threshold), component_id, kept."""
+    bounded_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = cut(base.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(_signed, f"doc_id {kind}, c_key binary, sketch binary"), "signed")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import buckets
 from .components import components
-from .scratch import cut, table
+from .scratch import bounded_batches, cut, table
 
 COSINE, WIDTH, RECALL, SEED = 0.9, 4.0, 0.97, 11
 MOST_TABLES = 200
@@ -67,6 +67,7 @@ def _maker(dim: int, k: int, tables: int, width: float):
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding)."""
+    bounded_batches(rows.sparkSession)
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     marked = cut(rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("id", F.monotonically_increasing_id()), "vectors")
