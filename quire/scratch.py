@@ -34,10 +34,10 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Bounds the Arrow batches that go to Python by their bytes, where the session leaves them unbounded: rows may be long."""
+    """Bounds the Arrow batches that go to Python by their bytes, unless the session has a lower bound: rows may be long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "-1").rstrip("bB")
-    if not now.isdigit() or int(now) > (1 << 28):
+    now = (spark.conf.get(key) or "").rstrip("bB")
+    if not now.isdigit() or int(now) > size:
         spark.conf.set(key, str(size))
 
 
