@@ -25,10 +25,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .packed import flag, flags, literal, look_up, packed
-from .scratch import cut, discard, table
+from .scratch import cut, discard, release, table
 
 NUM, DEN = 4, 5
-COUNT_BITS, FLAG_CHARS = 18, 1 << 19
+COUNT_BITS, FLAG_CHARS = 18, 1 << 20
 PIVOTS = (3, 24)
 
 
@@ -43,8 +43,8 @@ def _least_overlap(n: Column, m: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, r (hash of the text, for rows that share an id), line (place from 0), s; other white space as blanks."""
-    odd = r"[\x09\x0B-\x0D]"
-    text = F.when(F.regexp_like("text", F.lit(odd)), F.regexp_replace("text", odd, " ")).otherwise(F.col("text"))
+    odd = F.contains("text", F.lit("\t")) | F.contains("text", F.lit("\r")) | F.contains("text", F.lit("\v")) | F.contains("text", F.lit("\f"))
+    text = F.when(odd, F.regexp_replace("text", r"[\x09\x0B-\x0D]", " ")).otherwise(F.col("text"))
     return docs.select("doc_id", F.xxhash64("text").alias("r"), text.alias("text")).select("doc_id", "r", F.posexplode(F.split("text", "\n")).alias("line", "s"))
 
 
@@ -105,24 +105,30 @@ def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
 
 
 def _settle(sets: DataFrame, counts: Column) -> DataFrame:
-    """h, h2 of lines with an earlier similar one. sets: h, h2, first (the first line's place), tokens, n."""
-    rows = cut(_prefixes(sets, counts, "h", "h2", "first"), "prefixes")
-    ranked = cut(rows.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy("first"))), "ranked")
+    """id of lines with an earlier similar one. sets: id (in the order of the lines' first places), tokens, n."""
+    spark = sets.sparkSession
+    rows = _prefixes(sets, counts, "id")
+    ranked = cut(rows.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy("id"))), "ranked")
+    release(spark)
     probes, gone, low = ranked, None, 0
     for high in (*PIVOTS, None):
         index = ranked.filter(f"rank > {low}" + (f" AND rank <= {high}" if high else ""))
         x, y = probes.alias("x"), index.alias("y")
-        pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y"))
-        pairs = pairs.select(F.col("x.h").alias("h"), F.col("x.h2").alias("h2"), F.col("y.h").alias("e"), F.col("y.h2").alias("e2")).distinct()
+        near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y"))
+        pairs = cut(near.select(F.col("x.id").alias("id"), F.col("y.id").alias("e")).distinct(), "pairs")
         # both sides read the sets by the same key, so they share one exchange
-        mine, theirs = sets.select("h", "h2", "tokens", "n").alias("m"), sets.select("h", "h2", "tokens", "n").alias("t")
-        met = pairs.alias("p").join(mine, (F.col("p.h") == F.col("m.h")) & (F.col("p.h2") == F.col("m.h2"))).join(theirs, (F.col("p.e") == F.col("t.h")) & (F.col("p.e2") == F.col("t.h2")))
-        checked = met.filter(F.size(F.array_intersect("m.tokens", "t.tokens")) >= _least_overlap(F.col("m.n"), F.col("t.n"))).select("p.h", "p.h2")
-        found = cut(checked.select("h", "h2").distinct(), "similar")
+        mine, theirs = sets.select("id", "tokens", "n").alias("m"), sets.select("id", "tokens", "n").alias("t")
+        met = pairs.alias("p").join(mine, F.col("p.id") == F.col("m.id")).join(theirs, F.col("p.e") == F.col("t.id"))
+        checked = met.filter(F.size(F.array_intersect("m.tokens", "t.tokens")) >= _least_overlap(F.col("m.n"), F.col("t.n"))).select("p.id")
+        found = cut(checked.distinct(), "similar")
         gone = found if gone is None else gone.unionByName(found)
+        discard(pairs)
         if high:
-            probes = cut(probes.filter(f"rank > {high}").join(found, ["h", "h2"], "left_anti"), "probes")
-            low = high
+            left = cut(probes.filter(f"rank > {high}").join(found, "id", "left_anti"), "probes")
+            if probes is not ranked:
+                discard(probes)
+            probes, low = left, high
+        release(spark)
     return gone
 
 
@@ -142,13 +148,21 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     several = flagged.filter("again").select("h", "s").dropDuplicates(["h"])
     suspects = _suspects(single.unionByName(several), counts)
     marked = cut(flags(suspects.select(_place(F.col("h")).alias("place")), FLAG_CHARS), "flags").scalar()
+    release(docs.sparkSession)
     back = lines.select("doc_id", "r", "line", "s", *_hashes(F.col("s"))).filter(flag(marked, _place(F.col("h")))).join(suspects, "h", "left_semi")
-    sets = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first"))
-    sets = cut(_token_sets(sets).select("h", "h2", "first", "tokens", "n"), "sets")
-    similar = _settle(sets, counts)
+    firsts = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first"))
+    # ids that rise with the lines' first places: ranges in order, and rows in order within them
+    ordered = firsts.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
+    sets = cut(_token_sets(ordered).select("id", "h", "h2", "tokens", "n"), "sets")
+    release(docs.sparkSession)
+    similar = sets.select("id", "h", "h2").join(_settle(sets, counts), "id", "left_semi").select("h", "h2")
     later = named.join(copies, ["h", "h2"]).filter(place > F.col("first")).select("doc_id", "r", "line")
-    near = named.join(similar.distinct(), ["h", "h2"], "left_semi").select("doc_id", "r", "line")
-    return cut(later.unionByName(near).distinct(), "removed")
+    near = named.join(similar, ["h", "h2"], "left_semi").select("doc_id", "r", "line")
+    removed = cut(later.unionByName(near).distinct(), "removed")
+    for used in (named, sets, suspects):
+        discard(used)
+    release(docs.sparkSession)
+    return removed
 
 
 def _by_document(removed: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """Reading tables, and cutting lineage through tables in the folder that the cluster shares."""
 
-from ..scratch import bounded_batches, cut, discard, shared_dir, table
+from ..scratch import bounded_batches, cut, discard, release, shared_dir, table
 
-__all__ = ["bounded_batches", "cut", "discard", "shared_dir", "table"]
+__all__ = ["bounded_batches", "cut", "discard", "release", "shared_dir", "table"]
