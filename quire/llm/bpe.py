@@ -224,6 +224,22 @@ def decode(encoded: DataFrame, vocab) -> DataFrame:
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint, decoded binary")
 
 
+def round_trip(docs: DataFrame, vocab) -> DataFrame:
+    """What ``decode(encode(docs))`` gives, in one pass through one Python worker."""
+
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        merges = _merges(vocab)
+        for block in _blocks(batches, "raw"):
+            ids = merges.encode([(x or b"").decode("utf-8", "replace") for x in block["raw"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(merges.decode, ids), pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint, decoded binary")
+
+
 def multi_vocabulary(spark: SparkSession):
     import public_tokenizers
 
@@ -231,7 +247,7 @@ def multi_vocabulary(spark: SparkSession):
 
 
 def digests(docs: DataFrame, vocab) -> DataFrame:
-    out = decode(encode(docs, vocab), vocab)
+    out = round_trip(docs, vocab)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
