@@ -30,6 +30,13 @@ def find_endpoint(ops: DataFrame, path: str | None = None, method: str | None =
     return ops.filter(F.array_contains("tags", tag)) if tag else ops
 
 
+def endpoints_by_tag(ops: DataFrame, tag: str | None = None) -> DataFrame:
+    """tag, method, path of every operation under each of its tags; untagged ones under ``untagged``."""
+    tags = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit("untagged")))
+    each = ops.select(F.explode(tags).alias("tag"), "method", "path")
+    return each.filter(F.col("tag") == tag) if tag else each
+
+
 def using_schema(ops: DataFrame, name: str) -> DataFrame:
     return ops.filter(F.array_contains("refs", name)).select("id", "method", "path")
 

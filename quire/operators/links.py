@@ -117,8 +117,8 @@ def anchor_backlinks(links: DataFrame, section_id: str) -> DataFrame:
     return hits.select("source_doc", "source_section_id", F.col("href").alias("link")).distinct()
 
 
-def tutorial_edges(sections: DataFrame) -> DataFrame:
-    """doc, next, strategy: what a document names as its next, by front matter, inline links, contents lists, or numbered names."""
+def tutorial_edges(sections: DataFrame, sidebars: DataFrame | None = None) -> DataFrame:
+    """doc, next, strategy: what a document names as its next, by front matter, inline links, contents lists, sidebars (root, at, next, as read from a site's settings), or numbered names."""
     text_of = sections.groupBy("doc_path").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", "content")))["content"], "").alias("text"))
     docs = sections.select(F.col("doc_path").alias("there")).distinct()
     front = F.regexp_extract("text", r"(?s)\A---\n(?:.*?\n)?next:\s*[\"']?([^\"'\n]+?)[\"']?\s*\n.*?---", 1)
@@ -133,11 +133,14 @@ def tutorial_edges(sections: DataFrame) -> DataFrame:
     toc = found.select("doc_path", "at", "next").distinct()
     steps = toc.select(F.col("doc_path").alias("root"), "at", "next").unionByName(toc.select(F.col("doc_path").alias("root"), F.lit(-1).alias("at"), F.col("doc_path").alias("next")).distinct())
     chain = steps.withColumn("before", F.lag("next").over(W.partitionBy("root").orderBy("at", "next"))).filter("before IS NOT NULL").select(F.col("before").alias("doc_path"), F.lit("sphinx_toctree").alias("strategy"), "next")
+    if sidebars is not None:
+        aside = sidebars.withColumn("before", F.lag("next").over(W.partitionBy("root").orderBy("at"))).filter("before IS NOT NULL")
+        chain = chain.unionByName(aside.select(F.col("before").alias("doc_path"), F.lit("vuepress_sidebar").alias("strategy"), "next"))
     numbers = docs.select(F.col("there").alias("doc_path"), F.regexp_extract(F.substring_index("there", "/", -1), r"^(\d{2,})[-_.]", 1).alias("n")).filter("n <> ''")
     order = W.partitionBy(paths.dirname(F.col("doc_path"))).orderBy(F.col("n").cast("long"), "doc_path")
     numbered = numbers.select("doc_path", F.lit("ordered_filename").alias("strategy"), F.lead("doc_path").over(order).alias("next")).filter("next IS NOT NULL")
     every = edges.join(docs, F.col("next") == F.col("there"), "left_semi").unionByName(chain).unionByName(numbered)
-    rank = F.array_position(F.array(*[F.lit(x) for x in ("frontmatter", "inline_link", "sphinx_toctree", "ordered_filename")]), F.col("strategy"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("frontmatter", "inline_link", "sphinx_toctree", "vuepress_sidebar", "ordered_filename")]), F.col("strategy"))
     best = F.row_number().over(W.partitionBy("doc_path", "strategy").orderBy("next"))
     return every.filter("next <> doc_path").withColumns({"rank": rank, "rn": best}).filter("rn = 1").select(F.col("doc_path").alias("doc"), "next", "strategy", "rank")
 

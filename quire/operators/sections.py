@@ -135,7 +135,7 @@ def section_summaries(sections: DataFrame, ids: list[str]) -> DataFrame:
     return sections.filter(F.col("id").isin(*ids)).select("id", "title", "summary", byte_length().alias("byte_length"))
 
 
-def excerpts(sections: DataFrame, ids: list[str], max_bytes: int = 500) -> DataFrame:
+def excerpts(sections: DataFrame, ids: list[str] | None, max_bytes: int = 500) -> DataFrame:
     """id, excerpt, truncated: at most so many bytes, cut between characters and, past the first half, at a line's end."""
     whole = F.octet_length("content") <= max_bytes
     raw = F.col("content").cast("binary")
@@ -144,7 +144,8 @@ def excerpts(sections: DataFrame, ids: list[str], max_bytes: int = 500) -> DataF
     safe = F.decode(raw.substr(F.lit(1), F.greatest(F.lit(max_bytes) - back, F.lit(0))), "UTF-8")
     line = F.regexp_replace(safe, r"\n[^\n]*$", "")
     shown = F.when(whole, F.col("content")).when(F.contains(safe, F.lit("\n")) & (F.length(line) * 2 > F.length(safe)), line).otherwise(safe)
-    return sections.filter(F.col("id").isin(*ids)).select("id", shown.alias("excerpt"), (~whole).alias("truncated"))
+    asked = sections if ids is None else sections.filter(F.col("id").isin(*ids))
+    return asked.select("id", shown.alias("excerpt"), (~whole).alias("truncated"))
 
 
 def neighbors(sections: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, text, vectors
-from .operators import api, coverage, health, links, mining, search, sections, similarity, telemetry
+from .operators import api, context, coverage, health, links, mining, search, sections, similarity, telemetry
 from .plans import fixtures, index, relations
 from .scratch import cut, table
 
@@ -675,3 +675,56 @@ def markdown_sections(spark, d):
 
     files = spark.createDataFrame([(fixtures.REPO, p, t.encode()) for p, t in fixtures.FILES.items()], "repo string, doc_path string, raw binary")
     return documents.sections(files).select("id", "title", "level", "parent_id", "byte_start", "byte_end")
+
+
+# --- more views
+
+
+@query(f"SELECT tag, method, path FROM {fixtures.values(['tag', 'method', 'path'], [(t, o['method'], o['path']) for o in _api_rows('openapi_op') for t in o['tags'] or ['untagged']])} v")
+def endpoints_by_tag(spark, d):
+    return api.endpoints_by_tag(api.operations(_fixture(spark)[0]))
+
+
+@query(f"WITH RECURSIVE {R.TREE}, up AS (SELECT 0 AS depth, id, title, parent_id FROM s WHERE id = 'c7' UNION ALL SELECT up.depth + 1, s.id, s.title, s.parent_id FROM up JOIN s ON s.id = up.parent_id), n AS (SELECT id, lag(id) OVER (ORDER BY seq, seq) AS prev_id, lead(id) OVER (ORDER BY seq, seq) AS next_id FROM s WHERE level = 2), k AS (SELECT arg_min(id, seq) AS first_child_id, count(*) AS child_count FROM s WHERE parent_id = 'c7') SELECT s.id, s.title, s.level, s.parent_id, prev_id, next_id, first_child_id, coalesce(child_count, 0) AS child_count, (SELECT string_agg(title, ' > ' ORDER BY depth DESC) FROM up) AS path FROM s JOIN n ON n.id = s.id, k WHERE s.id = 'c7'")
+def describe_section(spark, d):
+    """Customers are one document here, their orders another."""
+    rows = R.tree(spark, d).withColumns({"doc_path": F.col("level").cast("string"), "summary": F.lit(""), "byte_end": F.col("seq")})
+    everyone = rows.withColumn("doc_path", F.when(F.col("level") == 2, "customers").otherwise(F.concat(F.lit("other"), F.col("level"))))
+    out = context.describe(everyone, "c7").drop("first_child_id", "child_count")
+    kids = everyone.filter("parent_id = 'c7'").agg(F.min_by("id", "seq").alias("first_child_id"), F.count("*").alias("child_count"))
+    return out.crossJoin(kids).select("id", "title", "level", "parent_id", "prev_id", "next_id", "first_child_id", "child_count", "path")
+
+
+@query()
+def section_context(spark, d):
+    return context.context(_fixture(spark)[0], f"{fixtures.REPO}::guide/02-usage.md::usage#1", include_related=True)
+
+
+@query()
+def related_sections(spark, d):
+    s = R.documents(spark, d)
+    e = s.select("id", "doc_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("id", "embedding")
+    return context.related(s, s.orderBy("doc_id").first()["id"], e, min_score=0.1)
+
+
+@query()
+def similar_clusters(spark, d):
+    s = R.documents(spark, d).withColumn("references", F.array().cast("array<string>"))
+    return context.similar_clusters(s, index.links(s))
+
+
+@query()
+def toc_tree(spark, d):
+    return sections.toc_tree(R.turns(spark, d), depth=2)
+
+
+@query(f"WITH {R.DOCUMENTS} SELECT id, substr(content, 1, 60) AS excerpt, true AS truncated FROM s WHERE role = 'en' AND byte_end > 60 AND octet_length(encode(substr(content, 1, 61))) = 61 AND NOT contains(substr(content, 1, 60), chr(10))")
+def section_excerpts(spark, d):
+    """First bytes of texts whose start is ASCII and one line, where bytes and characters are the same."""
+    s = R.documents(spark, d).filter((F.col("role") == "en") & (F.col("byte_end") > 60) & (F.octet_length(F.substring("content", 1, 61)) == 61) & ~F.contains(F.substring("content", 1, 60), F.lit("\n")))
+    return sections.excerpts(s, None, 60)
+
+
+@query(f"WITH {_FIX_C} SELECT term, source FROM (SELECT 'Batch size' AS term, 'markdown_bold' AS source) x")
+def list_terms(spark, d):
+    return mining.list_terms(mining.glossary(_fixture(spark)[0]), "b").select("term", "source")
