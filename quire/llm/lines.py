@@ -28,8 +28,8 @@ from .packed import flag, flags, literal, look_up, packed
 from .scratch import cut, discard, release, table
 
 NUM, DEN = 4, 5
-COUNT_BITS, FLAG_CHARS = 18, 1 << 20
-PIVOTS = (3, 24)
+COUNT_BITS, FLAG_CHARS = 16, 1 << 20
+PIVOTS = (1, 3, 9, 27, 81)
 
 
 def _up(a: Column, b: int) -> Column:
@@ -74,23 +74,31 @@ def _token_sets(lines: DataFrame) -> DataFrame:
     return lines.withColumn("tokens", hashed).withColumn("n", F.size("tokens")).filter("n > 0")
 
 
-def _prefixes(sets: DataFrame, counts: Column, *keep: str) -> DataFrame:
-    """A row for each prefix token: k, at (its place in the order), n, bits, and the columns to keep."""
+def _parity(tokens: str, part: int | None = None) -> Column:
+    """64 parity bits of a token set, of all tokens or of one half of them."""
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    own = lambda h: one(h) if part is None else F.when(F.getbit(h, F.lit(12)) == part, one(h)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(own(h)))
+
+
+def _prefixes(sets: DataFrame, counts: Column, *keep: str, halves: bool = False) -> DataFrame:
+    """A row for each prefix token: k, at (its place in the order), n, parity bits (with ``halves`` twice as many), and the columns to keep."""
     # the bucket is a function of the hash, so the rank and 56 of its bits tell tokens apart
     ordered = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(look_up(counts, _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
+    bits = {"bits": _parity("tokens", 0), "more": _parity("tokens", 1)} if halves else {"bits": _parity("tokens")}
     length = F.col("n") - _up(F.col("n") * NUM, DEN) + 1
-    out = sets.select(*keep, "n", bits.alias("bits"), F.slice(ordered, F.lit(1), length).alias("prefix"))
-    return out.select(*keep, "n", "bits", F.posexplode("prefix").alias("at", "k"))
+    out = sets.select(*keep, "n", *[x.alias(k) for k, x in bits.items()], F.slice(ordered, F.lit(1), length).alias("prefix"))
+    return out.select(*keep, "n", *bits, F.posexplode("prefix").alias("at", "k"))
 
 
-def _may(x: str, y: str) -> Column:
+def _may(x: str, y: str, *bits: str) -> Column:
     """The filters for rows x and y that share a token: it can be the first they share, and the overlap can be enough."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = _least_overlap(n, m)
     length = (m * DEN >= n * NUM) & (n * DEN >= m * NUM)
     place = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) >= need
-    return length & place & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= n + m - need * 2)
+    unlike = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bits), F.lit(0))
+    return length & place & (unlike <= n + m - need * 2)
 
 
 def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
@@ -98,7 +106,7 @@ def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
     # written out once: both sides then read one file and share one exchange
     rows = cut(_prefixes(_token_sets(lines), counts, "h").select("k", "h", "n", "at", "bits"), "prefixes")
     x, y = rows.alias("x"), rows.alias("y")
-    near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & _may("x", "y"), "left_semi")
+    near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & _may("x", "y", "bits"), "left_semi")
     found = cut(near.select("h").distinct(), "suspects")
     discard(rows)
     return found
@@ -107,14 +115,14 @@ def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
 def _settle(sets: DataFrame, counts: Column) -> DataFrame:
     """id of lines with an earlier similar one. sets: id (in the order of the lines' first places), tokens, n."""
     spark = sets.sparkSession
-    rows = _prefixes(sets, counts, "id")
+    rows = _prefixes(sets, counts, "id", halves=True)
     ranked = cut(rows.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy("id"))), "ranked")
     release(spark)
     probes, gone, low = ranked, None, 0
     for high in (*PIVOTS, None):
         index = ranked.filter(f"rank > {low}" + (f" AND rank <= {high}" if high else ""))
         x, y = probes.alias("x"), index.alias("y")
-        near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y"))
+        near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y", "bits", "more"))
         pairs = cut(near.select(F.col("x.id").alias("id"), F.col("y.id").alias("e")).distinct(), "pairs")
         # both sides read the sets by the same key, so they share one exchange
         mine, theirs = sets.select("id", "tokens", "n").alias("m"), sets.select("id", "tokens", "n").alias("t")
