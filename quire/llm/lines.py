@@ -173,29 +173,28 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return removed
 
 
-def _by_document(removed: DataFrame) -> DataFrame:
-    return removed.groupBy("doc_id", "r").agg(F.sort_array(F.collect_list("line")).alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("r").alias("g_r"), "gone")
-
-
-def _joined(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    gone = _by_document(removed)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]) & (docs["r"] == gone["g_r"]), "left").drop("g_id", "g_r", "r")
+def _with_gone(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """Adds __gone: the places of the lines that go, or null. Names with two underscores do not clash with columns of ``docs``."""
+    gone = removed.groupBy("doc_id", "r").agg(F.sort_array(F.collect_list("line")).alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("r").alias("__g"), "__gone")
+    keyed = docs.withColumn("__r", F.xxhash64("text"))
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__g")), "left").drop("__id", "__g", "__r")
 
 
 def dedup_lines(docs: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs``, with the text's later matches removed; a null text stays null. n_chars follows where there is one."""
     removed = removed_lines(docs) if removed is None else removed
-    out = _joined(docs.withColumn("r", F.xxhash64("text")), removed)
-    parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")))
+    out = _with_gone(docs, removed).withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))  # a column, so that it is split once
+    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
+    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__parts", i)), "\n")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counted = docs.select("doc_id", F.xxhash64("text").alias("r"), F.when(F.coalesce("text", F.lit("")) == "", F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))
-    out = _joined(counted, removed_lines(docs))
+    lines = F.when(F.coalesce("text", F.lit("")) == "", F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
+    counted = docs.select("doc_id", F.xxhash64("text").alias("r"), lines.alias("n_lines"))
+    gone = removed_lines(docs).groupBy("doc_id", "r").agg(F.sort_array(F.collect_list("line")).alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("r").alias("g_r"), "gone")
+    out = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("r") == F.col("g_r")), "left")
     return out.select("doc_id", "n_lines", F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
