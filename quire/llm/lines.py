@@ -118,7 +118,11 @@ def _settle(sets: DataFrame, counts: Column) -> DataFrame:
     rows = _prefixes(sets, counts, "id", halves=True)
     ranked = cut(rows.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy("id"))), "ranked")
     release(spark)
-    probes, gone, low = ranked, None, 0
+    # only rows that some earlier row may match go on: at most a row for each of those there are, however many match it
+    x, y = ranked.alias("x"), ranked.alias("y")
+    probes = cut(x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y", "bits", "more"), "left_semi"), "probes")
+    release(spark)
+    gone, low = None, 0
     for high in (*PIVOTS, None):
         index = ranked.filter(f"rank > {low}" + (f" AND rank <= {high}" if high else ""))
         x, y = probes.alias("x"), index.alias("y")
@@ -133,8 +137,7 @@ def _settle(sets: DataFrame, counts: Column) -> DataFrame:
         discard(pairs)
         if high:
             left = cut(probes.filter(f"rank > {high}").join(found, "id", "left_anti"), "probes")
-            if probes is not ranked:
-                discard(probes)
+            discard(probes)
             probes, low = left, high
         release(spark)
     return gone
