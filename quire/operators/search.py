@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..plans import index
+from ..scratch import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 WEIGHTS = {"title": 3.0, "summary": 1.5, "content": 1.0, "ancestors": 0.5}
@@ -110,14 +111,34 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = 10, c: int = RRF_K) -> D
     return fused.orderBy(F.desc("score"), "seen", "id").limit(k).select("id", F.round("score", 8).alias("score"))
 
 
+def places(scored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, rank: the places that the rows of ``wanted`` (so few that they can be broadcast) have in the whole list.
+
+    A row's rank is the number of rows that do not come after it, so the list is neither sorted nor gathered."""
+    own = F.broadcast(scored.join(F.broadcast(wanted), "id").select(F.col("id").alias("own_id"), F.col("score").alias("own")))
+    not_after = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("id") <= F.col("own_id")))
+    return scored.join(own, not_after).groupBy(F.col("own_id").alias("id")).agg(F.count("*").cast("int").alias("rank"))
+
+
 def hybrid_search(sections: DataFrame, embedded: DataFrame, query: str, vector: list[float] | None, weight: float = 0.5, k: int = 10) -> DataFrame:
-    """Fusion of the lexical and the vector ranking. A row below place ``(1 + w / (1 - w)) * (k + 60)`` of one list cannot get past k rows of it, so lists are cut well beyond that."""
+    """Fusion of the lexical and the vector ranking, both whole.
+
+    The k best rows of the list with the larger weight w have shares of w / (k + 60) or more. A row below place
+    (k + 60) / w - 60 of both lists (weights add up to 1) has less than that from both together, so only rows above it
+    in some list can be among the best k. For these the exact ranks in both lists are counted."""
     lexical = bm25_scores(index.terms(sections), query)
     if vector is None:
         return _top(lexical.select("id", F.round("score", 6).alias("score")), k)
-    high = max(weight, 1 - weight) / max(min(weight, 1 - weight), 0.05)
-    deep = math.ceil((1 + high) * (k + RRF_K)) * 4
-    return fuse([(ranked(lexical, deep), 1 - weight), (ranked(semantic_scores(embedded, vector), deep), weight)], k)
+    weighted = [(lexical.withColumn("score", F.round("score", 9)), 1 - weight), (semantic_scores(embedded, vector), weight)]
+    lists = [(cut(scored, "ranking"), w) for scored, w in weighted if w > 0]  # a list is read three times
+    most = max(w for _, w in lists)
+    deep = math.ceil((k + RRF_K) * sum(w for _, w in lists) / most) - RRF_K + k
+    wanted = None
+    for scored, _ in lists:
+        high = _top(scored, deep).select("id")
+        wanted = high if wanted is None else wanted.unionByName(high)
+    wanted = wanted.distinct()
+    return fuse([(places(scored, wanted), w) for scored, w in lists], k)
 
 
 def group_search(sections: DataFrame, query: str, k: int = 10) -> DataFrame:
