@@ -2,12 +2,10 @@
 
 Documents are sets of five-word shingles (words are runs without white space, ASCII letters lower-cased; a text of
 fewer words is one shingle). Documents with the same words form a class, which stands for its copies from then on. A
-signature of ``TREES`` x 8 one-byte min-hash labels puts a class into as many prefix tries. Pairs that share a long
-prefix in some tree are candidates first; prefixes are then shortened label by label, each step looking only at pairs
-that no longer prefix has brought up, until the estimated recall reaches the target: every candidate of similarity s
-(from the signatures) stands for 1 / p(s) pairs of its kind, p(s) being its chance of having been found. A step's cost
-is that of its own new pairs. Last, candidates are verified on the exact shingle sets; a sketch estimate rules out
-pairs more than ``SLACK`` standard deviations under the threshold.
+signature of ``TREES`` x 8 one-byte min-hash labels puts a class into as many prefix tries. Pairs that share a prefix in
+some tree are candidates. The prefix is the longest with which a pair right at the threshold is found with the chance
+wanted, so that chance does not depend on which other pairs a table holds. Last, candidates are verified on the exact
+shingle sets; a sketch estimate rules out pairs more than ``SLACK`` standard deviations under the threshold.
 
 Defined cases: null and empty texts, and texts of white space, have no words: they are one class, copies of each other,
 and link with nothing else; repeated rows are copies of each other; an empty table gives no rows; columns beyond doc_id
@@ -35,6 +33,11 @@ def found_chance(s, depth: int):
     return 1 - (1 - s**depth) ** TREES
 
 
+def depth_for(jaccard: float, recall: float) -> int:
+    """Labels of the longest prefix that finds a pair right at the threshold with the chance wanted."""
+    return next((d for d in range(FIRST, 1, -1) if found_chance(jaccard, d) >= recall), 1)
+
+
 def _space():
     import numpy as np
 
@@ -179,8 +182,8 @@ def _verifier(jaccard: float):
     return verify
 
 
-def _keeper(jaccard: float, depth: int, before: int | None):
-    """Pairs whose first tree with an equal prefix is t, that no longer prefix has brought up, and that may be similar enough."""
+def _keeper(jaccard: float, depth: int):
+    """Pairs whose first tree with an equal prefix is t, and that may be similar enough."""
     least = jaccard - SLACK * (jaccard * (1 - jaccard) / (TREES * DEEP)) ** 0.5
 
     def keep(s, t, a, b):
@@ -190,41 +193,12 @@ def _keeper(jaccard: float, depth: int, before: int | None):
         mask = same.mean((1, 2)) >= least
         at = np.flatnonzero(mask)
         same = same[at]
-        ok = same[:, :, :depth].all(2).argmax(1) == t[a[at]]
-        if before:
-            ok &= ~same[:, :, :before].all(2).any(1)
-        mask[at] = ok
+        mask[at] = same[:, :, :depth].all(2).argmax(1) == t[a[at]]
         return mask
 
     return keep
 
 
-def _estimate(found: DataFrame, sketches: DataFrame, depth: int, jaccard: float) -> tuple[float, float]:
-    """Pairs seen that look similar enough, and the number they stand for."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        seen, total = 0, 0.0
-        for tab in buckets._whole_groups(batches, "unit"):
-            bounds = buckets._bounds(tab["unit"].to_numpy())
-            heads, sketch = tab["pairs"].to_pylist(), tab["sketch"]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                p = np.frombuffer(heads[lo], "<u2").reshape(-1, 2)
-                s = np.frombuffer(b"".join(sketch.slice(lo, hi - lo).to_pylist()), np.uint8).reshape(hi - lo, -1)
-                for at in range(0, len(p), 50_000):
-                    est = (s[p[at : at + 50_000, 0]] == s[p[at : at + 50_000, 1]]).mean(1)
-                    est = est[est >= jaccard]
-                    seen += len(est)
-                    total += float((1 / found_chance(est, depth)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total])], ["seen", "total"])
-
-    met = found.join(sketches, "id").repartition("unit").sortWithinPartitions("unit", "slot")
-    row = met.select("unit", "slot", "pairs", "sketch").mapInArrow(run, "seen bigint, total double").agg(F.sum("seen"), F.sum("total")).first()
-    return row[0] or 0, row[1] or 0.0
-
-
 def ngram_join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), n_links (other rows at or above the threshold), component_id, kept."""
     bounded_batches(docs.sparkSession)
@@ -234,23 +208,10 @@ def ngram_join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL
     classes = signed.groupBy("c_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     sketches = classes.filter("sketch IS NOT NULL").select("id", "sketch")
-    depth, before, parts = FIRST, None, []
-    seen = total = 0.0
-    while True:
-        prefixes = F.array(*[F.xxhash64(F.substring("sketch", DEEP * t + 1, depth)) for t in range(TREES)])
-        dealt = buckets.tasks(classes.filter("sketch IS NOT NULL").select("id", prefixes.alias("keys")))
-        found = cut(buckets.units(dealt, sketches, _keeper(jaccard, depth, before)), "units")
-        parts.append(found)
-        if found_chance(jaccard, depth) >= recall or depth == 1:
-            break  # even pairs right at the threshold have been found with the chance wanted
-        more = _estimate(found, sketches, depth, jaccard)
-        seen, total = seen + more[0], total + more[1]
-        if total and seen / total >= recall:
-            break
-        depth, before = depth - 1, depth
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
+    depth = depth_for(jaccard, recall)
+    prefixes = F.array(*[F.xxhash64(F.substring("sketch", DEEP * t + 1, depth)) for t in range(TREES)])
+    dealt = buckets.tasks(sketches.select("id", prefixes.alias("keys")))
+    found = cut(buckets.units(dealt, sketches, _keeper(jaccard, depth)), "units")
     wanted = found.select("id").distinct().join(classes.select("id", "class_id", "c_key", "weight"), "id")
     wanted = cut(wanted, "wanted")
     texts = base.join(wanted.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
