@@ -252,6 +252,12 @@ def structural_neighbors(spark, d):
     return sections.structural_neighbors(R.tree(spark, d).filter("level <= 2"), cousins=True)
 
 
+@query()
+def structural_neighbors_all(spark, d):
+    """On the whole tree, orders included. ``structural_neighbors`` is the part of it that its SQL can be asked for."""
+    return sections.structural_neighbors(R.tree(spark, d), cousins=True)
+
+
 # --- links
 
 _FIX_S = f"s AS {fixtures.sections_sql('id', 'doc_path', 'title', 'level', 'seq')}"

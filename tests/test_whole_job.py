@@ -4,7 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from quire import queries
 from quire.operators import search
+from quire.plans import relations
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_fusion_ranks_more_rows_than_any_cut(spark):
@@ -24,3 +28,24 @@ def test_fusion_ranks_more_rows_than_any_cut(spark):
         best = sorted(want, key=lambda i: (-want[i], seen[i]))[:10]
         got = search.hybrid_search(s, s, "needle", [1.0, 0.2], weight).collect()
         assert [(r["id"], r["score"]) for r in got] == [(i, round(want[i], 8)) for i in best]
+
+
+def test_neighbours_on_the_whole_tree(spark):
+    """Every region, nation, customer and order beside loops over lists."""
+    s = relations.tree(spark, SF).select("id", "parent_id", "seq").collect()
+    kids, parent = {}, {r["id"]: r["parent_id"] for r in s}
+    for r in sorted(s, key=lambda r: (r["seq"], r["id"])):
+        kids.setdefault(r["parent_id"], []).append(r["id"])
+    want = {}
+    for i, p in parent.items():
+        near = [(p, "parent")] if p else []
+        near += [(c, "child") for c in kids.get(i, [])[:10]]
+        if p:
+            near += [(x, "sibling") for x in [x for x in kids[p] if x != i][:10]]
+            uncles = kids[parent[p]] if parent[p] else []
+            near += [(c, "cousin") for u in uncles if u != p for c in kids.get(u, [])[:10]]
+        for other, kind in near:
+            want.setdefault((i, other), kind)
+    got = queries.QUERIES["structural_neighbors_all"](spark, SF).collect()
+    assert len(got) == len(want) and {(r["source"], r["id"]): r["kind"] for r in got} == want
+    assert any(r["source"].startswith("o") and r["kind"] == "cousin" for r in got)
