@@ -731,6 +731,12 @@ def section_excerpts(spark, d):
     return sections.excerpts(s, None, 60)
 
 
+@query()
+def section_excerpts_all(spark, d):
+    """Of every document. ``section_excerpts`` has those for which bytes and characters are the same, as its SQL needs."""
+    return sections.excerpts(R.documents(spark, d), None, 60)
+
+
 @query(f"WITH {_FIX_C} SELECT term, source FROM (SELECT 'Batch size' AS term, 'markdown_bold' AS source) x")
 def list_terms(spark, d):
     return mining.list_terms(mining.glossary(_fixture(spark)[0]), "b").select("term", "source")

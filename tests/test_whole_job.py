@@ -49,3 +49,18 @@ def test_neighbours_on_the_whole_tree(spark):
     got = queries.QUERIES["structural_neighbors_all"](spark, SF).collect()
     assert len(got) == len(want) and {(r["source"], r["id"]): r["kind"] for r in got} == want
     assert any(r["source"].startswith("o") and r["kind"] == "cousin" for r in got)
+
+
+def test_excerpts_of_every_document(spark):
+    def cut(said):
+        raw = said.encode()
+        if len(raw) <= 60:
+            return said, False
+        safe = raw[:60].decode(errors="ignore")
+        line = safe.rpartition("\n")[0]
+        return (line if "\n" in safe and len(line) * 2 > len(safe) else safe), True
+
+    docs = relations.documents(spark, SF).select("id", "content").collect()
+    got = queries.QUERIES["section_excerpts_all"](spark, SF).collect()
+    assert len(got) == len(docs) and {r["id"]: (r["excerpt"], r["truncated"]) for r in got} == {r["id"]: cut(r["content"]) for r in docs}
+    assert any(len(r["excerpt"].encode()) < 60 for r in got if r["truncated"])
