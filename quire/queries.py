@@ -641,19 +641,10 @@ def health_diff(spark, d):
 
 @query()
 def retrieval_metrics(spark, d):
-    """Benchmark passages as queries over the documents that hold their first words: quality of the engine's own ranking."""
+    """All benchmark passages as queries over the documents that hold them whole: quality of the engine's own ranking."""
     s = R.documents(spark, d)
-    items = table(spark, d, "benchmark").orderBy("item_id").limit(8).collect()  # the query set
-    asked = spark.createDataFrame([(r["item_id"], r["text"][:40]) for r in items], "query long, head string")
-    wanted = s.join(F.broadcast(asked), F.contains("content", F.col("head"))).select("query", "id")
-    found = None
-    for r in items:
-        one = search.lexical_search(s.drop("tags"), r["text"]).select(F.lit(r["item_id"]).alias("query"), "id", "score")
-        found = one if found is None else found.unionByName(one)
-    from pyspark.sql import Window as W
-
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id")))
-    return search.retrieval_metrics(ranked, wanted)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return search.retrieval_metrics(search.lexical_search_each(s.drop("tags"), asked), search.holders(s, asked))
 
 
 # --- readers

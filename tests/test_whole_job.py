@@ -64,3 +64,24 @@ def test_excerpts_of_every_document(spark):
     got = queries.QUERIES["section_excerpts_all"](spark, SF).collect()
     assert len(got) == len(docs) and {r["id"]: (r["excerpt"], r["truncated"]) for r in got} == {r["id"]: cut(r["content"]) for r in docs}
     assert any(len(r["excerpt"].encode()) < 60 for r in got if r["truncated"])
+
+
+def test_every_item_is_asked_and_whole_passages_decide(spark):
+    s = relations.documents(spark, SF).drop("tags")
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id AS query", "text")
+    items, docs = asked.collect(), s.select("id", "content").collect()
+    holds = {(i["query"], r["id"]) for i in items for r in docs if i["text"] in r["content"]}
+    assert {(r["query"], r["id"]) for r in search.holders(s, asked).collect()} == holds
+    ranked = search.lexical_search_each(s, asked).orderBy("query", "rank").collect()
+    assert {r["query"] for r in ranked} == {i["query"] for i in items}
+    for i in items[::13]:
+        one = search.lexical_search(s, i["text"]).collect()
+        assert [(r["id"], r["score"]) for r in ranked if r["query"] == i["query"]] == [(r["id"], r["score"]) for r in one]
+    assert queries.QUERIES["retrieval_metrics"](spark, SF).first()["n_queries"] == len({q for q, _ in holds})
+
+
+def test_a_shared_opening_is_not_a_whole_passage(spark):
+    head = "one opening that is longer than forty characters "
+    s = spark.createDataFrame([("a", head + "and ends like this, then more"), ("b", head + "but ends in another way"), ("c", "xone two"), ("d", None)], "id string, content string")
+    asked = spark.createDataFrame([(1, head + "and ends like this"), (2, "one"), (3, "one two"), (4, " one opening ")], "query long, text string")
+    assert {(r["query"], r["id"]) for r in search.holders(s, asked).collect()} == {(1, "a"), (2, "a"), (2, "b"), (2, "c"), (3, "c")}
