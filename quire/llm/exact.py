@@ -41,22 +41,19 @@ def _survivor_filter(groups: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, hash_all: bool = False) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row; text_sha256 only where a row had to be hashed, or with ``hash_all`` everywhere."""
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row; text_sha256 only where a row had to be hashed, or with ``hash_all`` everywhere. Groups are formed of survivors only in both cases."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     probe = base.select("doc_id", F.char_length("text").alias("chars"), normal(F.col("text")).alias("n")).select("doc_id", "chars", F.char_length("n").alias("n_len"), F.xxhash64(F.substring("n", 1, PREFIX_CHARS)).alias("p_hash"))
     narrow = cut(probe, "probe")
     lengths = narrow.groupBy("n_len").count().filter("count > 1").select("n_len")
     groups = narrow.join(lengths, "n_len", "left_semi").groupBy("n_len", "p_hash").count().filter("count > 1").select("n_len", "p_hash")
     full = base.select("doc_id", F.char_length("text").alias("chars"), normal(F.col("text")).alias("n")).withColumns({"n_len": F.char_length("n"), "p_hash": F.xxhash64(F.substring("n", 1, PREFIX_CHARS))})
-    if not hash_all:
-        word = F.element_at(_survivor_filter(groups).scalar(), (_position() / 64).cast("int") + 1)
-        survives = F.expr("shiftright(w, cast(p % 64 as int)) & 1") == 1
-        full = full.withColumns({"p": _position(), "w": word}).withColumn("survives", survives)
-    else:
-        full = full.withColumn("survives", F.lit(True))
-    hashed = cut(full.select("doc_id", "chars", F.when(F.col("survives"), F.sha2("n", 256)).alias("text_sha256")), "hashed")
+    word = F.element_at(_survivor_filter(groups).scalar(), (_position() / 64).cast("int") + 1)
+    full = full.withColumns({"p": _position(), "w": word}).withColumn("survives", F.expr("shiftright(w, cast(p % 64 as int)) & 1") == 1)
+    digest = F.sha2("n", 256) if hash_all else F.when(F.col("survives"), F.sha2("n", 256))
+    hashed = cut(full.select("doc_id", "chars", "survives", digest.alias("text_sha256")), "hashed")
     best = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"))
-    kept = hashed.filter("text_sha256 IS NOT NULL").groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(best)["doc_id"].alias("keep_id")).filter("group_size > 1")
+    kept = hashed.filter("survives").groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(best)["doc_id"].alias("keep_id")).filter("group_size > 1")
     out = hashed.join(kept, "text_sha256", "left")
     single = F.col("group_size").isNull()
     # rows that repeat an id: one of them is kept
