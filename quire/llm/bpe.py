@@ -1,13 +1,16 @@
-"""Byte-level BPE by merge replay.
+"""Byte-level BPE by corpus-level merge replay.
 
-The words of a block of documents are taken once each. All their bytes stand in one flat list; an inverted index from
-the rank of a token pair to the places where that pair stands holds all merges that are due. Ranks are taken in order
-from a heap, each is applied at all its places, and only the pairs beside a merged place are looked at anew. A merge
-can open a pair of lower rank; that word is then finished alone, so every word gets the ids that merging it by itself
-would give. Encoded words are kept in two caches of
-bounded size while a Python worker lives; a full one becomes the older one, out of which words in use are taken over.
+1. Texts are split into words, block by block (``BLOCK_BYTES`` of text). A word that is a token of the vocabulary has
+   its id at once; any other is a place in the block's list of words. The coded texts and the lists are written out.
+2. The distinct words of the whole corpus are merged once. All bytes of the words of a task stand in one flat list; an
+   inverted index from the rank of a token pair to the positions where that pair stands holds all merges that are due.
+   Ranks are taken in order, each is applied at all its positions at once, and only the pairs beside a merged position
+   are looked at anew. A merge that opens a pair of lower rank is rare; such a word is merged by itself.
+3. The ids go back to the blocks by a join on the word. A block's list then fills the places in its coded texts.
+   Decoding reads the ids.
 
-The rank file is read on the driver and broadcast: its size is that of the vocabulary, not of the data.
+So a word's merges are worked out once, however many documents hold it, and no table that grows with the corpus is
+broadcast: the rank file is, and its size is that of the vocabulary.
 
 Defined cases: a null or empty text has no ids; bytes that are not UTF-8 are read as U+FFFD; repeated rows repeat
 their results; an empty table gives no rows; columns beyond doc_id and text are ignored.
@@ -22,136 +25,151 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches, table
+from .scratch import bounded_batches, cut, table
 
-CACHE_WORDS, BLOCK_BYTES = 250_000, 2_000_000
+#: Bytes of text that share a list of words, and bytes of words that are merged at a time.
+BLOCK_BYTES, REPLAY_BYTES = 8_000_000, 6_000_000
+_SHIFT = 24
 
 
 class Merges:
     """The ranks of a vocabulary, and the replay of its merges."""
 
     def __init__(self, rank_file: bytes, pattern: str):
+        import numpy as np
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
-        self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        self.size = max(self.ranks.values(), default=-1) + 1
+        self.bytes_of = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.find = regex.compile(pattern).findall
-        self.pairs: dict[int, int] = {}
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def pair(self, a: int, b: int) -> int:
-        """The rank of two tokens side by side, or -1."""
-        found = self.pairs.get(a << 24 | b)
-        if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[a << 24 | b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return found
-
-    def alone(self, tokens: list[int]) -> list[int]:
-        """Merges one word: always the lowest rank, the leftmost of equals."""
-        while len(tokens) > 1:
-            rank, at = min(((r, i) for i in range(len(tokens) - 1) if (r := self.pair(tokens[i], tokens[i + 1])) >= 0), default=(-1, -1))
-            if rank < 0:
-                break
-            tokens[at : at + 2] = [rank]
-        return tokens
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        pair, ranks = self.pair, self.ranks
-        tokens: list[int] = []  # -1: a word's end, or merged into the token before
-        after: list[int] = []
-        before: list[int] = []
-        word_of: list[int] = []
-        starts: list[int] = []
-        due: dict[int, list[int]] = {}
-        single = [ranks[bytes([b])] for b in range(256)]
-        for w, word in enumerate(words):
-            start = len(tokens)
-            starts.append(start)
-            n = len(word)
-            tokens.extend([single[b] for b in word])
-            tokens.append(-1)
-            after.extend(range(start + 1, start + n + 2))
-            before.extend(range(start - 1, start + n))
-            word_of.extend([w] * (n + 1))
-            before[start] = -1
-            for i in range(start, start + n - 1):
-                r = pair(tokens[i], tokens[i + 1])
-                if r >= 0:
-                    due.setdefault(r, []).append(i)
-        heap = list(due)
-        heapq.heapify(heap)
-        done: dict[int, list[int]] = {}
+        self.length = np.array([len(t) for t in self.bytes_of] or [0], np.int32)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        # the rank that two tokens side by side merge to, for all pairs there are
+        self.pairs = {self.ranks[t[:i]] << _SHIFT | self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        order = sorted(self.pairs)
+        self.pair_keys = np.array([*order, 1 << 62], np.int64)
+        self.pair_ranks = np.array([*(self.pairs[k] for k in order), -1], np.int32)
+        self.words: dict[str, int] = {}
+        for token, rank in self.ranks.items():
+            try:
+                self.words[token.decode()] = rank
+            except UnicodeDecodeError:
+                continue  # part of a character: no word of a text
 
-        def rest(w: int) -> list[int]:
-            out, i = [], starts[w]
-            while tokens[i] >= 0:
-                out.append(tokens[i])
-                i = after[i]
-            return out
+    def pair(self, a, b):
+        """The ranks of tokens side by side (arrays), -1 where they do not merge."""
+        import numpy as np
+
+        keys = a.astype(np.int64) << _SHIFT | b
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
+    def alone(self, word: bytes) -> list[int]:
+        """Merges one word by itself: always the lowest rank, the leftmost of equals."""
+        tokens = [int(self.single[b]) for b in word]
+        n = len(tokens)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get(tokens[i] << _SHIFT | tokens[i + 1], -1)) >= 0]
+        heapq.heapify(heap)
         while heap:
-            rank = heapq.heappop(heap)
-            for i in sorted(due.pop(rank)):
-                a = tokens[i]
-                if a < 0 or (done and word_of[i] in done):
-                    continue
-                j = after[i]
-                b = tokens[j]
-                if b < 0 or pair(a, b) != rank:
-                    continue
-                k = after[j]
-                tokens[i], tokens[j], after[i] = rank, -1, k
-                if tokens[k] >= 0:
-                    before[k] = i
-                low = False
-                h = before[i]
-                for at, r in ((h, pair(tokens[h], rank) if h >= 0 else -1), (i, pair(rank, tokens[k]) if tokens[k] >= 0 else -1)):
-                    if r < 0:
-                        continue
-                    low |= r < rank
-                    if r in due:
-                        due[r].append(at)
-                    else:
-                        due[r] = [at]
-                        heapq.heappush(heap, r)
-                if low:
-                    done[word_of[i]] = self.alone(rest(word_of[i]))
-        return [done[w] if w in done else rest(w) for w in range(len(words))]
-
-    def learn(self, words: set[str]) -> None:
-        """Puts words into the cache."""
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if tokens[i] < 0 or j >= n or self.pairs.get(tokens[i] << _SHIFT | tokens[j], -1) != rank:
+                continue
+            k = after[j]
+            tokens[i], tokens[j], after[i] = rank, -1, k
+            if k < n:
+                before[k] = i
+                if (r := self.pairs.get(rank << _SHIFT | tokens[k], -1)) >= 0:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := self.pairs.get(tokens[h] << _SHIFT | rank, -1)) >= 0:
+                heapq.heappush(heap, (r, h))
+        return [t for t in tokens if t >= 0]
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers, all words merged together, in rank order."""
         import numpy as np
 
-        new, raw = [], []
-        for w in words:
-            b = w.encode("utf-8", "surrogatepass")
-            r = self.ranks.get(b)
-            if r is not None:
-                self.cache[w] = r.to_bytes(4, "little")
+        if not words:
+            return []
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes + 1) - 1  # a mark that no pair reaches across stands behind each word
+        raw = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
+        tokens = self.single[raw]
+        tokens[ends] = -1
+        n = len(tokens)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        at = np.flatnonzero((tokens[:-1] >= 0) & (tokens[1:] >= 0))
+        rank = self.pair(tokens[at], tokens[at + 1])
+        at, rank = at[rank >= 0].astype(np.int32), rank[rank >= 0]
+        order = np.argsort(rank, kind="stable")
+        at, bounds = at[order], np.searchsorted(rank[order], np.arange(self.size + 1))
+        del rank, order
+        due: dict[int, list] = {}
+        lower: list = []
+        for r in range(self.size):
+            parts = due.pop(r, None)
+            lo, hi = bounds[r], bounds[r + 1]
+            if parts is None:
+                if lo == hi:
+                    continue
+                p = at[lo:hi]
             else:
-                new.append(w)
-                raw.append(b)
-        for w, ids in zip(new, self.replay(raw), strict=True):
-            self.cache[w] = np.array(ids, "<u4").tobytes()
+                p = np.unique(np.concatenate([*parts, at[lo:hi]]))
+            # the bytes at a place do not change: two tokens there that are as long as the merged one are the pair
+            a, j = tokens[p], after[p]
+            b = tokens[j]
+            p = p[(a >= 0) & (b >= 0) & (self.length[a] + self.length[b] == self.length[r])]
+            if not len(p):
+                continue
+            j = after[p]
+            if len(p) > 1 and (j[:-1] == p[1:]).any():  # places that share a token: from the left, every other one
+                linked = np.concatenate([[False], j[:-1] == p[1:]])
+                place = np.arange(len(p))
+                first = np.maximum.accumulate(np.where(linked, 0, place))
+                p = p[(place - first) % 2 == 0]
+                j = after[p]
+            k = after[j]
+            tokens[p], tokens[j] = r, -2
+            after[p], before[k] = k, p
+            h = before[p]
+            left, right = p[(h >= 0) & (tokens[h] >= 0)], p[tokens[k] >= 0]
+            near = np.concatenate([before[left], right])
+            if not len(near):
+                continue
+            found = self.pair(tokens[near], tokens[after[near]])
+            near, found = near[found >= 0], found[found >= 0]
+            if not len(near):
+                continue
+            if (found < r).any():
+                lower.append(near[found < r])
+                near, found = near[found > r], found[found > r]
+            order = np.argsort(found, kind="stable")
+            near, found = near[order], found[order]
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            if len(found):
+                for part, new in zip(np.split(near, cuts), found[np.concatenate([[0], cuts])].tolist(), strict=True):
+                    due.setdefault(new, []).append(part)
+        alive = np.flatnonzero(tokens >= 0)
+        ids = tokens[alive].astype("<u4")
+        cuts = np.searchsorted(alive, ends) * 4
+        data = ids.tobytes()
+        out = [data[lo:hi] for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        if lower:
+            for w in np.unique(np.searchsorted(ends, np.concatenate(lower))).tolist():
+                out[w] = np.array(self.alone(words[w]), "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.find(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:  # words that come up again move on, the others go
-            self.cache, self.older = {}, self.cache
-        missing = set().union(*split).difference(self.cache)
-        again = missing.intersection(self.older)
-        self.cache.update((w, self.older[w]) for w in again)
-        missing -= again
-        if missing:
-            self.learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        new = sorted(set().union(*split).difference(self.words))
+        ids = dict(zip(new, self.replay([w.encode() for w in new]), strict=True))
+        return [b"".join(ids[w] if w in ids else self.words[w].to_bytes(4, "little") for w in words) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
         import numpy as np
@@ -159,6 +177,22 @@ class Merges:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class Known(dict):
+    """Codes of words: a token's id, or for any other word ``size`` and its place in the order they came."""
+
+    def __init__(self, merges: Merges):
+        super().__init__(merges.words)
+        self.own = len(self)
+        self.shift = merges.size - self.own
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self) + self.shift
+        return code
+
+    def new(self) -> list[str]:
+        return list(self)[self.own :]
+
+
 _KEPT: dict[int, Merges] = {}
 
 
@@ -172,72 +206,147 @@ def _merges(spec) -> Merges:
     return _KEPT[key]
 
 
-def _blocks(batches: Iterator, column: str) -> Iterator:
-    """Slices of record batches with about BLOCK_BYTES of ``column`` each."""
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
-        first, total = 0, 0
-        for i, n in enumerate(sizes):
-            total += int(n)
-            if total >= BLOCK_BYTES:
-                yield batch.slice(first, i + 1 - first)
-                first, total = i + 1, 0
-        if first < batch.num_rows:
-            yield batch.slice(first)
-
-
 def vocabulary(spark: SparkSession, rank_path: str, pattern: str):
     with open(rank_path, "rb") as f:
         return spark.sparkContext.broadcast((f.read(), pattern))
 
 
-def encode(docs: DataFrame, vocab) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens."""
+#: The place of a document's row, behind those of its block's words.
+_DOC = 2**31 - 1
 
-    bounded_batches(docs.sparkSession)
-    def run(batches):
+
+def _coder(vocab):
+    """For each document its block and codes; behind them, for each block its words."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         merges = _merges(vocab)
-        for block in _blocks(batches, "raw"):
-            texts = [(x or b"").decode("utf-8", "replace") for x in block["raw"].to_pylist()]
-            ids = merges.encode(texts)
-            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+        block, total, known = TaskContext.get().partitionId() << 32, 0, Known(merges)
+
+        def rows(ids, codes, words):
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, pa.array(codes, pa.binary()), pa.array(words, pa.list_(pa.string()))], ["block", "doc_id", "codes", "words"])
+
+        for batch in batches:
+            ids, first, codes = batch["doc_id"], 0, []
+            for raw in batch["raw"]:
+                text = (raw.as_py() or b"").decode("utf-8", "replace")
+                codes.append(np.fromiter(map(known.__getitem__, merges.find(text)), "<i4").tobytes())
+                total += len(text)
+                if total >= BLOCK_BYTES:
+                    yield rows(ids.slice(first, len(codes)), codes, [None] * len(codes))
+                    yield rows(pa.nulls(1, ids.type), [None], [known.new()])
+                    first, codes = first + len(codes), []
+                    block, total, known = block + 1, 0, Known(merges)
+            if codes:
+                yield rows(ids.slice(first), codes, [None] * len(codes))
+        if total:
+            yield rows(pa.nulls(1, ids.type), [None], [known.new()])
+
+    return run
+
+
+def _replayer(vocab):
+    """ids of each word."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint")
+        merges = _merges(vocab)
 
+        def merged(words):
+            ids = merges.replay([w.encode() for w in words])
+            for i in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.string()), pa.array(ids[i : i + 50_000], pa.binary())], ["word", "ids"])
 
-def decode(encoded: DataFrame, vocab) -> DataFrame:
-    """doc_id, ids, n_tokens and decoded (binary)."""
+        held, size = [], 0
+        for batch in batches:
+            for word in batch["word"].to_pylist():
+                held.append(word)
+                size += len(word) + 1
+                if size >= REPLAY_BYTES:
+                    yield from merged(held)
+                    held, size = [], 0
+        if held:
+            yield from merged(held)
 
-    bounded_batches(encoded.sparkSession)
-    def run(batches):
+    return run
+
+
+def _filler(vocab, decoded: bool):
+    """Ids of coded texts. A block's merged words come in order, in front of its documents."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         merges = _merges(vocab)
-        for block in _blocks(batches, "ids"):
-            decoded = [merges.decode(x) for x in block["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([block["doc_id"], block["ids"], block["n_tokens"], pa.array(decoded, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+        now, given, lengths, first, flat = None, [], None, None, None
+        for batch in batches:
+            blocks, places, data = batch["block"].to_pylist(), batch["place"].to_pylist(), batch["data"]
+            at, out = [], []
+            for i, (block, place) in enumerate(zip(blocks, places, strict=True)):
+                if block != now:
+                    now, given, flat = block, [], None
+                if place != _DOC:
+                    given.append(data[i].as_py())
+                    continue
+                if flat is None:
+                    lengths = np.concatenate([np.ones(merges.size, np.int64), np.array([len(x) // 4 for x in given], np.int64)])
+                    first = np.cumsum(lengths) - lengths
+                    flat = np.frombuffer(b"".join([np.arange(merges.size, dtype="<u4").tobytes(), *given]), "<u4")
+                codes = np.frombuffer(data[i].as_py(), "<i4")
+                n = lengths[codes]
+                start = np.cumsum(n) - n
+                at.append(i)
+                out.append(flat[np.repeat(first[codes] - start, n) + np.arange(int(n.sum()))].tobytes())
+            if at:
+                columns = [batch["doc_id"].take(pa.array(at)), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())]
+                more = [pa.array(map(merges.decode, out), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays(columns + more, ["doc_id", "ids", "n_tokens", "decoded"][: 3 + len(more)])
+
+    return run
+
+
+def _encoded(docs: DataFrame, vocab, decoded: bool) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    coded = cut(raw.mapInArrow(_coder(vocab), f"block bigint, doc_id {kind}, codes binary, words array<string>"), "coded")
+    words = coded.filter("words IS NOT NULL").select("block", F.posexplode("words").alias("place", "word"))
+    merged = words.select("word").distinct().mapInArrow(_replayer(vocab), "word string, ids binary")
+    lists = words.join(merged, "word").select("block", "place", F.lit(None).cast(kind).alias("doc_id"), F.col("ids").alias("data"))
+    texts = coded.filter("codes IS NOT NULL").select("block", F.lit(_DOC).alias("place"), "doc_id", F.col("codes").alias("data"))
+    blocks = texts.unionByName(lists).repartition("block").sortWithinPartitions("block", "place")
+    return blocks.mapInArrow(_filler(vocab, decoded), f"doc_id {kind}, ids binary, n_tokens bigint" + (", decoded binary" if decoded else ""))
 
-    return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint, decoded binary")
+
+def encode(docs: DataFrame, vocab) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens."""
+    return _encoded(docs, vocab, False)
 
 
 def round_trip(docs: DataFrame, vocab) -> DataFrame:
-    """What ``decode(encode(docs))`` gives, in one pass through one Python worker."""
+    """doc_id, ids, n_tokens and decoded: what ``decode(encode(docs))`` gives, ids and decoding in one pass."""
+    return _encoded(docs, vocab, True)
 
-    bounded_batches(docs.sparkSession)
+
+def decode(encoded: DataFrame, vocab) -> DataFrame:
+    """doc_id, ids, n_tokens and decoded (binary)."""
+    bounded_batches(encoded.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         merges = _merges(vocab)
-        for block in _blocks(batches, "raw"):
-            ids = merges.encode([(x or b"").decode("utf-8", "replace") for x in block["raw"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(merges.decode, ids), pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+        for batch in batches:
+            decoded = [merges.decode(x) for x in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint, decoded binary")
+    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint, decoded binary")
 
 
 def multi_vocabulary(spark: SparkSession):

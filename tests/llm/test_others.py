@@ -1,10 +1,12 @@
 """Exact dedup without hashing all, language ID, URL filters, BPE, and the pipeline."""
 
 import base64
+import hashlib
 import random
 
 import numpy as np
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, exact, langid, urls
@@ -75,7 +77,6 @@ def test_mined_rules_block_what_labels_say(spark):
 
 def test_bpe_like_the_library():
     import public_tokenizers as P
-    import tiktoken
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     raw = open(path, "rb").read()
@@ -94,7 +95,29 @@ def test_a_lower_rank_that_opens_late_goes_first():
     ranks = {b: i for i, b in enumerate(pieces)} | {b"bc": 300, b"abc": 280, b"ab": 400, b"cd": 290}
     merges = bpe.Merges(b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items()), r"\S+|\s+")
     for word in (b"abc", b"abcabcd", b"bcabcdab", b"aabbccdd"):
-        assert merges.replay([word])[0] == merges.alone([ranks[bytes([b])] for b in word])
+        want = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary(word.decode())
+        assert np.frombuffer(merges.replay([word])[0], "<u4").tolist() == merges.alone(word) == want
+
+
+def test_bpe_query_like_the_library(spark, tables):
+    import public_tokenizers as P
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [None, "", " ", "\n\n", "same text", "same text", "ab" * 30_000, "".join(rng.choice("abcde") for _ in range(40_000)), "日本語 " * 2000, "it's 12345 \u00a0 x"]
+    rows = [(i % 40, t, "ids", [1]) for i, t in enumerate(texts)] + [(None, "no id", "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, ids string, words array<int>").repartition(3)
+    want = []
+    for i, text, *_ in rows:
+        ids = own.encode_ordinary(text or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, bpe.query(spark, tables(documents=(docs.schema, docs.collect()))).collect()), key=key) == sorted(want, key=key)
+    assert bpe.query(spark, tables(documents=(docs.schema, []))).count() == 0
+    vocab = bpe.multi_vocabulary(spark)
+    assert bpe.decode(bpe.encode(docs, vocab), vocab).filter("n_tokens * 4 = length(ids)").count() == len(rows)
 
 
 def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark, tables):
