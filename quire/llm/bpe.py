@@ -1,16 +1,16 @@
 """Byte-level BPE by corpus-level merge replay.
 
 1. Texts are split into words, block by block (``BLOCK_BYTES`` of text). A word that is a token of the vocabulary has
-   its id at once; any other is a place in the block's list of words. The coded texts and the lists are written out.
-2. The distinct words of the whole corpus are merged once. All bytes of the words of a task stand in one flat list; an
-   inverted index from the rank of a token pair to the positions where that pair stands holds all merges that are due.
-   Ranks are taken in order, each is applied at all its positions at once, and only the pairs beside a merged position
-   are looked at anew. A merge that opens a pair of lower rank is rare; such a word is merged by itself.
-3. The ids go back to the blocks by a join on the word. A block's list then fills the places in its coded texts.
-   Decoding reads the ids.
+   its id at once; any other is a place in the block's list of words. Coded texts and lists are packed and written out.
+2. The lists are dealt by a hash of the word, so each distinct word of the whole corpus comes to one task, which merges it
+   once. All bytes of a task's words stand in one flat list; an inverted index from the rank of a token pair to the
+   positions where that pair stands holds all merges that are due. Ranks are taken in order, each is applied at all its
+   positions at once, and only the pairs beside a merged position are looked at anew. A merge that opens a pair of
+   lower rank is rare; such a word is merged by itself.
+3. The ids go back to the blocks, where they fill the places in the coded texts. Decoding reads the ids.
 
 So a word's merges are worked out once, however many documents hold it, and no table that grows with the corpus is
-broadcast: the rank file is, and its size is that of the vocabulary.
+broadcast: the rank file is, and its size is that of the vocabulary. The number of word buckets follows the size of the texts.
 
 Defined cases: a null or empty text has no ids; bytes that are not UTF-8 are read as U+FFFD; repeated rows repeat
 their results; an empty table gives no rows; columns beyond doc_id and text are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded_batches, cut, table
 
-#: Bytes of text that share a list of words, and bytes of words that are merged at a time.
-BLOCK_BYTES, REPLAY_BYTES = 8_000_000, 6_000_000
+#: Characters of text that share a list of words, bytes of words that are merged at a time, and tokens of a packed row.
+BLOCK_BYTES, REPLAY_BYTES, ROW_TOKENS = 24_000_000, 6_000_000, 200_000
+#: Bytes of text for each bucket of words, and the fewest and most buckets.
+BUCKET_BYTES, BUCKETS = 8_000_000, (64, 65_536)
+#: Merged words that a task keeps while it goes from bucket to bucket.
+KEPT_WORDS = 300_000
 _SHIFT = 24
 
 
@@ -211,12 +216,30 @@ def vocabulary(spark: SparkSession, rank_path: str, pattern: str):
         return spark.sparkContext.broadcast((f.read(), pattern))
 
 
-#: The place of a document's row, behind those of its block's words.
-_DOC = 2**31 - 1
+#: The bucket of a row of documents, behind all buckets of words.
+_DOCS = 2**31 - 1
 
 
-def _coder(vocab):
-    """For each document its block and codes; behind them, for each block its words."""
+def _pack(*arrays) -> bytes:
+    """Arrays (or bytes) as one compressed string."""
+    import numpy as np
+    import zstandard
+
+    parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts))
+
+
+def _unpack(data: bytes, n: int) -> list[bytes]:
+    import numpy as np
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    ends = np.cumsum(np.frombuffer(raw[: 8 * n], "<u8")).tolist()
+    return [raw[8 * n + lo : 8 * n + hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _coder(vocab, buckets: int):
+    """Rows of documents (bucket _DOCS: their ids and codes), and for each block and bucket its words and their places."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -224,89 +247,138 @@ def _coder(vocab):
         from pyspark import TaskContext
 
         merges = _merges(vocab)
+        size = merges.size
+        narrow, mark = ("<u2", 0xFFFF) if size < 0xFFFF else ("<u4", 0xFFFFFFFF)
         block, total, known = TaskContext.get().partitionId() << 32, 0, Known(merges)
-
-        def rows(ids, codes, words):
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), ids, pa.array(codes, pa.binary()), pa.array(words, pa.list_(pa.string()))], ["block", "doc_id", "codes", "words"])
+        names = ["block", "bucket", "ids", "data"]
+
+        def documents(ids, codes):
+            flat = np.concatenate(codes)
+            own = flat >= size
+            counts = np.array([len(c) for c in codes], "<u4")
+            data = _pack(counts, np.where(own, mark, flat).astype(narrow), (flat[own] - size).astype("<u4"))
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(pa.array(np.arange(len(ids)))))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_DOCS], pa.int32()), listed, pa.array([data], pa.binary())], names)
+
+        def lists(kind):
+            raw = [w.encode() for w in known.new()]
+            bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.int64)
+            places = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[places], np.arange(buckets + 1))
+            there = np.flatnonzero(np.diff(cuts))
+            data = []
+            for b in there.tolist():
+                at = places[cuts[b] : cuts[b + 1]]
+                mine = [raw[i] for i in at.tolist()]
+                data.append(_pack(np.diff(at, prepend=0).astype("<u4"), np.array([len(w) for w in mine], "<u4"), b"".join(mine)))
+            n = len(data)
+            for i in range(0, n, 1000):
+                m = min(1000, n - i)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array(there[i : i + m], pa.int32()), pa.nulls(m, pa.list_(kind)), pa.array(data[i : i + m], pa.binary())], names)
 
         for batch in batches:
-            ids, first, codes = batch["doc_id"], 0, []
+            ids, first, codes, tokens = batch["doc_id"], 0, [], 0
             for raw in batch["raw"]:
                 text = (raw.as_py() or b"").decode("utf-8", "replace")
-                codes.append(np.fromiter(map(known.__getitem__, merges.find(text)), "<i4").tobytes())
+                codes.append(np.fromiter(map(known.__getitem__, merges.find(text)), np.int64))
                 total += len(text)
+                tokens += len(codes[-1])
+                if tokens >= ROW_TOKENS or total >= BLOCK_BYTES:
+                    yield documents(ids.slice(first, len(codes)), codes)
+                    first, codes, tokens = first + len(codes), [], 0
                 if total >= BLOCK_BYTES:
-                    yield rows(ids.slice(first, len(codes)), codes, [None] * len(codes))
-                    yield rows(pa.nulls(1, ids.type), [None], [known.new()])
-                    first, codes = first + len(codes), []
+                    yield from lists(ids.type)
                     block, total, known = block + 1, 0, Known(merges)
             if codes:
-                yield rows(ids.slice(first), codes, [None] * len(codes))
+                yield documents(ids.slice(first), codes)
         if total:
-            yield rows(pa.nulls(1, ids.type), [None], [known.new()])
+            yield from lists(ids.type)
 
     return run
 
 
 def _replayer(vocab):
-    """ids of each word."""
+    """From rows of words to rows of their ids. Rows come bucket by bucket; a word is merged once, with all others of the task that are new."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         merges = _merges(vocab)
+        ids: dict[bytes, bytes] = {}
+        new: dict[bytes, None] = {}
+        held, now, fresh, volume = [], None, 0, 0
+
+        def merged():
+            ids.update(zip(new, merges.replay(list(new)), strict=True))
+            for block, bucket, places, words in held:
+                own = list(map(ids.__getitem__, words))
+                data = _pack(places, np.array([len(x) // 4 for x in own], "<u4"), b"".join(own))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+            new.clear()
+            held.clear()
 
-        def merged(words):
-            ids = merges.replay([w.encode() for w in words])
-            for i in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.string()), pa.array(ids[i : i + 50_000], pa.binary())], ["word", "ids"])
-
-        held, size = [], 0
         for batch in batches:
-            for word in batch["word"].to_pylist():
-                held.append(word)
-                size += len(word) + 1
-                if size >= REPLAY_BYTES:
-                    yield from merged(held)
-                    held, size = [], 0
-        if held:
-            yield from merged(held)
+            for block, bucket, data in zip(batch["block"].to_pylist(), batch["bucket"].to_pylist(), batch["data"], strict=True):
+                if bucket != now and len(ids) > KEPT_WORDS:  # no other bucket has these words
+                    yield from merged()
+                    ids.clear()
+                    fresh = volume = 0
+                now = bucket
+                places, lengths, raw = _unpack(data.as_py(), 3)
+                ends = np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64)).tolist()
+                words = [raw[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+                for w in words:
+                    if w not in ids and w not in new:
+                        new[w] = None
+                        fresh += len(w) + 1
+                held.append((block, bucket, places, words))
+                volume += len(raw)
+                if fresh >= REPLAY_BYTES or volume >= 4 * REPLAY_BYTES:
+                    yield from merged()
+                    fresh = volume = 0
+        yield from merged()
 
     return run
 
 
 def _filler(vocab, decoded: bool):
-    """Ids of coded texts. A block's merged words come in order, in front of its documents."""
+    """Ids of coded texts. The rows of a block's words come in front of those of its documents."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         merges = _merges(vocab)
-        now, given, lengths, first, flat = None, [], None, None, None
+        size = merges.size
+        narrow, mark = ("<u2", 0xFFFF) if size < 0xFFFF else ("<u4", 0xFFFFFFFF)
+        names = ["doc_id", "ids", "n_tokens", "decoded"][: 4 if decoded else 3]
+        now, lists, lengths, first, flat = None, [], None, None, None
         for batch in batches:
-            blocks, places, data = batch["block"].to_pylist(), batch["place"].to_pylist(), batch["data"]
-            at, out = [], []
-            for i, (block, place) in enumerate(zip(blocks, places, strict=True)):
+            for i, (block, bucket) in enumerate(zip(batch["block"].to_pylist(), batch["bucket"].to_pylist(), strict=True)):
                 if block != now:
-                    now, given, flat = block, [], None
-                if place != _DOC:
-                    given.append(data[i].as_py())
+                    now, lists, flat = block, [], None
+                if bucket != _DOCS:
+                    lists.append(_unpack(batch["data"][i].as_py(), 3))
                     continue
                 if flat is None:
-                    lengths = np.concatenate([np.ones(merges.size, np.int64), np.array([len(x) // 4 for x in given], np.int64)])
-                    first = np.cumsum(lengths) - lengths
-                    flat = np.frombuffer(b"".join([np.arange(merges.size, dtype="<u4").tobytes(), *given]), "<u4")
-                codes = np.frombuffer(data[i].as_py(), "<i4")
+                    at = [np.cumsum(np.frombuffer(x[0], "<u4")) for x in lists]
+                    at = np.concatenate([np.arange(size), *(size + x for x in at)]).astype(np.int64)
+                    n = np.concatenate([np.ones(size, np.int64), *(np.frombuffer(x[1], "<u4") for x in lists)]).astype(np.int64)
+                    flat = np.frombuffer(b"".join([np.arange(size, dtype="<u4").tobytes(), *(x[2] for x in lists)]), "<u4")
+                    lengths, first = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+                    lengths[at], first[at] = n, np.cumsum(n) - n
+                    lists = []
+                counts, codes, own = _unpack(batch["data"][i].as_py(), 3)
+                codes = np.frombuffer(codes, narrow).astype(np.int64)
+                codes[codes == mark] = np.frombuffer(own, "<u4").astype(np.int64) + size
                 n = lengths[codes]
-                start = np.cumsum(n) - n
-                at.append(i)
-                out.append(flat[np.repeat(first[codes] - start, n) + np.arange(int(n.sum()))].tobytes())
-            if at:
-                columns = [batch["doc_id"].take(pa.array(at)), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())]
-                more = [pa.array(map(merges.decode, out), pa.binary())] if decoded else []
-                yield pa.RecordBatch.from_arrays(columns + more, ["doc_id", "ids", "n_tokens", "decoded"][: 3 + len(more)])
+                upto = np.concatenate([[0], np.cumsum(n)])
+                raw = flat[np.repeat(first[codes] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+                bounds = upto[np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<u4"), dtype=np.int64)])]
+                out = [raw[4 * lo : 4 * hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                columns = [batch["ids"][i].values, pa.array(out, pa.binary()), pa.array(np.diff(bounds), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(map(merges.decode, out), pa.binary())] if decoded else []), names)
 
     return run
 
@@ -315,13 +387,13 @@ def _encoded(docs: DataFrame, vocab, decoded: bool) -> DataFrame:
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    coded = cut(raw.mapInArrow(_coder(vocab), f"block bigint, doc_id {kind}, codes binary, words array<string>"), "coded")
-    words = coded.filter("words IS NOT NULL").select("block", F.posexplode("words").alias("place", "word"))
-    merged = words.select("word").distinct().mapInArrow(_replayer(vocab), "word string, ids binary")
-    lists = words.join(merged, "word").select("block", "place", F.lit(None).cast(kind).alias("doc_id"), F.col("ids").alias("data"))
-    texts = coded.filter("codes IS NOT NULL").select("block", F.lit(_DOC).alias("place"), "doc_id", F.col("codes").alias("data"))
-    blocks = texts.unionByName(lists).repartition("block").sortWithinPartitions("block", "place")
-    return blocks.mapInArrow(_filler(vocab, decoded), f"doc_id {kind}, ids binary, n_tokens bigint" + (", decoded binary" if decoded else ""))
+    size = raw.agg(F.sum(F.length("raw"))).first()[0] or 0
+    buckets = min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
+    coded = cut(raw.mapInArrow(_coder(vocab, buckets), f"block bigint, bucket int, ids array<{kind}>, data binary"), "coded")
+    lists = coded.filter(F.col("bucket") != _DOCS).select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket", "block")
+    merged = lists.mapInArrow(_replayer(vocab), "block bigint, bucket int, data binary")
+    both = coded.filter(F.col("bucket") == _DOCS).unionByName(merged, allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_filler(vocab, decoded), f"doc_id {kind}, ids binary, n_tokens bigint" + (", decoded binary" if decoded else ""))
 
 
 def encode(docs: DataFrame, vocab) -> DataFrame:
