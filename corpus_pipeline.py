@@ -52,11 +52,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it."""
-    keyed = _keyed(docs)
-    plan = mixing.mix(keyed.select(F.col("__key").alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
-    out = _one_of_each(keyed.join(plan, "__key")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    return out.select(docs.columns)
+    """Repeats each document as often as the mix takes it. Which ones follows from their own columns and their source's rules."""
+    return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
