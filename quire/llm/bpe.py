@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .scratch import bounded_batches, cut, table
 
 #: Characters of text that share a list of words, bytes of words that are merged at a time, and tokens of a packed row.
-BLOCK_BYTES, REPLAY_BYTES, ROW_TOKENS = 24_000_000, 6_000_000, 200_000
+BLOCK_BYTES, REPLAY_BYTES, ROW_TOKENS = 24_000_000, 4_000_000, 200_000
 #: Bytes of text for each bucket of words, and the fewest and most buckets.
 BUCKET_BYTES, BUCKETS = 8_000_000, (64, 65_536)
 #: Merged words that a task keeps while it goes from bucket to bucket.
@@ -216,30 +216,37 @@ def vocabulary(spark: SparkSession, rank_path: str, pattern: str):
         return spark.sparkContext.broadcast((f.read(), pattern))
 
 
-#: The bucket of a row of documents, behind all buckets of words.
-_DOCS = 2**31 - 1
+#: The buckets of a block's common codes and of its documents, behind all buckets of words.
+_COMMON, _DOCS = 2**31 - 2, 2**31 - 1
+#: Common codes have 16 bits; this one says that the code stands apart.
+_RARE = 0xFFFF
 
 
 def _pack(*arrays) -> bytes:
-    """Arrays (or bytes) as one compressed string."""
+    """Arrays of numbers, or bytes, as one compressed string. Numbers go byte plane by byte plane: the high ones are nearly all alike."""
     import numpy as np
     import zstandard
 
-    parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    parts = [x if isinstance(x, bytes) else x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
     return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts))
 
 
-def _unpack(data: bytes, n: int) -> list[bytes]:
+def _unpack(data: bytes, *kinds) -> list:
+    """What was packed: arrays of the kinds given, bytes for None."""
     import numpy as np
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    ends = np.cumsum(np.frombuffer(raw[: 8 * n], "<u8")).tolist()
-    return [raw[8 * n + lo : 8 * n + hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+    raw, n = zstandard.ZstdDecompressor().decompress(data), len(kinds)
+    ends = (8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], "<u8"))).tolist()
+    out = []
+    for kind, lo, hi in zip(kinds, [8 * n, *ends[:-1]], ends, strict=True):
+        part = raw[lo:hi]
+        out.append(part if kind is None else np.frombuffer(np.frombuffer(part, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.tobytes(), kind))
+    return out
 
 
 def _coder(vocab, buckets: int):
-    """Rows of documents (bucket _DOCS: their ids and codes), and for each block and bucket its words and their places."""
+    """For each block: rows of its words, bucket by bucket; the commonest codes; rows of documents, with their ids and codes."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -248,51 +255,49 @@ def _coder(vocab, buckets: int):
 
         merges = _merges(vocab)
         size = merges.size
-        narrow, mark = ("<u2", 0xFFFF) if size < 0xFFFF else ("<u4", 0xFFFFFFFF)
-        block, total, known = TaskContext.get().partitionId() << 32, 0, Known(merges)
-        names = ["block", "bucket", "ids", "data"]
-
-        def documents(ids, codes):
-            flat = np.concatenate(codes)
-            own = flat >= size
-            counts = np.array([len(c) for c in codes], "<u4")
-            data = _pack(counts, np.where(own, mark, flat).astype(narrow), (flat[own] - size).astype("<u4"))
-            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(pa.array(np.arange(len(ids)))))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_DOCS], pa.int32()), listed, pa.array([data], pa.binary())], names)
-
-        def lists(kind):
+        block, total, known, held, none = TaskContext.get().partitionId() << 32, 0, Known(merges), [], None
+
+        def row(bucket, ids, data):
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), ids, pa.array([data], pa.binary())], ["block", "bucket", "ids", "data"])
+
+        def closed():
+            # places follow the buckets and the words in them, so they need not be written beside the words
             raw = [w.encode() for w in known.new()]
             bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.int64)
-            places = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[places], np.arange(buckets + 1))
-            there = np.flatnonzero(np.diff(cuts))
-            data = []
-            for b in there.tolist():
-                at = places[cuts[b] : cuts[b + 1]]
-                mine = [raw[i] for i in at.tolist()]
-                data.append(_pack(np.diff(at, prepend=0).astype("<u4"), np.array([len(w) for w in mine], "<u4"), b"".join(mine)))
-            n = len(data)
-            for i in range(0, n, 1000):
-                m = min(1000, n - i)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array(there[i : i + m], pa.int32()), pa.nulls(m, pa.list_(kind)), pa.array(data[i : i + m], pa.binary())], names)
+            order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = [raw[i] for i in order[cuts[b] : cuts[b + 1]].tolist()]
+                yield row(b, none, _pack(np.array([len(w) for w in mine], "<u4"), b"".join(mine)))
+            code = np.arange(size + len(raw))
+            code[size + order] = size + np.arange(len(raw))
+            uses = sum(np.bincount(codes, minlength=len(code)) for _, _, codes in held)
+            common = np.argsort(-uses, kind="stable")[:_RARE]
+            yield row(_COMMON, none, _pack(code[common].astype("<u4")))
+            brief = np.full(len(code), _RARE, "<u2")
+            brief[common] = np.arange(len(common))
+            for ids, counts, codes in held:
+                short = brief[codes]
+                listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield row(_DOCS, listed, _pack(counts, short, code[codes[short == _RARE]].astype("<u4")))
 
         for batch in batches:
-            ids, first, codes, tokens = batch["doc_id"], 0, [], 0
-            for raw in batch["raw"]:
+            ids, first, coded, tokens = batch["doc_id"], 0, [], 0
+            none = pa.nulls(1, pa.list_(ids.type))
+            for n, raw in enumerate(batch["raw"], 1):
                 text = (raw.as_py() or b"").decode("utf-8", "replace")
-                codes.append(np.fromiter(map(known.__getitem__, merges.find(text)), np.int64))
+                coded.append(np.fromiter(map(known.__getitem__, merges.find(text)), np.int32))
                 total += len(text)
-                tokens += len(codes[-1])
-                if tokens >= ROW_TOKENS or total >= BLOCK_BYTES:
-                    yield documents(ids.slice(first, len(codes)), codes)
-                    first, codes, tokens = first + len(codes), [], 0
+                tokens += len(coded[-1])
+                if tokens >= ROW_TOKENS or total >= BLOCK_BYTES or n == batch.num_rows:
+                    held.append((ids.take(pa.array(np.arange(first, n))), np.array([len(c) for c in coded], "<u4"), np.concatenate(coded)))
+                    first, coded, tokens = n, [], 0
                 if total >= BLOCK_BYTES:
-                    yield from lists(ids.type)
-                    block, total, known = block + 1, 0, Known(merges)
-            if codes:
-                yield documents(ids.slice(first), codes)
-        if total:
-            yield from lists(ids.type)
+                    yield from closed()
+                    block, total, known, held = block + 1, 0, Known(merges), []
+        if held:
+            yield from closed()
 
     return run
 
@@ -311,9 +316,9 @@ def _replayer(vocab):
 
         def merged():
             ids.update(zip(new, merges.replay(list(new)), strict=True))
-            for block, bucket, places, words in held:
+            for block, bucket, words in held:
                 own = list(map(ids.__getitem__, words))
-                data = _pack(places, np.array([len(x) // 4 for x in own], "<u4"), b"".join(own))
+                data = _pack(np.array([len(x) // 4 for x in own], "<u4"), np.frombuffer(b"".join(own), "<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
             new.clear()
             held.clear()
@@ -325,14 +330,14 @@ def _replayer(vocab):
                     ids.clear()
                     fresh = volume = 0
                 now = bucket
-                places, lengths, raw = _unpack(data.as_py(), 3)
-                ends = np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64)).tolist()
+                lengths, raw = _unpack(data.as_py(), "<u4", None)
+                ends = np.cumsum(lengths, dtype=np.int64).tolist()
                 words = [raw[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
                 for w in words:
                     if w not in ids and w not in new:
                         new[w] = None
                         fresh += len(w) + 1
-                held.append((block, bucket, places, words))
+                held.append((block, bucket, words))
                 volume += len(raw)
                 if fresh >= REPLAY_BYTES or volume >= 4 * REPLAY_BYTES:
                     yield from merged()
@@ -343,39 +348,37 @@ def _replayer(vocab):
 
 
 def _filler(vocab, decoded: bool):
-    """Ids of coded texts. The rows of a block's words come in front of those of its documents."""
+    """Ids of coded texts. Of a block, the rows of words come first, in the order of their places, then the common codes."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         merges = _merges(vocab)
-        size = merges.size
-        narrow, mark = ("<u2", 0xFFFF) if size < 0xFFFF else ("<u4", 0xFFFFFFFF)
+        single = np.arange(merges.size, dtype="<u4")
         names = ["doc_id", "ids", "n_tokens", "decoded"][: 4 if decoded else 3]
-        now, lists, lengths, first, flat = None, [], None, None, None
+        now, lists, common, lengths, first, flat = None, [], None, None, None, None
         for batch in batches:
             for i, (block, bucket) in enumerate(zip(batch["block"].to_pylist(), batch["bucket"].to_pylist(), strict=True)):
+                data = batch["data"][i].as_py()
                 if block != now:
-                    now, lists, flat = block, [], None
-                if bucket != _DOCS:
-                    lists.append(_unpack(batch["data"][i].as_py(), 3))
+                    now, lists = block, []
+                if bucket < _COMMON:
+                    lists.append(_unpack(data, "<u4", "<u4"))
+                    continue
+                if bucket == _COMMON:
+                    common = _unpack(data, "<u4")[0].astype(np.int64)
+                    lengths = np.concatenate([np.ones(merges.size, np.int64), *(x[0].astype(np.int64) for x in lists)])
+                    flat = np.concatenate([single, *(x[1] for x in lists)])
+                    first, lists = np.cumsum(lengths) - lengths, []
                     continue
-                if flat is None:
-                    at = [np.cumsum(np.frombuffer(x[0], "<u4")) for x in lists]
-                    at = np.concatenate([np.arange(size), *(size + x for x in at)]).astype(np.int64)
-                    n = np.concatenate([np.ones(size, np.int64), *(np.frombuffer(x[1], "<u4") for x in lists)]).astype(np.int64)
-                    flat = np.frombuffer(b"".join([np.arange(size, dtype="<u4").tobytes(), *(x[2] for x in lists)]), "<u4")
-                    lengths, first = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-                    lengths[at], first[at] = n, np.cumsum(n) - n
-                    lists = []
-                counts, codes, own = _unpack(batch["data"][i].as_py(), 3)
-                codes = np.frombuffer(codes, narrow).astype(np.int64)
-                codes[codes == mark] = np.frombuffer(own, "<u4").astype(np.int64) + size
+                counts, short, rare = _unpack(data, "<u4", "<u2", "<u4")
+                codes = common[np.minimum(short, len(common) - 1)] if len(common) else short.astype(np.int64)
+                codes[short == _RARE] = rare
                 n = lengths[codes]
                 upto = np.concatenate([[0], np.cumsum(n)])
                 raw = flat[np.repeat(first[codes] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-                bounds = upto[np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<u4"), dtype=np.int64)])]
+                bounds = upto[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
                 out = [raw[4 * lo : 4 * hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 columns = [batch["ids"][i].values, pa.array(out, pa.binary()), pa.array(np.diff(bounds), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(map(merges.decode, out), pa.binary())] if decoded else []), names)
@@ -390,9 +393,9 @@ def _encoded(docs: DataFrame, vocab, decoded: bool) -> DataFrame:
     size = raw.agg(F.sum(F.length("raw"))).first()[0] or 0
     buckets = min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
     coded = cut(raw.mapInArrow(_coder(vocab, buckets), f"block bigint, bucket int, ids array<{kind}>, data binary"), "coded")
-    lists = coded.filter(F.col("bucket") != _DOCS).select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket", "block")
+    lists = coded.filter(F.col("bucket") < _COMMON).select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket", "block")
     merged = lists.mapInArrow(_replayer(vocab), "block bigint, bucket int, data binary")
-    both = coded.filter(F.col("bucket") == _DOCS).unionByName(merged, allowMissingColumns=True)
+    both = coded.filter(F.col("bucket") >= _COMMON).unionByName(merged, allowMissingColumns=True)
     return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_filler(vocab, decoded), f"doc_id {kind}, ids binary, n_tokens bigint" + (", decoded binary" if decoded else ""))
 
 
