@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .scratch import bounded_batches, cut, table
 
 #: Characters of text that share a list of words, bytes of words that are merged at a time, and tokens of a packed row.
-BLOCK_BYTES, REPLAY_BYTES, ROW_TOKENS = 24_000_000, 4_000_000, 200_000
+BLOCK_BYTES, REPLAY_BYTES, ROW_TOKENS = 32_000_000, 4_000_000, 200_000
 #: Bytes of text for each bucket of words, and the fewest and most buckets.
-BUCKET_BYTES, BUCKETS = 8_000_000, (64, 65_536)
+BUCKET_BYTES, BUCKETS = 32_000_000, (32, 65_536)
 #: Merged words that a task keeps while it goes from bucket to bucket.
 KEPT_WORDS = 300_000
 _SHIFT = 24
@@ -228,7 +228,7 @@ def _pack(*arrays) -> bytes:
     import zstandard
 
     parts = [x if isinstance(x, bytes) else x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(x) for x in parts], "<u8").tobytes() + b"".join(parts))
 
 
 def _unpack(data: bytes, *kinds) -> list:
