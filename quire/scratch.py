@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, label: str = "t") -> DataFrame:
+def cut(df: DataFrame, label: str = "t", compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later failures recompute from files, not from the source."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
