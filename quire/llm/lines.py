@@ -3,7 +3,8 @@
 A line is the set of its tokens (runs without white space). A line goes when an earlier one (by doc_id, then place) has
 a Jaccard similarity of ``NUM / DEN`` or more; it does not matter whether that one stays. Lines without tokens stay.
 
-Copies of a line are the first to be settled, by two hashes. Of the other lines, one for each text goes on:
+Copies of a line are the first to be settled: lines are grouped by two hashes, and of each group its first place, its
+size and its text are kept. Then, of the groups:
 
 1. Tokens are ordered by rarity. Frequencies of all tokens are counted in a table of fixed size; any order that all
    lines share is exact, a good one only saves work.
@@ -24,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .packed import flag, flags, literal, look_up, packed
-from .scratch import cut, discard, release, table
+from .packed import FLAGS, flag, flags, literal, look_up, packed
+from .scratch import cut, discard, table
 
 NUM, DEN = 4, 5
-COUNT_BITS, FLAG_CHARS = 16, 1 << 20
-PIVOTS = (1, 3, 9, 27, 81)
+COUNT_BITS = 16
+#: Characters of a table of flags: as many as give each line that is looked for some places of its own, within bounds.
+FLAG_CHARS = (1 << 14, 1 << 22)
+PIVOTS = (1, 8)
 
 
 def _up(a: Column, b: int) -> Column:
@@ -52,10 +55,6 @@ def _hashes(s: Column) -> list[Column]:
     return [F.xxhash64(s).alias("h"), F.xxhash64(s, F.lit(1)).alias("h2")]
 
 
-def _place(h: Column) -> Column:
-    return F.pmod(h, F.lit(FLAG_CHARS * 6))
-
-
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - COUNT_BITS)
 
@@ -68,10 +67,9 @@ def frequencies(lines: DataFrame) -> Column:
 
 
 def _token_sets(lines: DataFrame) -> DataFrame:
-    """Adds tokens (hashes, each once) and n."""
+    """Adds tokens (hashes, each once). Lines have at least one."""
     empty = lines.sparkSession.range(1).select(F.xxhash64(F.lit(""))).first()[0]
-    hashed = F.array_remove(F.array_distinct(F.transform(F.split("s", " "), lambda w: F.xxhash64(w))), F.lit(empty))
-    return lines.withColumn("tokens", hashed).withColumn("n", F.size("tokens")).filter("n > 0")
+    return lines.withColumn("tokens", F.array_remove(F.array_distinct(F.transform(F.split("s", " "), lambda w: F.xxhash64(w))), F.lit(empty)))
 
 
 def _parity(tokens: str, part: int | None = None) -> Column:
@@ -81,98 +79,85 @@ def _parity(tokens: str, part: int | None = None) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(own(h)))
 
 
-def _prefixes(sets: DataFrame, counts: Column, *keep: str, halves: bool = False) -> DataFrame:
-    """A row for each prefix token: k, at (its place in the order), n, parity bits (with ``halves`` twice as many), and the columns to keep."""
+def _prefixes(sets: DataFrame, counts: Column, id_: str, halves: bool = False) -> DataFrame:
+    """A row for each prefix token: k, id, at (its place in the order), n, and parity bits (with ``halves`` twice as many).
+
+    Each step is a projection whose columns the next one uses once, and the generator keeps empty arrays (there are none): a filter
+    on a column or on the generator's input would be pushed down, and the arrays worked out again for it."""
     # the bucket is a function of the hash, so the rank and 56 of its bits tell tokens apart
     ordered = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(look_up(counts, _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     bits = {"bits": _parity("tokens", 0), "more": _parity("tokens", 1)} if halves else {"bits": _parity("tokens")}
+    out = sets.select(F.col(id_).alias("id"), F.size("tokens").alias("n"), *[x.alias(k) for k, x in bits.items()], ordered.alias("ordered"))
     length = F.col("n") - _up(F.col("n") * NUM, DEN) + 1
-    out = sets.select(*keep, "n", *[x.alias(k) for k, x in bits.items()], F.slice(ordered, F.lit(1), length).alias("prefix"))
-    return out.select(*keep, "n", *bits, F.posexplode("prefix").alias("at", "k"))
+    out = out.select("id", "n", *bits, F.slice("ordered", F.lit(1), length).alias("prefix"))
+    return out.select("id", "n", *bits, F.posexplode_outer("prefix").alias("at", "k")).select("k", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size"), *bits)
 
 
 def _may(x: str, y: str, *bits: str) -> Column:
     """The filters for rows x and y that share a token: it can be the first they share, and the overlap can be enough."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    n, m = (F.shiftright(F.col(f"{r}.size"), 32) for r in (x, y))
+    at, other = (F.col(f"{r}.size").bitwiseAND(0xFFFFFFFF) for r in (x, y))
     need = _least_overlap(n, m)
     length = (m * DEN >= n * NUM) & (n * DEN >= m * NUM)
-    place = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) >= need
+    place = F.least(n - at, m - other) >= need
     unlike = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bits), F.lit(0))
     return length & place & (unlike <= n + m - need * 2)
 
 
-def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
-    """h of lines that may have a partner of another text. lines: h, s, one row for each h."""
-    # written out once: both sides then read one file and share one exchange
-    rows = cut(_prefixes(_token_sets(lines), counts, "h").select("k", "h", "n", "at", "bits"), "prefixes")
+def _suspects(classes: DataFrame, counts: Column) -> DataFrame:
+    """id of lines that may have a partner of another text. Both sides of the join share one exchange."""
+    rows = _prefixes(_token_sets(classes.select("id", "s")), counts, "id")
     x, y = rows.alias("x"), rows.alias("y")
-    near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") != F.col("y.h")) & _may("x", "y", "bits"), "left_semi")
-    found = cut(near.select("h").distinct(), "suspects")
-    discard(rows)
-    return found
+    near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & _may("x", "y", "bits"), "left_semi")
+    return cut(near.select("id").distinct(), "suspects")
 
 
 def _settle(sets: DataFrame, counts: Column) -> DataFrame:
-    """id of lines with an earlier similar one. sets: id (in the order of the lines' first places), tokens, n."""
-    spark = sets.sparkSession
+    """id of lines with an earlier similar one. sets: id (in the order of the lines' first places), tokens."""
     rows = _prefixes(sets, counts, "id", halves=True)
     ranked = cut(rows.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy("id"))), "ranked")
-    release(spark)
-    # only rows that some earlier row may match go on: at most a row for each of those there are, however many match it
-    x, y = ranked.alias("x"), ranked.alias("y")
-    probes = cut(x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y", "bits", "more"), "left_semi"), "probes")
-    release(spark)
-    gone, low = None, 0
+    probes, gone, low = ranked.filter("rank > 1"), None, 0
     for high in (*PIVOTS, None):
         index = ranked.filter(f"rank > {low}" + (f" AND rank <= {high}" if high else ""))
         x, y = probes.alias("x"), index.alias("y")
         near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y", "bits", "more"))
-        pairs = cut(near.select(F.col("x.id").alias("id"), F.col("y.id").alias("e")).distinct(), "pairs")
+        pairs = near.select(F.col("x.id").alias("id"), F.col("y.id").alias("e")).distinct()
         # both sides read the sets by the same key, so they share one exchange
-        mine, theirs = sets.select("id", "tokens", "n").alias("m"), sets.select("id", "tokens", "n").alias("t")
+        mine, theirs = sets.select("id", "tokens").alias("m"), sets.select("id", "tokens").alias("t")
         met = pairs.alias("p").join(mine, F.col("p.id") == F.col("m.id")).join(theirs, F.col("p.e") == F.col("t.id"))
-        checked = met.filter(F.size(F.array_intersect("m.tokens", "t.tokens")) >= _least_overlap(F.col("m.n"), F.col("t.n"))).select("p.id")
-        found = cut(checked.distinct(), "similar")
+        enough = F.size(F.array_intersect("m.tokens", "t.tokens")) >= _least_overlap(F.size("m.tokens"), F.size("t.tokens"))
+        found = cut(met.filter(enough).select("p.id").distinct(), "similar")
         gone = found if gone is None else gone.unionByName(found)
-        discard(pairs)
         if high:
-            left = cut(probes.filter(f"rank > {high}").join(found, "id", "left_anti"), "probes")
-            discard(probes)
-            probes, low = left, high
-        release(spark)
+            probes, low = ranked.filter(f"rank > {high}").join(gone, "id", "left_anti"), high
     return gone
 
 
+def _flag_chars(rows: int) -> int:
+    return min(max(FLAG_CHARS[0], 1 << (2 * rows).bit_length()), FLAG_CHARS[1])
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, r, line: the lines that go."""
-    docs = docs.select("doc_id", "text").filter("text <> ''")
-    lines = _lines(docs)
-    named = lines.select("doc_id", "r", "line", *_hashes(F.col("s")), F.regexp_like("s", F.lit("[^ ]")).alias("some")).filter("some").drop("some")
-    named = cut(named, "lines")
-    counts = frequencies(lines)
+    lines = _lines(docs.select("doc_id", "text").filter("text <> ''")).filter(F.trim("s") != "")
     place = F.struct("doc_id", "r", "line")
-    classes = named.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
-    copies = cut(classes.filter("c > 1"), "copies")
-    repeated = cut(flags(copies.select(_place(F.col("h")).alias("place")), FLAG_CHARS), "flags").scalar()
-    flagged = lines.select(F.xxhash64("s").alias("h"), "s").withColumn("again", flag(repeated, _place(F.col("h"))))
-    single = flagged.filter("NOT again").select("h", "s")
-    several = flagged.filter("again").select("h", "s").dropDuplicates(["h"])
-    suspects = _suspects(single.unionByName(several), counts)
-    marked = cut(flags(suspects.select(_place(F.col("h")).alias("place")), FLAG_CHARS), "flags").scalar()
-    release(docs.sparkSession)
-    back = lines.select("doc_id", "r", "line", "s", *_hashes(F.col("s"))).filter(flag(marked, _place(F.col("h")))).join(suspects, "h", "left_semi")
-    firsts = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first"))
+    classes = lines.select(place.alias("place"), *_hashes(F.col("s")), "s").groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.first("s").alias("s"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes", compression="zstd")
+    counts = frequencies(classes)
+    suspects = _suspects(classes, counts)
+    size = _flag_chars(suspects.count())
+    at = F.pmod(F.xxhash64("id"), F.lit(size * FLAGS))
+    marked = cut(flags(suspects.select(at.alias("place")), size), "flags").scalar()
+    back = classes.select("id", "first", "s").filter(flag(marked, at)).join(suspects, "id", "left_semi")
     # ids that rise with the lines' first places: ranges in order, and rows in order within them
-    ordered = firsts.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
-    sets = cut(_token_sets(ordered).select("id", "h", "h2", "tokens", "n"), "sets")
-    release(docs.sparkSession)
-    similar = sets.select("id", "h", "h2").join(_settle(sets, counts), "id", "left_semi").select("h", "h2")
-    later = named.join(copies, ["h", "h2"]).filter(place > F.col("first")).select("doc_id", "r", "line")
-    near = named.join(similar, ["h", "h2"], "left_semi").select("doc_id", "r", "line")
-    removed = cut(later.unionByName(near).distinct(), "removed")
-    for used in (named, sets, suspects):
+    ordered = back.select("first", F.col("id").alias("class"), "s").repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
+    sets = cut(_token_sets(ordered).select("id", "class", "tokens"), "sets")
+    similar = sets.select("id", "class").join(_settle(sets, counts), "id", "left_semi").select(F.col("class").alias("id"), F.lit(True).alias("near"))
+    gone = classes.select("id", "h", "h2", "first", "c").join(similar, "id", "left").filter("c > 1 OR near").select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    named = lines.select("doc_id", "r", "line", *_hashes(F.col("s")))
+    removed = cut(named.join(gone, ["h", "h2"]).filter(F.col("near") | (place > F.col("first"))).select("doc_id", "r", "line"), "removed")
+    for used in (classes, suspects, sets):
         discard(used)
-    release(docs.sparkSession)
     return removed
 
 
