@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -48,10 +47,3 @@ def discard(df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         where = context._jvm.org.apache.hadoop.fs.Path(f).getParent()
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets shuffle files of finished steps go now. Spark deletes them when the driver happens to collect its garbage, which
-    between large steps may be long after they are needed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
