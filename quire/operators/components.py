@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, discard
 
 
 def _state(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node), for every node of an edge. Each step is written out; none gathers edges on the driver."""
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (its smallest node), for every node of an edge. Each step is written out; none gathers edges on the driver.
+
+    Steps go on until none changes an edge; their number grows with the logarithm of a component's size."""
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
     now = cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
-    for _ in range(rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         around = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = around.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small, "edges")
+        before, now = now, cut(small, "edges")
         state, last = _state(now), state
+        discard(before)
         if state == last:
             break
     roots = now.groupBy("a").agg(F.min("b").alias("component"))
