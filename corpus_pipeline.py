@@ -34,8 +34,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
     if model is None:  # nothing to learn from: no document can be rejected for its language
         return docs
-    judged = langid.predict(docs, model, carry=True)
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return langid.clear_language(docs, model, LEAST_SCORE)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,8 @@ def links(found: DataFrame, payload: DataFrame, verify: Callable) -> DataFrame:
                 p = np.frombuffer(heads[lo], "<u2").reshape(-1, 2).astype(np.int64)
                 a, b = p[:, 0], p[:, 1]
                 own = data.slice(lo, hi - lo).to_pylist()
+                if len(a) and max(int(a.max()), int(b.max())) >= len(own):
+                    raise ValueError("a unit came without all of its rows")
                 ok = verify(own, int(t[lo]), a, b)
                 a, b = a[ok], b[ok]
                 if not len(a):

@@ -55,11 +55,10 @@ def grams(texts: list[str]):
     """Hashed n-grams of all texts in a row, the first place of each text's, and whether the text has a letter."""
     import numpy as np
 
-    raw = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = np.array([len(t) for t in texts], np.int64) + 1
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    owner = np.concatenate([owner[:1], owner]) if len(owner) else owner
-    x = _letters()[raw][: len(owner)]
+    # each text between blanks of its own, so that its n-grams do not depend on its neighbours
+    raw = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(texts)), np.array([len(t) + 2 for t in texts], np.int64))
+    x = _letters()[raw]
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 0) | (x[:-1] != 0) | (owner[1:] != owner[:-1])
     x, owner = x[keep].astype(np.uint64), owner[keep]
@@ -168,19 +167,14 @@ def learn(docs: DataFrame) -> dict | None:
     return {"langs": langs, "code": code, "weights": weights, "trust": trust / trust.sum()}
 
 
-def predict(docs: DataFrame, model: dict | None, carry: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous; with ``carry`` all columns of ``docs`` instead of doc_id."""
-    rows = docs.drop("lang_pred", "score", "ambiguous") if carry else docs.select("doc_id", "text")
+def _predicted(rows: DataFrame, names: list[str], model: dict | None) -> DataFrame:
+    """rows (the columns ``names``, and raw: the text's bytes) with lang_pred, score and ambiguous. ``names`` hold none of these."""
     if model is None:
-        out = rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(True)})
-        return out if carry else out.drop("text")
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in rows.columns if c != "text"]
-    sent = rows.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("binary").alias("raw"))
-    names = [*names, "raw"] if carry else names
+        return rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(True)}).select(*names, "lang_pred", "score", "ambiguous")
+    bounded_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    schema = T.StructType([*(sent.schema[c] for c in names), *added])
+    schema = T.StructType([*(rows.schema[c] for c in names), *added])
 
     def run(batches):
         import numpy as np
@@ -207,8 +201,21 @@ def predict(docs: DataFrame, model: dict | None, carry: bool = False) -> DataFra
             score = np.where(sure, score, 0.0)
             yield pa.RecordBatch.from_arrays([*(rows[c] for c in names), pa.array(pred, pa.string()), pa.array(score), pa.array(score < CLEAR)], [*names, *added.names])
 
-    out = sent.mapInArrow(run, schema)
-    return out.select(*[(F.col("raw").cast("string") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in added.names], *added.names) if carry else out
+    return rows.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: dict | None) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous."""
+    return _predicted(docs.select("doc_id", F.col("text").cast("binary").alias("raw")), ["doc_id"], model)
+
+
+def clear_language(docs: DataFrame, model: dict | None, least: float) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more; all their columns, whatever their names."""
+    own = {f"c{i}": c for i, c in enumerate(docs.columns) if c != "text"}
+    sent = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in own.items()], F.col("text").cast("binary").alias("raw"))
+    judged = _predicted(sent, [*own, "raw"], model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    name = {c: n for n, c in own.items()}
+    return judged.select(*[(F.col("raw").cast("string") if c == "text" else F.col(name[c])).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ wanted, so that chance does not depend on which other pairs a table holds. Last,
 shingle sets; a sketch estimate rules out pairs more than ``SLACK`` standard deviations under the threshold.
 
 Defined cases: null and empty texts, and texts of white space, have no words: they are one class, copies of each other,
-and link with nothing else; repeated rows are copies of each other; an empty table gives no rows; columns beyond doc_id
-and text are ignored.
+and link with nothing else; repeated rows are copies of each other; a null doc_id comes after all others, and rows whose
+id is that of their group are kept, so several rows without an id may be; an empty table gives no rows; columns beyond
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -214,7 +215,8 @@ def ngram_join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL
     found = cut(buckets.units(dealt, sketches, _keeper(jaccard, depth)), "units")
     wanted = found.select("id").distinct().join(classes.select("id", "class_id", "c_key", "weight"), "id")
     wanted = cut(wanted, "wanted")
-    texts = base.join(wanted.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = wanted.select("class_id").distinct()
+    texts = base.join(ids, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")  # a class of rows without ids has a null id
     sets = texts.select(F.col("text").cast("binary").alias("raw")).mapInArrow(_sets, "c_key binary, data binary")
     payload = wanted.select("id", "c_key", "weight").join(sets, "c_key").dropDuplicates(["id"]).select("id", "weight", "data")
     linked = cut(buckets.links(found, cut(payload, "sets"), _verifier(jaccard)), "links")

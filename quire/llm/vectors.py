@@ -5,10 +5,11 @@ into cells of ``WIDTH`` times the threshold's distance. Each table joins several
 number of vectors (unrelated vectors, at right angles, should rarely share a bucket), and the number of tables follows
 from the recall wanted for pairs right at the threshold; pairs above it are found more often. A pair in one bucket is
 first held against 128 signs of random projections (five standard deviations of room), then its cosine is worked out in
-double precision. A pair that shares buckets in several tables counts in the first of them only.
+double precision. A pair that shares buckets in several tables counts in the first of them only. Vectors of one length
+are compared with each other; the length is part of the bucket.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of
-another length than most; repeated rows with one vec_id and vector are links of each other but share their result; an
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
+different lengths do not link; repeated rows with one vec_id and vector are links of each other but share their result; an
 empty table gives no rows; columns beyond vec_id and the embedding are ignored.
 """
 
@@ -53,10 +54,11 @@ def _maker(dim: int, k: int, tables: int, width: float):
     rng = np.random.default_rng(SEED)
     planes, shift, signs = rng.standard_normal((dim, k * tables)), rng.uniform(0, width, k * tables), rng.standard_normal((dim, 128))
     odd = rng.integers(1, 2**62, k).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    start = np.uint64((dim * 0x9E3779B97F4A7C15) % 2**64)
 
     def keys(x):
         cells = np.floor((x @ planes + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(x), tables, k)
-        h = np.zeros((len(x), tables), np.uint64)
+        h = np.full((len(x), tables), start, np.uint64)
         for i in range(k):
             h = (h ^ cells[:, :, i]) * odd[i]
             h ^= h >> np.uint64(29)
@@ -71,33 +73,39 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = RECALL
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     marked = cut(rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("id", F.monotonically_increasing_id()), "vectors")
-    sizes = marked.filter("good").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    if not sizes:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, n = sizes[0]
-    k, tables, width = plan(n, cosine, recall)
-    usable = marked.filter(F.col("good") & (F.size("v") == dim))
-
-    def matrix(column):
+    usable = marked.filter("good")
+    k, tables, width = plan(usable.count(), cosine, recall)
+
+    def by_length(column):
+        """Rows of each length, and their vectors as a matrix of unit vectors."""
         import numpy as np
 
-        x = np.asarray(column.flatten() if hasattr(column, "flatten") else column, dtype=np.float64).reshape(-1, dim)
-        x = x / np.abs(x).max(1, keepdims=True)
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
+        sizes = column.value_lengths().to_numpy()
+        first = np.cumsum(sizes) - sizes
+        flat = column.flatten().to_numpy().astype(np.float64)
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            x = flat[first[at][:, None] + np.arange(dim)]
+            x = x / np.abs(x).max(1, keepdims=True)
+            yield at, x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def hashed(batches):
         import numpy as np
         import pyarrow as pa
 
-        keys, signs = _maker(dim, k, tables, width)
+        makers = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                x = matrix(part["v"])
-                bits = np.packbits(x @ signs > 0, axis=1)
-                flat = keys(x).ravel()
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part["id"], listed, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "keys", "sketch", "data"])
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                for at, x in by_length(part["v"]):
+                    dim = x.shape[1]
+                    if dim not in makers:
+                        makers[dim] = _maker(dim, k, tables, width)
+                    keys, signs = makers[dim]
+                    bits = np.packbits(x @ signs > 0, axis=1)
+                    flat = keys(x).ravel()
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables), pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at)), listed, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "keys", "sketch", "data"])
 
     items = cut(usable.select("id", "v").mapInArrow(hashed, "id bigint, keys array<bigint>, sketch binary, data binary"), "hashed")
     far = math.acos(cosine) / math.pi
@@ -108,17 +116,29 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = RECALL
 
         return np.bitwise_count(s[a] ^ s[b]).sum(1) <= most
 
-    state: dict = {}
+    makers: dict = {}
 
     def verify(data, t, a, b):
         import numpy as np
 
+        sizes = np.array([len(d) for d in data]) // 8
+        if (sizes != sizes[0]).any():  # two lengths whose keys are equal by chance
+            ok = np.zeros(len(a), bool)
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                mine = np.flatnonzero((sizes[a] == size) & (sizes[b] == size))
+                ok[mine] = verify([data[i] for i in rows], t, np.searchsorted(rows, a[mine]), np.searchsorted(rows, b[mine]))
+            return ok
+        dim = int(sizes[0])
         x = np.frombuffer(b"".join(data), np.float64).reshape(-1, dim)
-        if "keys" not in state:
-            state["keys"] = _maker(dim, k, tables, width)[0]
-        ok = np.einsum("ij,ij->i", x[a], x[b]) >= cosine if len(a) < 2000 else (x @ x.T)[a, b] >= cosine
+        if dim not in makers:
+            makers[dim] = _maker(dim, k, tables, width)[0]
+        cosines = np.einsum("ij,ij->i", x[a], x[b]) if len(a) < 2000 else (x @ x.T)[a, b]
+        edge = np.flatnonzero(np.abs(cosines - cosine) < 1e-9)  # these are worked out in one way, whatever the unit's size
+        cosines[edge] = [math.fsum(x[i] * x[j]) for i, j in zip(a[edge], b[edge], strict=True)]
+        ok = cosines >= cosine
         at = np.flatnonzero(ok)
-        h = state["keys"](x) if len(at) else None
+        h = makers[dim](x) if len(at) else None
         for lo in range(0, len(at), 50_000):
             part = at[lo : lo + 50_000]
             ok[part] = (h[a[part]] == h[b[part]]).argmax(1) == t

@@ -59,3 +59,15 @@ def test_chunks_do_not_change_shingles():
         _, (own, ends) = ngrams.shingles([t])
         assert own[: ends[1]].tolist() == hashes[bounds[i] : bounds[i + 1]].tolist()
     assert first.tolist() == [0, 6, 6, 8, 58]
+
+
+def test_near_copies_without_an_id(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    near = [*words[:60], "changed", *words[61:]]
+    rows = [(None, " ".join(words)), (7, " ".join(near)), (9, " ".join(words)), (None, "alone here"), (3, None)]
+    out = ngrams.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r["doc_id"]), r["n_links"], r["component_id"], r["kept"]) for r in out)
+    assert got == [("3", 0, 3, True), ("7", 2, 7, True), ("9", 2, 7, False), ("None", 0, None, True), ("None", 2, 7, False)]
+    only = ngrams.ngram_join(spark.createDataFrame([(None, " ".join(words)), (None, " ".join(near)), (1, "x")], "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"], r["component_id"], r["kept"]) for r in only) == [("1", 0, 1, True), ("None", 1, None, True), ("None", 1, None, True)]

@@ -31,3 +31,12 @@ def test_vectors_that_cannot_be_compared(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("inf"), 1.0]), (5, [1.0, 1.0]), (6, [2.0, 2.0]), (7, [1e-30, 1e-30]), (8, [1.0, -1.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (0, 8)}
+
+
+def test_lengths_are_compared_among_themselves(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.99, 0.01, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0]), (7, [5.0]), (8, [-5.0]), (9, []), (10, None), (11, [0.0, 0.0]), (12, [1.0, float("nan")]), (13, [1.0, 0.0, 0.0, 0.0])]
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out}
+    want = {i: (0, i) for i in range(1, 14)} | {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 6: (1, 6), 7: (1, 6)}
+    assert got == want
+    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
