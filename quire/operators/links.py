@@ -73,11 +73,11 @@ def most_linked(sections: DataFrame, links: DataFrame, k: int = 10) -> DataFrame
     return inbound_counts(sections, links).filter("inbound > 0").orderBy(F.desc("inbound"), "doc_path").limit(k)
 
 
-def impact(links: DataFrame, doc_path: str, slug: str = "", max_depth: int = 3) -> DataFrame:
+def impact(links: DataFrame, doc_path: str, slug: str = "", max_depth: int = 3, most: int | None = MAX_IMPACT) -> DataFrame:
     """depth, doc_path, section_id, via, link_kind: documents from which the document can be reached, by how far away.
 
     One join of the frontier with the links a level; a document counts where it is met first, through its first link.
-    As in the listing that users see, each of the direct and the further documents stops at ``MAX_IMPACT``."""
+    As in the listing that users see, each of the direct and the further documents stops at ``most``; None gives them all."""
     from ..scratch import cut
 
     spark = links.sparkSession
@@ -90,11 +90,13 @@ def impact(links: DataFrame, doc_path: str, slug: str = "", max_depth: int = 3)
         first = F.row_number().over(W.partitionBy("source_doc").orderBy("seq", "ref_at", "resolved"))
         kind = F.when(F.lit(depth == 1 and bool(slug)) & (F.col("anchor") != "") & F.contains(F.lower("anchor"), leaf), "anchor").otherwise("doc")
         step = met.withColumn("rn", first).filter("rn = 1").select(F.lit(depth).alias("depth"), F.col("source_doc").alias("doc_path"), F.col("source_section_id").alias("section_id"), F.col("resolved").alias("via"), kind.alias("link_kind"))
-        step = cut(step.orderBy("doc_path").limit(MAX_IMPACT), "impact")
+        step = cut(step.orderBy("doc_path").limit(most) if most else step, "impact")
         out = step if out is None else out.unionByName(step)
         frontier = step.select(F.col("doc_path").alias("doc"))
         seen = seen.unionByName(frontier)
-    direct, further = out.filter("depth = 1"), out.filter("depth > 1").orderBy("depth", "doc_path").limit(MAX_IMPACT)
+    if not most:
+        return out
+    direct, further = out.filter("depth = 1"), out.filter("depth > 1").orderBy("depth", "doc_path").limit(most)
     return direct.unionByName(further)
 
 
@@ -169,7 +171,7 @@ def delete_safe(sections: DataFrame, links: DataFrame, section_id: str, depth: i
     doc_path = section_id.split("::")[-2]
     anchors = anchor_backlinks(links, section_id).agg(F.count("*").alias("anchor_backlinks"))
     direct = backlinks(links, doc_path).agg(F.count("*").alias("doc_backlinks"))
-    further = impact(links, doc_path, "", depth).agg(F.countDistinct("doc_path").alias("transitive_backlinks"))
+    further = impact(links, doc_path, "", depth, most=None).agg(F.countDistinct("doc_path").alias("transitive_backlinks"))
     chained = (edges if edges is not None else tutorial_edges(sections)).agg(F.count_if((F.col("doc") == doc_path) | (F.col("next") == doc_path)).alias("chained"))
     recent = F.lit((edited_days_ago is not None and edited_days_ago <= recent_days) or freshness == "edited_uncommitted")
     verdict = F.when(F.col("chained") > 0, "tutorial_path_blocking").when(F.col("anchor_backlinks") > 0, "anchor_referenced").when(F.col("transitive_backlinks") >= MANY_BACKLINKS, "backlinks_blocking").when(recent, "recently_edited_blocking").otherwise("safe_to_delete")

@@ -15,11 +15,11 @@ LINE_CHARS = (8, 240)
 BOLD_DEFINITION = r"(?m)^\s*\*\*([A-Za-z][A-Za-z0-9 _\-./]{1,80})\*\*\s*[—–\-:]\s+(.{4,400}?)$"
 # What opens a comment line, by language.
 COMMENT_MARKS = {
-    "#": "python py py3 py2 ipython sh bash zsh shell console fish yaml yml toml ini conf cfg ruby rb rake gemspec r perl pl elixir ex exs crystal cr dockerfile docker makefile make cmake tcl awk powershell ps1 ps nim julia jl",
-    "//": "javascript js jsx typescript ts tsx java kotlin kt scala groovy gradle c cpp c++ cxx h hpp objective-c objc csharp cs fsharp fs go golang rust rs swift dart php d zig v vlang solidity sol verilog systemverilog sv",
-    "--": "sql lua haskell hs ada eiffel vhdl",
-    ";": "lisp scheme clojure clj cljs elisp el racket rkt common-lisp asm assembly nasm",
-    "%": "erlang erl prolog matlab octave tex latex",
+    "#": ("python", "py", "py3", "py2", "ipython", "sh", "bash", "zsh", "shell", "console", "fish", "yaml", "yml", "toml", "ini", "conf", "cfg", "ruby", "rb", "rake", "gemspec", "r", "perl", "pl", "elixir", "ex", "exs", "crystal", "cr", "dockerfile", "docker", "makefile", "make", "cmake", "tcl", "awk", "powershell", "ps1", "ps", "nim", "julia", "jl"),
+    "//": ("javascript", "js", "jsx", "typescript", "ts", "tsx", "java", "kotlin", "kt", "scala", "groovy", "gradle", "c", "cpp", "c++", "cxx", "h", "hpp", "objective-c", "objc", "csharp", "cs", "fsharp", "fs", "go", "golang", "rust", "rs", "swift", "dart", "php", "d", "zig", "v", "vlang", "solidity", "sol", "verilog", "systemverilog", "sv"),
+    "--": ("sql", "lua", "haskell", "hs", "ada", "eiffel", "vhdl"),
+    ";": ("lisp", "scheme", "clojure", "clj", "cljs", "elisp", "el", "racket", "rkt", "common-lisp", "asm", "assembly", "nasm"),
+    "%": ("erlang", "erl", "prolog", "matlab", "octave", "tex", "latex"),
 }
 
 
@@ -92,7 +92,7 @@ def find_code_examples(sections: DataFrame, query: str, lang: str | None = None,
 
 def compress_code(content: str) -> str:
     """The text without blank and comment lines inside fenced code."""
-    marks = {lang: mark for mark, langs in COMMENT_MARKS.items() for lang in langs.split()}
+    marks = {lang: mark for mark, langs in COMMENT_MARKS.items() for lang in langs}
     out, close, mark = [], None, None
     for line in content.splitlines(keepends=True):
         bare = line.rstrip("\r\n")

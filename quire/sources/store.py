@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: The tables of a repo, and the column whose hash deals out their rows.
+TABLES = {
+    "sections": "doc_path",
+    "postings": "term",
+    "term_df": "term",
+    "corpus_stats": None,
+    "glossary": "term",
+    "boilerplate": "line",
+    "duplicates": "id",
+    "related": "source",
+    "links": "source_doc",
+    "embeddings": "content_hash",
+    "canary": None,
+}
+
+
+def bucket_of(key):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 class Store:
-    """Tables of an index under one folder. Sections are partitioned by repo and a bucket of the document's path, so that
-    an update rewrites only the buckets that hold changed documents; the other tables are partitioned by repo."""
+    """Tables of an index under one folder.
+
+    Rows of a table and a repo lie in buckets, by a hash of the table's key, so an update rewrites only the buckets that
+    hold changed documents, and a search reads only those of its terms. A write goes to a new version folder. A small
+    pointer file, which says for each bucket the version that counts, is replaced last, in one step: readers see the
+    rows of before or those of after, whenever a writer fails. What a swap leaves behind is deleted by the next one, so
+    readers that have begun can end."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -18,54 +44,104 @@ class Store:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def exists(self, name: str) -> bool:
-        context = self.spark.sparkContext
-        where = context._jvm.org.apache.hadoop.fs.Path(self.at(name))
-        fs = where.getFileSystem(context._jsc.hadoopConfiguration())
-        return fs.exists(where) and any(not x.getPath().getName().startswith(("_", ".")) for x in fs.listStatus(where))
+    def _folder(self, name: str, repo: str) -> str:
+        return f"{self.at(name)}/{_escaped(repo)}"
 
-    def load(self, name: str, repo: str | None = None) -> DataFrame | None:
-        """A table, or None where there is none. A repo prunes partitions."""
-        if not self.exists(name):
-            return None
-        table = self.spark.read.parquet(self.at(name))
-        return table.filter(F.col("repo") == repo) if repo else table
+    def _open(self, path: str):
+        context = self.spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(context._jsc.hadoopConfiguration()), where
+
+    def _pointer_at(self, name: str, repo: str) -> str:
+        return f"{self.path}/_pointers/{name}/{_escaped(repo)}.json"
+
+    def _pointer(self, name: str, repo: str) -> dict:
+        """repo, buckets (number: version) and left (folders to delete)."""
+        fs, where = self._open(self._pointer_at(name, repo))
+        if not fs.exists(where):
+            return {"repo": repo, "buckets": {}, "left": []}
+        stream = fs.open(where)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _swap(self, name: str, repo: str, buckets: dict[str, str]) -> None:
+        """From now on these versions count; folders that the last swap left are deleted."""
+        old = self._pointer(name, repo)
+        gone = [f"{version}/bucket={b}" for b, version in old["buckets"].items() if buckets.get(b) != version]
+        jvm, final = self.spark.sparkContext._jvm, self._pointer_at(name, repo)
+        fs, where = self._open(f"{final}.{uuid.uuid4().hex}")
+        stream = fs.create(where, True)
+        stream.write(bytearray(json.dumps({"repo": repo, "buckets": buckets, "left": gone}).encode()))
+        stream.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(where), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(final)), options)
+        for folder in old["left"]:
+            self._remove(f"{self._folder(name, repo)}/{folder}")
+
+    def _pointers(self, name: str, repo: str | None) -> list[dict]:
+        if repo:
+            return [self._pointer(name, repo)]
+        fs, where = self._open(f"{self.path}/_pointers/{name}")
+        if not fs.exists(where):
+            return []
+        files = [f.getPath().getName() for f in fs.listStatus(where)]
+        return [self._pointer(name, _unescaped(f.removesuffix(".json"))) for f in files if f.endswith(".json") and not f.startswith(".")]
 
-    def _bucketed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_path"), F.lit(BUCKETS)).cast("int"))
+    def exists(self, name: str) -> bool:
+        if name in TABLES:
+            return any(p["buckets"] for p in self._pointers(name, None))
+        fs, where = self._open(self.at(name))
+        return fs.exists(where) and any(not x.getPath().getName().startswith(("_", ".")) for x in fs.listStatus(where))
 
-    def _write(self, rows: DataFrame, name: str, *by: str) -> None:
-        rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(self.at(name))
+    def load(self, name: str, repo: str | None = None, keys: list[str] | None = None) -> DataFrame | None:
+        """A table, or None where there is none. With values of the table's key, only their buckets are read."""
+        wanted = None
+        if keys is not None:
+            rows = self.spark.createDataFrame([(k,) for k in keys], "k string").select(bucket_of("k").alias("b")).distinct().collect()
+            wanted = {str(r["b"]) for r in rows}  # 64 at most
+        paths = [f"{self._folder(name, p['repo'])}/{version}/bucket={b}" for p in self._pointers(name, repo) for b, version in p["buckets"].items() if wanted is None or b in wanted]
+        if not paths and wanted is not None:
+            whole = self.load(name, repo)
+            return None if whole is None else whole.limit(0)
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _write(self, rows: DataFrame, name: str, repo: str) -> dict[str, str]:
+        """Writes a repo's rows as a new version; the buckets it has."""
+        version = uuid.uuid4().hex
+        path, key = f"{self._folder(name, repo)}/{version}", TABLES[name]
+        dealt = rows.withColumns({"repo": F.lit(repo), "bucket": bucket_of(key) if key else F.lit(0)})
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        fs, where = self._open(path)
+        names = [f.getPath().getName() for f in fs.listStatus(where)]
+        return {n.removeprefix("bucket="): version for n in names if n.startswith("bucket=")}
 
     def save(self, sections: DataFrame) -> None:
-        """Replaces the sections of the repos in ``sections``. The files committed are seen only when the job is done."""
-        repos = [r[0] for r in sections.select("repo").distinct().collect()]  # the repos of one call
-        for repo in repos:
-            self.delete(repo, ("sections",))
-        self._write(self._bucketed(sections), "sections", "repo", "bucket")
+        """Replaces the sections of the repos in ``sections``."""
+        for r in sections.select("repo").distinct().collect():  # the repos of one call
+            self._swap("sections", r[0], self._write(sections.filter(F.col("repo") == r[0]), "sections", r[0]))
 
     def save_incremental(self, repo: str, changed: DataFrame, gone: DataFrame) -> None:
         """Replaces documents: ``changed`` has new rows of sections, ``gone`` the doc_path of documents that are no more.
 
         Only buckets with such documents are read and written again."""
-        from ..scratch import cut
-
-        fresh = self._bucketed(changed)
-        out = self._bucketed(gone.select("doc_path").unionByName(changed.select("doc_path")).distinct())
-        touched = [r[0] for r in out.select("bucket").distinct().collect()]  # 64 at most
-        old = self.load("sections", repo)
-        if old is not None:
-            kept = old.filter(F.col("bucket").isin(*touched)).join(out.select("doc_path"), "doc_path", "left_anti")
-            fresh = fresh.unionByName(kept, allowMissingColumns=True)
-        ready = cut(fresh, "merge")  # the files read are among those replaced
-        for bucket in touched:
-            self._remove(f"{self.at('sections')}/repo={_escaped(repo)}/bucket={bucket}")
-        if ready.limit(1).count():
-            self._write(ready, "sections", "repo", "bucket")
+        out = gone.select("doc_path").unionByName(changed.select("doc_path")).distinct()
+        touched = [str(r[0]) for r in out.select(bucket_of("doc_path")).distinct().collect()]  # 64 at most
+        now = self._pointer("sections", repo)["buckets"]
+        paths = [f"{self._folder('sections', repo)}/{now[b]}/bucket={b}" for b in touched if b in now]
+        fresh = changed
+        if paths:
+            old = self.spark.read.parquet(*paths)
+            fresh = changed.unionByName(old.join(out, "doc_path", "left_anti"), allowMissingColumns=True)
+        new = self._write(fresh, "sections", repo)
+        self._swap("sections", repo, {b: v for b, v in now.items() if b not in touched} | new)
 
     def save_side(self, name: str, repo: str, rows: DataFrame) -> None:
         """Replaces a repo's part of a table that is derived from sections."""
-        self._write(rows.withColumn("repo", F.lit(repo)), name, "repo")
+        self._swap(name, repo, self._write(rows, name, repo))
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Adds to a ledger: calls, ranking events, replays."""
@@ -87,13 +163,15 @@ class Store:
         kept.write.mode("overwrite").parquet(self.at(name))
 
     def _remove(self, path: str) -> None:
-        context = self.spark.sparkContext
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = self._open(path)
+        fs.delete(where, True)
 
-    def delete(self, repo: str, names: tuple[str, ...] = ("sections", "postings", "term_df", "corpus_stats", "glossary", "boilerplate", "duplicates", "related", "embeddings")) -> None:
+    def delete(self, repo: str, names: tuple[str, ...] = tuple(TABLES)) -> None:
+        """Forgets a repo: pointers first, then files."""
         for name in names:
-            self._remove(f"{self.at(name)}/repo={_escaped(repo)}")
+            self._remove(self._pointer_at(name, repo))
+        for name in names:
+            self._remove(self._folder(name, repo))
 
     def repos(self) -> DataFrame:
         sections = self.load("sections")
@@ -124,3 +202,9 @@ class Store:
 
 def _escaped(value: str) -> str:
     return "".join(c if c not in '"#%\'*/:=?\\\x7f{[]^' and ord(c) >= 32 else f"%{ord(c):02X}" for c in value)
+
+
+def _unescaped(name: str) -> str:
+    import re
+
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), name)

@@ -11,13 +11,16 @@ from ..sources.store import Store
 
 
 def index_stream(spark: SparkSession, folder: str, repo: str, store: Store, checkpoint: str):
-    """Follows a folder of parquet files with doc_path, raw and deleted; each batch replaces its documents in the store.
+    """Follows a folder of parquet files with doc_path, raw, deleted and, if there, at (when a document changed); each
+    batch replaces its documents in the store.
 
-    A batch that is run again replaces them by the same rows, so a restart does no harm."""
-    arriving = spark.readStream.schema("doc_path string, raw binary, deleted boolean").parquet(folder)
+    Of several events of one document in a batch the latest counts; of those without a time or at the same time, a
+    deletion comes before an edit. A batch that is run again replaces documents by the same rows, so a restart does no harm."""
+    arriving = spark.readStream.schema("doc_path string, raw binary, deleted boolean, at timestamp").parquet(folder)
 
     def apply(batch: DataFrame, _: int) -> None:
-        latest = cut(batch.dropDuplicates(["doc_path"]), "batch")
+        order = F.struct("at", (~F.coalesce("deleted", F.lit(False))).alias("live"), "raw", "deleted")
+        latest = cut(batch.groupBy("doc_path").agg(F.max(order).alias("e")).select("doc_path", "e.raw", "e.deleted"), "batch")
         live = latest.filter("NOT coalesce(deleted, false)").select(F.lit(repo).alias("repo"), "doc_path", "raw")
         store.save_incremental(repo, cut(build(spark, live), "built"), latest.filter("deleted").select("doc_path"))
         derive(store, repo)

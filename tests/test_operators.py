@@ -177,6 +177,62 @@ def test_stream_of_documents_equals_a_batch(spark, tmp_path):
     assert got == want
 
 
+def test_readers_see_one_version_whole(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "index"))
+    rows = lambda n, text_: spark.createDataFrame([("007", f"d{i}", f"d{i}#1", text_) for i in range(n)], "repo string, doc_path string, id string, content string")
+    store.save(rows(40, "old"))
+    before = store.load("sections", "007")
+
+    def fails(*_):
+        raise OSError("the writer is lost")
+
+    with monkeypatch.context() as m:  # after the new files, before the swap
+        m.setattr(Store, "_swap", fails)
+        for write in (lambda: store.save(rows(7, "new")), lambda: store.save_incremental("007", rows(5, "new"), rows(9, "x").select("doc_path"))):
+            with pytest.raises(OSError, match="lost"):
+                write()
+    assert {(r["doc_path"], r["content"], r["repo"]) for r in store.load("sections", "007").collect()} == {(f"d{i}", "old", "007") for i in range(40)}
+    files = lambda: set((tmp_path / "index" / "sections" / "007").rglob("part-*.parquet"))
+    lost = files() - {p for p in files() if str(p.parent).removeprefix("/") in {u.removeprefix("file:///").rpartition("/")[0] for u in before.inputFiles()}}
+    store.save_incremental("007", rows(5, "new"), rows(9, "x").select("doc_path"))
+    now = {r["doc_path"]: r["content"] for r in store.load("sections").collect()}
+    assert now == {f"d{i}": "new" if i < 5 else "old" for i in range(40) if i < 5 or i >= 9}
+    assert before.count() == 40  # a reader that had begun
+    store.save(rows(3, "last"))
+    store.save(rows(3, "last"))
+    assert len(files() - lost) <= 6 and store.load("sections", "007").count() == 3
+    assert store.load("sections", "007", keys=["d1"]).filter("doc_path = 'd1'").count() == 1
+    store.save_side("links", "007", spark.createDataFrame([("a", "b")], "source_doc string, resolved string"))
+    store.delete("007")
+    assert store.load("links", "007") is None and not store.exists("sections")
+
+
+def test_the_latest_event_of_a_document_counts(spark, tmp_path):
+    from datetime import datetime as t
+
+    from quire.streaming.incremental import index_stream
+
+    arriving, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "index"))
+    rows = [("a.md", b"# Old\n", False, t(2024, 1, 1)), ("a.md", None, True, t(2024, 1, 2)), ("b.md", None, True, t(2024, 1, 1)), ("b.md", b"# New\n", False, t(2024, 1, 3)), ("c.md", b"# C\n", False, None), ("c.md", None, True, None)]
+    spark.createDataFrame(rows, "doc_path string, raw binary, deleted boolean, at timestamp").repartition(3).write.parquet(arriving)
+    index_stream(spark, arriving, "s/t", store, str(tmp_path / "check")).awaitTermination()
+    got = {(r["doc_path"], r["title"]) for r in store.load("sections", "s/t").filter("level = 1").collect()}
+    assert got == {("b.md", "New"), ("c.md", "C")}
+
+
+def test_many_referrers_count_in_full(spark):
+    """120 documents link to the target, and 90 to one of those: more than a listing shows."""
+    target = "r::t.md::t#1"
+    docs = [("t.md", [])] + [(f"a{i}.md", ["t.md"]) for i in range(120)] + [(f"b{i}.md", ["a7.md"]) for i in range(90)]
+    rows = [("r", f"r::{d}::x#1" if d != "t.md" else target, d, "x", 1, i, refs, "") for i, (d, refs) in enumerate(docs)]
+    s = spark.createDataFrame(rows, "repo string, id string, doc_path string, title string, level int, seq int, references array<string>, content string")
+    found = index.links(s)
+    edges = spark.createDataFrame([], "doc string, next string")
+    out = links.delete_safe(s, found, target, edges=edges).first()
+    assert (out["doc_backlinks"], out["transitive_backlinks"], out["verdict"]) == (120, 210, "backlinks_blocking")
+    assert links.impact(found, "t.md").count() == 50 + 50 or links.impact(found, "t.md").filter("depth = 1").count() == 50
+
+
 def test_ledgers(spark, tmp_path):
     store = Store(spark, str(tmp_path / "x"))
     for i in range(5):
