@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,15 @@ def discard(df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         where = context._jvm.org.apache.hadoop.fs.Path(f).getParent()
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def small_sides_hashed(spark: SparkSession, size: str = "64m") -> Iterator[None]:
+    """Joins that run inside are done by hash where all partitions of a side turn out to be below ``size``, and by sorting elsewhere."""
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
