@@ -3,8 +3,8 @@
 A line is the set of its tokens (runs without white space). A line goes when an earlier one (by doc_id, then place) has
 a Jaccard similarity of ``NUM / DEN`` or more; it does not matter whether that one stays. Lines without tokens stay.
 
-Copies of a line are the first to be settled: lines are grouped by two hashes, and of each group its first place, its
-size and its text are kept. Then, of the groups:
+Copies of a line are the first to be settled, by two hashes. Of the other lines, one for each text goes on; which texts
+are repeated is looked up in a table of flags, so that lines that are alone do not move. Then:
 
 1. Tokens are ordered by rarity. Frequencies of all tokens are counted in a table of fixed size; any order that all
    lines share is exact, a good one only saves work.
@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .packed import FLAGS, flag, flags, literal, look_up, packed
-from .scratch import cut, discard, table
+from .packed import FLAGS, flag, flags, numbers, packed
+from .scratch import cut, discard, small_sides_hashed, table
 
 NUM, DEN = 4, 5
 COUNT_BITS = 16
@@ -63,7 +63,7 @@ def frequencies(lines: DataFrame) -> Column:
     """The quantised counts of all tokens, by bucket."""
     tokens = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''").select(_bucket(F.xxhash64("w")).alias("place"))
     counts = tokens.groupBy("place").agg(F.count("*").alias("c"))
-    return literal(packed(counts.select("place", F.least(F.lit(94), F.floor(F.log2(F.col("c")) * 3) + 1).alias("value")), 1 << COUNT_BITS))
+    return numbers(packed(counts.select("place", F.least(F.lit(94), F.floor(F.log2(F.col("c")) * 3) + 1).alias("value")), 1 << COUNT_BITS))
 
 
 def _token_sets(lines: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def _prefixes(sets: DataFrame, counts: Column, id_: str, halves: bool = False) -
     Each step is a projection whose columns the next one uses once, and the generator keeps empty arrays (there are none): a filter
     on a column or on the generator's input would be pushed down, and the arrays worked out again for it."""
     # the bucket is a function of the hash, so the rank and 56 of its bits tell tokens apart
-    ordered = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(look_up(counts, _bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    ordered = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(F.get(counts, _bucket(h).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     bits = {"bits": _parity("tokens", 0), "more": _parity("tokens", 1)} if halves else {"bits": _parity("tokens")}
     out = sets.select(F.col(id_).alias("id"), F.size("tokens").alias("n"), *[x.alias(k) for k, x in bits.items()], ordered.alias("ordered"))
     length = F.col("n") - _up(F.col("n") * NUM, DEN) + 1
@@ -104,12 +104,13 @@ def _may(x: str, y: str, *bits: str) -> Column:
     return length & place & (unlike <= n + m - need * 2)
 
 
-def _suspects(classes: DataFrame, counts: Column) -> DataFrame:
-    """id of lines that may have a partner of another text. Both sides of the join share one exchange."""
-    rows = _prefixes(_token_sets(classes.select("id", "s")), counts, "id")
+def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
+    """id of lines that may have a partner of another text. lines: id, s, one row for each id. Both sides of the join share one exchange."""
+    rows = _prefixes(_token_sets(lines), counts, "id")
     x, y = rows.alias("x"), rows.alias("y")
     near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & _may("x", "y", "bits"), "left_semi")
-    return cut(near.select("id").distinct(), "suspects")
+    with small_sides_hashed(lines.sparkSession):
+        return cut(near.select("id").distinct(), "suspects")
 
 
 def _settle(sets: DataFrame, counts: Column) -> DataFrame:
@@ -137,26 +138,34 @@ def _flag_chars(rows: int) -> int:
     return min(max(FLAG_CHARS[0], 1 << (2 * rows).bit_length()), FLAG_CHARS[1])
 
 
+def _flagged(rows: DataFrame, h: str) -> tuple[Column, int]:
+    """A table of flags for the hashes of ``rows``, and its places."""
+    size = _flag_chars(rows.count())
+    return cut(flags(rows.select(F.pmod(F.col(h), F.lit(size * FLAGS)).alias("place")), size), "flags").scalar(), size * FLAGS
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, r, line: the lines that go."""
     lines = _lines(docs.select("doc_id", "text").filter("text <> ''")).filter(F.trim("s") != "")
+    named = cut(lines.select("doc_id", "r", "line", *_hashes(F.col("s"))), "lines")
+    counts = frequencies(lines)
     place = F.struct("doc_id", "r", "line")
-    classes = lines.select(place.alias("place"), *_hashes(F.col("s")), "s").groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.first("s").alias("s"))
-    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes", compression="zstd")
-    counts = frequencies(classes)
-    suspects = _suspects(classes, counts)
-    size = _flag_chars(suspects.count())
-    at = F.pmod(F.xxhash64("id"), F.lit(size * FLAGS))
-    marked = cut(flags(suspects.select(at.alias("place")), size), "flags").scalar()
-    back = classes.select("id", "first", "s").filter(flag(marked, at)).join(suspects, "id", "left_semi")
+    copies = cut(named.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1"), "copies")
+    repeated, places = _flagged(copies, "h")
+    said = lines.select(F.xxhash64("s").alias("id"), "s")
+    again = flag(repeated, F.pmod("id", F.lit(places)))
+    suspects = _suspects(said.filter(~again).unionByName(said.filter(again).dropDuplicates(["id"])), counts)
+    marked, places = _flagged(suspects, "id")
+    back = lines.select("doc_id", "r", "line", "s", *_hashes(F.col("s"))).filter(flag(marked, F.pmod("h", F.lit(places)))).join(suspects.withColumnRenamed("id", "h"), "h", "left_semi")
+    firsts = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first"))
     # ids that rise with the lines' first places: ranges in order, and rows in order within them
-    ordered = back.select("first", F.col("id").alias("class"), "s").repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
-    sets = cut(_token_sets(ordered).select("id", "class", "tokens"), "sets")
-    similar = sets.select("id", "class").join(_settle(sets, counts), "id", "left_semi").select(F.col("class").alias("id"), F.lit(True).alias("near"))
-    gone = classes.select("id", "h", "h2", "first", "c").join(similar, "id", "left").filter("c > 1 OR near").select("h", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    named = lines.select("doc_id", "r", "line", *_hashes(F.col("s")))
+    ordered = firsts.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
+    sets = cut(_token_sets(ordered).select("id", "h", "h2", "tokens"), "sets")
+    similar = sets.select("id", "h", "h2").join(_settle(sets, counts), "id", "left_semi")
+    gone = copies.select("h", "h2", "first", F.lit(False).alias("near")).unionByName(similar.select("h", "h2", F.lit(None).cast(copies.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
+    gone = gone.groupBy("h", "h2").agg(F.max("first").alias("first"), F.bool_or("near").alias("near"))
     removed = cut(named.join(gone, ["h", "h2"]).filter(F.col("near") | (place > F.col("first"))).select("doc_id", "r", "line"), "removed")
-    for used in (classes, suspects, sets):
+    for used in (named, copies, suspects, sets):
         discard(used)
     return removed
 

@@ -17,13 +17,14 @@ def packed(values: DataFrame, size: int) -> DataFrame:
     return parts.agg(F.array_join(F.sort_array(F.collect_list(F.struct("part", "s")))["s"], "").cast("binary").alias("packed"))
 
 
-def literal(table: DataFrame) -> Column:
-    """The table as a constant, for use inside the functions of arrays, where subqueries cannot stand."""
-    return F.lit(bytearray(table.first()[0]))
+def numbers(table: DataFrame) -> Column:
+    """The table's values as a constant array, for use inside the functions of arrays, where subqueries cannot stand."""
+    values = [b - _BASE for b in bytes(table.first()[0])]
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # folded into one constant
 
 
 def look_up(packed_: Column, place: Column) -> Column:
-    """The value at a place of a packed table, given as a constant or a scalar subquery."""
+    """The value at a place of a packed table, given as a scalar subquery."""
     return F.ascii(packed_.substr(place.cast("int") + 1, F.lit(1)).cast("string")) - _BASE
 
 
