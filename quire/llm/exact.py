@@ -13,7 +13,6 @@ beyond doc_id and text are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import cut, table
@@ -51,20 +50,17 @@ def exact_groups(docs: DataFrame, hash_all: bool = False) -> DataFrame:
     word = F.element_at(_survivor_filter(groups).scalar(), (_position() / 64).cast("int") + 1)
     full = full.withColumns({"p": _position(), "w": word}).withColumn("survives", F.expr("shiftright(w, cast(p % 64 as int)) & 1") == 1)
     digest = F.sha2("n", 256) if hash_all else F.when(F.col("survives"), F.sha2("n", 256))
-    hashed = cut(full.select("doc_id", "chars", "survives", digest.alias("text_sha256")), "hashed")
-    best = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("doc_id"))
-    kept = hashed.filter("survives").groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(best)["doc_id"].alias("keep_id")).filter("group_size > 1")
-    out = hashed.join(kept, "text_sha256", "left")
-    single = F.col("group_size").isNull()
-    # rows that repeat an id: one of them is kept
-    first = F.row_number().over(W.partitionBy("text_sha256", "doc_id").orderBy(F.desc("chars"))) == 1
-    repeated = out.filter(~single & F.col("keep_id").eqNullSafe(F.col("doc_id"))).withColumn("kept", first)
-    rest = out.filter(single | ~F.col("keep_id").eqNullSafe(F.col("doc_id"))).withColumn("kept", single)
-    return repeated.unionByName(rest).select(
+    hashed = full.select("doc_id", "chars", "survives", digest.alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
+    hashed = cut(hashed, "hashed")  # rows that repeat an id are told apart by their number
+    best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), "doc_id", "row"))
+    groups = hashed.filter("survives").groupBy("text_sha256").agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")
+    out = hashed.join(groups, "text_sha256", "left")
+    single = F.col("best").isNull()
+    return out.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        "kept",
+        (single | (F.col("row") == F.col("best.row"))).alias("kept"),
         "text_sha256",
     )
 

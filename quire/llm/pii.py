@@ -4,8 +4,10 @@ Every pattern is run over the whole text. A start inside a run of the pattern's
 follows a match (``\\G``): had the run's start failed, so would it; and quantifiers do not backtrack. This finds the
 same leftmost matches in time linear in the text, with no deep recursion. Places come from the gaps between matches.
 
-Kinds: email, ip, card and phone are always kept when their check holds. iban (mod-97) and ssn (nearby words) are
-added when their score reaches ``MIN_SCORE``.
+Kinds: email, ip, card and phone are always kept when their check holds; their score says how sure they are. Others are
+added when their check holds and their score reaches ``MIN_SCORE``: iban (mod-97), which nearby words can drop; ssn (area, group
+and serial rules), aba (bank routing numbers, weights 3, 7, 1) and nhs (patient numbers, mod-11), which nearby words have
+to raise. Words are looked for up to ``AROUND`` characters away, but not beyond the matches of the kind on either side.
 
 Defined cases: a null text is empty; repeated rows give repeated results; a text without spans has empty strings and
 zero counts; an empty table gives no rows; columns beyond doc_id and text are ignored.
@@ -25,6 +27,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+ABA = r"(?<![0-9.-])[0-9]{9}(?![0-9.-])"
+NHS = r"(?<![0-9.-])[0-9]{3}[\x20-]?[0-9]{3}[\x20-]?[0-9]{4}(?![0-9.-])"
 BASE = ("email", "ip", "card", "phone")
 #: Kind, pattern, a cheap test of the text, score before words, words that raise it, words that lower it.
 KINDS = (
@@ -32,8 +36,10 @@ KINDS = (
     ("ip", IP, None, 0.6, "ip|address|host|server", "version|release|section"),
     ("card", CARD, None, 0.8, "card|visa|credit|pay", "order|isbn|serial"),
     ("phone", PHONE, "+", 0.6, "tel|phone|call|mobile|fax", "order|serial|ratio"),
-    ("iban", IBAN, None, 0.8, "iban|bank|account|konto|compte|cuenta", "serial|part"),
+    ("iban", IBAN, None, 0.7, "iban|bank|account|konto|compte|cuenta", "serial|part|order|model"),
     ("ssn", SSN, None, 0.4, "ssn|social|security", "order|serial|isbn"),
+    ("aba", ABA, None, 0.4, "aba|routing|transit|rtn", "order|serial|isbn|invoice"),
+    ("nhs", NHS, None, 0.4, "nhs|patient|hospital", "order|serial|isbn|phone|tel"),
 )
 MIN_SCORE, AROUND = 0.6, 48
 _CHUNK = 256
@@ -88,6 +94,17 @@ def _valid(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
         return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & (_mod97(value) == 1)
+    if kind == "ssn":
+        return ~F.regexp_like(value, F.lit("^(?:000|666|9)|-00-|-0000$"))
+    if kind == "aba":
+        digit = lambda i: F.substring(value, i, 1).cast("int")
+        total = sum((digit(i) * (3, 7, 1)[(i - 1) % 3] for i in range(2, 10)), digit(1) * 3)
+        return (total % 10 == 0) & (value != "0" * 9)
+    if kind == "nhs":
+        digits = _digits(value)
+        digit = lambda i: F.substring(digits, i, 1).cast("int")
+        rest = (F.lit(11) - sum((digit(i) * (11 - i) for i in range(2, 10)), digit(1) * 10) % 11) % 11
+        return (rest == digit(10)) & (digits != "0" * 10)
     return F.lit(True)
 
 
@@ -121,10 +138,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _scores(spans: Column) -> Column:
+    """Of each span in hundredths."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find_spans(table(spark, sf_dir, "documents"))
-    strings = spans.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], *[_joined(F.col(k)).alias(k) for k, *_ in KINDS])
+    strings = spans.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], *[_joined(F.col(k)).alias(k) for k, *_ in KINDS], *[_scores(F.col(k)).alias(f"{k}_scores") for k, *_ in KINDS])
     together = lambda kinds: F.array_join(F.filter(F.array(*kinds), lambda x: x != ""), ",")
     return strings.select(
-        "doc_id", *[f"n_{k}" for k in BASE], F.sha2(together(BASE), 256).alias("base_sha256"), together([k for k, *_ in KINDS]).alias("spans")
+        "doc_id", *[f"n_{k}" for k in BASE], F.sha2(together(BASE), 256).alias("base_sha256"), together([k for k, *_ in KINDS]).alias("spans"), together([f"{k}_scores" for k, *_ in KINDS]).alias("scores")
     )

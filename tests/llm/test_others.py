@@ -75,6 +75,43 @@ def test_mined_rules_block_what_labels_say(spark):
     assert {r["page_id"] for r in out if r["verdict"] == "block"} == {i for i in range(400) if i % 8 == 0}
 
 
+def test_mined_rules_decide_a_query(spark, tables):
+    """Bad pages share two words that are harmless apart; the query's verdicts follow from them alone."""
+    rng = random.Random(5)
+    words = ["news", "shop", "free", "spins", "about", "team"]
+    made, bad = {}, {}
+    for i in range(1200):
+        path = rng.sample(words, 3)
+        made[i] = f"https://h{i % 400}.example.info/{'/'.join(path)}/{i}"
+        bad[i] = {"free", "spins"} <= set(path)
+    made |= {2000: "https://new.example.info/spins/x/free", 2001: "https://new.example.info/spins/x", 2002: "https://a.net/spins/free", 2003: "https://example.net/en/spins/free", 2004: None, 2005: made[3], 2006: "x" * 100_000}
+    d = tables(pages=("page_id long, url string, html string", [(i, u, "") for i, u in made.items()]), labels=("doc_id long, quality int, toxic int", [(i, 1, int(b)) for i, b in bad.items()] + [(2001, None, None)]))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.query(spark, d).collect()}
+    assert len(got) == len(made)
+    for i, b in bad.items():
+        assert got[i] == (None, "block" if b else "allow"), made[i]
+    assert [got[i] for i in range(2000, 2007)] == [(None, "block"), (None, "allow"), ("net/", "block"), ("example.net/en/", "allow"), (None, "allow"), got[3], (None, "allow")]
+
+
+def test_long_and_repeated_urls_are_mined_in_little_time(spark):
+    import time
+
+    long = "https://x.example.info/" + "/".join(f"w{i}" for i in range(40))
+    nested = [("https://y.example.info/" + "/".join(f"n{j}" for j in range(i))) for i in range(1, 41)]
+    rows = [(i, long + f"/{i % 30}") for i in range(600)] + [(1000 + 40 * k + i, u + f"?{k}") for k in range(15) for i, u in enumerate(nested)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, True) for i, _ in rows], "page_id long, bad boolean")
+    began = time.time()
+    assert {r["verdict"] for r in urls.judge_urls(pages, labels).collect()} == {"block"}
+    assert time.time() - began < 60
+
+
+def test_rules_that_a_shorter_one_covers_are_dropped(spark):
+    rows = [(1, ["a"], 0.8, 0.1), (2, ["a", "b"], 0.7, 0.1), (3, ["a", "c"], 0.9, 0.1), (4, ["b", "c"], 0.7, 0.1), (5, ["a", "b", "c"], 0.85, 0.1)]
+    rules = spark.createDataFrame(rows, "rule_id long, items array<string>, confidence double, support double")
+    assert sorted(r["rule_id"] for r in urls.without_covered(rules).collect()) == [1, 3, 4]
+
+
 def test_bpe_like_the_library():
     import public_tokenizers as P
 
