@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +67,51 @@ def slug_of(section_id: Column) -> Column:
 
 def leaf_of(slug: Column) -> Column:
     return F.substring_index(slug, "/", -1)
+
+
+def ignore_rules(lines: list[str]) -> list[tuple[str, bool]]:
+    """Regular expressions over relative paths for the lines of an ignore file, in order, each with whether it ignores or takes back.
+
+    A pattern without an inner slash fits at any depth; one that ends with a slash fits folders only; what lies in a
+    folder that fits is ignored with it."""
+    rules = []
+    for line in lines:
+        line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\n"))
+        if not line or line.startswith("#"):
+            continue
+        back = line.startswith("!")
+        pattern = line[back:].removeprefix("\\")
+        folder = pattern.endswith("/")
+        pattern = pattern.rstrip("/")
+        if not pattern:
+            continue
+        anywhere = "/" not in pattern
+        made, i, pattern = "", 0, pattern.removeprefix("/")
+        while i < len(pattern):
+            rest = pattern[i:]
+            if rest.startswith("**/"):
+                made, i = made + "(?:.*/)?", i + 3
+            elif rest == "**":
+                made, i = made + ".*", i + 2
+            elif rest[0] == "*":
+                made, i = made + "[^/]*", i + len(rest) - len(rest.lstrip("*"))
+            elif rest[0] == "?":
+                made, i = made + "[^/]", i + 1
+            elif rest[0] == "[" and "]" in rest[2:]:
+                end = rest.index("]", 2)
+                inside = rest[1:end].replace("\\", "\\\\")
+                made, i = made + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", i + end + 1
+            else:
+                if rest[0] == "\\" and len(rest) > 1:
+                    i, rest = i + 1, rest[1:]
+                made, i = made + re.escape(rest[0]), i + 1
+        rules.append((f"^{'(?:.*/)?' if anywhere else ''}{made}{'/.*' if folder else '(?:/.*)?'}$", not back))
+    return rules
+
+
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the last rule that fits a path ignores it."""
+    out = F.lit(False)
+    for pattern, ignores in ignore_rules(lines):
+        out = F.when(F.regexp_like(path, F.lit(pattern)), F.lit(ignores)).otherwise(out)
+    return out

@@ -67,7 +67,7 @@ def similar_clusters(rows: DataFrame, link_table: DataFrame, max_clusters: int =
     rank = F.struct((F.col("inbound") * 100.0 + F.col("bytes") * 0.001).alias("r"), "id")
     per = named.groupBy("component").agg(F.max(rank)["id"].alias("canonical_id"), F.count("*").alias("members"), F.countDistinct(paths.dirname(F.col("doc_path"))).alias("folders"))
     scores = pairs.join(group.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.max("score").alias("max_score"), F.round(F.avg("score"), 4).alias("avg_score"))
-    verdict = F.when(F.col("max_score") >= bounds.get("near", 0.92), "near_duplicate").when(F.col("folders") > 1, "parallel_tutorial").otherwise("overlap")
+    verdict = F.when(F.col("max_score") >= bounds.get("near", 0.92), "near_duplicate").when(F.col("folders") > 1, "parallel_tutorial").otherwise("overlapping_topic")
     return per.join(scores, "component").select("canonical_id", "members", "max_score", "avg_score", verdict.alias("verdict")).orderBy(F.desc("max_score"), F.desc("members"), "canonical_id").limit(max_clusters)
 
 

@@ -90,6 +90,35 @@ def radar(counts: DataFrame) -> DataFrame:
     return counts.select(F.explode(each).alias("x")).select("x.axis", "x.score")
 
 
+def doc_health(sections: DataFrame, files: DataFrame, links: DataFrame, termed: DataFrame | None = None, drift: DataFrame | None = None) -> DataFrame:
+    """One row: how a repo stands. sections with role and embedding, files as for ``freshness``, its links, and the row of ``canary_drift`` if one was taken.
+
+    section_count, doc_count, role_distribution (map), fresh, edited_uncommitted, stale_index, broken_links, orphans, embedded,
+    n_sections, avg_title, avg_summary, avg_content, df_size, has_canary, max_drift, alarm."""
+    from ..plans import index
+    from . import links as graph
+
+    counts = sections.agg(F.count("*").alias("section_count"), F.countDistinct("doc_path").alias("doc_count"), F.count("embedding").alias("embedded"))
+    roles = sections.groupBy(F.coalesce("role", F.lit("unknown")).alias("role")).agg(F.count("*").alias("n"))
+    roles = roles.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", "n")))).alias("role_distribution"))  # as many as there are roles
+    broken = graph.broken_links(sections, links).agg(F.count("*").alias("broken_links"))
+    orphans = graph.orphan_sections(sections, links).agg(F.count("*").alias("orphans"))
+    termed = index.terms(sections) if termed is None else termed
+    terms = index.term_df(termed).agg(F.count("*").alias("df_size"))
+    if drift is None:
+        drift = sections.sparkSession.sql("SELECT false AS has_canary, CAST(NULL AS double) AS max_drift, CAST(NULL AS boolean) AS alarm")
+    out = counts
+    for one in (roles, freshness_counts(freshness(sections, files)), broken, orphans, index.corpus_stats(termed), terms, drift.select("has_canary", "max_drift", "alarm")):
+        out = out.crossJoin(one)  # one row each
+    return out
+
+
+def radar_counts(health: DataFrame) -> DataFrame:
+    """The row that ``radar`` takes, from that of ``doc_health``."""
+    unknown = F.coalesce(F.col("role_distribution")["unknown"], F.lit(0))
+    return health.select("fresh", F.col("edited_uncommitted").alias("edited"), F.col("stale_index").alias("stale"), "broken_links", "orphans", "embedded", F.col("section_count").alias("sections"), unknown.alias("unknown_roles"), F.col("alarm").alias("drift_alarm"))
+
+
 def grade(axes: DataFrame) -> DataFrame:
     """One row: the mean of the axes that have a score, and its letter."""
     letter = F.when(F.col("composite") >= 90, "A").when(F.col("composite") >= 80, "B").when(F.col("composite") >= 70, "C").when(F.col("composite") >= 60, "D").otherwise("F")

@@ -108,14 +108,19 @@ def compress_code(content: str) -> str:
     return "".join(out)
 
 
-def compressed(sections: DataFrame) -> DataFrame:
-    """id, content, bytes_saved. What a line is depends on the lines before it, so texts with fences go through Arrow batches; others do not."""
-    has = F.contains("content", F.lit("```")) | F.contains("content", F.lit("~~~"))
+def squeezed(content: Column) -> Column:
+    """``compress_code`` as a column. What a line is depends on the lines before it, so texts go through Arrow batches."""
 
     @F.pandas_udf("string")
     def squeeze(s):
-        return s.map(compress_code)
+        return s.map(lambda x: x if x is None else compress_code(x))
+
+    return squeeze(content)
 
-    fenced = sections.filter(has).select("id", "content", squeeze("content").alias("short"))
+
+def compressed(sections: DataFrame) -> DataFrame:
+    """id, content, bytes_saved. Only texts with fences leave the JVM."""
+    has = F.contains("content", F.lit("```")) | F.contains("content", F.lit("~~~"))
+    fenced = sections.filter(has).select("id", "content", squeezed(F.col("content")).alias("short"))
     plain = sections.filter(~has).select("id", "content", F.col("content").alias("short"))
     return fenced.unionByName(plain).select("id", F.col("short").alias("content"), F.greatest(F.lit(0), F.octet_length("content") - F.octet_length("short")).alias("bytes_saved"))

@@ -179,8 +179,8 @@ def hybrid_search(sections: DataFrame, embedded: DataFrame, query: str, vector:
     return fuse([(places(scored, wanted), w) for scored, w in lists], k)
 
 
-def group_search(sections: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """Search in each repo by itself, then fusion: statistics and ranks are per repo.
+def _lexical_by_repo(sections: DataFrame, query: str) -> DataFrame:
+    """repo, id, score of the sections with a term of the query; statistics are per repo.
 
     Only the query's terms are kept before anything is grouped; what is joined to them has a row for each repo and term."""
     wanted = query_terms(sections, query)
@@ -200,9 +200,36 @@ def group_search(sections: DataFrame, query: str, k: int = 10) -> DataFrame:
         average = F.when(F.col("field") == f, F.when(F.col(f"avg_{f}") > 0, F.col(f"avg_{f}")).otherwise(1.0)).otherwise(average)
         weight = F.when(F.col("field") == f, WEIGHTS[f]).otherwise(weight)
     part = weight * F.col("times") * idf(F.coalesce("df", F.lit(1)), F.col("n")) * bm25_part(F.col("tf"), F.col("dl"), average)
-    scored = met.groupBy("repo", "id").agg(F.sum(part).alias("score")).filter("score > 0")
-    place = F.row_number().over(W.partitionBy("repo").orderBy(F.desc(F.round("score", 9)), "id"))
-    top = scored.withColumn("rank", place).filter(F.col("rank") <= k)
+    return met.groupBy("repo", "id").agg(F.sum(part).alias("score")).filter("score > 0").withColumn("score", F.round("score", 9))
+
+
+def group_search(sections: DataFrame, query: str, k: int = 10, filter_mode: str = "post", embedded: DataFrame | None = None, vector: list[float] | None = None, semantic_only: bool = False, semantic_weight: float = 0.5, **filters) -> DataFrame:
+    """The search in each repo by itself, then fusion of the repos' lists: repo, id, score.
+
+    Modes and filters are those of ``search_sections``: lexical, by vector (embedded: repo, id, embedding), or both fused
+    within each repo; filters before ranking ("pre") or on what a repo's limit has left ("post")."""
+    from .sections import filter_sections
+
+    rows = filter_sections(sections, **filters) if filter_mode == "pre" and filters else sections
+    rank = lambda name: F.row_number().over(W.partitionBy("repo").orderBy(F.desc("score"), "id")).alias(name)
+    if vector is None:
+        scored = _lexical_by_repo(rows, query).select("repo", "id", "score", F.lit(0).alias("list"), F.lit(0).alias("at"))
+    else:
+        like = vectors.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))
+        close = embedded.filter("embedding IS NOT NULL").join(rows.select("repo", "id"), ["repo", "id"], "left_semi").select("repo", "id", like.alias("score"))
+        lists = [(close, 1.0)] if semantic_only else [(_lexical_by_repo(rows, query), 1 - semantic_weight), (close, semantic_weight)]
+        parts = [x.select("repo", "id", rank("at"), F.lit(i).alias("list"), F.lit(float(w)).alias("w")) for i, (x, w) in enumerate(lists) if w > 0]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        fused = every.groupBy("repo", "id").agg(F.sum(F.col("w") / (RRF_K + F.col("at"))).alias("score"), F.min(F.struct("list", "at")).alias("seen"))
+        scored = fused.select("repo", "id", "score", "seen.list", "seen.at")
+    first = k * 5 if filters.get("role") else k
+    place = F.row_number().over(W.partitionBy("repo").orderBy(F.desc("score"), "list", "at", "id"))
+    top = scored.withColumn("rank", place).filter(F.col("rank") <= first)
+    if filter_mode == "post" and filters:
+        kept = filter_sections(sections.join(top.select("repo", "id", "rank"), ["repo", "id"]), **filters)
+        top = kept.select("repo", "id", F.row_number().over(W.partitionBy("repo").orderBy("rank")).alias("rank")).filter(F.col("rank") <= k)
     fused = top.select("repo", "id", (1.0 / (RRF_K + F.col("rank"))).alias("score"))
     return fused.orderBy(F.desc("score"), "repo", "id").limit(k).select("repo", "id", F.round("score", 8).alias("score"))
 

@@ -97,18 +97,29 @@ def toc(sections: DataFrame, path_glob: str | None = None) -> DataFrame:
     return filter_sections(sections, path_glob=path_glob).select("doc_path", "byte_start", "id", "title", "level", "parent_id").orderBy("doc_path", "byte_start", "id")
 
 
-def toc_tree(sections: DataFrame, depth: int = 6) -> DataFrame:
-    """doc_path and a JSON tree of its sections, built bottom-up, one join a level."""
-    nodes = sections.select("doc_path", "id", "parent_id", "title", "level", "seq")
+def toc_tree(sections: DataFrame, depth: int = 6, path_glob: str | None = None) -> DataFrame:
+    """doc_path and a JSON tree of its sections (id, title, level, summary, byte_start, byte_end, children), built bottom-up, one join a level.
+
+    A section whose parent is not there stands at the root; sections deeper than ``depth`` are left out."""
+    rows = filter_sections(sections, path_glob=path_glob)
+    rows = rows if "summary" in rows.columns else rows.withColumn("summary", F.lit(None).cast("string"))
+    shown = F.to_json(F.struct("id", "title", "level", "summary", "byte_start", "byte_end"), {"ignoreNullFields": "false"})
+    nodes = rows.select("doc_path", "id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "level", "byte_start", "seq", F.regexp_replace(shown, r"\}$", "").alias("open"))
+    there = nodes.select(F.col("id").alias("parent_id"), F.col("doc_path").alias("p_doc"), F.lit(True).alias("has"))
+    nodes = nodes.join(there, ["parent_id"], "left").withColumn("parent_id", F.when(F.col("has") & (F.col("p_doc") == F.col("doc_path")), F.col("parent_id")).otherwise("")).drop("has", "p_doc")
+    listed = F.array_join(F.sort_array(F.collect_list(F.struct("byte_start", "seq", "id", "json")))["json"], ",")
     built = None
     for level in range(depth, -1, -1):
         own = nodes.filter(F.col("level") == level)
-        kids = (built if built is not None else own.limit(0).withColumn("json", F.lit(""))).groupBy("parent_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", "json")))["json"], ",").alias("kids"))
-        shown = F.concat(F.lit('{"id":'), F.concat(F.lit('"'), F.replace("id", F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}"))
-        made = own.join(kids.withColumnRenamed("parent_id", "k_id"), F.col("id") == F.col("k_id"), "left").select("doc_path", "id", "parent_id", "level", "seq", shown.alias("json"))
-        built = made if built is None else built.select("doc_path", "id", "parent_id", "level", "seq", "json").unionByName(made)
+        if built is None:
+            made = own.withColumn("kids", F.lit(None).cast("string"))
+        else:
+            kids = built.filter("parent_id <> ''").groupBy(F.col("parent_id").alias("k_id")).agg(listed.alias("kids"))
+            made = own.join(kids, F.col("id") == F.col("k_id"), "left").drop("k_id")
+        made = made.select("doc_path", "id", "parent_id", "byte_start", "seq", F.concat("open", F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}")).alias("json"))
+        built = made if built is None else built.unionByName(made)
     roots = built.filter("parent_id = ''")
-    return roots.groupBy("doc_path").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("seq", "json")))["json"], ","), F.lit("]")).alias("tree"))
+    return roots.groupBy("doc_path").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("tree"))
 
 
 def outline(sections: DataFrame, doc_path: str) -> DataFrame:
@@ -123,12 +134,28 @@ def search_titles(sections: DataFrame, query: str, max_results: int = 10) -> Dat
     return scored.select("id", "title", "score").orderBy(F.desc("score"), "id").limit(max_results)
 
 
-def get_sections(sections: DataFrame, ids: list[str], strip: list[str] = ()) -> DataFrame:
-    """ord, id, found, content: a row for each id asked for, in order; ids that are not there are said to be missing."""
+def get_sections(sections: DataFrame, ids: list[str], strip: list[str] = (), verify: bool = False, compress_code: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """ord, id, found, title, content: a row for each id asked for, in order; ids that are not there are said to be missing.
+
+    strip: boilerplate lines to leave out. compress_code: fenced code without blank and comment lines. verify adds
+    hash_verified, whether what is returned still has the hash of index time (null where none was kept). With ``files``
+    (doc_path, content) the text is cut from its document's bytes instead of read from the index."""
+    from .mining import squeezed
+
     wanted = sections.sparkSession.createDataFrame(list(enumerate(ids)), "ord int, wanted string")
-    body = text.strip_lines(F.col("content"), F.array(*[F.lit(x) for x in strip])) if strip else F.col("content")
     met = F.broadcast(wanted).join(sections, F.col("wanted") == F.col("id"), "left") if len(ids) <= 10_000 else wanted.join(sections, F.col("wanted") == F.col("id"), "left")
-    return met.select("ord", F.col("wanted").alias("id"), F.col("id").isNotNull().alias("found"), "title", body.alias("content"))
+    body = F.col("content")
+    if files is not None:
+        met = met.join(files.select(F.col("doc_path").alias("f_path"), F.col("content").cast("binary").alias("f_raw")), F.col("doc_path") == F.col("f_path"), "left")
+        size = F.greatest(F.lit(0), F.col("byte_end") - F.col("byte_start")).cast("int")
+        body = F.when(F.col("f_raw").isNotNull(), F.decode(F.col("f_raw").substr(F.col("byte_start").cast("int") + 1, size), "UTF-8"))
+    if strip:
+        body = text.strip_lines(body, F.array(*[F.lit(x) for x in strip]))
+    if compress_code:
+        body = squeezed(body)
+    out = met.withColumn("body", body)
+    more = [F.when(F.nullif("content_hash", F.lit("")).isNotNull(), F.sha2("body", 256) == F.col("content_hash")).alias("hash_verified")] if verify else []
+    return out.select("ord", F.col("wanted").alias("id"), F.col("id").isNotNull().alias("found"), "title", F.col("body").alias("content"), *more)
 
 
 def section_summaries(sections: DataFrame, ids: list[str]) -> DataFrame:

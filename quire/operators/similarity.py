@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,10 @@ from ..scratch import cut
 from .components import components
 
 SHINGLE, LEAST_TOKENS, THRESHOLD = 5, 10, 0.85
+# What summaries and titles weigh, and cosines beside them; the similarity below which a pair is not looked at.
+LEXICAL_WEIGHTS, FUSED_WEIGHTS, LEAST_JACCARD = (0.70, 0.30), (0.60, 0.25, 0.15), 0.1
+#: Numbers of query vectors that go to every task: 16 MB as floats.
+BLOCK_FLOATS = 4_000_000
 
 
 def shingle_sets(sections: DataFrame) -> DataFrame:
@@ -55,39 +59,70 @@ def near_duplicate_clusters(sections: DataFrame, threshold: float = THRESHOLD) -
     return met.join(least, "component").select("id", "representative_id", "min_jaccard")
 
 
-def similar_sections(sections: DataFrame, min_score: float = 0.7, near: float = 0.92, exclude_same_doc: bool = True, weights=(0.7, 0.3)) -> DataFrame:
-    """a, b, score, verdict: pairs whose summaries and titles share terms: near_duplicate, parallel_tutorial (other folders) or overlap.
+def _sharing(t: DataFrame, column: str, least: float) -> DataFrame:
+    """a, b: pairs (a < b) whose sets in ``column`` may have a Jaccard similarity of ``least``: each row offers only the rarest of its terms."""
+    df = t.select(F.explode(column).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    keyed = t.select("id", F.size(column).alias("n"), F.explode(column).alias("w")).join(df.filter("df > 1"), "w")
+    alone = t.select("id", F.size(column).alias("n")).join(keyed.groupBy("id").agg(F.count("*").alias("shared")), "id").select("id", (F.col("n") - F.col("shared")).alias("alone"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "w")) + F.col("alone")
+    prefix = keyed.join(alone, "id").withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    alike = (F.col("x.n") >= least * F.col("y.n") - 1e-9) & (F.col("y.n") >= least * F.col("x.n") - 1e-9)
+    return x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def similar_sections(sections: DataFrame, min_score: float = 0.7, near: float = 0.92, exclude_same_doc: bool = False, embedded: DataFrame | None = None) -> DataFrame:
+    """a, b, score, verdict: pairs whose summaries and titles share terms: near_duplicate, parallel_tutorial (other folders) or overlapping_topic.
 
-    Pairs come from shared terms. A pair that scores enough has terms of its summaries or titles in common by more than
-    the score leaves open, so each section offers only the rarest of them."""
+    Without vectors the score is 0.7 of the summaries' and 0.3 of the titles' Jaccard similarity; pairs that both have one
+    (``embedded``: id, embedding) score 0.6 of the cosine, 0.25 and 0.15. Sections of one document whose bytes overlap by more than half of the
+    smaller do not count. As the cosine is at most 1, a pair that scores enough has a title or summary similarity of a
+    known least, so pairs come from shared rare terms."""
     from ..functions import paths
 
-    t = sections.filter("byte_end > byte_start").select("id", "doc_path", F.array_distinct(text.tokenize(F.col("title"))).alias("title"), F.array_distinct(text.tokenize(F.col("summary"))).alias("body")).filter(F.size("title") > 0)
+    t = sections.filter("byte_end > byte_start").select("id", "doc_path", "byte_start", "byte_end", F.array_distinct(text.tokenize(F.col("title"))).alias("title"), F.array_distinct(text.tokenize(F.col("summary"))).alias("body")).filter(F.size("title") > 0)
+    if embedded is not None:
+        t = t.join(embedded.filter("embedding IS NOT NULL").select("id", "embedding"), "id", "left")
     t = cut(t, "terms")
-    # score <= body + title parts: a pair needs a body Jaccard of at least (min_score - w_title) / w_body
-    least = max(0.0, (min_score - weights[1]) / weights[0])
-    df = t.select(F.explode("body").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    keyed = t.select("id", "doc_path", F.size("body").alias("n"), F.explode("body").alias("w")).join(df, "w")
-    prefix = keyed.withColumn("at", F.row_number().over(W.partitionBy("id").orderBy("df", "w"))).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    x, y = prefix.alias("x"), prefix.alias("y")
-    on = (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id"))
-    on = on & (F.col("x.doc_path") != F.col("y.doc_path")) if exclude_same_doc else on
-    pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    left = t.select(F.col("id").alias("a"), F.col("doc_path").alias("da"), F.col("title").alias("ta"), F.col("body").alias("ba"))
-    right = t.select(F.col("id").alias("b"), F.col("doc_path").alias("db"), F.col("title").alias("tb"), F.col("body").alias("bb"))
-    score = F.round(weights[0] * vectors.jaccard(F.col("ba"), F.col("bb")) + weights[1] * vectors.jaccard(F.col("ta"), F.col("tb")), 4)
-    scored = pairs.join(left, "a").join(right, "b").withColumn("score", score).filter(F.col("score") >= min_score)
-    verdict = F.when(F.col("score") >= near, "near_duplicate").when(paths.dirname(F.col("da")) != paths.dirname(F.col("db")), "parallel_tutorial").otherwise("overlap")
+    lexical, fused = LEXICAL_WEIGHTS, FUSED_WEIGHTS
+    least = min_score / sum(lexical)
+    if embedded is not None:
+        least = min(least, max(LEAST_JACCARD, (min_score - fused[0]) / sum(fused[1:])))
+    least = max(least, LEAST_JACCARD)
+    pairs = _sharing(t, "body", least).unionByName(_sharing(t, "title", least)).distinct()
+    side = lambda x: t.select(*[F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in t.columns])
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    same = F.col("doc_path_a") == F.col("doc_path_b")
+    shared = F.least("byte_end_a", "byte_end_b") - F.greatest("byte_start_a", "byte_start_b")
+    smaller = F.least(F.col("byte_end_a") - F.col("byte_start_a"), F.col("byte_end_b") - F.col("byte_start_b"))
+    met = met.filter(~same if exclude_same_doc else ~(same & (shared > 0.5 * smaller)))
+    body, title = vectors.jaccard(F.col("body_a"), F.col("body_b")), vectors.jaccard(F.col("title_a"), F.col("title_b"))
+    met = met.withColumns({"body": body, "title": title}).filter((F.col("body") >= LEAST_JACCARD) | (F.col("title") >= LEAST_JACCARD))
+    score = lexical[0] * F.col("body") + lexical[1] * F.col("title")
+    if embedded is not None:
+        both = F.col("embedding_a").isNotNull() & F.col("embedding_b").isNotNull()
+        score = F.when(both, fused[0] * vectors.cosine(F.col("embedding_a"), F.col("embedding_b")) + fused[1] * F.col("body") + fused[2] * F.col("title")).otherwise(score)
+    scored = met.withColumn("score", F.round(score, 4)).filter(F.col("score") >= min_score)
+    verdict = F.when(F.col("score") >= near, "near_duplicate").when(paths.dirname(F.col("doc_path_a")) != paths.dirname(F.col("doc_path_b")), "parallel_tutorial").otherwise("overlapping_topic")
     return scored.select("a", "b", "score", verdict.alias("verdict"))
 
 
 def semantic_neighbors(rows: DataFrame, queries: DataFrame, top_n: int = 5, min_score: float = 0.6) -> DataFrame:
-    """id, other, score: for each of a stated set of queries its nearest rows. (id, embedding) each.
-
-    The queries go to every task in one block, so their number must be bounded; rows are ranked per task before they
-    are ranked together."""
-    asked = queries.select(F.col("id").alias("q"), F.col("embedding").alias("qe"))
-    scored = rows.crossJoin(F.broadcast(asked)).filter("id <> q").select(F.col("q").alias("id"), F.col("id").alias("other"), F.round(vectors.cosine(F.col("qe"), F.col("embedding")), 6).alias("score")).filter(F.col("score") >= min_score)
+    """id, other, score: for each of a set of queries its nearest rows. (id, embedding) each.
+
+    A set whose vectors take up to ``BLOCK_FLOATS`` numbers goes to every task in one block, a larger one is dealt into blocks; its size is looked at first. Rows are
+    ranked per task before they are ranked together."""
+    asked = queries.filter("embedding IS NOT NULL").select(F.col("id").alias("q"), F.col("embedding").alias("qe"))
+    size = asked.agg(F.sum(F.size("qe"))).first()[0] or 0
+    usable = rows.filter("embedding IS NOT NULL").select("id", "embedding")
+    blocks = -(-size // BLOCK_FLOATS)
+    if blocks <= 1:
+        met = usable.crossJoin(F.broadcast(asked))  # one block
+    else:
+        dealt = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+        met = usable.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        met = met.join(dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), ["block", "part"])
+    scored = met.filter("id <> q").select(F.col("q").alias("id"), F.col("id").alias("other"), F.round(vectors.cosine(F.col("qe"), F.col("embedding")), 6).alias("score")).filter(F.col("score") >= min_score)
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))
     return scored.withColumn("rn", place).filter(F.col("rn") <= top_n).select("id", "other", "score")
 
@@ -97,3 +132,25 @@ def drift(snapshot: DataFrame, current: DataFrame, threshold: float = 0.05) -> D
     met = snapshot.select("id", F.col("embedding").alias("a")).join(current.select("id", F.col("embedding").alias("b")), "id")
     moved = 1 - vectors.cosine(F.col("a"), F.col("b"))
     return met.agg(F.count("*").alias("n"), F.round(F.max(moved), 6).alias("max_drift"), F.round(F.avg(moved), 6).alias("mean_drift")).withColumn("alarm", F.col("max_drift") > threshold)
+
+
+#: Texts whose vectors are kept, to see whether a provider's model has changed.
+CANARY = (
+    "install the client and check that it runs", "the token has expired, sign in again", "a queue holds jobs until a worker is free", "sort the rows by date, newest first",
+    "why does the build fail on a clean machine", "red apples in a wooden bowl", "the river froze in the second week of winter", "POST /orders returns 201 and the order's id",
+    "def add(a, b): return a + b", "SELECT count(*) FROM users WHERE active", "retry with a longer timeout", "glossary: a shard is a part of a table",
+    "la casa está cerca del mar", "das Fenster ist offen", "le chat dort sur la chaise", "1, 2, 3, 5, 8, 13",
+)
+
+
+def capture_canary(spark: SparkSession, embed) -> DataFrame:
+    """id, embedding of the canary texts, by a function of (content_hash, embed_text) to (content_hash, embedding)."""
+    asked = spark.createDataFrame([(f"{i:02}", t) for i, t in enumerate(CANARY)], "content_hash string, embed_text string")
+    return embed(asked).select(F.col("content_hash").alias("id"), "embedding")
+
+
+def canary_drift(snapshot: DataFrame | None, spark: SparkSession, embed, threshold: float = 0.05) -> DataFrame:
+    """One row like ``drift``'s with has_canary: the provider now beside the snapshot, or nulls where there is none."""
+    if snapshot is None:
+        return spark.sql("SELECT false AS has_canary, 0L AS n, CAST(NULL AS double) AS max_drift, CAST(NULL AS double) AS mean_drift, CAST(NULL AS boolean) AS alarm")
+    return drift(snapshot, capture_canary(spark, embed), threshold).select(F.lit(True).alias("has_canary"), "n", "max_drift", "mean_drift", "alarm")

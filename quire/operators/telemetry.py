@@ -54,3 +54,23 @@ def savings(calls: DataFrame) -> DataFrame:
     from ..functions.text import tokens_saved
 
     return calls.agg(F.sum(tokens_saved(F.col("raw_bytes"), F.col("sent_bytes"))).alias("tokens_saved"))
+
+
+# The price of a million tokens, in dollars, by the names that reports use.
+PRICES = {"claude_opus": 15.00, "gpt5_latest": 10.00}
+
+
+def ledger(calls: DataFrame, order: str = "ts") -> DataFrame:
+    """Each call with tokens_saved and total_tokens_saved, the running total of its session so far."""
+    from ..functions.text import tokens_saved
+
+    saved = calls.withColumn("tokens_saved", tokens_saved(F.col("raw_bytes"), F.col("sent_bytes")))
+    return saved.withColumn("total_tokens_saved", F.sum("tokens_saved").over(W.partitionBy("session").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def session_stats(calls: DataFrame) -> DataFrame:
+    """session, calls, tokens_saved, and what each model's price makes of them."""
+    from ..functions.text import tokens_saved
+
+    per = calls.groupBy("session").agg(F.count("*").alias("calls"), F.sum(tokens_saved(F.col("raw_bytes"), F.col("sent_bytes"))).alias("tokens_saved"))
+    return per.select("*", *[F.round(F.col("tokens_saved") * (price / 1_000_000), 4).alias(f"cost_avoided_{name}") for name, price in PRICES.items()])

@@ -46,13 +46,22 @@ def build(spark: SparkSession, files: DataFrame, cache: DataFrame | None = None,
     return rows.join(files.select("repo", "doc_path", "file_hash"), ["repo", "doc_path"])
 
 
+def adjacency(rows: DataFrame, top_n: int = 5, min_score: float = 0.6) -> DataFrame:
+    """source, id, kind, score: each section's neighbours in the tree, and, for sections with embeddings, the nearest to it."""
+    near = structural_neighbors(rows).withColumn("score", F.lit(None).cast("double"))
+    if "embedding" not in rows.columns or not rows.filter("embedding IS NOT NULL").limit(1).count():
+        return near
+    close = similarity.semantic_neighbors(rows, rows, top_n, min_score)
+    return near.unionByName(close.select(F.col("id").alias("source"), F.col("other").alias("id"), F.lit("semantic").alias("kind"), "score"))
+
+
 def derive(store: Store, repo: str) -> None:
     """Writes all tables that come from a repo's sections."""
     rows = store.load("sections", repo)
     termed = cut(index.terms(rows), "terms")
     for name, table in (
         ("postings", index.postings(termed)), ("term_df", index.term_df(termed)), ("corpus_stats", index.corpus_stats(termed)), ("glossary", mining.glossary(rows)), ("boilerplate", mining.boilerplate(rows)),
-        ("duplicates", similarity.near_duplicate_clusters(rows)), ("related", structural_neighbors(rows)), ("links", index.links(rows).drop("repo")),
+        ("duplicates", similarity.near_duplicate_clusters(rows)), ("related", adjacency(rows)), ("links", index.links(rows).drop("repo")),
     ):
         store.save_side(name, repo, table)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
+import posixpath
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,22 +57,58 @@ def wanted(path: Column, length: Column, ignore: tuple[str, ...] = (), max_bytes
     return ok
 
 
-def scan(spark: SparkSession, folder: str, repo: str, ignore: tuple[str, ...] = (), max_files: int = MAX_FILES, only: tuple[str, ...] = ()) -> DataFrame:
+def _ignore_file(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the folder's own ignore file, if it has one."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
+    fs = where.getFileSystem(context._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    return [r["value"] for r in spark.read.text(where.toString()).collect()]  # one small file
+
+
+def inside(only: tuple[str, ...]) -> list[str]:
+    """Relative paths without repeats, in normal form; those that lead out of the folder are dropped."""
+    normal = (posixpath.normpath(p.replace(os.sep, "/").strip()) for p in only if p.strip())
+    return list(dict.fromkeys(p for p in normal if not p.startswith(("/", "../")) and p != ".."))
+
+
+def _escapes(root: str, relative: str) -> bool:
+    """Whether a path of a local folder is a link that leads out of it."""
+    real = os.path.realpath(root)
+    return os.path.commonpath([real, os.path.realpath(os.path.join(root, relative))]) != real
+
+
+def scan(spark: SparkSession, folder: str, repo: str, ignore: tuple[str, ...] = (), max_files: int = MAX_FILES, only: tuple[str, ...] = (), sort_by: str = "newest", follow_symlinks: bool = False) -> DataFrame:
     """repo, doc_path, raw (binary), modified: the files of a folder that are documents.
 
-    With more than ``max_files`` the newest stay. ``only`` limits the scan to relative paths, which may be folders."""
+    With more than ``max_files`` the newest stay, or with ``sort_by="walk_order"`` the first by path. ``only`` limits the
+    scan to relative paths, which may be folders; those outside the folder are passed over. The folder's .gitignore holds. Links out of
+    a local folder are not followed unless asked for. Files are listed and chosen without their content; then only those chosen are read."""
     root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^[a-zA-Z]+:/*(?=/)", "", root if ":/" in root else os.path.abspath(root))
-    relative = F.regexp_replace("path", rf"^(?:[a-zA-Z]+:/*(?=/))?\Q{base}\E/", "")
-    found = files.select(F.lit(repo).alias("repo"), relative.alias("doc_path"), F.col("content").alias("raw"), F.col("modificationTime").alias("modified"), "length")
-    found = found.filter(wanted(F.col("doc_path"), F.col("length"), ignore))
+    scheme, _, bare = root.partition("://") if "://" in root else ("", "", root.removeprefix("file:"))
+    base = "/" + bare.partition("/")[2] if scheme and scheme != "file" else os.path.abspath("/" + bare.lstrip("/") if scheme == "file" else bare)
+    local = scheme in ("", "file")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"), "length")
+    relative = F.regexp_replace("path", rf"^(?:[a-zA-Z]+:/*(?=/))?(?://[^/]+)?\Q{base}\E/", "")
+    found = listed.withColumn("doc_path", relative).filter(wanted(F.col("doc_path"), F.col("length"), ignore))
+    if rules := _ignore_file(spark, root):
+        found = found.filter(~paths.ignored(F.col("doc_path"), rules))
     if only:
         near = F.lit(False)
-        for p in only:
-            near = near | (F.col("doc_path") == p.rstrip("/")) | F.startswith("doc_path", F.lit(p.rstrip("/") + "/"))
+        for p in inside(only):
+            near = near | (F.col("doc_path") == p) | F.startswith("doc_path", F.lit(p + "/")) | F.lit(p == ".")
         found = found.filter(near)
-    return found.orderBy(F.desc("modified"), "doc_path").limit(max_files).drop("length")
+    order = [F.desc("modified"), "doc_path"] if sort_by == "newest" else ["doc_path"]
+    chosen = found.select("path", "doc_path", "modified").orderBy(*order).limit(max_files).collect()  # paths only, max_files at most
+    if local and not follow_symlinks:
+        chosen = [r for r in chosen if not _escapes(base, r["doc_path"])]
+    schema = "repo string, doc_path string, raw binary, modified timestamp"
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    names = spark.createDataFrame([(r["path"], r["doc_path"]) for r in chosen], "path string, doc_path string")
+    read = spark.read.format("binaryFile").load([r["path"] for r in chosen])
+    return read.join(F.broadcast(names), "path").select(F.lit(repo).alias("repo"), "doc_path", F.col("content").alias("raw"), F.col("modificationTime").alias("modified"))  # max_files names
 
 
 def prepared(content: str, doc_path: str) -> tuple[str, str]:
@@ -95,6 +131,9 @@ def split_document(content: str, doc_path: str, repo: str) -> list[dict]:
     lines = content.splitlines(keepends=True)
     if kind == "openapi":
         rows = openapi.sections(content, doc_path, repo)
+        if not rows and (made := openapi.to_markdown(content)):
+            lines = made.splitlines(keepends=True)
+            rows = outline.cut_at(outline.find_markdown(lines), made, lines, doc_path, repo)
     elif kind == "text":
         rows = outline.paragraphs(content, lines, doc_path, repo)
     elif kind in ("markdown", "rst", "asciidoc"):

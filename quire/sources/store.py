@@ -55,30 +55,37 @@ class Store:
     def _pointer_at(self, name: str, repo: str) -> str:
         return f"{self.path}/_pointers/{name}/{_escaped(repo)}.json"
 
-    def _pointer(self, name: str, repo: str) -> dict:
-        """repo, buckets (number: version) and left (folders to delete)."""
-        fs, where = self._open(self._pointer_at(name, repo))
+    def _get(self, path: str, otherwise):
+        fs, where = self._open(path)
         if not fs.exists(where):
-            return {"repo": repo, "buckets": {}, "left": []}
+            return otherwise
         stream = fs.open(where)
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _put(self, path: str, value) -> None:
+        """Replaces a small file in one step."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs, fresh = self._open(f"{path}.{uuid.uuid4().hex}")
+        stream = fs.create(fresh, True)
+        stream.write(bytearray(json.dumps(value).encode()))
+        stream.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
+
+    def _pointer(self, name: str, repo: str) -> dict:
+        """repo, buckets (number: version) and left (folders to delete)."""
+        return self._get(self._pointer_at(name, repo), {"repo": repo, "buckets": {}, "left": []})
+
     def _swap(self, name: str, repo: str, buckets: dict[str, str]) -> None:
         """From now on these versions count; folders that the last swap left are deleted."""
         old = self._pointer(name, repo)
         gone = [f"{version}/bucket={b}" for b, version in old["buckets"].items() if buckets.get(b) != version]
-        jvm, final = self.spark.sparkContext._jvm, self._pointer_at(name, repo)
-        fs, where = self._open(f"{final}.{uuid.uuid4().hex}")
-        stream = fs.create(where, True)
-        stream.write(bytearray(json.dumps({"repo": repo, "buckets": buckets, "left": gone}).encode()))
-        stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(where), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(final)), options)
+        self._put(self._pointer_at(name, repo), {"repo": repo, "buckets": buckets, "left": gone})
         for folder in old["left"]:
             self._remove(f"{self._folder(name, repo)}/{folder}")
 
@@ -109,6 +116,29 @@ class Store:
             return None if whole is None else whole.limit(0)
         return self.spark.read.parquet(*paths) if paths else None
 
+    def load_side(self, name: str, repo: str, schema: str) -> DataFrame:
+        """A table that can be made anew from sections: empty where there is none or its files cannot be read."""
+        try:
+            table = self.load(name, repo)
+            if table is not None:
+                table.limit(1).collect()
+                return table
+        except Exception:  # damaged or lost files
+            pass
+        return self.spark.createDataFrame([], schema)
+
+    def add_savings(self, tokens: int) -> int:
+        """Adds to the running total of tokens saved; the new total. A total that cannot be read starts again."""
+        total = self.savings() + max(0, tokens)
+        self._put(f"{self.path}/_savings.json", {"total_tokens_saved": total})
+        return total
+
+    def savings(self) -> int:
+        try:
+            return int(self._get(f"{self.path}/_savings.json", {}).get("total_tokens_saved", 0))
+        except (ValueError, AttributeError):
+            return 0
+
     def _write(self, rows: DataFrame, name: str, repo: str) -> dict[str, str]:
         """Writes a repo's rows as a new version; the buckets it has."""
         version = uuid.uuid4().hex
