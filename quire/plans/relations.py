@@ -56,8 +56,17 @@ TURNS = """s AS (SELECT 'chat' AS repo, 'c/' || conv_id AS doc_path, 'c/' || con
   CASE WHEN turn > 0 THEN 'c/' || conv_id || '::t0' ELSE '' END AS parent_id, turn AS seq, turn AS byte_start FROM conversations)"""
 
 
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, nations and customers as a tree of sections."""
+    return _tree(spark, d, 3)
+
+
 def tree(spark: SparkSession, d: str) -> DataFrame:
     """Regions, nations, customers and orders as a tree of sections."""
+    return _tree(spark, d, 4)
+
+
+def _tree(spark: SparkSession, d: str, deep: int) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     parts = [
         table(spark, d, "region").select(key("r", "r_regionkey").alias("id"), F.lit("").alias("parent_id"), F.col("r_name").alias("title"), F.lit(0).alias("level"), F.col("r_regionkey").cast("long").alias("seq")),
@@ -66,16 +75,16 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "orders").select(key("o", "o_orderkey").alias("id"), key("c", "o_custkey").alias("parent_id"), F.col("o_orderpriority").alias("title"), F.lit(3).alias("level"), F.col("o_orderkey").cast("long").alias("seq")),
     ]
     out = parts[0]
-    for p in parts[1:]:
+    for p in parts[1:deep]:
         out = out.unionByName(p)
     return out.withColumns({"repo": F.lit("shop"), "doc_path": F.lit("shop"), "byte_start": F.col("seq")})
 
 
-TREE = """s AS (
-  SELECT 'r' || r_regionkey AS id, '' AS parent_id, r_name AS title, 0 AS level, CAST(r_regionkey AS BIGINT) AS seq FROM region
+_PLACES = """  SELECT 'r' || r_regionkey AS id, '' AS parent_id, r_name AS title, 0 AS level, CAST(r_regionkey AS BIGINT) AS seq FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 1, CAST(n_nationkey AS BIGINT) FROM nation
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, 2, CAST(c_custkey AS BIGINT) FROM customer
-  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority, 3, CAST(o_orderkey AS BIGINT) FROM orders)"""
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, 2, CAST(c_custkey AS BIGINT) FROM customer"""
+PLACES = f"s AS ({_PLACES})"
+TREE = f"s AS ({_PLACES} UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority, 3, CAST(o_orderkey AS BIGINT) FROM orders)"
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text, vectors
 from .operators import api, context, coverage, health, links, mining, search, sections, similarity, telemetry
-from .plans import fixtures, index, relations
+from .plans import index, relations, shop
 from .scratch import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,9 +70,9 @@ def term_df_top(spark, d):
     return index.term_df(index.terms(R.documents(spark, d)))
 
 
-@query(f"WITH {R.TERMS} SELECT term, id, field, tf, dl FROM (SELECT term, id, 'content' AS field, count(*) AS tf, dl FROM (SELECT id, len(content) AS dl, unnest(content) AS term FROM t) x GROUP BY term, id, dl) y WHERE tf > 3")
-def postings_frequent(spark, d):
-    return index.postings(index.terms(R.documents(spark, d))).filter("field = 'content' AND tf > 3")
+@query(f"WITH {R.TERMS} " + " UNION ALL ".join(f"SELECT term, id, '{f}' AS field, count(*) AS tf, dl FROM (SELECT id, len({f}) AS dl, unnest({f}) AS term FROM t) x GROUP BY term, id, dl" for f in ("title", "summary", "content")))
+def postings(spark, d):
+    return index.postings(index.terms(R.documents(spark, d)))
 
 
 @query(f"WITH {R.TERMS}, q AS (SELECT {R.tokens_sql(_item(0))} AS w) SELECT id FROM t, q WHERE list_has_any(list_concat(list_concat(title, summary), content), q.w)")
@@ -80,12 +80,24 @@ def candidate_prune(spark, d):
     return search.candidates(index.terms(R.documents(spark, d)), _asked(spark, d))
 
 
-_BM25 = _bm25_sql(f"WITH {R.TERMS}", _item(0))
+def _tagged_sql(text_: str) -> str:
+    """Scores for a SQL text, with half a point for each tag (language, source) that is a word of it."""
+    return f"""{_bm25_sql(f"WITH {R.TERMS}", text_).replace("sc AS (SELECT", "plain AS (SELECT")}, words AS (SELECT string_split_regex(lower({text_}), '\\s+') AS w),
+  sc AS (SELECT plain.id, plain.score + 0.5::DOUBLE * (CASE WHEN list_contains(w, lower(s.role)) THEN 1 ELSE 0 END + CASE WHEN list_contains(w, lower(s.repo)) THEN 1 ELSE 0 END) AS score FROM plain JOIN s ON s.id = plain.id, words WHERE plain.score > 0)"""
 
 
-@query(f"{_BM25} SELECT sc.id, s.title, s.doc_path, round(sc.score + 0.0, 6) AS score FROM sc JOIN s ON sc.id = s.id WHERE sc.score > 0 ORDER BY round(sc.score, 6) DESC, sc.id LIMIT 10")
+#: The text of a benchmark item, and two words that are tags.
+_TAGGED = f"(SELECT text || ' EN src3' FROM benchmark ORDER BY item_id LIMIT 1)"
+_BM25 = _tagged_sql(_TAGGED)
+
+
+def _asked_tagged(spark, d):
+    return _asked(spark, d) + " EN src3"
+
+
+@query(f"{_BM25} SELECT sc.id, s.title, s.doc_path, round(sc.score, 6) AS score FROM sc JOIN s ON sc.id = s.id ORDER BY round(sc.score, 6) DESC, sc.id LIMIT 10")
 def bm25_search(spark, d):
-    return search.lexical_search(R.documents(spark, d).drop("tags"), _asked(spark, d))
+    return search.lexical_search(R.documents(spark, d), _asked_tagged(spark, d))
 
 
 _ANSWERABLE = r"""round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.30::DOUBLE * (CASE WHEN defs > 0 THEN 1 - exp(-defs / 2.0::DOUBLE) ELSE 0 END) + 0.25::DOUBLE * (CASE WHEN verbs > 0 THEN 1 - exp(-verbs / 3.0::DOUBLE) ELSE 0 END)
@@ -101,11 +113,11 @@ def _quotable() -> str:
       + 0.30::DOUBLE * round(greatest(0.0::DOUBLE, 1 - {sat('sees', '1.5')}), 4) + 0.10::DOUBLE * round({sat('lines', '8.0')}, 4) + 1e-9::DOUBLE, 4)"""
 
 
-@query(f"""{_BM25}, top AS (SELECT id, round(score, 6) AS score FROM sc WHERE score > 0 ORDER BY round(score, 6) DESC, id LIMIT 10),
+@query(f"""{_BM25}, top AS (SELECT id, round(score, 6) AS score FROM sc ORDER BY round(score, 6) DESC, id LIMIT 10),
   c AS (SELECT top.id, top.score, s.title, s.doc_path, s.content, {_COUNTS} FROM top JOIN s ON top.id = s.id WHERE s.role = 'en')
   SELECT id, title, doc_path, 1 AS level, score, {_ANSWERABLE} AS answerability, {_quotable()} AS quotability FROM c""")
 def search_sections(spark, d):
-    return search.search_sections(R.documents(spark, d).drop("tags"), _asked(spark, d), roles=("en",))
+    return search.search_sections(R.documents(spark, d), _asked_tagged(spark, d), roles=("en",))
 
 
 @query(f"WITH {R.DOCUMENTS}, c AS (SELECT id, {_COUNTS} FROM s) SELECT id, {_ANSWERABLE} AS answerability FROM c")
@@ -119,11 +131,12 @@ def quotability(spark, d):
 
 
 @query(f"""{_BM25}, top AS (SELECT sc.id, s.title, round(sc.score, 6) AS score, row_number() OVER (ORDER BY round(sc.score, 6) DESC, sc.id) AS rn FROM sc JOIN s ON s.id = sc.id),
-  a AS (SELECT max(CASE WHEN rn = 1 THEN score END) AS s1, coalesce(max(CASE WHEN rn = 2 THEN score END), 0) AS s2, max(CASE WHEN rn <= 3 AND lower(trim(title)) = lower(trim({_item(0)})) THEN 1 ELSE 0 END) AS named FROM top),
+  a AS (SELECT max(CASE WHEN rn = 1 THEN score END) AS s1, coalesce(max(CASE WHEN rn = 2 THEN score END), 0) AS s2, max(CASE WHEN rn <= 3 AND lower(trim(title)) = lower(trim({_TAGGED})) THEN 1 ELSE 0 END) AS named FROM top),
   b AS (SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, (s1 - s2) / s1)) AS gap, 1 - exp(-s1 / 4.0::DOUBLE) AS strength, CASE WHEN named = 1 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS identity FROM a)
   SELECT round(exp(0.35::DOUBLE * ln(greatest(1e-6::DOUBLE, gap)) + 0.35::DOUBLE * ln(greatest(1e-6::DOUBLE, strength)) + 0.15::DOUBLE * ln(identity)), 4) AS confidence, round(gap, 4) AS gap, round(strength, 4) AS strength, identity, 1.0::DOUBLE AS freshness FROM b""")
 def confidence(spark, d):
-    return search.confidence(search.lexical_search(R.documents(spark, d).drop("tags"), _asked(spark, d), 5), _asked(spark, d))
+    asked = _asked_tagged(spark, d)
+    return search.confidence(search.lexical_search(R.documents(spark, d), asked, 5), asked)
 
 
 @query(f"""WITH {R.DOCUMENTS}, q AS (SELECT 'the and' AS q), x AS (SELECT id, title, lower(trim(title)) AS t FROM s),
@@ -238,82 +251,55 @@ def section_descendants(spark, d):
     return sections.descendants(R.tree(spark, d), "n3")
 
 
-_STRUCT = f"""WITH {R.TREE}, few AS (SELECT * FROM s WHERE level <= 2),
-  c AS (SELECT id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY seq, id) AS pos FROM few WHERE parent_id <> ''),
+def _struct_sql(tree: str, cousins: bool) -> str:
+    more = """
+    UNION ALL SELECT a.id, g.id, 3 FROM c a JOIN s p ON p.id = a.parent_id JOIN s un ON un.parent_id = p.parent_id AND un.id <> p.id AND p.parent_id <> '' JOIN c g ON g.parent_id = un.id AND g.pos <= 10"""
+    return f"""WITH {tree}, c AS (SELECT id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY seq, id) AS pos FROM s WHERE parent_id <> ''),
   u AS (SELECT c.id AS source, c.parent_id AS other, 0 AS k FROM c
     UNION ALL SELECT parent_id, id, 1 FROM c WHERE pos <= 10
-    UNION ALL SELECT a.id, b.id, 2 FROM c a JOIN c b ON a.parent_id = b.parent_id AND a.id <> b.id WHERE b.pos - CASE WHEN b.pos > a.pos THEN 1 ELSE 0 END <= 10
-    UNION ALL SELECT a.id, g.id, 3 FROM c a JOIN few p ON p.id = a.parent_id JOIN few un ON un.parent_id = p.parent_id AND un.id <> p.id AND p.parent_id <> '' JOIN c g ON g.parent_id = un.id AND g.pos <= 10)
+    UNION ALL SELECT a.id, b.id, 2 FROM c a JOIN c b ON a.parent_id = b.parent_id AND a.id <> b.id AND b.pos <= 11 WHERE b.pos - CASE WHEN b.pos > a.pos THEN 1 ELSE 0 END <= 10{more if cousins else ""})
   SELECT source, other AS id, CASE min(k) WHEN 0 THEN 'parent' WHEN 1 THEN 'child' WHEN 2 THEN 'sibling' ELSE 'cousin' END AS kind FROM u WHERE source <> other GROUP BY source, other"""
 
 
-@query(_STRUCT)
+@query(_struct_sql(R.TREE, False))
 def structural_neighbors(spark, d):
-    return sections.structural_neighbors(R.tree(spark, d).filter("level <= 2"), cousins=True)
+    return sections.structural_neighbors(R.tree(spark, d))
 
 
-@query()
-def structural_neighbors_all(spark, d):
-    """On the whole tree, orders included. ``structural_neighbors`` is the part of it that its SQL can be asked for."""
-    return sections.structural_neighbors(R.tree(spark, d), cousins=True)
+@query(_struct_sql(R.PLACES, True))
+def structural_cousins(spark, d):
+    return sections.structural_neighbors(R.places(spark, d), cousins=True)
 
 
 # --- links
 
-_FIX_S = f"s AS {fixtures.sections_sql('id', 'doc_path', 'title', 'level', 'seq')}"
-
-
-def _fixture_links() -> str:
-    """The fixture's links as rows of SQL, with targets resolved by Python's own path functions."""
-    import posixpath
-    import re
+S = shop
 
-    out = []
-    for r in fixtures.rows():
-        refs = list(dict.fromkeys([m[1] for m in re.findall(text.LINK, r["content"])] + re.findall(text.URL, r["content"])))
-        for at, href in enumerate(refs):
-            outside = re.match(paths.EXTERNAL, href) is not None
-            part, _, anchor = href.partition("#")
-            where = None if outside or not part else posixpath.normpath(part.lstrip("/") if part.startswith("/") else posixpath.join(posixpath.dirname(r["doc_path"]), part))
-            out.append((r["id"], r["title"], r["doc_path"], r["seq"], at, href, int(outside), part, anchor, where))
-    return fixtures.values(["source_section_id", "source_section", "source_doc", "seq", "ref_at", "href", "is_external", "file_part", "anchor", "resolved"], out)
 
-
-_FIX_L = f"l AS {_fixture_links()}"
-
-
-def _fixture(spark):
-    s = cut(fixtures.sections(spark), "fixture")
+def _shop(spark, d):
+    s = S.sections(spark, d)
     return s, index.links(s)
 
 
-@query(f"WITH {_FIX_L} SELECT source_section_id, href, is_external = 1 AS is_external, file_part, anchor, resolved FROM l")
+@query(f"WITH {S.LINKS} SELECT source_section_id, href, is_external = 1 AS is_external, file_part, anchor, resolved FROM l")
 def link_table(spark, d):
-    return _fixture(spark)[1].select("source_section_id", "href", "is_external", "file_part", "anchor", "resolved")
+    return _shop(spark, d)[1].select("source_section_id", "href", "is_external", "file_part", "anchor", "resolved")
 
 
-@query(f"WITH {_FIX_L} SELECT DISTINCT source_doc, source_section, source_section_id, href AS link FROM l WHERE resolved = 'guide/02-usage.md'")
+@query(f"WITH {S.LINKS} SELECT DISTINCT source_doc, source_section, source_section_id, href AS link FROM l WHERE resolved = 'n/3.md'")
 def backlinks(spark, d):
-    return links.backlinks(_fixture(spark)[1], "guide/02-usage.md")
+    return links.backlinks(_shop(spark, d)[1], "n/3.md")
 
 
-_KEYS = r"""k AS (SELECT DISTINCT doc_path, unnest([lower(slug), regexp_replace(lower(slug), '^.*/', ''), regexp_replace(regexp_replace(regexp_replace(lower(title), '[^\w\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g')]) AS key
-  FROM (SELECT doc_path, title, split_part(split_part(id, '::', 3), '#', 1) AS slug FROM s) x)"""
-
-
-@query(f"""WITH {_FIX_S}, {_FIX_L}, {_KEYS}, m AS (SELECT l.*, CASE WHEN file_part = '' THEN source_doc ELSE resolved END AS place FROM l WHERE is_external = 0 AND (file_part <> '' OR anchor <> '') AND (file_part NOT LIKE '%:%' OR file_part LIKE '.%')),
-  r AS (SELECT source_doc, source_section_id, href AS target, CASE
-    WHEN file_part = '' AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_path = place AND k.key = lower(anchor)) THEN 'anchor_not_found'
-    WHEN file_part <> '' AND place NOT IN (SELECT doc_path FROM s) THEN 'file_not_found'
-    WHEN file_part <> '' AND anchor <> '' AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_path = place AND k.key = lower(anchor)) THEN 'section_not_found' END AS reason FROM m)
-  SELECT * FROM r WHERE reason IS NOT NULL""")
+@query(f"""WITH {S.LINKS} SELECT source_doc, source_section_id, href AS target, CASE WHEN file_part = '' THEN 'anchor_not_found' ELSE 'file_not_found' END AS reason FROM l
+  WHERE anchor = 'nowhere' OR resolved NOT IN (SELECT doc_path FROM s)""")
 def broken_links(spark, d):
-    return links.broken_links(*_fixture(spark))
+    return links.broken_links(*_shop(spark, d))
 
 
-@query(f"WITH {_FIX_S}, {_FIX_L} SELECT id, title, doc_path, level FROM s WHERE level <> 0 AND doc_path NOT IN (SELECT resolved FROM l WHERE resolved IS NOT NULL AND resolved <> source_doc)")
+@query(f"WITH {S.LINKS} SELECT id, title, doc_path, level FROM s WHERE level <> 0 AND doc_path NOT IN (SELECT resolved FROM l WHERE resolved IS NOT NULL AND resolved <> source_doc)")
 def orphan_sections(spark, d):
-    return links.orphan_sections(*_fixture(spark))
+    return links.orphan_sections(*_shop(spark, d))
 
 
 _PAGES = r"""p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) AS doc_path, list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS r, regexp_extract_all(html, 'href="([^"]*)"', 1) AS refs FROM pages),
@@ -331,128 +317,146 @@ def wiki_stats(spark, d):
     return links.wiki_stats(*R.page_links(spark, d))
 
 
-@query(f"WITH {_FIX_S}, {_FIX_L} SELECT doc_path, (SELECT count(*) FROM l WHERE l.resolved = x.doc_path) AS inbound FROM (SELECT DISTINCT doc_path FROM s) x")
+@query(f"WITH {S.LINKS} SELECT x.doc_path, count(l.href) AS inbound FROM (SELECT DISTINCT doc_path FROM s) x LEFT JOIN l ON l.resolved = x.doc_path GROUP BY x.doc_path")
 def inbound_link_counts(spark, d):
-    return links.inbound_counts(*_fixture(spark))
+    return links.inbound_counts(*_shop(spark, d))
 
 
-_IMPACT = f"""{_FIX_S}, {_FIX_L}, e AS (SELECT DISTINCT source_doc, resolved FROM l WHERE resolved IS NOT NULL AND resolved <> source_doc),
-  w AS (SELECT 'guide/01-install.md' AS doc, 0 AS depth UNION ALL SELECT e.source_doc, w.depth + 1 FROM w JOIN e ON e.resolved = w.doc WHERE w.depth < 3),
-  f AS (SELECT doc, min(depth) AS depth FROM w GROUP BY doc HAVING min(depth) > 0)"""
+def _impact_sql(doc: str) -> str:
+    """Documents that lead to one in up to three steps, each step and the further ones cut as the listing is (CTE f), and all of them (CTE w)."""
+    step = lambda n, before, seen: f"""d{n} AS (SELECT DISTINCT {n} AS depth, source_doc AS doc FROM e WHERE resolved IN (SELECT doc FROM {before}) AND source_doc NOT IN ({seen}) ORDER BY source_doc LIMIT 50)"""
+    return f"""e AS (SELECT DISTINCT source_doc, resolved FROM l WHERE resolved IS NOT NULL AND resolved <> source_doc), d0 AS (SELECT '{doc}' AS doc),
+  {step(1, "d0", "SELECT doc FROM d0")}, {step(2, "d1", "SELECT doc FROM d0 UNION ALL SELECT doc FROM d1")}, {step(3, "d2", "SELECT doc FROM d0 UNION ALL SELECT doc FROM d1 UNION ALL SELECT doc FROM d2")},
+  f AS (SELECT * FROM d1 UNION ALL (SELECT * FROM (SELECT * FROM d2 UNION ALL SELECT * FROM d3) z ORDER BY depth, doc LIMIT 50)),
+  w1 AS (SELECT DISTINCT source_doc AS doc FROM e WHERE resolved = '{doc}'), w2 AS (SELECT DISTINCT source_doc AS doc FROM e WHERE resolved IN (SELECT doc FROM w1)), w3 AS (SELECT DISTINCT source_doc AS doc FROM e WHERE resolved IN (SELECT doc FROM w2)),
+  w AS (SELECT doc FROM w1 UNION SELECT doc FROM w2 UNION SELECT doc FROM w3)"""
 
 
-@query(f"WITH RECURSIVE {_IMPACT} SELECT depth, doc AS doc_path FROM f")
-def impact_documents(spark, d):
-    return links.impact(_fixture(spark)[1], "guide/01-install.md").select("depth", "doc_path")
+_CUSTOMS, _USAGE = "shop::n/3.md::nation-3/customs#2", "shop::s/7.md::supplier-7/usage#2"
+_BLAST = """round(least(1.0::DOUBLE, (1.5::DOUBLE * anchors + direct + 0.5::DOUBLE * transitive) / greatest(1.0::DOUBLE, 0.2::DOUBLE * (SELECT count(*) FROM s))), 3)"""
 
 
-_INSTALL = f"{fixtures.REPO}::guide/01-install.md::install/prerequisites#2"
+def _blast_sql(doc: str, leaf: str) -> str:
+    return f"""SELECT count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS transitive, count(*) AS docs_affected,
+    count(*) FILTER (WHERE depth = 1 AND doc IN (SELECT source_doc FROM l WHERE resolved = '{doc}' AND contains(anchor, '{leaf}'))) AS anchors FROM f"""
 
 
-@query(f"""WITH RECURSIVE {_IMPACT},
-  first AS (SELECT source_doc, arg_min(anchor, seq * 1000 + ref_at) AS anchor FROM l WHERE resolved = 'guide/01-install.md' AND source_doc <> resolved GROUP BY source_doc),
-  a AS (SELECT count(*) AS anchors FROM first WHERE contains(lower(anchor), 'prerequisites')),
-  c AS (SELECT count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS transitive, count(*) AS docs_affected FROM f)
-  SELECT direct, transitive, anchors, docs_affected, docs_affected AS sections_affected, round(least(1.0::DOUBLE, (1.5::DOUBLE * anchors + direct + 0.5::DOUBLE * transitive) / greatest(1.0::DOUBLE, 0.2::DOUBLE * (SELECT count(*) FROM s))), 3) AS blast_score FROM c, a""")
+@query(f"WITH {S.LINKS}, {_impact_sql('n/3.md')} SELECT depth, doc AS doc_path FROM f")
+def impact_documents(spark, d):
+    return links.impact(_shop(spark, d)[1], "n/3.md").select("depth", "doc_path")
+
+
+@query(f"WITH {S.LINKS}, {_impact_sql('n/3.md')}, c AS ({_blast_sql('n/3.md', 'customs')}) SELECT direct, transitive, anchors, docs_affected, docs_affected AS sections_affected, {_BLAST} AS blast_score FROM c")
 def blast_radius(spark, d):
-    return links.blast_radius(*_fixture(spark), _INSTALL)
+    return links.blast_radius(*_shop(spark, d), _CUSTOMS)
 
 
-@query(f"""WITH RECURSIVE {_IMPACT}
-  SELECT (SELECT count(DISTINCT source_section_id || href) FROM l WHERE is_external = 0 AND CASE WHEN file_part = '' THEN source_doc ELSE resolved END = 'guide/01-install.md' AND contains(lower(anchor), 'prerequisites')) AS anchor_backlinks,
-    (SELECT count(DISTINCT source_section_id || href) FROM l WHERE resolved = 'guide/01-install.md') AS doc_backlinks, (SELECT count(*) FROM f) AS transitive_backlinks, 'tutorial_path_blocking' AS verdict""")
+@query(f"""WITH {S.LINKS}, {_impact_sql('n/3.md')}, c AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT source_section_id, href FROM l WHERE resolved = 'n/3.md' AND contains(anchor, 'customs')) a) AS anchor_backlinks,
+    (SELECT count(*) FROM (SELECT DISTINCT source_section_id, href FROM l WHERE resolved = 'n/3.md') b) AS doc_backlinks, (SELECT count(*) FROM w WHERE doc <> 'n/3.md') AS transitive_backlinks)
+  SELECT *, CASE WHEN anchor_backlinks > 0 THEN 'anchor_referenced' WHEN transitive_backlinks >= 3 THEN 'backlinks_blocking' ELSE 'safe_to_delete' END AS verdict FROM c""")
 def delete_safe(spark, d):
-    return links.delete_safe(*_fixture(spark), _INSTALL)
+    return links.delete_safe(*_shop(spark, d), _CUSTOMS)
 
 
-@query("SELECT * FROM (VALUES (0, 'guide/01-install.md'), (1, 'guide/02-usage.md'), (2, 'guide/03-tuning.md')) AS v(step, doc)")
+@query("SELECT n_nationkey - 10 AS step, 'n/' || n_nationkey || '.md' AS doc FROM nation WHERE n_nationkey >= 10")
 def tutorial_chain(spark, d):
-    s, _ = _fixture(spark)
-    return links.tutorial_chain(cut(links.tutorial_edges(s), "edges"), "guide/01-install.md")
+    return links.tutorial_chain(cut(links.tutorial_edges(_shop(spark, d)[0]), "edges"), "n/10.md")
 
 
-@query()
-def risk_profile(spark, d):
-    s, found = _fixture(spark)
-    return links.risk_profile(s, found, [_INSTALL, f"{fixtures.REPO}::api/client.md::client#1"])
-
+def _risk_sql() -> str:
+    one = lambda doc, leaf: f"(WITH {_impact_sql(doc)} {_blast_sql(doc, leaf)})"
+    return f"""WITH {S.LINKS}, b AS (SELECT * FROM {one('n/3.md', 'customs')} UNION ALL SELECT * FROM {one('s/7.md', 'usage')}), t AS (SELECT count(*) AS total FROM s),
+  m AS (SELECT avg({_BLAST}) AS blast, avg(direct) AS direct FROM b),
+  p AS (SELECT least(1.0::DOUBLE, 20.0::DOUBLE / greatest(1, total)) AS volume, least(1.0::DOUBLE, blast) AS blast, least(1.0::DOUBLE, direct / 5) AS backlinks, 0.0::DOUBLE AS tutorial,
+    (SELECT count(*) / 2.0::DOUBLE FROM s WHERE id IN ('{_CUSTOMS}', '{_USAGE}') AND role IN ('tutorial', 'reference', 'concept', 'guide')) AS role FROM m, t),
+  r AS (SELECT *, round(0.15::DOUBLE * volume + 0.30::DOUBLE * blast + 0.20::DOUBLE * backlinks + 0.20::DOUBLE * tutorial + 0.15::DOUBLE * role, 4) AS risk FROM p)
+  SELECT round(volume, 4) AS volume, round(blast, 4) AS blast, round(backlinks, 4) AS backlinks, tutorial, round(role, 4) AS role, risk, CASE WHEN risk <= 0.25 THEN 'low' WHEN risk <= 0.5 THEN 'medium' WHEN risk <= 0.75 THEN 'high' ELSE 'critical' END AS level FROM r"""
 
-# --- OpenAPI, glossary, code
 
+@query(_risk_sql())
+def risk_profile(spark, d):
+    s, found = _shop(spark, d)
+    return links.risk_profile(s, found, [_CUSTOMS, _USAGE])
 
-def _api_rows(kind: str) -> list[dict]:
-    import json
 
-    return [dict(json.loads(r["metadata"])[kind], id=r["id"]) for r in fixtures.rows() if f'"{kind}"' in r["metadata"]]
+# --- OpenAPI, glossary, code
 
 
-@query(f"SELECT id, method, path FROM {fixtures.values(['id', 'method', 'path'], [(o['id'], o['method'], o['path']) for o in _api_rows('openapi_op')])} v WHERE path LIKE '/pets%' AND method = 'GET'")
+@query(f"WITH {S.OPERATIONS} SELECT id, method, path FROM op WHERE path LIKE '/nations/1%' AND method = 'GET'")
 def find_endpoint(spark, d):
-    return api.find_endpoint(api.operations(_fixture(spark)[0]), path="/pets*", method="get").select("id", "method", "path")
+    return api.find_endpoint(api.operations(S.api_sections(spark, d)), path="/nations/1*", method="get").select("id", "method", "path")
 
 
-@query(f"SELECT id, method, path FROM {fixtures.values(['id', 'method', 'path', 'refs'], [(o['id'], o['method'], o['path'], ' '.join([*(o['request_body'] or {}).get('refs', []), *(x for r in o['responses'].values() for x in r['refs'])])) for o in _api_rows('openapi_op')])} v WHERE list_contains(string_split(refs, ' '), 'Pet')")
+@query(f"WITH {S.OPERATIONS} SELECT id, method, path FROM op WHERE ref = 'Nation7'")
 def operations_using_schema(spark, d):
-    return api.using_schema(api.operations(_fixture(spark)[0]), "Pet")
+    return api.using_schema(api.operations(S.api_sections(spark, d)), "Nation7")
 
 
-@query(f"WITH RECURSIVE e AS {fixtures.values(['a', 'b'], [(s['name'], r) for s in _api_rows('openapi_schema') for r in s['refs']])}, w AS (SELECT 0 AS depth, 'NewPet' AS name UNION ALL SELECT w.depth + 1, e.b FROM w JOIN e ON e.a = w.name WHERE w.depth < 5) SELECT min(depth) AS depth, name FROM w GROUP BY name")
+@query("SELECT unnest([0, 1, 2]) AS depth, unnest(['New7', 'Nation7', 'Region' || n_regionkey]) AS name FROM nation WHERE n_nationkey = 7")
 def schema_graph(spark, d):
-    return api.schema_graph(api.schemas(_fixture(spark)[0]), "NewPet")
+    return api.schema_graph(api.schemas(S.api_sections(spark, d)), "New7")
 
 
-_FIX_C = f"s AS {fixtures.sections_sql('id', 'doc_path', 'title', 'level', 'seq', 'content')}"
+@query(f"WITH {S.OPERATIONS} SELECT tag, method, path FROM op")
+def endpoints_by_tag(spark, d):
+    return api.endpoints_by_tag(api.operations(S.api_sections(spark, d)))
 
 
-@query(rf"""WITH {_FIX_C}, m AS (SELECT id, doc_path, seq, unnest(regexp_extract_all(content, '(?m)^\s*\*\*([A-Za-z][A-Za-z0-9 _\-./]{{1,80}})\*\*\s*[—–\-:]\s+(.{{4,400}}?)$', 1)) AS term, unnest(regexp_extract_all(content, '(?m)^\s*\*\*([A-Za-z][A-Za-z0-9 _\-./]{{1,80}})\*\*\s*[—–\-:]\s+(.{{4,400}}?)$', 2)) AS definition FROM s),
-  r AS (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY doc_path, seq) AS rn FROM m) SELECT term, definition, id AS section_id, 'markdown_bold' AS source FROM r WHERE rn = 1""")
+@query(f"WITH {S.SECTIONS} SELECT 'Zone ' || k AS term, 'the customs zone of nation ' || k || '.' AS definition, 'shop::' || doc || '::' || slug || '/customs#2' AS section_id, 'markdown_bold' AS source FROM nat")
 def glossary_terms(spark, d):
-    return mining.glossary(_fixture(spark)[0])
+    return mining.glossary(S.sections(spark, d))
 
 
-@query(rf"WITH {_FIX_C} SELECT id, array_to_string(regexp_extract_all(content, '(?m)(?:^|\s)#([A-Za-z][A-Za-z0-9_-]*)', 1), ',') AS tags FROM s")
-def tags_extract(spark, d):
-    return _fixture(spark)[0].select("id", F.array_join("tags", ",").alias("tags"))
+@query("SELECT 'Zone ' || n_nationkey AS term, 'markdown_bold' AS source FROM nation WHERE n_nationkey = 1 OR n_nationkey BETWEEN 10 AND 19")
+def list_terms(spark, d):
+    return mining.list_terms(mining.glossary(S.sections(spark, d)), "zone 1").select("term", "source")
 
 
-@query(f"WITH {_FIX_L} SELECT source_section_id AS id, string_agg(href, ' ' ORDER BY ref_at) AS refs FROM l GROUP BY source_section_id")
-def references_extract(spark, d):
-    return _fixture(spark)[0].filter(F.size("references") > 0).select("id", F.array_join("references", " ").alias("refs"))
+@query(f"WITH {S.SECTIONS} SELECT id, tags FROM s")
+def tags_extract(spark, d):
+    return S.sections(spark, d).select("id", F.array_join("tags", ",").alias("tags"))
 
 
-def _role_case() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(trim(title), '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{r}'" for r, p in text.ROLE_PATTERNS) + " END"
+@query(f"WITH {S.LINKS} SELECT source_section_id AS id, string_agg(href, ' ' ORDER BY ref_at) AS refs FROM l GROUP BY source_section_id")
+def references_extract(spark, d):
+    return S.sections(spark, d).filter(F.size("references") > 0).select("id", F.array_join("references", " ").alias("refs"))
 
 
-@query(f"WITH {_FIX_C} SELECT id, {_role_case()} AS role FROM s WHERE {_role_case()} IS NOT NULL")
+@query(f"WITH {S.SECTIONS} SELECT id, role, role_source FROM s")
 def role_classify(spark, d):
-    return index.roles(_fixture(spark)[0].drop("role", "role_source")).filter("role_source = 'heading'").select("id", "role")
+    return index.roles(S.sections(spark, d).drop("role", "role_source"))
 
 
-@query()
+@query(f"""WITH {S.SECTIONS}, b AS (SELECT 'shop::' || doc || '::' || slug || '/usage#2' AS section_id, k, CASE WHEN k >= 10 THEN 4 ELSE 3 END AS dl FROM sup), t AS (SELECT count(*) AS n, avg(dl) AS a FROM b),
+  x AS (SELECT section_id || '::code#0' AS block_id, section_id, 'python' AS lang, ln(0.5::DOUBLE / (n + 0.5::DOUBLE) + 1) AS idf, 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(a, 1)) AS norm, '# order' || chr(10) || chr(10) || 'supplier_' || k || '.order()' || chr(10) AS snippet FROM b, t)
+  SELECT block_id, section_id, lang, round(idf * 2.2::DOUBLE / (1 + norm) + idf * 2 * 2.2::DOUBLE / (2 + norm), 6) AS score, snippet FROM x ORDER BY score DESC, block_id LIMIT 10""")
 def code_examples(spark, d):
-    return mining.find_code_examples(_fixture(spark)[0], "client run", "python")
+    return mining.find_code_examples(S.sections(spark, d), "supplier order", "python")
 
 
-@query()
+@query(f"WITH {S.SECTIONS}, c AS (SELECT id, content, replace(content, '```python' || chr(10) || '# order' || chr(10) || chr(10), '```python' || chr(10)) AS short FROM s) SELECT id, short AS content, length(content) - length(short) AS bytes_saved FROM c")
 def code_compressed(spark, d):
-    return mining.compressed(_fixture(spark)[0])
+    return mining.compressed(S.sections(spark, d))
 
 
-@query()
+@query(f"WITH {S.SYMBOLS} SELECT block AS block_id, symbol FROM sy WHERE block IS NOT NULL")
 def code_links(spark, d):
-    return coverage.link_code(_fixture(spark)[0], fixtures.symbols(spark))
+    return coverage.link_code(S.sections(spark, d), S.symbols(spark, d))
 
 
-@query(rf"""WITH sy AS {fixtures.values(['symbol', 'name'], [(s, s.split('::')[-1].split('#')[0].split('.')[-1].lower()) for s in fixtures.SYMBOLS])}, {_FIX_C.replace('s AS', 'fx AS', 1)}
-  SELECT symbol, EXISTS (SELECT 1 FROM fx WHERE list_contains(regexp_extract_all(lower(fx.title), '[a-z0-9_]+'), sy.name)) AS documented FROM sy""")
+@query(f"WITH {S.SYMBOLS} SELECT symbol, documented FROM sy")
 def doc_coverage(spark, d):
-    return coverage.doc_coverage(fixtures.symbols(spark), _fixture(spark)[0])
+    return coverage.doc_coverage(S.symbols(spark, d), S.sections(spark, d))
 
 
-@query()
+@query(f"WITH {S.SYMBOLS} SELECT count(*) AS symbols, count(*) FILTER (WHERE documented) AS documented, round(100.0::DOUBLE * count(*) FILTER (WHERE documented) / count(*), 1) AS coverage_pct FROM sy")
+def coverage_percent(spark, d):
+    return coverage.coverage_pct(coverage.doc_coverage(S.symbols(spark, d), S.sections(spark, d)))
+
+
+@query(f"WITH {S.SYMBOLS} SELECT symbol FROM sy WHERE NOT known ORDER BY symbol LIMIT 1000")
 def undocumented_symbols(spark, d):
-    return coverage.undocumented_symbols(fixtures.symbols(spark), _fixture(spark)[0])
+    return coverage.undocumented_symbols(S.symbols(spark, d), S.sections(spark, d))
 
 
 # --- vectors
@@ -533,7 +537,7 @@ def near_dup_clusters(spark, d):
 @query(f"""WITH {R.TERMS}, u AS (SELECT t.id, s.doc_path, list_distinct(t.title) AS w FROM t JOIN s ON s.id = t.id WHERE s.byte_end > 0 AND len(t.title) > 0), e AS (SELECT id, doc_path, len(w) AS n, unnest(w) AS x FROM u),
   o AS (SELECT a.id AS a, b.id AS b, a.doc_path AS da, b.doc_path AS db, a.n AS na, b.n AS nb, count(*) AS cm FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND a.doc_path <> b.doc_path GROUP BY a.id, b.id, a.doc_path, b.doc_path, a.n, b.n),
   j AS (SELECT *, cm / (na + nb - cm)::DOUBLE AS jj FROM o), z AS (SELECT *, round(0.7::DOUBLE * jj + 0.3::DOUBLE * jj, 4) AS score FROM j)
-  SELECT a, b, score, CASE WHEN score >= 0.92 THEN 'near_duplicate' WHEN split_part(da, '/', 1) <> split_part(db, '/', 1) THEN 'parallel_tutorial' ELSE 'overlap' END AS verdict FROM z WHERE score >= 0.7""")
+  SELECT a, b, score, CASE WHEN score >= 0.92 THEN 'near_duplicate' WHEN split_part(da, '/', 1) <> split_part(db, '/', 1) THEN 'parallel_tutorial' ELSE 'overlapping_topic' END AS verdict FROM z WHERE score >= 0.7""")
 def similar_sections(spark, d):
     return similarity.similar_sections(R.documents(spark, d))
 
@@ -666,22 +670,15 @@ def text_sections(spark, d):
     return documents.plain_text_sections(docs).select("id", "title", "byte_start", "byte_end", F.sha2("content", 256).alias("content_hash"))
 
 
-@query(f"SELECT * FROM {fixtures.sections_sql('id', 'title', 'level', 'parent_id', 'byte_start', 'byte_end')} v")
+@query(f"""WITH {S.SECTIONS}, z AS (SELECT *, octet_length(encode(content)) AS n, sum(octet_length(encode(content))) OVER (PARTITION BY doc_path ORDER BY seq) AS upto FROM s)
+  SELECT id, title, level, parent_id, CAST(upto - n AS BIGINT) AS byte_start, CAST(upto AS BIGINT) AS byte_end, content, sha256(content) AS content_hash, title AS summary FROM z""")
 def markdown_sections(spark, d):
-    from .sources import documents
-
-    files = spark.createDataFrame([(fixtures.REPO, p, t.encode()) for p, t in fixtures.FILES.items()], "repo string, doc_path string, raw binary")
-    return documents.sections(files).select("id", "title", "level", "parent_id", "byte_start", "byte_end")
+    return S.sections(spark, d).select("id", "title", "level", "parent_id", "byte_start", "byte_end", "content", "content_hash", "summary")
 
 
 # --- more views
 
 
-@query(f"SELECT tag, method, path FROM {fixtures.values(['tag', 'method', 'path'], [(t, o['method'], o['path']) for o in _api_rows('openapi_op') for t in o['tags'] or ['untagged']])} v")
-def endpoints_by_tag(spark, d):
-    return api.endpoints_by_tag(api.operations(_fixture(spark)[0]))
-
-
 @query(f"WITH RECURSIVE {R.TREE}, up AS (SELECT 0 AS depth, id, title, parent_id FROM s WHERE id = 'c7' UNION ALL SELECT up.depth + 1, s.id, s.title, s.parent_id FROM up JOIN s ON s.id = up.parent_id), n AS (SELECT id, lag(id) OVER (ORDER BY seq, seq) AS prev_id, lead(id) OVER (ORDER BY seq, seq) AS next_id FROM s WHERE level = 2), k AS (SELECT arg_min(id, seq) AS first_child_id, count(*) AS child_count FROM s WHERE parent_id = 'c7') SELECT s.id, s.title, s.level, s.parent_id, prev_id, next_id, first_child_id, coalesce(child_count, 0) AS child_count, (SELECT string_agg(title, ' > ' ORDER BY depth DESC) FROM up) AS path FROM s JOIN n ON n.id = s.id, k WHERE s.id = 'c7'")
 def describe_section(spark, d):
     """Customers are one document here, their orders another."""
@@ -692,9 +689,15 @@ def describe_section(spark, d):
     return out.crossJoin(kids).select("id", "title", "level", "parent_id", "prev_id", "next_id", "first_child_id", "child_count", "path")
 
 
-@query()
+@query(f"""WITH {S.SECTIONS}, me AS (SELECT * FROM s WHERE id = 'shop::r/1.md::' || (SELECT slug FROM reg WHERE k = 1) || '/faq#2'),
+  x AS (SELECT 0 AS k, 0 AS pos, 'section' AS kind, id, content AS body FROM me UNION ALL SELECT 1, 1, 'ancestor', s.id, s.title FROM s, me WHERE s.id = me.parent_id UNION ALL SELECT 1, 2, 'ancestor', s.id, s.title FROM s WHERE s.id = 'shop::r/1.md::1#0'
+    UNION ALL SELECT 2, s.seq, 'child', s.id, s.content FROM s, me WHERE s.parent_id = me.id UNION ALL SELECT 3, s.seq, 'sibling', s.id, s.content FROM s, me WHERE s.parent_id = me.parent_id AND s.id <> me.id),
+  o AS (SELECT row_number() OVER w AS ord, kind, id, body, sum(ceil(octet_length(encode(body)) / 4.0)) OVER (ORDER BY k, pos, id ROWS UNBOUNDED PRECEDING) AS used FROM x WINDOW w AS (ORDER BY k, pos, id))
+  SELECT ord, kind, id, body AS content FROM o WHERE used <= 2000 OR ord = 1""")
 def section_context(spark, d):
-    return context.context(_fixture(spark)[0], f"{fixtures.REPO}::guide/02-usage.md::usage#1", include_related=True)
+    rows = S.sections(spark, d)
+    faq = rows.filter("doc_path = 'r/1.md' AND title = 'FAQ'").first()["id"]
+    return context.context(rows, faq, include_related=True)
 
 
 @query()
@@ -710,24 +713,18 @@ def similar_clusters(spark, d):
     return context.similar_clusters(s, index.links(s))
 
 
-@query()
+_NODE = """'{"id":"' || id || '","title":"' || title || '","level":' || level || ',"summary":null,"byte_start":' || byte_start || ',"byte_end":' || (byte_start + 1) || ',"children":['"""
+
+
+@query(f"""WITH {R.TURNS}, k AS (SELECT parent_id, string_agg({_NODE} || ']}}', ',' ORDER BY byte_start) AS kids FROM s WHERE parent_id IN (SELECT id FROM s) GROUP BY parent_id),
+  r AS (SELECT s.doc_path, s.byte_start, s.id, {_NODE.replace("id ||", "s.id ||", 1)} || coalesce(kids, '') || ']}}' AS node FROM s LEFT JOIN k ON k.parent_id = s.id WHERE s.parent_id NOT IN (SELECT id FROM s))
+  SELECT doc_path, '[' || string_agg(node, ',' ORDER BY byte_start, id) || ']' AS tree FROM r GROUP BY doc_path""")
 def toc_tree(spark, d):
     return sections.toc_tree(R.turns(spark, d), depth=2)
 
 
-@query(f"WITH {R.DOCUMENTS} SELECT id, substr(content, 1, 60) AS excerpt, true AS truncated FROM s WHERE role = 'en' AND byte_end > 60 AND octet_length(encode(substr(content, 1, 61))) = 61 AND NOT contains(substr(content, 1, 60), chr(10))")
+@query(rf"""WITH {R.DOCUMENTS}, c AS (SELECT id, content, substr(content, 1, list_max(list_filter(range(0, 61), lambda n: octet_length(encode(substr(content, 1, n))) <= 60))) AS safe FROM s),
+  x AS (SELECT *, regexp_replace(safe, '\n[^\n]*$', '') AS line FROM c)
+  SELECT id, CASE WHEN octet_length(encode(content)) <= 60 THEN content WHEN contains(safe, chr(10)) AND length(line) * 2 > length(safe) THEN line ELSE safe END AS excerpt, octet_length(encode(content)) > 60 AS truncated FROM x""")
 def section_excerpts(spark, d):
-    """First bytes of texts whose start is ASCII and one line, where bytes and characters are the same."""
-    s = R.documents(spark, d).filter((F.col("role") == "en") & (F.col("byte_end") > 60) & (F.octet_length(F.substring("content", 1, 61)) == 61) & ~F.contains(F.substring("content", 1, 60), F.lit("\n")))
-    return sections.excerpts(s, None, 60)
-
-
-@query()
-def section_excerpts_all(spark, d):
-    """Of every document. ``section_excerpts`` has those for which bytes and characters are the same, as its SQL needs."""
     return sections.excerpts(R.documents(spark, d), None, 60)
-
-
-@query(f"WITH {_FIX_C} SELECT term, source FROM (SELECT 'Batch size' AS term, 'markdown_bold' AS source) x")
-def list_terms(spark, d):
-    return mining.list_terms(mining.glossary(_fixture(spark)[0]), "b").select("term", "source")

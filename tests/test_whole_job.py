@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire import queries
-from quire.operators import search
+from quire.operators import search, sections
 from quire.plans import relations
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +46,7 @@ def test_neighbours_on_the_whole_tree(spark):
             near += [(c, "cousin") for u in uncles if u != p for c in kids.get(u, [])[:10]]
         for other, kind in near:
             want.setdefault((i, other), kind)
-    got = queries.QUERIES["structural_neighbors_all"](spark, SF).collect()
+    got = sections.structural_neighbors(relations.tree(spark, SF), cousins=True).collect()
     assert len(got) == len(want) and {(r["source"], r["id"]): r["kind"] for r in got} == want
     assert any(r["source"].startswith("o") and r["kind"] == "cousin" for r in got)
 
@@ -61,7 +61,7 @@ def test_excerpts_of_every_document(spark):
         return (line if "\n" in safe and len(line) * 2 > len(safe) else safe), True
 
     docs = relations.documents(spark, SF).select("id", "content").collect()
-    got = queries.QUERIES["section_excerpts_all"](spark, SF).collect()
+    got = queries.QUERIES["section_excerpts"](spark, SF).collect()
     assert len(got) == len(docs) and {r["id"]: (r["excerpt"], r["truncated"]) for r in got} == {r["id"]: cut(r["content"]) for r in docs}
     assert any(len(r["excerpt"].encode()) < 60 for r in got if r["truncated"])
 
