@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .packed import FLAGS, flag, flags, numbers, packed
-from .scratch import cut, discard, small_sides_hashed, table
+from .scratch import cut, discard, table
 
 NUM, DEN = 4, 5
 COUNT_BITS = 16
@@ -109,8 +109,7 @@ def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
     rows = _prefixes(_token_sets(lines), counts, "id")
     x, y = rows.alias("x"), rows.alias("y")
     near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & _may("x", "y", "bits"), "left_semi")
-    with small_sides_hashed(lines.sparkSession):
-        return cut(near.select("id").distinct(), "suspects")
+    return cut(near.select("id").distinct(), "suspects")
 
 
 def _settle(sets: DataFrame, counts: Column) -> DataFrame:
@@ -154,10 +153,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     repeated, places = _flagged(copies, "h")
     said = lines.select(F.xxhash64("s").alias("id"), "s")
     again = flag(repeated, F.pmod("id", F.lit(places)))
-    suspects = _suspects(said.filter(~again).unionByName(said.filter(again).dropDuplicates(["id"])), counts)
+    several = cut(said.filter(again).dropDuplicates(["id"]), "several")  # written, so that the join's two sides are alike and share an exchange
+    suspects = _suspects(said.filter(~again).unionByName(several), counts)
     marked, places = _flagged(suspects, "id")
-    back = lines.select("doc_id", "r", "line", "s", *_hashes(F.col("s"))).filter(flag(marked, F.pmod("h", F.lit(places)))).join(suspects.withColumnRenamed("id", "h"), "h", "left_semi")
-    firsts = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first"))
+    back = lines.select("doc_id", "r", "line", "s", *_hashes(F.col("s"))).filter(flag(marked, F.pmod("h", F.lit(places))))
+    # grouped before the join: a line that stands everywhere is a row of each task by then
+    firsts = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first")).join(suspects.withColumnRenamed("id", "h"), "h", "left_semi")
     # ids that rise with the lines' first places: ranges in order, and rows in order within them
     ordered = firsts.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
     sets = cut(_token_sets(ordered).select("id", "h", "h2", "tokens"), "sets")
@@ -165,7 +166,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     gone = copies.select("h", "h2", "first", F.lit(False).alias("near")).unionByName(similar.select("h", "h2", F.lit(None).cast(copies.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
     gone = gone.groupBy("h", "h2").agg(F.max("first").alias("first"), F.bool_or("near").alias("near"))
     removed = cut(named.join(gone, ["h", "h2"]).filter(F.col("near") | (place > F.col("first"))).select("doc_id", "r", "line"), "removed")
-    for used in (named, copies, suspects, sets):
+    for used in (named, copies, several, suspects, sets):
         discard(used)
     return removed
 
