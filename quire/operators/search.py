@@ -19,9 +19,8 @@ PROFILES = {"install": ("how_to", "tutorial", "example"), "debug": ("troubleshoo
 
 
 def query_terms(df: DataFrame, query: str) -> list[str]:
-    """The query's terms, repeats included."""
-    spark = df.sparkSession
-    return spark.range(1).select(text.tokenize(F.lit(query)).alias("t")).first()["t"]
+    """The query's terms, repeats included. Over a literal row the expression is worked out when the plan is made, so no job runs."""
+    return df.sparkSession.sql("VALUES (1)").select(text.tokenize(F.lit(query)).alias("t")).first()["t"]
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -80,6 +79,59 @@ def lexical_search(sections: DataFrame, query: str, max_results: int = 10, **sto
     return _top(named.select("id", "title", "doc_path", F.round(F.col("score") + bonus, 6).alias("score")), max_results)
 
 
+class Searcher:
+    """Searches of one repo in a store, from the inverted index written when it was indexed.
+
+    What every search needs and is bounded is read once: the corpus statistics, and the ``TOP_TERMS`` commonest terms.
+    A search then reads the buckets of the query's terms, and the documents of its results. It finds the rows of ``lexical_search``."""
+
+    def __init__(self, store, repo: str):
+        self.store, self.repo = store, repo
+        self.stats = store.load("corpus_stats", repo).first()
+        self.df = {r["term"]: r["df"] for r in store.load("term_df", repo).collect()}
+        self.schemas = {name: t.schema for name in ("postings", "sections", "tags") if (t := store.load(name, repo)) is not None}
+
+    def _load(self, name: str, keys: list[str]) -> DataFrame:
+        spark = self.store.spark
+        found = self.store.load(name, self.repo, keys, self.schemas[name]) if name in self.schemas else None
+        return spark.createDataFrame([], "id string, tag string") if found is None else found
+
+    def scores(self, query: str) -> DataFrame:
+        """id, score of all sections with a term of the query, tags counted."""
+        spark = self.store.spark
+        wanted = query_terms(spark.range(0), query)
+        if not wanted:
+            return spark.createDataFrame([], "id string, score double")
+        n = float(self.stats["n_sections"])
+        avg = {f: self.stats[f"avg_{f}"] for f in index.FIELDS[:3]} | {"ancestors": max(self.stats["avg_title"], 3.0)}
+        average, weight, asked = F.lit(1.0), F.lit(0.0), F.lit(0.0)
+        for f, w in WEIGHTS.items():
+            average = F.when(F.col("field") == f, float(avg[f] or 1.0)).otherwise(average)
+            weight = F.when(F.col("field") == f, w).otherwise(weight)
+        for t in dict.fromkeys(wanted):
+            df = self.df.get(t, 1)
+            rare = max(0.0, math.log((n - df + 0.5) / (df + 0.5) + 1))
+            asked = F.when(F.col("term") == t, wanted.count(t) * rare).otherwise(asked)
+        posted = self._load("postings", list(dict.fromkeys(wanted))).filter(F.col("term").isin(*wanted))
+        scored = posted.groupBy("id").agg(F.sum(weight * asked * bm25_part(F.col("tf"), F.col("dl"), average)).alias("score")).filter("score > 0")
+        words = list(dict.fromkeys(query.lower().split()))
+        if "tags" not in self.schemas or not words:
+            return scored
+        bonus = self._load("tags", words).filter(F.col("tag").isin(*words)).groupBy("id").agg((0.5 * F.count("*")).alias("bonus"))
+        return scored.join(bonus, "id", "left").select("id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+
+    def search(self, query: str, max_results: int = 10) -> DataFrame:
+        """id, title, doc_path, score, best first."""
+        top = _top(self.scores(query).select("id", F.round("score", 6).alias("score")), max_results).collect()  # max_results at most
+        spark = self.store.spark
+        best = spark.createDataFrame([tuple(r) for r in top], "id string, score double")
+        if not top:
+            return best.select("id", F.lit("").alias("title"), F.lit("").alias("doc_path"), "score")
+        paths = list(dict.fromkeys(r["id"].split("::", 1)[1].rsplit("::", 1)[0] for r in top))
+        named = self._load("sections", paths).filter(F.col("id").isin(*[r["id"] for r in top])).select("id", "title", "doc_path")
+        return named.join(F.broadcast(best), "id").select("id", "title", "doc_path", "score").orderBy(F.desc("score"), "id")
+
+
 def lexical_search_each(sections: DataFrame, asked: DataFrame, max_results: int = 10) -> DataFrame:
     """query, id, score, rank: ``lexical_search`` for every row of a stated query set (query, text) in one plan.
 

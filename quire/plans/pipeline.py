@@ -61,7 +61,7 @@ def derive(store: Store, repo: str) -> None:
     termed = cut(index.terms(rows), "terms")
     for name, table in (
         ("postings", index.postings(termed)), ("term_df", index.term_df(termed)), ("corpus_stats", index.corpus_stats(termed)), ("glossary", mining.glossary(rows)), ("boilerplate", mining.boilerplate(rows)),
-        ("duplicates", similarity.near_duplicate_clusters(rows)), ("related", adjacency(rows)), ("links", index.links(rows).drop("repo")),
+        ("duplicates", similarity.near_duplicate_clusters(rows)), ("related", adjacency(rows)), ("tags", rows.select("id", F.explode(F.transform("tags", lambda t: F.lower(t))).alias("tag"))), ("links", index.links(rows).drop("repo")),
     ):
         store.save_side(name, repo, table)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions import paths, text, vectors
 from .operators import api, context, coverage, health, links, mining, search, sections, similarity, telemetry
 from .plans import index, relations, shop
-from .scratch import cut, table
+from .scratch import cut, shared_dir, table
+from .sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,6 +102,29 @@ def bm25_search(spark, d):
     return search.lexical_search(R.documents(spark, d), _asked_tagged(spark, d))
 
 
+_SEARCHERS: dict[tuple[str, str], search.Searcher] = {}
+
+
+def searcher(spark, d) -> search.Searcher:
+    """The documents as one repo of a store, indexed once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SEARCHERS:
+        store = Store(spark, f"{shared_dir(spark).rstrip('/')}/quire/index-{uuid.uuid4().hex}")
+        s = R.documents(spark, d)
+        termed = cut(index.terms(s), "terms")
+        tags = s.select("id", F.explode(F.transform("tags", lambda t: F.lower(t))).alias("tag"))
+        for name, rows in (("postings", index.postings(termed)), ("term_df", index.term_df(termed)), ("corpus_stats", index.corpus_stats(termed)), ("tags", tags), ("sections", s)):
+            store.save_side(name, "documents", rows)
+        _SEARCHERS[key] = search.Searcher(store, "documents")
+    return _SEARCHERS[key]
+
+
+@query(f"{_BM25} SELECT sc.id, s.title, s.doc_path, round(sc.score, 6) AS score FROM sc JOIN s ON sc.id = s.id ORDER BY round(sc.score, 6) DESC, sc.id LIMIT 10")
+def stored_search(spark, d):
+    """The search over a stored inverted index."""
+    return searcher(spark, d).search(_asked_tagged(spark, d))
+
+
 _ANSWERABLE = r"""round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.30::DOUBLE * (CASE WHEN defs > 0 THEN 1 - exp(-defs / 2.0::DOUBLE) ELSE 0 END) + 0.25::DOUBLE * (CASE WHEN verbs > 0 THEN 1 - exp(-verbs / 3.0::DOUBLE) ELSE 0 END)
   + CASE WHEN fences >= 2 THEN 0.20::DOUBLE ELSE 0 END + 0.15::DOUBLE * (CASE WHEN steps > 0 THEN 1 - exp(-steps / 3.0::DOUBLE) ELSE 0 END) + 0.10::DOUBLE * (CASE WHEN asks > 0 THEN 1 - exp(-asks / 2.0::DOUBLE) ELSE 0 END))), 4)"""
 _COUNTS = rf"""len(regexp_extract_all(content, '{text.DEFINITION}')) + len(regexp_extract_all(content, '{text.BOLD_TERM}')) AS defs, len(regexp_extract_all(content, '(?im)^\s*(?:{text.VERBS}|{text.MORE_VERBS})\b')) AS verbs,

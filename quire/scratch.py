@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +49,15 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@contextmanager
-def small_sides_hashed(spark: SparkSession, size: str = "64m") -> Iterator[None]:
-    """Joins that run inside are done by hash where all partitions of a side turn out to be below ``size``, and by sorting elsewhere."""
-    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, size)
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file wherever Spark reads files, or None where there is none."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(context._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
     try:
-        yield
+        return context._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        stream.close()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..scratch import bounded_batches
+from ..scratch import bounded_batches, read_small
 from . import convert, openapi, outline
 
 # The format of each file ending.
@@ -57,16 +57,6 @@ def wanted(path: Column, length: Column, ignore: tuple[str, ...] = (), max_bytes
     return ok
 
 
-def _ignore_file(spark: SparkSession, root: str) -> list[str]:
-    """The lines of the folder's own ignore file, if it has one."""
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
-    fs = where.getFileSystem(context._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return []
-    return [r["value"] for r in spark.read.text(where.toString()).collect()]  # one small file
-
-
 def inside(only: tuple[str, ...]) -> list[str]:
     """Relative paths without repeats, in normal form; those that lead out of the folder are dropped."""
     normal = (posixpath.normpath(p.replace(os.sep, "/").strip()) for p in only if p.strip())
@@ -92,8 +82,8 @@ def scan(spark: SparkSession, folder: str, repo: str, ignore: tuple[str, ...] =
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"), "length")
     relative = F.regexp_replace("path", rf"^(?:[a-zA-Z]+:/*(?=/))?(?://[^/]+)?\Q{base}\E/", "")
     found = listed.withColumn("doc_path", relative).filter(wanted(F.col("doc_path"), F.col("length"), ignore))
-    if rules := _ignore_file(spark, root):
-        found = found.filter(~paths.ignored(F.col("doc_path"), rules))
+    if rules := read_small(spark, f"{root}/.gitignore"):
+        found = found.filter(~paths.ignored(F.col("doc_path"), rules.splitlines()))
     if only:
         near = F.lit(False)
         for p in inside(only):

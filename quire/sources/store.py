@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, read_small
+
 BUCKETS = 64
 #: The tables of a repo, and the column whose hash deals out their rows.
 TABLES = {
@@ -20,6 +22,7 @@ TABLES = {
     "duplicates": "id",
     "related": "source",
     "links": "source_doc",
+    "tags": "tag",
     "embeddings": "content_hash",
     "canary": None,
 }
@@ -29,6 +32,17 @@ def bucket_of(key):
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
+def buckets_of(spark: SparkSession, keys: list[str]) -> set[str]:
+    """The buckets of some values of a key; 64 at most. The engine's hash is worked out here where the library for it is there."""
+    try:
+        import xxhash
+    except ImportError:
+        rows = spark.createDataFrame([(k,) for k in keys], "k string").select(bucket_of("k").alias("b")).distinct().collect()
+        return {str(r["b"]) for r in rows}
+    signed = (int.from_bytes(xxhash.xxh64_digest(k.encode(), seed=42), "big", signed=True) for k in keys)
+    return {str(h % BUCKETS) for h in signed}
+
+
 class Store:
     """Tables of an index under one folder.
 
@@ -56,14 +70,8 @@ class Store:
         return f"{self.path}/_pointers/{name}/{_escaped(repo)}.json"
 
     def _get(self, path: str, otherwise):
-        fs, where = self._open(path)
-        if not fs.exists(where):
-            return otherwise
-        stream = fs.open(where)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        said = read_small(self.spark, path)
+        return otherwise if said is None else json.loads(said)
 
     def _put(self, path: str, value) -> None:
         """Replaces a small file in one step."""
@@ -104,17 +112,15 @@ class Store:
         fs, where = self._open(self.at(name))
         return fs.exists(where) and any(not x.getPath().getName().startswith(("_", ".")) for x in fs.listStatus(where))
 
-    def load(self, name: str, repo: str | None = None, keys: list[str] | None = None) -> DataFrame | None:
-        """A table, or None where there is none. With values of the table's key, only their buckets are read."""
-        wanted = None
-        if keys is not None:
-            rows = self.spark.createDataFrame([(k,) for k in keys], "k string").select(bucket_of("k").alias("b")).distinct().collect()
-            wanted = {str(r["b"]) for r in rows}  # 64 at most
+    def load(self, name: str, repo: str | None = None, keys: list[str] | None = None, schema=None) -> DataFrame | None:
+        """A table, or None where there is none. With values of the table's key, only their buckets are read; a known schema saves looking it up."""
+        wanted = None if keys is None else buckets_of(self.spark, keys)
         paths = [f"{self._folder(name, p['repo'])}/{version}/bucket={b}" for p in self._pointers(name, repo) for b, version in p["buckets"].items() if wanted is None or b in wanted]
         if not paths and wanted is not None:
             whole = self.load(name, repo)
             return None if whole is None else whole.limit(0)
-        return self.spark.read.parquet(*paths) if paths else None
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*paths) if paths else None
 
     def load_side(self, name: str, repo: str, schema: str) -> DataFrame:
         """A table that can be made anew from sections: empty where there is none or its files cannot be read."""
@@ -187,8 +193,6 @@ class Store:
 
     def trim(self, name: str, keep: int, order: str = "ts") -> None:
         """Keeps the newest rows of a ledger."""
-        from ..scratch import cut
-
         kept = cut(self.spark.read.parquet(self.at(name)).orderBy(F.desc(order)).limit(keep), "trim")
         kept.write.mode("overwrite").parquet(self.at(name))
 
@@ -218,8 +222,6 @@ class Store:
 
     def define_group(self, group: str, repos: list[str]) -> None:
         """Names a group of repos; an empty list deletes it."""
-        from ..scratch import cut
-
         old = self.spark.read.parquet(self.at("repo_groups")) if self.exists("repo_groups") else None
         rows = self.spark.createDataFrame([(group, r, i) for i, r in enumerate(repos)], "group_name string, repo string, ord int")
         if old is not None:
