@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_WRITTEN: list[list[str]] = []
+
+
 def cut(df: DataFrame, label: str = "t", compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later failures recompute from files, not from the source."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire/{label}-{uuid.uuid4().hex}"
+    for made in _WRITTEN:
+        made.append(path)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``cut`` of what ``make`` gives. All scratch tables that are written on the way are deleted then."""
+    _WRITTEN.append([])
+    try:
+        return cut(make(), label)
+    finally:
+        for path in _WRITTEN.pop()[:-1]:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bounds the Arrow batches that go to Python by their bytes, unless the session has a lower bound: rows may be long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -43,10 +64,8 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``cut`` wrote, once nothing reads it any more."""
-    context = df.sparkSession.sparkContext
     for f in df.inputFiles()[:1]:
-        where = context._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, f.rpartition("/")[0])
 
 
 def read_small(spark: SparkSession, path: str) -> str | None:
