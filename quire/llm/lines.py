@@ -32,7 +32,7 @@ NUM, DEN = 4, 5
 COUNT_BITS = 16
 #: Characters of a table of flags: as many as give each line that is looked for some places of its own, within bounds.
 FLAG_CHARS = (1 << 14, 1 << 22)
-PIVOTS = (1, 8)
+PIVOTS = (4,)
 
 
 def _up(a: Column, b: int) -> Column:
@@ -164,29 +164,33 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = cut(_token_sets(ordered).select("id", "h", "h2", "tokens"), "sets")
     similar = sets.select("id", "h", "h2").join(_settle(sets, counts), "id", "left_semi")
     gone = copies.select("h", "h2", "first", F.lit(False).alias("near")).unionByName(similar.select("h", "h2", F.lit(None).cast(copies.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
-    gone = gone.groupBy("h", "h2").agg(F.max("first").alias("first"), F.bool_or("near").alias("near"))
+    # written, so that the join below reads both sides as they are and a line that stands everywhere can be split
+    gone = cut(gone.groupBy("h", "h2").agg(F.max("first").alias("first"), F.bool_or("near").alias("near")), "gone")
     removed = cut(named.join(gone, ["h", "h2"]).filter(F.col("near") | (place > F.col("first"))).select("doc_id", "r", "line"), "removed")
-    for used in (named, copies, several, suspects, sets):
+    for used in (named, copies, several, suspects, sets, gone):
         discard(used)
     return removed
 
 
-def _with_gone(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """Adds __gone: the places of the lines that go, or null. Names with two underscores do not clash with columns of ``docs``."""
-    gone = removed.groupBy("doc_id", "r").agg(F.sort_array(F.collect_list("line")).alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("r").alias("__g"), "__gone")
-    keyed = docs.withColumn("__r", F.xxhash64("text"))
-    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__r") == F.col("__g")), "left").drop("__id", "__g", "__r")
-
-
 def dedup_lines(docs: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs``, with the text's later matches removed; a null text stays null. n_chars follows where there is one."""
     removed = removed_lines(docs) if removed is None else removed
-    out = _with_gone(docs, removed).withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))  # a column, so that it is split once
-    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__parts", i)), "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    gone = removed.groupBy("doc_id", "r").agg(F.sort_array(F.collect_list("line")).alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("r").alias("g_r"), "gone")
+    # the row goes along as one column, so that no name of it can clash
+    row = docs.select("doc_id", "text", F.xxhash64("text").alias("r"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    met = row.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("r") == F.col("g_r")), "left")
+    met = met.withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))  # a column, so that it is split once
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    short = F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")
+    met = met.select("row", "gone", F.when(F.col("gone").isNull(), F.col("text")).otherwise(short).alias("text"))
+
+    def column(name):
+        if name == "text":
+            return F.col("text")
+        own = F.col("row").getField(name)
+        return F.when(F.col("gone").isNull(), own).otherwise(F.char_length("text").cast(docs.schema[name].dataType)) if name == "n_chars" else own
+
+    return met.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

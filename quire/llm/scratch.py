@@ -1,5 +1,5 @@
 """Reading tables, and cutting lineage through tables in the folder that the cluster shares."""
 
-from ..scratch import bounded_batches, cut, discard, shared_dir, small_sides_hashed, table
+from ..scratch import bounded_batches, cut, discard, settled, shared_dir, table
 
-__all__ = ["bounded_batches", "cut", "discard", "shared_dir", "small_sides_hashed", "table"]
+__all__ = ["bounded_batches", "cut", "discard", "settled", "shared_dir", "table"]

@@ -26,3 +26,12 @@ def test_query_has_the_hard_conversation(spark, tables):
     assert out[-7]["n_turns"] == 2 and out[-7]["loss_chars"] == len(probe)
     assert out[-7]["loss_sha256"] == hashlib.sha256(probe.encode()).hexdigest()
     assert out[1]["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest() and out[None]["n_turns"] == 1
+
+
+def test_ties_repeats_and_long_texts(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 1, "assistant", "same"), (1, 1, "assistant", "same"), (1, None, None, None), (None, 0, "user", "no id"), (2, 0, "assistant", "<|im_end|>" * 50_000)]
+    out = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [("", ""), ("assistant", "z"), ("user", "a"), ("user", "b"), ("assistant", "same"), ("assistant", "same")]
+    assert out[1]["loss_text"] == "zsamesame" and out[None]["turns"][0]["text"] == "no id"
+    assert out[2]["loss_text"] == "<|im_end|>" * 50_000 and out[2]["formatted"].count("<|im_end|>") == 1
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
