@@ -39,12 +39,14 @@ def bm25_scores(termed: DataFrame, query: str, stats: DataFrame | None = None, d
     if not wanted:
         return termed.select("id", F.lit(0.0).alias("score")).limit(0)
     spark = termed.sparkSession
+    if stats is None or df is None or posted is None:
+        termed = cut(termed, "terms")  # texts are taken apart once, then read as terms
     stats = index.corpus_stats(termed) if stats is None else stats
     df = index.term_df(termed) if df is None else df
     asked = spark.createDataFrame([(t, wanted.count(t)) for t in dict.fromkeys(wanted)], "term string, times int")
     if posted is None:
-        cut = termed.select("id", *[F.size(f).alias(f"n_{f}") for f in index.FIELDS], *[F.filter(f, lambda t: t.isin(*wanted)).alias(f) for f in index.FIELDS])
-        parts = [cut.select("id", F.lit(f).alias("field"), F.col(f"n_{f}").alias("dl"), F.explode(f).alias("term")) for f in index.FIELDS]
+        few = termed.select("id", *[F.size(f).alias(f"n_{f}") for f in index.FIELDS], *[F.filter(f, lambda t: t.isin(*wanted)).alias(f) for f in index.FIELDS])
+        parts = [few.select("id", F.lit(f).alias("field"), F.col(f"n_{f}").alias("dl"), F.explode(f).alias("term")) for f in index.FIELDS]
         each = parts[0]
         for p in parts[1:]:
             each = each.unionByName(p)
@@ -237,7 +239,7 @@ def _lexical_by_repo(sections: DataFrame, query: str) -> DataFrame:
     Only the query's terms are kept before anything is grouped; what is joined to them has a row for each repo and term."""
     wanted = query_terms(sections, query)
     times = sections.sparkSession.createDataFrame([(t, wanted.count(t)) for t in dict.fromkeys(wanted)], "term string, times int")
-    termed = index.ancestor_text(sections).select("repo", "id", *[text.tokenize(F.col(f)).alias(f) for f in index.FIELDS])
+    termed = cut(index.ancestor_text(sections).select("repo", "id", *[text.tokenize(F.col(f)).alias(f) for f in index.FIELDS]), "terms")
     stats = termed.groupBy("repo").agg(F.count("*").alias("n"), *[F.avg(F.size(f)).alias(f"avg_{f}") for f in index.FIELDS[:3]])
     small = termed.select("repo", "id", *[F.size(f).alias(f"n_{f}") for f in index.FIELDS], *[F.filter(f, lambda t: t.isin(*wanted)).alias(f) for f in index.FIELDS])
     parts = [small.select("repo", "id", F.lit(f).alias("field"), F.col(f"n_{f}").alias("dl"), F.explode(f).alias("term")) for f in index.FIELDS]

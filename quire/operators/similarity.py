@@ -10,7 +10,7 @@ from ..functions import text, vectors
 from ..scratch import cut
 from .components import components
 
-SHINGLE, LEAST_TOKENS, THRESHOLD = 5, 10, 0.85
+SHINGLE, LEAST_TOKENS, THRESHOLD, FREQUENT = 5, 10, 0.85, 32
 # What summaries and titles weigh, and cosines beside them; the similarity below which a pair is not looked at.
 LEXICAL_WEIGHTS, FUSED_WEIGHTS, LEAST_JACCARD = (0.70, 0.30), (0.60, 0.25, 0.15), 0.1
 #: Numbers of query vectors that go to every task: 16 MB as floats.
@@ -26,24 +26,30 @@ def shingle_sets(sections: DataFrame) -> DataFrame:
 def near_duplicate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, jaccard: pairs of sections by an exact join.
 
-    Equal sets are joined as one first. Shingles are ordered by how rare they are, and two sets that are similar enough
-    share one of the first ``n - ceil(threshold * n) + 1``; pairs of such are verified on the whole sets."""
-    sets = cut(sets, "sets")
-    classes = cut(sets.groupBy("set").agg(F.min("id").alias("rep"), F.min("n_tokens").alias("lo"), F.count("*").alias("c")), "classes")
-    df = classes.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    keyed = classes.select("rep", "lo", F.size("set").alias("n"), F.explode("set").alias("s")).join(df.filter("df > 1"), "s")
-    # shingles of one set only match nothing; they come first in the order, so they use up the prefix
-    alone = classes.select("rep", F.size("set").alias("n")).join(keyed.groupBy("rep").agg(F.count("*").alias("shared")), "rep").select("rep", (F.col("n") - F.col("shared")).alias("alone"))
-    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "s")) + F.col("alone")
-    prefix = keyed.join(alone, "rep").withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
+    Equal sets are joined as one first. Shingles have one order: rare ones by hash, then those of ``FREQUENT`` classes or more,
+    the commonest last. Two sets that are similar enough share one of the first ``n - ceil(threshold * n) + 1``; pairs
+    of such are verified on the whole sets. Only frequent shingles are looked up, so most of a set never leaves its row."""
+    key = F.struct(F.xxhash64("set").alias("h"), F.xxhash64("set", F.lit(1)).alias("h2"))
+    sets = sets.withColumn("key", key)
+    classes = cut(sets.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.first("set").alias("set")), "classes")
+    df = classes.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") >= FREQUENT)
+    common = classes.select("rep", F.explode("set").alias("s")).join(df, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("common"))  # a set's own
+    none = F.array().cast("array<bigint>")
+    met = classes.select("rep", "set").join(common, "rep", "left").withColumn("common", F.coalesce("common", none))
+    n = F.size("set")
+    first = F.slice(F.concat(F.array_except("set", "common"), F.col("common")), F.lit(1), n - F.ceil(threshold * n).cast("int") + 1)
+    prefix = met.select("rep", n.alias("n"), F.posexplode(first).alias("at", "s"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    near = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n")))
+    alike = (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))
+    # what can follow a first common shingle must be enough
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
+    near = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.rep") < F.col("y.rep")) & alike & room)
     pairs = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     left, right = classes.select(F.col("rep").alias("a"), F.col("set").alias("sa")), classes.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
     # a class stands for its copies; each copy is tied to the representative
-    copies = sets.join(classes.filter("c > 1").select("set", "rep"), "set").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    copies = sets.select("id", "key").join(classes.filter("c > 1").select("key", "rep"), "key").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     return checked.unionByName(copies)
 
 

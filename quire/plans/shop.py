@@ -123,3 +123,52 @@ SYMBOLS = """sy AS (SELECT 'shop/n.py::nation_' || n_nationkey || '#class' AS sy
 #: Operations of the API descriptions: k, id, method, path, tag, ref.
 OPERATIONS = """op AS (SELECT n_nationkey AS k, 'shop::api/' || n_nationkey || '.json::operations/nations/op-list' || n_nationkey || '#3' AS id, 'GET' AS method, '/nations/' || n_nationkey || '/customers' AS path, 'nations' AS tag, 'Nation' || n_nationkey AS ref FROM nation
   UNION ALL SELECT n_nationkey, 'shop::api/' || n_nationkey || '.json::operations/untagged/op-post-nations-' || n_nationkey || '-customers#3', 'POST', '/nations/' || n_nationkey || '/customers', 'untagged', 'New' || n_nationkey FROM nation)"""
+
+
+def format_files(spark: SparkSession, d: str) -> DataFrame:
+    """repo, doc_path, raw: a file for each nation in each other format that is read."""
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    made = (
+        ("m/", ".mdx", _text("---\ntitle: x\n---\nimport X from 'y'\n\n# ", name, '\n\n<Note>\nInside.\n</Note>\n\n## Part\n\nText <Card title="a" />done.\n')),
+        ("t/", ".rst", _text(name, "\n====================\n\nIntro.\n\nPart\n----------\n\nText.\n")),
+        ("a/", ".adoc", _text("= ", name, "\n\nIntro.\n\n== Part\n\nText.\n")),
+        ("x/", ".txt", _text(name, " first\nmore\n\n\nSecond ", name, "\n")),
+        ("h/", ".html", _text("<html><head><title>T</title><style>p {}</style></head><body><nav>menu</nav><h1>", name, "</h1><p>Intro &amp; more.</p><h2>Part</h2><ul><li>one</li><li>two</li></ul><pre><code>a  b</code></pre></body></html>")),
+        ("b/", ".ipynb", _text('{"metadata":{"language_info":{"name":"python"}},"cells":[{"cell_type":"markdown","source":["# ', name, '\\n","\\n","Intro."]},{"cell_type":"code","source":["print(', key, ')"],"outputs":[{"output_type":"stream","text":["', key, '\\n"]}]}]}')),
+        ("j/", ".jsonc", _text('{"name": "', name, '", // note\n "items": [{"name": "one", "v": 1}, "two"], "flag": true}')),
+        ("w/", ".xml", _text('<root v="1"><item id="', name, '">text</item></root>')),
+        ("g/", ".tscn", _text('[gd_scene format=3]\n\n[node name="', name, '" type="Node2D"]\nspeed = ', key, "\n")),
+    )
+    each = F.explode(F.array(*[F.struct(_text(folder, key, ending).alias("doc_path"), text.alias("text")) for folder, ending, text in made]))
+    return table(spark, d, "nation").select(each.alias("f")).select(F.lit(REPO).alias("repo"), "f.doc_path", F.col("f.text").cast("binary").alias("raw"))
+
+
+def format_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, format_files)
+
+
+def _expected() -> str:
+    """Sections of these files: (folder, ending, seq, level, title, slug, parent's slug and level, content); {n} the name, {s} its slug, {k} the key."""
+    rows = [
+        ("m", ".mdx", 1, 1, "{n}", "{s}", "{k}#0", "# {n}\n\nInside.\n\n"), ("m", ".mdx", 2, 2, "Part", "{s}/part", "{s}#1", "## Part\n\nText done."),
+        ("t", ".rst", 1, 1, "{n}", "{s}", "{k}#0", "{n}\n====================\n\nIntro.\n\n"), ("t", ".rst", 2, 2, "Part", "{s}/part", "{s}#1", "Part\n----------\n\nText.\n"),
+        ("a", ".adoc", 1, 1, "{n}", "{s}", "{k}#0", "= {n}\n\nIntro.\n\n"), ("a", ".adoc", 2, 2, "Part", "{s}/part", "{s}#1", "== Part\n\nText.\n"),
+        ("x", ".txt", 0, 1, "{n} first", "{s}-first", "", "{n} first\nmore\n"), ("x", ".txt", 1, 1, "Second {n}", "second-{s}", "", "Second {n}\n"),
+        ("h", ".html", 0, 0, "{k}", "{k}", "", "T\n\n"), ("h", ".html", 1, 1, "{n}", "{s}", "{k}#0", "# {n}\n\nIntro & more.\n\n"), ("h", ".html", 2, 2, "Part", "{s}/part", "{s}#1", "## Part\n\none\n\ntwo\n\n```\na  b\n```"),
+        ("b", ".ipynb", 1, 1, "{n}", "{s}", "{k}#0", "# {n}\n\nIntro.\n\n```python\nprint({k})\n```\n\n**Output:**\n\n> {k}"),
+        ("j", ".jsonc", 1, 1, "{k}.jsonc", "{k}jsonc", "{k}#0", "# {k}.jsonc\n\n"), ("j", ".jsonc", 2, 2, "name", "{k}jsonc/name", "{k}jsonc#1", "## name\n\n{n}\n\n"), ("j", ".jsonc", 3, 2, "items", "{k}jsonc/items", "{k}jsonc#1", "## items\n\n"),
+        ("j", ".jsonc", 4, 3, "one", "{k}jsonc/items/one", "{k}jsonc/items#2", "### one\n\n"), ("j", ".jsonc", 5, 4, "name", "{k}jsonc/items/one/name", "{k}jsonc/items/one#3", "#### name\n\none\n\n"),
+        ("j", ".jsonc", 6, 4, "v", "{k}jsonc/items/one/v", "{k}jsonc/items/one#3", "#### v\n\n`1`\n- two\n\n"), ("j", ".jsonc", 7, 2, "flag", "{k}jsonc/flag", "{k}jsonc#1", "## flag\n\n`true`"),
+        ("w", ".xml", 1, 1, "{k}.xml", "{k}xml", "{k}#0", "# {k}.xml\n\nRoot element: `root`\n\n"), ("w", ".xml", 2, 2, "Attributes", "{k}xml/attributes", "{k}xml#1", "## Attributes\n- `v`: 1\n\n"), ("w", ".xml", 3, 2, "item ({n})", "{k}xml/item-{s}", "{k}xml#1", "## item ({n})\n- `id`: {n}\n\ntext"),
+        ("g", ".tscn", 1, 1, "{k}", "{k}", "{k}#0", "# {k}\n\nGodot scene file: `{k}.tscn`\n\n"), ("g", ".tscn", 2, 2, "File Metadata", "{k}/file-metadata", "{k}#1", "## File Metadata\n- `format`: 3\n\n"),
+        ("g", ".tscn", 3, 2, "Scene Tree", "{k}/scene-tree", "{k}#1", "## Scene Tree\n\n"), ("g", ".tscn", 4, 3, "{n} (Node2D)", "{k}/scene-tree/{s}-node2d", "{k}/scene-tree#2", "### {n} (Node2D)\n- `speed = {k}`"),
+    ]
+    rows += [(folder, ending, 0, 0, "{k}", "{k}", "", "") for folder, ending in (("m", ".mdx"), ("t", ".rst"), ("a", ".adoc"), ("b", ".ipynb"), ("j", ".jsonc"), ("w", ".xml"), ("g", ".tscn"))]
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+FORMATS = f"""x AS (SELECT * FROM (VALUES {_expected()}) AS v(folder, ending, seq, level, title, slug, up, content)),
+nk AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS n, replace(replace(lower(n_name), '_', '-'), ' ', '-') AS s FROM nation),
+y AS (SELECT folder || '/' || k || ending AS doc, seq, level, replace(replace(title, '{{n}}', n), '{{k}}', k) AS title, replace(replace(slug, '{{s}}', s), '{{k}}', k) AS slug, replace(replace(up, '{{s}}', s), '{{k}}', k) AS up, replace(replace(content, '{{n}}', n), '{{k}}', k) AS content FROM x, nk),
+s AS (SELECT doc AS doc_path, seq, level, title, '{REPO}::' || doc || '::' || slug || '#' || level AS id, CASE WHEN up = '' THEN '' ELSE '{REPO}::' || doc || '::' || up END AS parent_id, content FROM y)"""

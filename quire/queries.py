@@ -543,10 +543,11 @@ _SHINGLES = f"""WITH {R.TERMS}, x AS (SELECT id, content AS w FROM t WHERE len(c
   pr AS (SELECT a, b, cm / (na.n + nb.n - cm)::DOUBLE AS j FROM o JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE cm >= 0.85 * (na.n + nb.n - cm))"""
 
 
-@query()
+@query(f"""{_SHINGLES}, k AS (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS key FROM sh GROUP BY id), c AS (SELECT id, min(id) OVER (PARTITION BY key) AS rep FROM k)
+  SELECT a, b, round(j, 6) AS jaccard FROM pr WHERE a IN (SELECT rep FROM c) AND b IN (SELECT rep FROM c) UNION ALL SELECT rep, id, 1.0::DOUBLE FROM c WHERE id <> rep""")
 def near_dup_pairs(spark, d):
-    """Pairs of classes of equal shingle sets, and the copies of each: not all pairs of copies, so it has no plain SQL."""
-    return similarity.near_duplicate_pairs(similarity.shingle_sets(R.documents(spark, d))).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of classes of equal shingle sets, and the copies of each, tied to the first."""
+    return similarity.near_duplicate_pairs(cut(similarity.shingle_sets(R.documents(spark, d)), "sets")).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(f"""{_SHINGLES.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr),
@@ -559,10 +560,12 @@ def near_dup_clusters(spark, d):
     return similarity.near_duplicate_clusters(R.documents(spark, d))
 
 
-@query(f"""WITH {R.TERMS}, u AS (SELECT t.id, s.doc_path, list_distinct(t.title) AS w FROM t JOIN s ON s.id = t.id WHERE s.byte_end > 0 AND len(t.title) > 0), e AS (SELECT id, doc_path, len(w) AS n, unnest(w) AS x FROM u),
-  o AS (SELECT a.id AS a, b.id AS b, a.doc_path AS da, b.doc_path AS db, a.n AS na, b.n AS nb, count(*) AS cm FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND a.doc_path <> b.doc_path GROUP BY a.id, b.id, a.doc_path, b.doc_path, a.n, b.n),
-  j AS (SELECT *, cm / (na + nb - cm)::DOUBLE AS jj FROM o), z AS (SELECT *, round(0.7::DOUBLE * jj + 0.3::DOUBLE * jj, 4) AS score FROM j)
-  SELECT a, b, score, CASE WHEN score >= 0.92 THEN 'near_duplicate' WHEN split_part(da, '/', 1) <> split_part(db, '/', 1) THEN 'parallel_tutorial' ELSE 'overlapping_topic' END AS verdict FROM z WHERE score >= 0.7""")
+_SIMILAR = f"""WITH RECURSIVE {R.TERMS}, u AS (SELECT t.id, s.doc_path, list_distinct(t.title) AS w FROM t JOIN s ON s.id = t.id WHERE s.byte_end > 0 AND len(t.title) > 0), ex AS (SELECT id, doc_path, len(w) AS n, unnest(w) AS x FROM u),
+  o AS (SELECT a.id AS a, b.id AS b, a.doc_path AS da, b.doc_path AS db, a.n AS na, b.n AS nb, count(*) AS cm FROM ex a JOIN ex b ON a.x = b.x AND a.id < b.id AND a.doc_path <> b.doc_path GROUP BY a.id, b.id, a.doc_path, b.doc_path, a.n, b.n),
+  j AS (SELECT *, cm / (na + nb - cm)::DOUBLE AS jj FROM o), z AS (SELECT *, round(0.7::DOUBLE * jj + 0.3::DOUBLE * jj, 4) AS score FROM j)"""
+
+
+@query(f"""{_SIMILAR} SELECT a, b, score, CASE WHEN score >= 0.92 THEN 'near_duplicate' WHEN split_part(da, '/', 1) <> split_part(db, '/', 1) THEN 'parallel_tutorial' ELSE 'overlapping_topic' END AS verdict FROM z WHERE score >= 0.7""")
 def similar_sections(spark, d):
     return similarity.similar_sections(R.documents(spark, d))
 
@@ -668,12 +671,23 @@ def health_diff(spark, d):
     return health.diff_radar(r, r.withColumn("score", F.round(F.col("score") - 4, 1)))
 
 
-@query()
+@query(f"""WITH {R.TERMS}, st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(title)) AS a_title, avg(len(summary)) AS a_summary, avg(len(content)) AS a_content FROM t),
+  df AS (SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(list_concat(list_concat(title, summary), content))) AS term FROM t) e GROUP BY term ORDER BY df DESC, term LIMIT 5000),
+  q AS (SELECT query, term, count(*) AS times FROM (SELECT item_id AS query, unnest({R.tokens_sql('text')}) AS term FROM benchmark) u GROUP BY query, term),
+  p AS (SELECT id, field, dl, term, count(*) AS tf FROM ({" UNION ALL ".join(f"SELECT id, '{f}' AS field, len({f}) AS dl, unnest({f}) AS term FROM t" for f in ("title", "summary", "content"))}) x WHERE term IN (SELECT term FROM q) GROUP BY id, field, dl, term),
+  sc AS (SELECT q.query, p.id, sum(CASE field WHEN 'title' THEN 3.0::DOUBLE WHEN 'summary' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END * q.times
+      * greatest(0.0::DOUBLE, ln((st.n - coalesce(df.df, 1) + 0.5::DOUBLE) / (coalesce(df.df, 1) + 0.5::DOUBLE) + 1))
+      * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / CASE field WHEN 'title' THEN st.a_title WHEN 'summary' THEN st.a_summary ELSE st.a_content END))) AS score
+    FROM p JOIN q ON p.term = q.term LEFT JOIN df ON p.term = df.term CROSS JOIN st GROUP BY q.query, p.id),
+  rk AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM sc WHERE score > 0),
+  w AS (SELECT b.item_id AS query, s.id, rk.rank FROM benchmark b JOIN s ON contains(s.content, b.text) LEFT JOIN rk ON rk.query = b.item_id AND rk.id = s.id AND rk.rank <= 10),
+  m AS (SELECT query, count(*) AS n, count(rank) AS found, min(rank) AS first, coalesce(sum(1 / log2(rank + 1.0::DOUBLE)), 0) AS dcg FROM w GROUP BY query)
+  SELECT count(*) AS n_queries, round(avg(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE)))), 6) AS ndcg, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(found / n::DOUBLE), 6) AS recall FROM m""")
 def retrieval_metrics(spark, d):
     """All benchmark passages as queries over the documents that hold them whole: quality of the engine's own ranking."""
     s = R.documents(spark, d)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return search.retrieval_metrics(search.lexical_search_each(s.drop("tags"), asked), search.holders(s, asked))
+    return search.retrieval_metrics(search.lexical_search_each(s, asked), search.holders(s, asked))
 
 
 # --- readers
@@ -701,6 +715,12 @@ def markdown_sections(spark, d):
     return S.sections(spark, d).select("id", "title", "level", "parent_id", "byte_start", "byte_end", "content", "content_hash", "summary")
 
 
+@query(f"WITH {S.FORMATS} SELECT id, doc_path, seq, title, level, parent_id, content, sha256(content) AS content_hash FROM s")
+def format_sections(spark, d):
+    """All formats but Markdown and API descriptions, which have queries of their own."""
+    return S.format_sections(spark, d).select("id", "doc_path", "seq", "title", "level", "parent_id", "content", "content_hash")
+
+
 # --- more views
 
 
@@ -725,14 +745,22 @@ def section_context(spark, d):
     return context.context(rows, faq, include_related=True)
 
 
-@query()
+@query(f"""WITH {R.DOCUMENTS}, v AS (SELECT s.id, s.doc_id, CAST(e.embedding AS DOUBLE[]) AS e FROM s JOIN embeddings e ON e.vec_id = s.doc_id), q AS (SELECT s.id, v.e FROM s JOIN v ON v.id = s.id ORDER BY s.doc_id LIMIT 1),
+  r AS (SELECT v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v, q WHERE v.id <> q.id)
+  SELECT id, 'semantic' AS kind, score FROM r WHERE score >= 0.1 ORDER BY score DESC, id LIMIT 5""")
 def related_sections(spark, d):
     s = R.documents(spark, d)
     e = s.select("id", "doc_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("id", "embedding")
     return context.related(s, s.orderBy("doc_id").first()["id"], e, min_score=0.1)
 
 
-@query()
+@query(f"""{_SIMILAR}, pr AS (SELECT a, b, score FROM z WHERE score >= 0.7), e AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr),
+  cc AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, cc.root FROM cc JOIN e ON e.a = cc.id), lab AS (SELECT id, min(root) AS comp FROM cc GROUP BY id),
+  g AS (SELECT comp, count(*) AS members, arg_max(lab.id, byte_end * 0.001::DOUBLE + 0) AS any_, max(byte_end) AS top, count(DISTINCT split_part(doc_path, '/', 1)) AS folders FROM lab JOIN s ON s.id = lab.id GROUP BY comp),
+  best AS (SELECT lab.comp, max(lab.id) AS canonical_id FROM lab JOIN s ON s.id = lab.id JOIN g ON g.comp = lab.comp AND g.top = s.byte_end GROUP BY lab.comp),
+  sc AS (SELECT comp, max(score) AS max_score, round(avg(score), 4) AS avg_score FROM pr JOIN lab ON lab.id = pr.a GROUP BY comp)
+  SELECT canonical_id, members, max_score, avg_score, CASE WHEN max_score >= 0.92 THEN 'near_duplicate' WHEN folders > 1 THEN 'parallel_tutorial' ELSE 'overlapping_topic' END AS verdict
+  FROM g JOIN best USING (comp) JOIN sc USING (comp) ORDER BY max_score DESC, members DESC, canonical_id LIMIT 50""")
 def similar_clusters(spark, d):
     s = R.documents(spark, d).withColumn("references", F.array().cast("array<string>"))
     return context.similar_clusters(s, index.links(s))
