@@ -643,34 +643,6 @@ def verify_index(spark, d):
     return health.verify_index(_indexed(old), new)
 
 
-_RADAR = f"""WITH {R.FILES}, c AS (SELECT count(*) FILTER (WHERE o.file_hash = n.file_hash) AS fresh, count(*) FILTER (WHERE o.file_hash <> n.file_hash) AS edited, count(*) FILTER (WHERE n.doc_path IS NULL) AS stale, count(*) AS n FROM old o LEFT JOIN now_ n ON o.doc_path = n.doc_path), e AS (SELECT count(*) AS e FROM embeddings)"""
-_AXES = """x AS (SELECT unnest(['freshness', 'link_integrity', 'orphan_health', 'embedding_coverage', 'role_coverage', 'drift_health']) AS axis, unnest([round(100.0::DOUBLE * fresh / (fresh + edited + stale), 1), 100.0::DOUBLE, 90.0::DOUBLE, round(least(100.0::DOUBLE, 100.0::DOUBLE * e / n), 1), 100.0::DOUBLE, 100.0::DOUBLE]) AS score FROM c, e)"""
-
-
-def _radar(spark, d):
-    old, new = R.files(spark, d)
-    n = old.agg(F.count("*").alias("sections"))
-    e = table(spark, d, "embeddings").agg(F.count("*").alias("embedded"))
-    counts = health.freshness_counts(health.freshness(_indexed(old), new)).withColumnsRenamed({"edited_uncommitted": "edited", "stale_index": "stale"}).crossJoin(n).crossJoin(e)
-    return health.radar(counts.withColumns({"broken_links": F.lit(0), "orphans": F.col("sections") * 0.05, "unknown_roles": F.lit(0), "drift_alarm": F.lit(False)}))
-
-
-@query(f"{_RADAR}, {_AXES} SELECT axis, score FROM x")
-def health_radar(spark, d):
-    return _radar(spark, d)
-
-
-@query(f"{_RADAR}, {_AXES}, a AS (SELECT round(avg(score), 1) AS composite FROM x) SELECT composite, CASE WHEN composite >= 90 THEN 'A' WHEN composite >= 80 THEN 'B' WHEN composite >= 70 THEN 'C' WHEN composite >= 60 THEN 'D' ELSE 'F' END AS grade FROM a")
-def health_grade(spark, d):
-    return health.grade(_radar(spark, d))
-
-
-@query(f"{_RADAR}, {_AXES} SELECT axis, score AS before, round(score - 4, 1) AS after, round(round(score - 4, 1) - score, 1) AS delta, 'regression' AS change FROM x")
-def health_diff(spark, d):
-    r = _radar(spark, d)
-    return health.diff_radar(r, r.withColumn("score", F.round(F.col("score") - 4, 1)))
-
-
 @query(f"""WITH {R.TERMS}, st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(title)) AS a_title, avg(len(summary)) AS a_summary, avg(len(content)) AS a_content FROM t),
   df AS (SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(list_concat(list_concat(title, summary), content))) AS term FROM t) e GROUP BY term ORDER BY df DESC, term LIMIT 5000),
   q AS (SELECT query, term, count(*) AS times FROM (SELECT item_id AS query, unnest({R.tokens_sql('text')}) AS term FROM benchmark) u GROUP BY query, term),
@@ -781,3 +753,156 @@ def toc_tree(spark, d):
   SELECT id, CASE WHEN octet_length(encode(content)) <= 60 THEN content WHEN contains(safe, chr(10)) AND length(line) * 2 > length(safe) THEN line ELSE safe END AS excerpt, octet_length(encode(content)) > 60 AS truncated FROM x""")
 def section_excerpts(spark, d):
     return sections.excerpts(R.documents(spark, d), None, 60)
+
+
+@query(f"WITH {R.DOCUMENTS} SELECT id, level_ AS level, byte_end FROM (SELECT *, 1 AS level_ FROM s) x WHERE role = 'en' AND repo = 'src3'")
+def filter_role_tag_level(spark, d):
+    return sections.filter_sections(R.documents(spark, d), role=" EN ", tags=("Src3",), min_level=1, max_level=1).select("id", "level", "byte_end")
+
+
+@query(f"WITH {R.DOCUMENTS} SELECT id FROM s WHERE doc_path = (SELECT min(doc_path) FROM s)")
+def filter_doc_path(spark, d):
+    s = R.documents(spark, d)
+    return sections.filter_sections(s, doc_path=s.agg(F.min("doc_path")).first()[0]).select("id")
+
+
+@query(f"WITH {R.TURNS} SELECT id, title, level, doc_path, byte_start FROM s WHERE contains(doc_path, '/15')")
+def outline_fallback(spark, d):
+    return sections.outline(R.turns(spark, d), "/15")
+
+
+@query(f"""{_BM25}, top AS (SELECT id, round(score, 6) AS score FROM sc WHERE id IN (SELECT id FROM s WHERE role IN ('en', 'de')) ORDER BY round(score, 6) DESC, id LIMIT 20), c AS (SELECT top.id, top.score, s.role, s.content, {_COUNTS} FROM top JOIN s ON s.id = top.id)
+  SELECT id, score, {_ANSWERABLE} AS answerability FROM c WHERE {_ANSWERABLE} >= 0.05""")
+def search_gated(spark, d):
+    """Filters before ranking, a profile (which only orders), and a gate on quality; statistics are those of the filtered sections."""
+    s = R.documents(spark, d)
+    scores = search.lexical_search(s, _asked_tagged(spark, d), 100_000).select("id", "score").join(sections.filter_sections(s, roles=("en", "de")), "id")
+    top = search.boost_profile(scores.orderBy(F.desc("score"), "id").limit(20), "install").withColumn("answerability", text.answerability(F.col("content")))
+    return top.filter("answerability >= 0.05").select("id", "score", "answerability")
+
+
+@query(f"""{_BM25}, {_SHINGLES.replace(f"WITH {R.TERMS}, ", "")}, k AS (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS key FROM sh GROUP BY id), c AS (SELECT id, min(id) OVER (PARTITION BY key) AS rep FROM k),
+  n2 AS (SELECT sc.id, round(sc.score, 6) AS score, coalesce(c.rep, sc.id) AS rep FROM sc LEFT JOIN c ON c.id = sc.id), r AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY score DESC, id) AS rn FROM n2)
+  SELECT id, score FROM r WHERE rn = 1""")
+def search_deduped(spark, d):
+    """Of all results the best of each class of equal texts."""
+    s = R.documents(spark, d)
+    sets = cut(similarity.shingle_sets(s), "sets")
+    reps = sets.groupBy("set").agg(F.min("id").alias("representative_id"))
+    found = search.lexical_search(s, _asked_tagged(spark, d), 1_000_000).select("id", "score")
+    return search.dedupe(found, sets.join(reps, "set").select("id", "representative_id"))
+
+
+@query(f"""WITH {R.DOCUMENTS} SELECT id, CASE WHEN trim(title) <> '' THEN substr(title, 1, 120) ELSE 'Section: ' || substr(title, 1, 100) END AS summary,
+  md5(array_to_string(list_filter([nullif(title, ''), nullif(substr(content, 1, 1000), '')], lambda x: x IS NOT NULL), chr(10))) AS embed_md5 FROM s""")
+def summaries_and_embed_texts(spark, d):
+    s = R.documents(spark, d)
+    return s.select("id", text.summary(F.col("title"), F.col("level")).alias("summary"), F.md5(text.embed_text(F.col("title"), F.col("title"), F.col("content"))).alias("embed_md5"))
+
+
+@query("""WITH c AS (SELECT source AS session, doc_id AS ts, greatest(0, (octet_length(encode(text)) - octet_length(encode(substr(text, 1, 400)))) // 4) AS tokens_saved FROM documents)
+  SELECT session, ts, CAST(tokens_saved AS BIGINT) AS tokens_saved, CAST(sum(tokens_saved) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_tokens_saved FROM c""")
+def savings_ledger(spark, d):
+    t = table(spark, d, "documents")
+    calls = t.select(F.col("source").alias("session"), F.col("doc_id").alias("ts"), F.octet_length("text").alias("raw_bytes"), F.octet_length(F.substring("text", 1, 400)).alias("sent_bytes"))
+    return telemetry.ledger(calls).select("session", "ts", "tokens_saved", "total_tokens_saved")
+
+
+@query("""WITH c AS (SELECT source AS session, greatest(0, (octet_length(encode(text)) - octet_length(encode(substr(text, 1, 400)))) // 4) AS saved FROM documents)
+  SELECT session, count(*) AS calls, CAST(sum(saved) AS BIGINT) AS tokens_saved, round(sum(saved) * (15.0::DOUBLE / 1000000), 4) AS cost_avoided_claude_opus, round(sum(saved) * (10.0::DOUBLE / 1000000), 4) AS cost_avoided_gpt5_latest FROM c GROUP BY session""")
+def session_stats(spark, d):
+    t = table(spark, d, "documents")
+    return telemetry.session_stats(t.select(F.col("source").alias("session"), F.octet_length("text").alias("raw_bytes"), F.octet_length(F.substring("text", 1, 400)).alias("sent_bytes")))
+
+
+@query("""WITH k AS (SELECT s_suppkey AS k, 's/' || s_suppkey || '.md' AS doc_path FROM supplier)
+  SELECT doc_path, 'src/' || k || '.py' AS source, CASE WHEN k % 3 = 0 THEN 'missing' ELSE 'modified' END AS state FROM k WHERE k % 3 = 0 OR k % 2 = 1
+  UNION ALL SELECT doc_path, 'src/x' || k || '.py', CASE WHEN k % 5 = 0 THEN 'untracked' ELSE 'missing' END FROM k""")
+def stale_pages(spark, d):
+    """Pages that name two sources each, some of which are gone, changed, or unknown when the page was written."""
+    key = F.col("s_suppkey")
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    supplier = table(spark, d, "supplier")
+    own, other = say("src/", key, ".py"), say("src/x", key, ".py")
+    pages = supplier.select(say("s/", key, ".md").alias("doc_path"), say("---\ntitle: t\nsources:\n  - ", own, "\n  -  ", other, "\n---\n# T\n").alias("content"), F.create_map(own, say("h", key)).alias("source_hashes"))
+    there = supplier.filter(key % 3 != 0).select(own.alias("doc_path"), F.when(key % 2 == 0, say("h", key)).otherwise("new").alias("file_hash"))
+    return health.stale_pages(pages, there.unionByName(supplier.filter(key % 5 == 0).select(other.alias("doc_path"), F.lit("h").alias("file_hash"))))
+
+
+_NEAREST = """a AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.id, y.id AS other, round(list_cosine_similarity(x.e, y.e), 6) AS score FROM a x JOIN a y ON x.id <> y.id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rn FROM p WHERE score >= 0.2)"""
+
+
+@query(f"""WITH {_NEAREST} SELECT CAST(id AS VARCHAR) AS source, CAST(other AS VARCHAR) AS id, 'semantic' AS kind, score FROM r WHERE rn <= 5
+  UNION ALL SELECT CAST(vec_id AS VARCHAR), CAST(vec_id // 10 AS VARCHAR), 'parent', NULL FROM embeddings WHERE vec_id >= 10 AND vec_id // 10 IN (SELECT vec_id FROM embeddings)
+  UNION ALL SELECT CAST(vec_id // 10 AS VARCHAR), CAST(vec_id AS VARCHAR), 'child', NULL FROM embeddings WHERE vec_id >= 10 AND vec_id // 10 IN (SELECT vec_id FROM embeddings)
+  UNION ALL SELECT CAST(x.vec_id AS VARCHAR), CAST(y.vec_id AS VARCHAR), 'sibling', NULL FROM embeddings x JOIN embeddings y ON x.vec_id >= 10 AND y.vec_id >= 10 AND x.vec_id // 10 = y.vec_id // 10 AND x.vec_id <> y.vec_id""")
+def related_adjacency(spark, d):
+    """Vectors as sections, ten below each: tree neighbours and the nearest vectors, for all of them."""
+    from .plans.pipeline import adjacency
+
+    key = F.col("vec_id")
+    rows = table(spark, d, "embeddings").select(key.cast("string").alias("id"), F.when(key >= 10, F.floor(key / 10).cast("string")).otherwise("").alias("parent_id"), key.alias("seq"), "embedding", F.lit("v").alias("repo"), F.lit("v").alias("doc_path"))
+    close = adjacency(rows, 5, 0.2)
+    return close.select("source", "id", "kind", "score")
+
+
+def _shop_health(spark, d):
+    """The repo beside its files as they are now: those of every fifth nation have grown, those of every seventh supplier are gone."""
+    s = S.sections(spark, d)
+    then = S.files(spark, d).select("doc_path", F.col("raw").cast("string").alias("content"))
+    hashed = lambda x: x.withColumn("file_hash", F.sha2("content", 256))
+    number = F.regexp_extract("doc_path", r"/(\d+)\.", 1).cast("int")
+    now = then.filter(~(F.startswith("doc_path", F.lit("s/")) & (number % 7 == 0)))
+    now = now.withColumn("content", F.when(F.startswith("doc_path", F.lit("n/")) & (number % 5 == 0), F.concat("content", F.lit("more\n"))).otherwise(F.col("content")))
+    rows = s.join(hashed(then).select("doc_path", "file_hash"), "doc_path").withColumn("embedding", F.when(F.col("level") > 0, F.array(F.lit(1.0))))
+    return health.doc_health(rows, hashed(now), index.links(s)), rows, hashed(now)
+
+
+_SHOP_STATE = f"""{S.LINKS}, fr AS (SELECT s.*, CASE WHEN doc_path LIKE 's/%' AND CAST(regexp_extract(doc_path, '([0-9]+)', 1) AS INT) % 7 = 0 THEN 'stale_index' WHEN doc_path LIKE 'n/%' AND CAST(regexp_extract(doc_path, '([0-9]+)', 1) AS INT) % 5 = 0 THEN 'edited_uncommitted' ELSE 'fresh' END AS freshness FROM s),
+  hc AS (SELECT count(*) AS section_count, count(DISTINCT doc_path) AS doc_count, count(*) FILTER (WHERE level > 0) AS embedded, count(*) FILTER (WHERE freshness = 'fresh') AS fresh, count(*) FILTER (WHERE freshness = 'edited_uncommitted') AS edited_uncommitted, count(*) FILTER (WHERE freshness = 'stale_index') AS stale_index FROM fr),
+  hb AS (SELECT count(*) AS broken_links FROM l WHERE anchor = 'nowhere' OR resolved NOT IN (SELECT doc_path FROM s)),
+  ho AS (SELECT count(*) AS orphans FROM s WHERE level <> 0 AND doc_path NOT IN (SELECT resolved FROM l WHERE resolved IS NOT NULL AND resolved <> source_doc)),
+  hr AS (SELECT string_agg(role || ':' || n, ',' ORDER BY role) AS roles FROM (SELECT role, count(*) AS n FROM s GROUP BY role) z),
+  tk AS (SELECT {R.tokens_sql('title')} AS title, {R.tokens_sql('content')} AS content FROM s), ht AS (SELECT round(avg(len(title)), 6) AS avg_title, round(avg(len(content)), 6) AS avg_content FROM tk),
+  hd AS (SELECT least(5000, count(DISTINCT w)) AS df_size FROM (SELECT unnest(list_concat(title, content)) AS w FROM tk) z)"""
+
+
+@query(f"WITH {_SHOP_STATE} SELECT * FROM hc, hb, ho, hr, ht, hd")
+def doc_health(spark, d):
+    row, _, _ = _shop_health(spark, d)
+    roles = F.array_join(F.transform(F.map_entries("role_distribution"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return row.select("section_count", "doc_count", "embedded", "fresh", "edited_uncommitted", "stale_index", "broken_links", "orphans", roles.alias("roles"), F.round("avg_title", 6).alias("avg_title"), F.round("avg_content", 6).alias("avg_content"), "df_size")
+
+
+@query(f"WITH {_SHOP_STATE} SELECT id, doc_path, freshness FROM fr WHERE freshness <> 'fresh' AND level <> 0")
+def recent_changes(spark, d):
+    _, rows, now = _shop_health(spark, d)
+    return health.recent_changes(health.freshness(rows, now))
+
+
+_AXES = f"""WITH {_SHOP_STATE}, v AS (SELECT * FROM hc, hb, ho),
+  x AS (SELECT unnest(['freshness', 'link_integrity', 'orphan_health', 'embedding_coverage', 'role_coverage', 'drift_health']) AS axis, unnest([round(100.0::DOUBLE * fresh / section_count, 1), round(greatest(0, 100.0::DOUBLE - 1000.0::DOUBLE * broken_links / section_count), 1),
+    round(greatest(0, 100.0::DOUBLE - 200.0::DOUBLE * orphans / section_count), 1), round(100.0::DOUBLE * embedded / section_count, 1), 100.0::DOUBLE, NULL]) AS score FROM v)"""
+
+
+def _radar(spark, d):
+    return health.radar(health.radar_counts(_shop_health(spark, d)[0]))
+
+
+@query(f"{_AXES} SELECT axis, score FROM x")
+def health_radar(spark, d):
+    return _radar(spark, d)
+
+
+@query(f"{_AXES}, a AS (SELECT round(avg(score), 1) AS composite FROM x) SELECT composite, CASE WHEN composite >= 90 THEN 'A' WHEN composite >= 80 THEN 'B' WHEN composite >= 70 THEN 'C' WHEN composite >= 60 THEN 'D' ELSE 'F' END AS grade FROM a")
+def health_grade(spark, d):
+    return health.grade(_radar(spark, d))
+
+
+@query(f"""{_AXES}, y AS (SELECT axis, score, CASE axis WHEN 'freshness' THEN 95.0::DOUBLE WHEN 'link_integrity' THEN 50.0::DOUBLE WHEN 'drift_health' THEN 100.0::DOUBLE ELSE score END AS old FROM x)
+  SELECT axis, old AS before, score AS after, round(score - old, 1) AS delta, CASE WHEN score IS NULL THEN 'missing' WHEN round(score - old, 1) <= -3 THEN 'regression' WHEN round(score - old, 1) >= 3 THEN 'improvement' ELSE 'steady' END AS change FROM y""")
+def health_diff(spark, d):
+    now = cut(_radar(spark, d), "radar")
+    before = now.withColumn("score", F.when(F.col("axis") == "freshness", 95.0).when(F.col("axis") == "link_integrity", 50.0).when(F.col("axis") == "drift_health", 100.0).otherwise(F.col("score")))
+    return health.diff_radar(before, now)
