@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,7 +98,8 @@ def scan(spark: SparkSession, folder: str, repo: str, ignore: tuple[str, ...] =
     if not chosen:
         return spark.createDataFrame([], schema)
     names = spark.createDataFrame([(r["path"], r["doc_path"]) for r in chosen], "path string, doc_path string")
-    read = spark.read.format("binaryFile").load([r["path"] for r in chosen])
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]) for r in chosen]  # names are not patterns
+    read = spark.read.format("binaryFile").load(literal)
     return read.join(F.broadcast(names), "path").select(F.lit(repo).alias("repo"), "doc_path", F.col("content").alias("raw"), F.col("modificationTime").alias("modified"))  # max_files names
 
 

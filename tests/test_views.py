@@ -48,6 +48,8 @@ def test_scan_stays_in_its_folder(spark, tmp_path):
     assert set(got(follow_symlinks=True)) == {"a.md", "b/c.md", "b/keep.md", "inside.md", "link.md"}
     assert set(got(only=("b/", "./b/../b/c.md", "../other/secret.md", "/etc", "b"))) == {"b/c.md", "b/keep.md"}
     assert set(got(only=("../other",))) == set()
+    _write(src, {"odd/[id].md": "# I", "odd/sp ace {x}.md": "# S", "odd/q?*.md": "# Q"})
+    assert got(only=("odd",)) == {"odd/[id].md": "# I", "odd/sp ace {x}.md": "# S", "odd/q?*.md": "# Q"}
     os.utime(src / "b/c.md", (2_000_000_000, 2_000_000_000))
     assert set(got(max_files=1)) == {"b/c.md"} and set(got(max_files=1, sort_by="walk_order")) == {"a.md"}
     assert documents.inside(("x", "x/", "./x", "../y", "a/../../z", " ")) == ["x"]
