@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import paths, text, vectors
+from .functions import text
 from .operators import api, context, coverage, health, links, mining, search, sections, similarity, telemetry
 from .plans import index, relations, shop
 from .scratch import cut, shared_dir, table

@@ -1,4 +1,4 @@
-"""A small documentation repo, written out here, for queries that the driver's tables have nothing for."""
+"""A small documentation repo, written out here, for tests."""
 
 from __future__ import annotations
 
@@ -23,42 +23,19 @@ FILES = {
         "components": {"schemas": {"Pet": {"type": "object", "properties": {"name": {"type": "string"}, "owner": {"$ref": "#/components/schemas/Owner"}}, "required": ["name"]}, "NewPet": {"allOf": [{"$ref": "#/components/schemas/Pet"}]}, "Owner": {"type": "object", "properties": {"address": {"$ref": "#/components/schemas/Address"}}}, "Address": {"type": "object"}}},
     }, indent=1),
 }
-SYMBOLS = ("acme/client.py::Client.run#method", "acme/client.py::Client.stop#method", "acme/core.py::Client#class", "acme/core.py::Scheduler#class", "acme/util.py::install#function", "acme/util.py::frobnicate#function")
 
 
 @cache
 def rows() -> list[dict]:
-    from ..sources.documents import split_document
+    from quire.sources.documents import split_document
 
     return [r for path, text in sorted(FILES.items()) for r in split_document(text, path, REPO)]
 
 
 def sections(spark):
     """The repo's sections with what is derived at index time."""
-    from ..plans.pipeline import with_roles
-    from ..sources import documents
+    from quire.plans.pipeline import with_roles
+    from quire.sources import documents
 
     raw = spark.createDataFrame([tuple(r[c.split()[0]] for c in documents.SECTION.split(", ")) for r in (dict(x, code_blocks=[tuple(b.values()) for b in x["code_blocks"]]) for x in rows())], documents.SECTION)
     return with_roles(documents.enrich(raw))
-
-
-def _quoted(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, int | float):
-        return str(value)
-    return "'" + str(value).replace("'", "''") + "'"
-
-
-def values(names: list[str], data: list[tuple]) -> str:
-    """A SQL table of literal rows."""
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_quoted(v) for v in row) + ")" for row in data) + f") AS v({', '.join(names)}))"
-
-
-def sections_sql(*columns: str) -> str:
-    """The sections' own columns as a SQL table."""
-    return values(list(columns), [tuple(r[c] for c in columns) for r in rows()])
-
-
-def symbols(spark):
-    return spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")

@@ -5,12 +5,13 @@ import posixpath
 import random
 import re
 
+import fixtures
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import paths, text, vectors
 from quire.operators import components, health, links, mining, search, sections, telemetry
-from quire.plans import fixtures, index, pipeline
+from quire.plans import index, pipeline
 from quire.sources import documents
 from quire.sources.store import Store
 

@@ -2,7 +2,8 @@
 
 import json
 
-from quire.plans import fixtures
+import fixtures
+
 from quire.sources import convert, documents, outline
 
 

@@ -5,12 +5,13 @@ import math
 import os
 import random
 
+import fixtures
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import paths
 from quire.operators import health, search, sections, similarity, telemetry
-from quire.plans import fixtures, index, pipeline
+from quire.plans import index, pipeline
 from quire.sources import documents, openapi
 from quire.sources.store import Store
 
