@@ -150,7 +150,8 @@ class Store:
         version = uuid.uuid4().hex
         path, key = f"{self._folder(name, repo)}/{version}", TABLES[name]
         dealt = rows.withColumns({"repo": F.lit(repo), "bucket": bucket_of(key) if key else F.lit(0)})
-        dealt.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        # sorted, so that a reader skips what lies outside the keys it looks for
+        dealt.repartition("bucket").sortWithinPartitions("bucket", *([key] if key else [])).write.partitionBy("bucket").parquet(path)
         fs, where = self._open(path)
         names = [f.getPath().getName() for f in fs.listStatus(where)]
         return {n.removeprefix("bucket="): version for n in names if n.startswith("bucket=")}
