@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import mining, similarity
+from ..operators import mining, similarity, telemetry
 from ..operators.health import detect_changes
 from ..operators.sections import structural_neighbors
 from ..scratch import cut
@@ -71,6 +71,8 @@ def index_folder(spark: SparkSession, folder: str, repo: str, store: Store, incr
     with a ``scope`` of paths, documents outside it are left as they are."""
     files = hashed(documents.scan(spark, folder, repo, only=scope, **scan))
     old = store.load("sections", repo)
+    if not scope:
+        store.save_side("roots", repo, spark.createDataFrame([(folder.rstrip("/"),)], "folder string"))
     if old is None or not incremental or not old.limit(1).count():
         store.save(build(spark, files, embed=embed))
         changes = {"new": files.count()}
@@ -90,3 +92,24 @@ def index_folder(spark: SparkSession, folder: str, repo: str, store: Store, incr
         store.save_incremental(repo, cut(build(spark, fresh, cut(cache, "cache"), embed), "built"), status.filter("status = 'deleted'").select("doc_path"))
     derive(store, repo)
     return changes
+
+
+def index_file(spark: SparkSession, path: str, store: Store, embed: Embed | None = None) -> dict[str, int]:
+    """Indexes one file anew, in the repo whose folder it lies in; of several the innermost. LookupError if there is none."""
+    roots = store.load("roots")
+    owner = None
+    if roots is not None:
+        owner = roots.filter(F.startswith(F.lit(path), F.concat("folder", F.lit("/")))).orderBy(F.desc(F.length("folder")), "repo").first()
+    if owner is None:
+        raise LookupError(f"no repo holds {path}")
+    return index_folder(spark, owner["folder"], owner["repo"], store, scope=(path[len(owner["folder"]) + 1 :],), embed=embed)
+
+
+def tune(store: Store, events: DataFrame) -> DataFrame:
+    """``telemetry.tune_weights`` from where the store's weights stand; the new ones are kept. events: repo, confidence, semantic_used."""
+    now = store.weights()
+    spark = events.sparkSession
+    known = spark.createDataFrame(list(now.items()), "repo string, weight double")
+    tuned = cut(telemetry.tune_weights(events.join(known, "repo", "left")), "tuned")
+    store.keep_weights({r["repo"]: r["weight"] for r in tuned.filter("status LIKE 'semantic_%'").collect()})  # as many as there are repos
+    return tuned

@@ -25,6 +25,7 @@ TABLES = {
     "tags": "tag",
     "embeddings": "content_hash",
     "canary": None,
+    "roots": None,
 }
 
 
@@ -145,6 +146,16 @@ class Store:
         except (ValueError, AttributeError):
             return 0
 
+    def weights(self) -> dict[str, float]:
+        """The tuned weight of vectors in the search of each repo that has one."""
+        try:
+            return {str(k): float(v) for k, v in self._get(f"{self.path}/_weights.json", {}).items()}
+        except (ValueError, AttributeError, TypeError):
+            return {}
+
+    def keep_weights(self, weights: dict[str, float]) -> None:
+        self._put(f"{self.path}/_weights.json", self.weights() | weights)
+
     def _write(self, rows: DataFrame, name: str, repo: str) -> dict[str, str]:
         """Writes a repo's rows as a new version; the buckets it has."""
         version = uuid.uuid4().hex

@@ -163,6 +163,31 @@ def test_scope_leaves_other_documents_alone(spark, tmp_path):
     assert {r[0] for r in store.load("sections", "a/b").select("doc_path").distinct().collect()} == set(fixtures.FILES)
 
 
+def test_one_file_in_the_repo_that_holds_it(spark, tmp_path):
+    outer, inner = tmp_path / "src", tmp_path / "src" / "deep"
+    _write(outer, {"a.md": "# A\n", "deep/b.md": "# B\n"})
+    store = Store(spark, str(tmp_path / "index"))
+    pipeline.index_folder(spark, str(outer), "x/outer", store)
+    pipeline.index_folder(spark, str(inner), "x/inner", store)
+    (inner / "b.md").write_text("# Changed\n")
+    (outer / "a.md").write_text("# Too\n")
+    assert pipeline.index_file(spark, str(inner / "b.md"), store) == {"changed": 1}
+    titles = lambda repo: {r["title"] for r in store.load("sections", repo).filter("level = 1").collect()}
+    assert (titles("x/inner"), titles("x/outer")) == ({"Changed"}, {"A", "B"})
+    assert pipeline.index_file(spark, str(outer / "a.md"), store) == {"changed": 1} and titles("x/outer") == {"Too", "B"}
+    with pytest.raises(LookupError):
+        pipeline.index_file(spark, str(tmp_path / "other.md"), store)
+
+
+def test_tuned_weights_are_kept(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "index"))
+    events = spark.createDataFrame([("a", 0.9 if i % 2 else 0.4, i % 2) for i in range(60)] + [("b", 0.2 if i % 2 else 0.8, i % 2) for i in range(60)] + [("c", 0.5, 1)], "repo string, confidence double, semantic_used int")
+    for times, want in ((1, {"a": 0.55, "b": 0.45}), (2, {"a": 0.6, "b": 0.4})):
+        out = {r["repo"]: (r["status"], r["weight"]) for r in pipeline.tune(store, events).collect()}
+        assert store.weights() == want, times
+    assert out["c"] == ("insufficient_events", 0.5)
+
+
 def test_stream_of_documents_equals_a_batch(spark, tmp_path):
     from quire.streaming.incremental import index_stream
 
