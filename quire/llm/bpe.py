@@ -263,6 +263,7 @@ def _coder(vocab, buckets: int):
         def closed():
             # places follow the buckets and the words in them, so they need not be written beside the words
             raw = [w.encode() for w in known.new()]
+            known.clear()  # done with, and large
             bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.int64)
             order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
             order = order[np.argsort(bucket[order], kind="stable")]
