@@ -27,15 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[list[str]] = []
+#: Lets Spark delete a plan's shuffle files when the plan has run, instead of when the driver happens to collect its garbage.
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame, label: str = "t", compression: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later failures recompute from files, not from the source."""
+    """Write ``df`` to the shared folder and read it again: later failures recompute from files, not from the source.
+
+    What was shuffled to make it is not needed any more, and is deleted at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire/{label}-{uuid.uuid4().hex}"
     for made in _WRITTEN:
         made.append(path)
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(_CLEANS, None)
+    spark.conf.set(_CLEANS, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(_CLEANS) if before is None else spark.conf.set(_CLEANS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
