@@ -665,7 +665,23 @@ def retrieval_metrics(spark, d):
 # --- readers
 
 
-@query()
+def _html_sql() -> str:
+    """The pages' text by replacements: they have one heading each, and no entities but these."""
+    x = "html"
+    steps = [(rf"(?is)<{tag}\b.*?</{tag}>", "") for tag in ("script", "style", "nav", "footer")]
+    steps += [(r"(?s)<!--.*?-->", ""), (r"(?s)<![^>]*>", ""), (r"[ \t]+", " "), (r"(?i)<h1(?:\s[^>]*)?>", r"\n\n# "), (r"(?i)</h1>", r"\n"), (r"(?i)</?(?:p|div|article|ul|li)(?:\s[^>]*)?>", r"\n\n"), (r"(?i)<br(?:\s[^>]*)?>", r"\n"), (r"<[^>]*>", "")]
+    for pattern, to in steps:
+        to = "'" + to.replace("\\n", "' || chr(10) || '") + "'"
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    x = f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    return f"regexp_replace(regexp_replace({x}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(rf"""WITH t AS (SELECT page_id, {_html_sql()} AS text FROM pages), c AS (SELECT page_id, text, CASE WHEN starts_with(text, '# ') THEN '' ELSE regexp_extract(text, '(?s)^(.*?\n)# ', 1) END AS root FROM t),
+  h AS (SELECT page_id, root, substr(text, length(root) + 1) AS body FROM c), n AS (SELECT *, trim(substr(split_part(body, chr(10), 1), 3)) AS title FROM h),
+  g AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, 'web::p/' || page_id || '.html::' AS base FROM n)
+  SELECT base || page_id || '#0' AS id, CAST(page_id AS VARCHAR) AS title, 0 AS level, '' AS parent_id, 0 AS byte_start, octet_length(encode(root)) AS byte_end, sha256(root) AS content_hash FROM g
+  UNION ALL SELECT base || CASE WHEN slug = '' THEN 'section' ELSE slug END || '#1', title, 1, base || page_id || '#0', octet_length(encode(root)), octet_length(encode(root)) + octet_length(encode(body)), sha256(body) FROM g""")
 def html_sections(spark, d):
     from .sources import documents
 
