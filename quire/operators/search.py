@@ -126,12 +126,10 @@ class Searcher:
         """id, title, doc_path, score, best first."""
         top = _top(self.scores(query).select("id", F.round("score", 6).alias("score")), max_results).collect()  # max_results at most
         spark = self.store.spark
-        best = spark.createDataFrame([tuple(r) for r in top], "id string, score double")
-        if not top:
-            return best.select("id", F.lit("").alias("title"), F.lit("").alias("doc_path"), "score")
         paths = list(dict.fromkeys(r["id"].split("::", 1)[1].rsplit("::", 1)[0] for r in top))
-        named = self._load("sections", paths).filter(F.col("id").isin(*[r["id"] for r in top])).select("id", "title", "doc_path")
-        return named.join(F.broadcast(best), "id").select("id", "title", "doc_path", "score").orderBy(F.desc("score"), "id")
+        rows = self._load("sections", paths).filter(F.col("id").isin(*[r["id"] for r in top])).select("id", "title", "doc_path").collect() if top else []
+        named = {r["id"]: (r["title"], r["doc_path"]) for r in rows}
+        return spark.createDataFrame([(r["id"], *named[r["id"]], r["score"]) for r in top], "id string, title string, doc_path string, score double")
 
 
 def lexical_search_each(sections: DataFrame, asked: DataFrame, max_results: int = 10) -> DataFrame:
