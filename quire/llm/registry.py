@@ -16,6 +16,8 @@ _MODULES = (
     ("op8_url_filter", "urls"),
     ("op9_byte_bpe", "bpe"),
     ("op10_vector_dedup", "vectors"),
+    ("op11_merkle_manifest", "merkle"),
+    ("op13_source_divergence", "divergence"),
 )
 
 
