@@ -17,6 +17,7 @@ _MODULES = (
     ("op9_byte_bpe", "bpe"),
     ("op10_vector_dedup", "vectors"),
     ("op11_merkle_manifest", "merkle"),
+    ("op12_license_scan", "licenses"),
     ("op13_source_divergence", "divergence"),
 )
 

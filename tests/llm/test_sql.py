@@ -26,7 +26,7 @@ def test_empty_tables(spark, tables, name):
     assert len(out) == (1 if name.startswith("op1_") else 0)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if n[2] not in "18" or n.startswith("op10")))
+@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if n.split("_")[0] not in ("op1", "op8", "op13")))
 def test_nulls_ties_and_clashing_columns(spark, tables, name):
     x = ("a", "b", 1, 2, 3)
     rows = [(1, None, "en", "s", 0, *x), (2, "", None, None, None, *x), (None, "the words of a text that are here", None, "s", 3, *x), (3, "the words of a text that are here", "en", "t", 3, *x), (3, "the words of a text that are here", "en", "t", 3, *x), (4, " \t\n ", "fr", None, 1, *x), (5, "mot " * 30000, "fr", "t", 9, *x)]
