@@ -1,6 +1,6 @@
 """Source divergence audit: how far the word use of each source of a language is from that of every other.
 
-Words are counted by language and source; a language keeps the words of at least ``MIN_DOCS`` of its documents. A pair of
+Words are counted by language and source, within tasks first, in counters of bounded size; a language keeps the words of at least ``MIN_DOCS`` of its documents. A pair of
 sources starts at V times the divergence of two zero counts. What a word adds to that comes from its postings, the sources
 that have it: where one of the two has it, the correction depends on nothing but its count there, so such words are
 counted by group and count before they meet the other sources; where both have it, the word's postings meet each other.
@@ -21,43 +21,70 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import cut, settled, table
+from .scratch import bounded_batches, cut, settled, table
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, RANKS, SCALE = 3, 200, 1_000_000_000
-#: Stands before a word where a document, not an occurrence, is counted; no word holds it.
-_DOC = "\x01"
+#: A task passes its counts on when it holds so many.
+HELD = 500_000
+#: Counts under this give a share in long arithmetic.
+_SMALL = 9_000_000_000
 
 
 def share(count: Column, total: Column, v: Column) -> Column:
     """p: one more than the whole billionths of a count among those of its group."""
     wide = ((count.cast("decimal(18,0)") + 1) * F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(30,0)")
-    return F.call_function("div", wide, (total + v).cast("decimal(20,0)")) + 1
+    exact = F.call_function("div", wide, (total + v).cast("decimal(20,0)"))
+    return F.when(count < _SMALL, F.call_function("div", (count + 1) * SCALE, total + v)).otherwise(exact) + 1
 
 
 def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _counted(batches):
+    """Counts of a task's texts: words are runs of ASCII letters, made small, and of bytes outside ASCII."""
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    plain = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
+    names = ["lang", "source", "term", "c", "df"]
+    counts, docs = defaultdict(Counter), defaultdict(Counter)
+
+    def passed_on():
+        for (lang, source), c in counts.items():
+            terms, d = pa.array(c.keys(), pa.binary()).cast(pa.string()), docs[lang, source]
+            same = [pa.array([x], pa.string()).take(pa.array([0] * len(c), pa.int32())) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*same, terms, pa.array(c.values(), pa.int64()), pa.array([d[t] for t in c], pa.int64())], names)
+        counts.clear()
+        docs.clear()
+
+    for batch in batches:
+        for lang, source, raw in zip(*(batch[k].to_pylist() for k in ("lang", "source", "raw")), strict=True):
+            words = raw.translate(plain).split()
+            counts[lang, source].update(words)
+            docs[lang, source].update(set(words))
+        if sum(map(len, counts.values())) > HELD:
+            yield from passed_on()
+    yield from passed_on()
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, c (occurrences), df (documents)."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    words = docs.select("lang", "source", F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("w"))
-    each = words.select("lang", "source", F.explode(F.concat("w", F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit(_DOC), x)))).alias("t"))
-    summed = each.groupBy("lang", "source", "t").agg(F.count("*").alias("c"))
-    marked = F.startswith("t", F.lit(_DOC))
-    term = F.when(marked, F.expr("substring(t, 2)")).otherwise(F.col("t"))
-    return summed.groupBy("lang", "source", term.alias("term")).agg(F.sum(F.when(~marked, F.col("c"))).alias("c"), F.sum(F.when(marked, F.col("c"))).alias("df"))
+    """lang, source, term, c (occurrences), df (documents), in several rows."""
+    bounded_batches(docs.sparkSession)
+    return docs.select("lang", "source", F.col("text").cast("binary").alias("raw")).mapInArrow(_counted, "lang string, source string, term string, c long, df long")
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, ranks: int = RANKS) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
-    base = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
-    counted = cut(counts(base), "counts")
-    terms = cut(counted.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("c").alias("total")).filter(F.col("df") >= min_docs).select("lang", "term", "total"), "terms")
-    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
-    kept = counted.join(terms, ["lang", "term"])
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    base = docs.select(empty("lang"), empty("source"), empty("text"))
+    # dealt by language and word once: a word's sources and its total are counted where it lies
+    summed = counts(base).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("df").alias("df"))
+    word = W.partitionBy("lang", "term")
+    kept = summed.select("lang", "source", "term", "c", F.sum("c").over(word).alias("total"), F.sum("df").over(word).alias("docs"), (F.row_number().over(word.orderBy("source")) == 1).alias("first"))
+    kept = cut(kept.filter(F.col("docs") >= min_docs).drop("docs"), "kept")
+    langs = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("c").alias("lang_n"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     zero = F.lit(0).cast("long")
     groups = base.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
