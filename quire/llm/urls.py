@@ -2,10 +2,12 @@
 
 Transactions are the distinct tokens of a labelled URL (scheme, host labels, path words), each URL once, plus an item
 that says whether half or more of its labels are bad. Of tokens that stand in the same URLs throughout one takes part and
-stands for all, tokens in too few bad URLs take no part, and of the others a URL brings the ``MOST_ITEMS`` that go with
-bad labels most (a parameter of the classifier: it bounds the combinations of a long URL). FP-growth finds combinations
-that go with bad labels; rules below the support or confidence bounds are pruned, and so are rules that a shorter rule
-of no less confidence already covers. Explicit rules are matched through an index by host, mined ones through an index
+stands for all, and tokens in too few bad URLs take no part. FP-growth finds the combinations of up to ``RULE_ITEMS``
+items that go with bad labels. Where URLs have many items, these are dealt into groups by hash, and a URL gives a
+transaction for each block of up to ``RULE_ITEMS`` groups that it has items of, holding its items of those groups only:
+a combination is counted whole in the block of just its own groups, and a block holds few items of a URL however long the URL
+is. Rules below the support or confidence bounds are pruned, and so are rules that a shorter rule of no less
+confidence already covers. Explicit rules are matched through an index by host, mined ones through an index
 by each rule's rarest token, so a URL meets only rules that share it.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no explicit rule; repeated
@@ -15,16 +17,20 @@ columns beyond the keys are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import cut, table
+from .scratch import cut, settled, table
 
 #: Explicit rules: host and path prefix, verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label:bad"
-MIN_COUNT, MIN_SUPPORT, MIN_CONFIDENCE, MOST_ITEMS = 10, 0.0005, 0.6, 12
+MIN_COUNT, MIN_SUPPORT, MIN_CONFIDENCE = 10, 0.0005, 0.6
+#: Items of a rule at most; items of a URL that need no groups, and about how many it has in a group where they do.
+RULE_ITEMS, UNGROUPED, IN_GROUP = 3, 10, 3
 
 
 def _rest(url: Column) -> Column:
@@ -47,16 +53,42 @@ def tokens_of(url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.array(scheme), labels, words)), lambda x: ~x.isin("scheme:", "host:", "path:"))
 
 
-def baskets_of(labelled: DataFrame, least: float, most: int) -> tuple[DataFrame, DataFrame]:
-    """Transactions (items), and for each item the tokens it stands for (item, members)."""
+def baskets_of(labelled: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Each URL's items (bad, items), and for each item the tokens it stands for (item, members)."""
     each = labelled.select("url", "bad", F.explode("tokens").alias("token"))
     # tokens with the same URLs have the same number of them, of bad ones, and the same sum of hashes
     use = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"), F.sum(F.xxhash64("url").cast("decimal(38,0)")).alias("urls")).filter(F.col("b") >= least)
     groups = cut(use.groupBy("n", "b", "urls").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members")), "items")  # as many as a URL has tokens
-    items = groups.select(F.col("item").alias("token"), (-F.col("b") / F.col("n")).alias("share"), (-F.col("n")).alias("rare"))
-    ranked = each.join(items, "token").groupBy("url").agg(F.slice(F.array_sort(F.collect_list(F.struct("share", "rare", "token"))), 1, most)["token"].alias("items"))
-    kept = labelled.select("url", "bad").join(ranked, "url", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return kept.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), groups.select("item", "members")
+    held = each.join(groups.select(F.col("item").alias("token")), "token").groupBy("url").agg(F.collect_list("token").alias("items"))
+    kept = labelled.select("url", "bad").join(held, "url", "left").select("bad", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return kept, groups.select("item", "members")
+
+
+def _group(item: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(item), F.lit(groups)).cast("int")
+
+
+def blocks_of(baskets: DataFrame, groups: int, size: int = RULE_ITEMS) -> DataFrame:
+    """A transaction (items) for each URL and block of up to ``size`` groups. An item carries the name of its block."""
+    own = F.transform("items", lambda x: F.struct(_group(x, groups).alias("g"), x.alias("item")))
+    dealt = baskets.select("bad", own.alias("own"), F.array_sort(F.array_distinct(F.transform("items", lambda x: _group(x, groups)))).alias("has"))
+    sets = [F.transform("has", lambda g: F.array(g))]
+    for _ in range(1, size):
+        sets.append(F.flatten(F.transform(sets[-1], lambda c: F.transform(F.filter("has", lambda g: g > F.element_at(c, -1)), lambda g: F.array_append(c, g)))))
+    each = dealt.select("bad", "own", F.explode(F.concat(*sets)).alias("block"))
+    items = F.transform(F.filter("own", lambda x: F.array_contains("block", x["g"])), lambda x: x["item"])
+    items = F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items)
+    name = F.array_join(F.col("block").cast("array<string>"), ".")
+    return each.select(F.transform(items, lambda x: F.concat(name, F.lit("|"), x)).alias("items"))
+
+
+def counted(sets: DataFrame, groups: int, size: int = RULE_ITEMS) -> DataFrame:
+    """items, n, n_bad: combinations of up to ``size`` items, each from its own block. sets: what FP-growth has found (items, freq)."""
+    cut_off = lambda x: F.substring(x, F.locate("|", x) + 1, F.length(x))
+    found = sets.filter(F.size("items") <= size + 1).select(F.substring_index(F.col("items")[0], "|", 1).alias("block"), F.array_sort(F.transform("items", cut_off)).alias("items"), "freq")
+    found = found.select("block", F.array_remove("items", BAD).alias("items"), F.array_contains("items", BAD).alias("bad"), "freq").filter(F.size("items").between(1, size))
+    own = F.array_join(F.array_sort(F.array_distinct(F.transform("items", lambda x: _group(x, groups)))).cast("array<string>"), ".")
+    return found.filter(own == F.col("block")).groupBy("items").agg(F.max(F.when(~F.col("bad"), F.col("freq"))).alias("n"), F.max(F.when(F.col("bad"), F.col("freq"))).alias("n_bad"))
 
 
 def without_covered(rules: DataFrame) -> DataFrame:
@@ -68,7 +100,7 @@ def without_covered(rules: DataFrame) -> DataFrame:
     return rules.join(met.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
-def mine_rules(labelled: DataFrame, min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_items: int = MOST_ITEMS) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """rule_id, items, confidence, support, from rows with ``url``, ``tokens`` and ``bad``, one for each URL."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -78,13 +110,20 @@ def mine_rules(labelled: DataFrame, min_count: int = MIN_COUNT, min_support: flo
     total, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     if not bad:
         return spark.createDataFrame([], schema)
-    least = max(min_count, min_support * total)
-    baskets, members = baskets_of(labelled, least, most_items)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.filter(F.col("consequent")[0] == BAD).select(F.monotonically_increasing_id().alias("rule_id"), "antecedent", "confidence", "support")
-    found = cut(found, "found")
-    whole = found.select("rule_id", F.explode("antecedent").alias("item")).join(members, "item").groupBy("rule_id").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("items"))
-    rules = found.join(whole, "rule_id").select(F.xxhash64(F.array_join("items", "\n")).alias("rule_id"), "items", "confidence", "support")
+    least = math.ceil(max(min_count, min_support * total))
+    baskets, members = baskets_of(labelled, least)
+    baskets = cut(baskets, "baskets")
+    longest = baskets.agg(F.max(F.size("items"))).first()[0]
+    groups = 1 if longest <= UNGROUPED else -(-longest // IN_GROUP)
+    transactions = cut(blocks_of(baskets, groups), "transactions")
+    rows = transactions.count()
+    if not rows:
+        return spark.createDataFrame([], schema)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / rows), minConfidence=min_confidence).fit(transactions)
+    found = counted(model.freqItemsets, groups).filter((F.col("n_bad") >= least) & (F.col("n_bad") >= min_confidence * F.col("n")))
+    found = cut(found.select(F.monotonically_increasing_id().alias("rule_id"), "items", (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / F.lit(total)).alias("support")), "found")
+    whole = found.select("rule_id", F.explode("items").alias("item")).join(members, "item").groupBy("rule_id").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("items"))
+    rules = found.drop("items").join(whole, "rule_id").select(F.xxhash64(F.array_join("items", "\n")).alias("rule_id"), "items", "confidence", "support")
     return without_covered(cut(rules, "rules"))
 
 
@@ -129,4 +168,4 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None, rules=RULES, **bounds
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return judge_urls(table(spark, sf_dir, "pages"), labels.filter("bad IS NOT NULL"))
+    return settled(spark, lambda: judge_urls(table(spark, sf_dir, "pages"), labels.filter("bad IS NOT NULL")), "judged")

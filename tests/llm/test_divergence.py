@@ -6,7 +6,7 @@ from quire.llm import divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string, c long, term string, p long, v long, item string"
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans(divergence.UPPER, divergence.LOWER)
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def plain(rows, min_docs=3, ranks=200):
