@@ -58,7 +58,7 @@ def _bounds(x):
     return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
 
 
-def _pairs(bounds, side) -> Iterator:
+def pairs_within(bounds, side) -> Iterator:
     """Index arrays of the pairs within groups, about PAIRS at a time. Sides 1 and 2 pair with each other only."""
     import numpy as np
 
@@ -90,9 +90,15 @@ def _pairs(bounds, side) -> Iterator:
                 yield a.ravel(), b.ravel()
 
 
-def units(dealt: DataFrame, sketches: DataFrame, keep: Callable, stats: bool = False) -> DataFrame:
-    """unit, t, id, slot, pairs: rows of ``dealt`` that ``keep(sketch, t, a, b)`` pairs with another. sketches: id, sketch (binary, all of one length).
+def all_pairs(bounds, side, s, t) -> Iterator:
+    """Index arrays of all pairs of rows in one task, a part at a time."""
+    yield from pairs_within(bounds, side)
 
+
+def units(dealt: DataFrame, sketches: DataFrame, keep: Callable, walk: Callable = all_pairs) -> DataFrame:
+    """unit, t, id, slot, pairs: rows of ``dealt`` that ``keep(sketch, t, a, b, ...)`` pairs with another. sketches: id, sketch (binary, all of one length).
+
+    walk(bounds, side, sketch, t) gives the pairs (index arrays a and b, and what else keep is to know of them), each once.
     pairs: on slot 0, the unit's pairs of slots as unsigned 16-bit integers."""
 
     def run(batches):
@@ -106,7 +112,7 @@ def units(dealt: DataFrame, sketches: DataFrame, keep: Callable, stats: bool = F
             width = len(sketch[0].as_py())
             s = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, width)
             bounds = _bounds(task)
-            found = [(a[m], b[m]) for a, b in _pairs(bounds, tab["side"].to_numpy()) for m in [keep(s, t, a, b)] if m.any()]
+            found = [(a[m], b[m]) for a, b, *more in walk(bounds, tab["side"].to_numpy(), s, t) for m in [keep(s, t, a, b, *more)] if m.any()]
             if not found:
                 continue
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))

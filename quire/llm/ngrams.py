@@ -2,10 +2,14 @@
 
 Documents are sets of five-word shingles (words are runs without white space, ASCII letters lower-cased; a text of
 fewer words is one shingle). Documents with the same words form a class, which stands for its copies from then on. A
-signature of ``TREES`` x 8 one-byte min-hash labels puts a class into as many prefix tries. Pairs that share a prefix in
-some tree are candidates. The prefix is the longest with which a pair right at the threshold is found with the chance
-wanted, so that chance does not depend on which other pairs a table holds. Last, candidates are verified on the exact
-shingle sets; a sketch estimate rules out pairs more than ``SLACK`` standard deviations under the threshold.
+signature of ``TREES`` x 8 one-byte min-hash labels puts a class into as many prefix tries. A subtree under a node at the
+shortest depth goes to one task (a large one as pairs of blocks), where its signatures are sorted and walked from whole
+labels upwards: at each depth the runs of equal prefixes give the pairs that met there first. Prefixes are shortened for a
+band of similarity until a pair in it is found with the chance wanted, so near copies are harvested from long prefixes
+and only bands near the threshold go on to short ones; the threshold's own band always goes to the depth that this
+chance needs, whatever else a table holds. A pair's band comes from its sketch, less ``SLACK`` standard deviations.
+A pair that meets in several tries is harvested once, where its prefix is longest. Last, candidates are verified on the exact
+shingle sets; a sketch estimate as far under the threshold rules pairs out.
 
 Defined cases: null and empty texts, and texts of white space, have no words: they are one class, copies of each other,
 and link with nothing else; repeated rows are copies of each other; a null doc_id comes after all others, and rows whose
@@ -22,10 +26,10 @@ from pyspark.sql import functions as F
 
 from . import buckets
 from .components import components
-from .scratch import bounded_batches, cut, table
+from .scratch import bounded_batches, cut, settled, table
 
 WORDS, JACCARD, RECALL = 5, 0.8, 0.998
-TREES, DEEP, FIRST = 16, 8, 7
+TREES, DEEP = 16, 8
 SLACK = 4.5
 _ODD = 0x9E3779B97F4A7C15
 
@@ -35,8 +39,18 @@ def found_chance(s, depth: int):
 
 
 def depth_for(jaccard: float, recall: float) -> int:
-    """Labels of the longest prefix that finds a pair right at the threshold with the chance wanted."""
-    return next((d for d in range(FIRST, 1, -1) if found_chance(jaccard, d) >= recall), 1)
+    """Labels of the longest prefix that finds a pair of this similarity with the chance wanted."""
+    return next((d for d in range(DEEP, 1, -1) if found_chance(jaccard, d) >= recall), 1)
+
+
+def _deviation(s: float) -> float:
+    return (s * (1 - s) / (TREES * DEEP)) ** 0.5
+
+
+def band_depths(jaccard: float, recall: float) -> list[int]:
+    """For each number of equal labels of two sketches: the depth at which the band of such pairs is done."""
+    shares = [k / (TREES * DEEP) for k in range(TREES * DEEP + 1)]
+    return [depth_for(max(jaccard, s - SLACK * _deviation(s)), recall) for s in shares]
 
 
 def _space():
@@ -183,18 +197,44 @@ def _verifier(jaccard: float):
     return verify
 
 
-def _keeper(jaccard: float, depth: int):
-    """Pairs whose first tree with an equal prefix is t, and that may be similar enough."""
-    least = jaccard - SLACK * (jaccard * (1 - jaccard) / (TREES * DEEP)) ** 0.5
+def _walker(shortest: int):
+    """The pairs of subtrees, each at the depth where its prefixes part: from whole labels up to the shortest prefix."""
+
+    def walk(bounds, side, s, t):
+        import numpy as np
 
-    def keep(s, t, a, b):
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        own = np.ascontiguousarray(s.reshape(len(s), TREES, DEEP)[np.arange(len(s)), t])
+        label = own.view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((label, group))
+        label, group, side = label[order], group[order], side[order]
+        for depth in range(DEEP, shortest - 1, -1):
+            prefix = label >> np.uint64(8 * (DEEP - depth))
+            edges = np.flatnonzero((group[1:] != group[:-1]) | (prefix[1:] != prefix[:-1])) + 1
+            for a, b in buckets.pairs_within(np.concatenate([[0], edges, [len(label)]]), side):
+                if depth < DEEP:
+                    longer = label >> np.uint64(8 * (DEEP - depth - 1))
+                    new = longer[a] != longer[b]
+                    a, b = a[new], b[new]
+                if len(a):
+                    yield order[a], order[b], depth
+
+    return walk
+
+
+def _keeper(jaccard: float, recall: float):
+    """Of the pairs that met at a depth: those that may be similar enough, whose band is open there, and that no other tree has under a longer prefix."""
+    least, done = jaccard - SLACK * _deviation(jaccard), band_depths(jaccard, recall)
+
+    def keep(s, t, a, b, depth):
         import numpy as np
 
         same = (s[a] == s[b]).reshape(len(a), TREES, DEEP)
-        mask = same.mean((1, 2)) >= least
+        equal = same.sum((1, 2))
+        mask = (equal >= least * TREES * DEEP) & (depth >= np.array(done)[equal])
         at = np.flatnonzero(mask)
-        same = same[at]
-        mask[at] = same[:, :, :depth].all(2).argmax(1) == t[a[at]]
+        lengths = np.cumprod(same[at], 2).sum(2)
+        mask[at] = (lengths.max(1) == depth) & (lengths.argmax(1) == t[a[at]])
         return mask
 
     return keep
@@ -212,7 +252,7 @@ def ngram_join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL
     depth = depth_for(jaccard, recall)
     prefixes = F.array(*[F.xxhash64(F.substring("sketch", DEEP * t + 1, depth)) for t in range(TREES)])
     dealt = buckets.tasks(sketches.select("id", prefixes.alias("keys")))
-    found = cut(buckets.units(dealt, sketches, _keeper(jaccard, depth)), "units")
+    found = cut(buckets.units(dealt, sketches, _keeper(jaccard, recall), _walker(depth)), "units")
     wanted = found.select("id").distinct().join(classes.select("id", "class_id", "c_key", "weight"), "id")
     wanted = cut(wanted, "wanted")
     ids = wanted.select("class_id").distinct()
@@ -236,4 +276,4 @@ def ngram_join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return settled(spark, lambda: ngram_join(table(spark, sf_dir, "documents")), "ngrams")

@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from quire.llm import ngrams
 
 
@@ -48,8 +51,46 @@ def test_links_like_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
-def test_prefixes_are_shortened_until_the_recall_is_there():
-    assert ngrams.found_chance(0.8, ngrams.FIRST) < ngrams.RECALL <= ngrams.found_chance(0.8, 5)
+def test_bands_are_done_at_the_depth_that_their_recall_needs():
+    done = ngrams.band_depths(ngrams.JACCARD, ngrams.RECALL)
+    assert done[-1] == ngrams.DEEP and set(done) == {5, 6, 7, 8} and done == sorted(done)
+    for equal, depth in enumerate(done):
+        assert ngrams.found_chance(max(0.8, equal / 128), depth) >= ngrams.RECALL
+    assert {d for k, d in enumerate(done) if k / 128 <= 0.9} == {5}  # a pair at the threshold is not taken for a near copy
+
+
+def test_the_walk_gives_each_pair_of_a_subtree_once_where_its_prefixes_part():
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 2, (90, 128)).astype(np.uint8)
+    s[:, : 8 * ngrams.TREES : 8] = 1
+    t = np.repeat([0, 3, 7], 30)
+    side = np.concatenate([np.zeros(60, int), np.resize([1, 2], 30)])
+    bounds = np.array([0, 30, 60, 90])
+    got = {}
+    for a, b, depth in ngrams._walker(1)(bounds, side, s, t):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            assert (min(i, j), max(i, j)) not in got
+            got[min(i, j), max(i, j)] = depth
+    want = {}
+    for g in range(3):
+        for i, j in itertools.combinations(range(30 * g, 30 * g + 30), 2):
+            if side[i] == 0 or side[i] != side[j]:
+                same = s.reshape(90, 16, 8)[i, t[i]] == s.reshape(90, 16, 8)[j, t[j]]
+                want[i, j] = 8 if same.all() else int(same.argmin())
+    assert got == want
+
+
+def test_near_copies_are_harvested_from_long_prefixes_only():
+    keep = ngrams._keeper(ngrams.JACCARD, ngrams.RECALL)
+    base = np.arange(128, dtype=np.uint8)
+    near, far = base.copy(), base.copy()
+    near[[3, 60]] += 100  # two labels differ: trees 0 and 7
+    far[np.arange(0, 128, 5)] += 100  # 102 of 128 are equal, in runs of four at most
+    s, t = np.stack([base, near, far]), np.array([1, 1, 1])
+    at = lambda i, depth: bool(keep(s, t, np.array([0]), np.array([i]), depth)[0])
+    assert at(1, 8) and not at(1, 7) and not at(2, 8)
+    t[:] = 2
+    assert not at(1, 8)  # tree 1 has it already
 
 
 def test_chunks_do_not_change_shingles():

@@ -24,4 +24,4 @@ def test_a_large_group_of_copies_leaves_the_recall_at_the_threshold(spark):
 
 def test_depth_follows_from_threshold_and_recall():
     assert ngrams.depth_for(ngrams.JACCARD, ngrams.RECALL) == 5
-    assert ngrams.depth_for(0.95, ngrams.RECALL) == ngrams.FIRST
+    assert ngrams.depth_for(0.95, ngrams.RECALL) == ngrams.DEEP
