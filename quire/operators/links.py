@@ -100,10 +100,12 @@ def impact(links: DataFrame, doc_path: str, slug: str = "", max_depth: int = 3,
     return direct.unionByName(further)
 
 
-def blast_radius(sections: DataFrame, links: DataFrame, section_id: str, max_depth: int = 3, tutorial_count: int = 0) -> DataFrame:
-    """One row: how many documents and sections an edit of a section touches, and a score of 0 to 1."""
+def blast_radius(sections: DataFrame, links: DataFrame, section_id: str, max_depth: int = 3, tutorial_count: int = 0, most: int | None = MAX_IMPACT) -> DataFrame:
+    """One row: how many documents and sections an edit of a section touches, and a score of 0 to 1.
+
+    most: where the listing stops that the score is made of, as users know it; None counts all documents."""
     doc_path, slug = section_id.split("::")[-2], section_id.split("::")[-1].rsplit("#", 1)[0]
-    hit = impact(links, doc_path, slug, max_depth)
+    hit = impact(links, doc_path, slug, max_depth, most)
     counts = hit.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"), F.count_if((F.col("depth") == 1) & (F.col("link_kind") == "anchor")).alias("anchors"), F.countDistinct("doc_path").alias("docs_affected"), F.countDistinct("section_id").alias("sections_affected"))
     total = sections.agg(F.count("*").alias("total"))
     weighted = 2.0 * tutorial_count + 1.5 * F.col("anchors") + F.col("direct") + 0.5 * F.col("transitive")

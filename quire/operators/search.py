@@ -69,13 +69,21 @@ def tag_bonus(tags: Column, query: str) -> Column:
     return 0.5 * F.size(F.filter(tags, lambda t: F.lower(t).isin(*words))) if words else F.lit(0.0)
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+def _top(scored: DataFrame, k: int | None) -> DataFrame:
+    """The best k rows, or all of them in order."""
+    rows = scored.orderBy(F.desc("score"), "id")
+    return rows if k is None else rows.limit(k)
 
 
-def lexical_search(sections: DataFrame, query: str, max_results: int = 10, **stored) -> DataFrame:
-    """id, title, score, best first. stored: stats, df, posted as built at index time."""
-    scores = bm25_scores(index.terms(sections), query, **stored)
+def _kept(scored: DataFrame, keep: DataFrame | None) -> DataFrame:
+    return scored if keep is None else scored.join(keep.select("id"), "id", "left_semi")
+
+
+def lexical_search(sections: DataFrame, query: str, max_results: int | None = 10, keep: DataFrame | None = None, **stored) -> DataFrame:
+    """id, title, score, best first; without a limit all sections that hold a term. stored: stats, df, posted as built at index time.
+
+    keep: the sections that may be results, filtered before the limit. Statistics are those of all sections."""
+    scores = _kept(bm25_scores(index.terms(sections), query, **stored), keep)
     named = scores.join(sections.select("id", "title", "doc_path", *(["tags"] if "tags" in sections.columns else [])), "id")
     bonus = tag_bonus(F.col("tags"), query) if "tags" in sections.columns else F.lit(0.0)
     return _top(named.select("id", "title", "doc_path", F.round(F.col("score") + bonus, 6).alias("score")), max_results)
@@ -210,16 +218,16 @@ def places(scored: DataFrame, wanted: DataFrame) -> DataFrame:
     return scored.join(own, not_after).groupBy(F.col("own_id").alias("id")).agg(F.count("*").cast("int").alias("rank"))
 
 
-def hybrid_search(sections: DataFrame, embedded: DataFrame, query: str, vector: list[float] | None, weight: float = 0.5, k: int = 10) -> DataFrame:
-    """Fusion of the lexical and the vector ranking, both whole.
+def hybrid_search(sections: DataFrame, embedded: DataFrame, query: str, vector: list[float] | None, weight: float = 0.5, k: int = 10, keep: DataFrame | None = None) -> DataFrame:
+    """Fusion of the lexical and the vector ranking, both whole; of the sections in ``keep``, if given, and with the statistics of all.
 
     The k best rows of the list with the larger weight w have shares of w / (k + 60) or more. A row below place
     (k + 60) / w - 60 of both lists (weights add up to 1) has less than that from both together, so only rows above it
     in some list can be among the best k. For these the exact ranks in both lists are counted."""
-    lexical = bm25_scores(index.terms(sections), query)
+    lexical = _kept(bm25_scores(index.terms(sections), query), keep)
     if vector is None:
         return _top(lexical.select("id", F.round("score", 6).alias("score")), k)
-    weighted = [(lexical.withColumn("score", F.round("score", 9)), 1 - weight), (semantic_scores(embedded, vector), weight)]
+    weighted = [(lexical.withColumn("score", F.round("score", 9)), 1 - weight), (_kept(semantic_scores(embedded, vector), keep), weight)]
     lists = [(cut(scored, "ranking"), w) for scored, w in weighted if w > 0]  # a list is read three times
     most = max(w for _, w in lists)
     deep = math.ceil((k + RRF_K) * sum(w for _, w in lists) / most) - RRF_K + k
@@ -317,20 +325,22 @@ def confidence(results: DataFrame, query: str) -> DataFrame:
 def search_sections(sections: DataFrame, query: str, max_results: int = 10, filter_mode: str = "post", profile: str | None = None, clusters: DataFrame | None = None, min_answerability: float | None = None, min_quotability: float | None = None, embedded: DataFrame | None = None, vector: list[float] | None = None, semantic_only: bool = False, semantic_weight: float = 0.5, **filters) -> DataFrame:
     """The whole search: rank, limit, filter, dedupe, reorder, gate by quality.
 
-    filter_mode "post" filters what the limit has left, as the engine's users know it; "pre" filters before ranking and fills the limit."""
+    filter_mode "post" filters what the limit has left, as the engine's users know it; "pre" filters before the limit, and so fills it.
+    Statistics are those of all sections in both modes."""
     from .sections import filter_sections
 
+    keep = None
     if filter_mode == "pre":
-        sections = filter_sections(sections, **filters)
+        keep = filter_sections(sections, **filters)
     elif filters.get("doc_path"):
-        sections = sections.filter(F.col("doc_path") == filters["doc_path"])
+        keep = sections.filter(F.col("doc_path") == filters["doc_path"])
     first = max_results * 5 if filters.get("role") else max_results
     if semantic_only and vector is not None:
-        found = semantic_search(embedded, vector, first)
+        found = _top(_kept(semantic_scores(embedded, vector), keep).select("id", F.round("score", 6).alias("score")), first)
     elif vector is not None:
-        found = hybrid_search(sections, embedded, query, vector, semantic_weight, first)
+        found = hybrid_search(sections, embedded, query, vector, semantic_weight, first, keep)
     else:
-        found = lexical_search(sections, query, first).select("id", "score")
+        found = lexical_search(sections, query, first, keep).select("id", "score")
     out = found.join(sections, "id")
     if filter_mode == "post":
         out = filter_sections(out, **filters)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from . import trees
 
 HANDLE = ("id", "title", "level", "doc_path")
 
@@ -183,37 +184,14 @@ def neighbors(sections: DataFrame) -> DataFrame:
     return near.join(kids, F.col("id") == F.col("k_id"), "left").select("id", "prev_id", "next_id", "parent_id", "first_child_id", F.coalesce("child_count", F.lit(0)).alias("child_count"))
 
 
-def section_path(sections: DataFrame, section_id: str) -> DataFrame:
-    """depth, id, title from the section up to its root; a loop ends the walk."""
-    spark = sections.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE up(depth, id, title, parent_id, seen) AS (
-          SELECT 0, id, title, parent_id, array(id) FROM {s} WHERE id = {start}
-          UNION ALL
-          SELECT u.depth + 1, p.id, p.title, p.parent_id, array_append(u.seen, p.id) FROM up u JOIN {s} p ON p.id = u.parent_id WHERE NOT array_contains(u.seen, p.id) AND u.depth < 64
-        ) SELECT depth, id, title FROM up
-        """,
-        s=sections.select("id", "title", "parent_id"),
-        start=section_id,
-    )
-
-
-def descendants(sections: DataFrame, section_id: str, max_depth: int | None = None) -> DataFrame:
-    """depth, id, title of all sections below one, breadth first."""
-    spark = sections.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE down(depth, id, title, byte_start) AS (
-          SELECT 0, id, title, byte_start FROM {s} WHERE id = {start}
-          UNION ALL
-          SELECT d.depth + 1, c.id, c.title, c.byte_start FROM down d JOIN {s} c ON c.parent_id = d.id WHERE c.id <> d.id AND d.depth < {most}
-        ) SELECT depth, id, title FROM down WHERE depth > 0
-        """,
-        s=sections.select("id", "title", "parent_id", "byte_start"),
-        start=section_id,
-        most=max_depth or 64,
-    )
+def section_path(sections: DataFrame, section_id: str, labels: DataFrame | None = None) -> DataFrame:
+    """depth, id, title from the section up to its root, of any depth. labels: ``trees.labels`` where they are stored; see there for loops."""
+    return trees.above(sections, section_id, labels)
+
+
+def descendants(sections: DataFrame, section_id: str, max_depth: int | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """depth, id, title of all sections below one, of any depth and number. labels: ``trees.labels`` where they are stored."""
+    return trees.below(sections, section_id, max_depth, labels)
 
 
 def structural_neighbors(sections: DataFrame, max_per_kind: int = 10, cousins: bool = False) -> DataFrame:

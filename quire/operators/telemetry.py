@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import at_ranks, running
+
 RING, MIN_EVENTS, STEP, LEAST_DELTA, BOUNDS, DEFAULT_WEIGHT = 512, 50, 0.05, 0.05, (0.10, 0.85), 0.5
 WINDOWS = {"1h": 3600, "24h": 86_400, "7d": 604_800, "all": None}
 
@@ -17,14 +19,14 @@ def within(calls: DataFrame, window: str, as_of: Column) -> DataFrame:
 
 
 def latency_stats(calls: DataFrame) -> DataFrame:
-    """tool, calls, p50, p95, max, error_rate; percentiles by nearest rank, halves to even.
+    """tool, calls, p50, p95, max, error_rate; percentiles by nearest rank, halves to even, over the calls whose time is known.
 
-    Ranks come from a sort within the tool that spills; no list of a tool's calls is built."""
-    n = F.count("*").over(W.partitionBy("tool"))
-    at = F.row_number().over(W.partitionBy("tool").orderBy("duration_ms"))
-    ranked = calls.withColumns({"n": n, "at": at})
-    pick = lambda p: F.max(F.when(F.col("at") == F.bround(p * (F.col("n") - 1)).cast("long") + 1, F.col("duration_ms")))
-    return ranked.groupBy("tool").agg(F.count("*").alias("calls"), F.round(pick(0.5), 3).alias("p50_ms"), F.round(pick(0.95), 3).alias("p95_ms"), F.round(F.max("duration_ms"), 3).alias("max_ms"), F.round(F.count_if(F.col("ok") == 0) / F.count("*"), 4).alias("error_rate"))
+    Ranks come from counts of slices of the durations (``ranks.at_ranks``), so no task holds a tool's calls."""
+    rank = lambda p: F.bround(p * (F.col("n") - 1)).cast("long")
+    picked = at_ranks(calls, "tool", "duration_ms", {"p50": rank(0.5), "p95": rank(0.95)}).drop("n").withColumnRenamed("tool", "named")
+    per = calls.groupBy("tool").agg(F.count("*").alias("calls"), F.round(F.max("duration_ms"), 3).alias("max_ms"), F.round(F.count_if(F.col("ok") == 0) / F.count("*"), 4).alias("error_rate"))
+    met = per.join(picked, F.col("tool").eqNullSafe(F.col("named")), "left")
+    return met.select("tool", "calls", F.round("p50", 3).alias("p50_ms"), F.round("p95", 3).alias("p95_ms"), "max_ms", "error_rate")
 
 
 def ring(calls: DataFrame, size: int = RING) -> DataFrame:
@@ -61,11 +63,11 @@ PRICES = {"claude_opus": 15.00, "gpt5_latest": 10.00}
 
 
 def ledger(calls: DataFrame, order: str = "ts") -> DataFrame:
-    """Each call with tokens_saved and total_tokens_saved, the running total of its session so far."""
+    """Each call with tokens_saved and total_tokens_saved, the running total of its session so far. A session may lie in many tasks."""
     from ..functions.text import tokens_saved
 
     saved = calls.withColumn("tokens_saved", tokens_saved(F.col("raw_bytes"), F.col("sent_bytes")))
-    return saved.withColumn("total_tokens_saved", F.sum("tokens_saved").over(W.partitionBy("session").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return running(saved, ["session"], [order], F.col("tokens_saved"), "total_tokens_saved")
 
 
 def session_stats(calls: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import api, context, coverage, health, links, mining, search, sections, similarity, telemetry
+from .operators import api, context, coverage, health, links, mining, search, sections, similarity, telemetry, trees
 from .plans import index, relations, shop
 from .scratch import cut, shared_dir, table
 from .sources.store import Store
@@ -291,9 +291,21 @@ def structural_neighbors(spark, d):
     return sections.structural_neighbors(R.tree(spark, d))
 
 
-@query(_struct_sql(R.PLACES, True))
+@query(f"""WITH u AS ({_struct_sql(R.TREE, True)}) SELECT source, kind, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM u GROUP BY source, kind""")
 def structural_cousins(spark, d):
-    return sections.structural_neighbors(R.places(spark, d), cousins=True)
+    """Of every section of the tree, orders included: how many relatives of each kind it has, and the first and last of them."""
+    found = sections.structural_neighbors(R.tree(spark, d), cousins=True)
+    return found.groupBy("source", "kind").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query(f"""WITH RECURSIVE {R.TREE}, down AS (SELECT id, id AS root, 0 AS depth, [printf('%020d', seq) || id] AS way FROM s WHERE parent_id = '' OR parent_id NOT IN (SELECT id FROM s)
+    UNION ALL SELECT s.id, d.root, d.depth + 1, list_append(d.way, printf('%020d', s.seq) || s.id) FROM down d JOIN s ON s.parent_id = d.id),
+  up AS (SELECT id, parent_id AS above FROM s UNION ALL SELECT up.id, s.parent_id FROM up JOIN s ON s.id = up.above),
+  sizes AS (SELECT above AS id, count(*) AS n FROM up GROUP BY above), placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY way) - 1 AS enter FROM down)
+  SELECT p.id, root, depth, enter, enter + coalesce(n, 0) AS leave FROM placed p LEFT JOIN sizes USING (id)""")
+def tree_labels(spark, d):
+    """Root, depth and interval of every section."""
+    return trees.labels(R.tree(spark, d))
 
 
 # --- links
@@ -790,11 +802,9 @@ def outline_fallback(spark, d):
 @query(f"""{_BM25}, top AS (SELECT id, round(score, 6) AS score FROM sc WHERE id IN (SELECT id FROM s WHERE role IN ('en', 'de')) ORDER BY round(score, 6) DESC, id LIMIT 20), c AS (SELECT top.id, top.score, s.role, s.content, {_COUNTS} FROM top JOIN s ON s.id = top.id)
   SELECT id, score, {_ANSWERABLE} AS answerability FROM c WHERE {_ANSWERABLE} >= 0.05""")
 def search_gated(spark, d):
-    """Filters before ranking, a profile (which only orders), and a gate on quality; statistics are those of the filtered sections."""
-    s = R.documents(spark, d)
-    scores = search.lexical_search(s, _asked_tagged(spark, d), 100_000).select("id", "score").join(sections.filter_sections(s, roles=("en", "de")), "id")
-    top = search.boost_profile(scores.orderBy(F.desc("score"), "id").limit(20), "install").withColumn("answerability", text.answerability(F.col("content")))
-    return top.filter("answerability >= 0.05").select("id", "score", "answerability")
+    """Filters before ranking, a profile (which only orders), and a gate on quality; statistics are those of the whole repo."""
+    found = search.search_sections(R.documents(spark, d), _asked_tagged(spark, d), 20, filter_mode="pre", profile="install", min_answerability=0.05, roles=("en", "de"))
+    return found.select("id", "score", "answerability")
 
 
 @query(f"""{_BM25}, {_SHINGLES.replace(f"WITH {R.TERMS}, ", "")}, k AS (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS key FROM sh GROUP BY id), c AS (SELECT id, min(id) OVER (PARTITION BY key) AS rep FROM k),
@@ -805,7 +815,7 @@ def search_deduped(spark, d):
     s = R.documents(spark, d)
     sets = cut(similarity.shingle_sets(s), "sets")
     reps = sets.groupBy("set").agg(F.min("id").alias("representative_id"))
-    found = search.lexical_search(s, _asked_tagged(spark, d), 1_000_000).select("id", "score")
+    found = search.lexical_search(s, _asked_tagged(spark, d), None).select("id", "score")
     return search.dedupe(found, sets.join(reps, "set").select("id", "representative_id"))
 
 
