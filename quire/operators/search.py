@@ -12,8 +12,8 @@ from ..functions import text, vectors
 from ..plans import index
 from ..scratch import cut
 
-K1, B, RRF_K = 1.2, 0.75, 60
-WEIGHTS = {"title": 3.0, "summary": 1.5, "content": 1.0, "ancestors": 0.5}
+RRF_K = 60
+K1, B, WEIGHTS, bm25_part = index.K1, index.B, index.WEIGHTS, index.bm25_part
 # Roles that a search profile moves to the front.
 PROFILES = {"install": ("how_to", "tutorial", "example"), "debug": ("troubleshooting", "faq", "example"), "explain": ("concept", "reference", "tutorial"), "api": ("api", "reference", "example")}
 
@@ -27,10 +27,6 @@ def idf(df: Column, n: Column) -> Column:
     return F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5) + 1))
 
 
-def bm25_part(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
-
-
 def bm25_scores(termed: DataFrame, query: str, stats: DataFrame | None = None, df: DataFrame | None = None, posted: DataFrame | None = None) -> DataFrame:
     """id, score of all sections with a term of the query. Terms that the table of common terms lacks count as standing in one section.
 
@@ -89,50 +85,105 @@ def lexical_search(sections: DataFrame, query: str, max_results: int | None = 10
     return _top(named.select("id", "title", "doc_path", F.round(F.col("score") + bonus, 6).alias("score")), max_results)
 
 
+#: No impact is larger: every field adds less than its weight times k1 + 1.
+MOST_IMPACT = sum(WEIGHTS.values()) * (K1 + 1)
+#: Where rounding may hide a tie; postings that one task scores; postings above which a first look at the best blocks comes before.
+SLIP, ONE_TASK, PROBE = 1e-5, 200_000, 50_000
+
+
 class Searcher:
-    """Searches of one repo in a store, from the inverted index written when it was indexed.
+    """Searches of one repo in a store, from the postings with impacts written when it was indexed.
 
-    What every search needs and is bounded is read once: the corpus statistics, and the ``TOP_TERMS`` commonest terms.
-    A search then reads the buckets of the query's terms, and the documents of its results. It finds the rows of ``lexical_search``."""
+    Postings lie by term and by impact, in blocks of nearly equal impact. What every search needs and is bounded is read
+    once: the corpus statistics, and for the ``TOP_TERMS`` commonest terms their frequency and the extremes of their blocks.
+    The k-th best score is at least what k sections get from one term alone. A section in a block cannot be among the
+    best if the block's most, and the most of all other terms and of the tags, stay under that. Such blocks are
+    not read, and all others are, so the sections found have their whole scores: the rows are those of ``lexical_search``."""
 
     def __init__(self, store, repo: str):
         self.store, self.repo = store, repo
         self.stats = store.load("corpus_stats", repo).first()
         self.df = {r["term"]: r["df"] for r in store.load("term_df", repo).collect()}
+        self.levels: dict[str, list] = {}
+        for r in store.load("impact_levels", repo).select("term", "level", "n", "top", "low").orderBy("term", F.desc("level")).collect():  # TOP_TERMS times STEPS times MOST_IMPACT at most
+            self.levels.setdefault(r["term"], []).append(r)
         self.schemas = {name: t.schema for name in ("postings", "sections", "tags") if (t := store.load(name, repo)) is not None}
+        self.last: dict[str, int] = {}
 
     def _load(self, name: str, keys: list[str]) -> DataFrame:
         spark = self.store.spark
         found = self.store.load(name, self.repo, keys, self.schemas[name]) if name in self.schemas else None
         return spark.createDataFrame([], "id string, tag string") if found is None else found
 
-    def scores(self, query: str) -> DataFrame:
-        """id, score of all sections with a term of the query, tags counted."""
+    def weights(self, query: str) -> dict[str, float]:
+        """The query's terms, and what an impact of one is worth for each."""
+        wanted, n = query_terms(self.store.spark.range(0), query), float(self.stats["n_sections"])
+        rare = lambda df: max(0.0, math.log((n - df + 0.5) / (df + 0.5) + 1))
+        found = {t: wanted.count(t) * rare(self.df.get(t, 1)) for t in dict.fromkeys(wanted)}
+        return {t: w for t, w in found.items() if w > 0}
+
+    def _reaching(self, term: str, k: int):
+        """The block of a term with which its k best postings are complete, or None."""
+        n = 0
+        for block in self.levels.get(term, ()):
+            n += block["n"]
+            if n >= k:
+                return block
+        return None
+
+    def needed(self, weights: dict[str, float], k: int, bonus: float = 0.0, least: float = 0.0) -> dict[str, int]:
+        """The lowest level to read of each term; terms of which no block can matter are left out. least: what the k-th score is known to reach."""
+        most = {t: w * (self.levels[t][0]["top"] if t in self.levels else MOST_IMPACT) for t, w in weights.items()}
+        least = max([least, *(w * b["low"] for t, w in weights.items() if (b := self._reaching(t, k)) is not None)])
+        out = {}
+        for t, w in weights.items():
+            wanted = (least - bonus - (sum(most.values()) - most[t])) / w - SLIP
+            kept = [b["level"] for b in self.levels[t] if b["top"] >= wanted] if t in self.levels else [0]
+            if kept:
+                out[t] = kept[-1]
+        return out
+
+    def _read(self, needed: dict[str, int]) -> int:
+        """Postings that lie in the blocks needed, of the terms whose blocks are known."""
+        return sum(b["n"] for t, low in needed.items() for b in self.levels.get(t, ()) if b["level"] >= low)
+
+    def _scored(self, weights: dict[str, float], needed: dict[str, int], words: list[str]) -> DataFrame:
+        """id, score over the blocks needed. Weights are looked up in constant maps, so all searches share one compiled plan."""
         spark = self.store.spark
-        wanted = query_terms(spark.range(0), query)
-        if not wanted:
+        if not needed:
             return spark.createDataFrame([], "id string, score double")
-        n = float(self.stats["n_sections"])
-        avg = {f: self.stats[f"avg_{f}"] for f in index.FIELDS[:3]} | {"ancestors": max(self.stats["avg_title"], 3.0)}
-        average, weight, asked = F.lit(1.0), F.lit(0.0), F.lit(0.0)
-        for f, w in WEIGHTS.items():
-            average = F.when(F.col("field") == f, float(avg[f] or 1.0)).otherwise(average)
-            weight = F.when(F.col("field") == f, w).otherwise(weight)
-        for t in dict.fromkeys(wanted):
-            df = self.df.get(t, 1)
-            rare = max(0.0, math.log((n - df + 0.5) / (df + 0.5) + 1))
-            asked = F.when(F.col("term") == t, wanted.count(t) * rare).otherwise(asked)
-        posted = self._load("postings", list(dict.fromkeys(wanted))).filter(F.col("term").isin(*wanted))
-        scored = posted.groupBy("id").agg(F.sum(weight * asked * bm25_part(F.col("tf"), F.col("dl"), average)).alias("score")).filter("score > 0")
-        words = list(dict.fromkeys(query.lower().split()))
+        held = lambda values, t: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), t)
+        posted = self._load("postings", list(needed)).filter(F.col("term").isin(*needed) & (F.col("level") >= min(needed.values())))
+        posted = posted.filter(F.col("level") >= held(needed, F.col("term")))
+        if self._read(needed) <= ONE_TASK:
+            posted = posted.coalesce(1)
+        scored = posted.groupBy("id").agg(F.sum(F.col("impact") * held({t: weights[t] for t in needed}, F.col("term"))).alias("score")).filter("score > 0")
         if "tags" not in self.schemas or not words:
             return scored
         bonus = self._load("tags", words).filter(F.col("tag").isin(*words)).groupBy("id").agg((0.5 * F.count("*")).alias("bonus"))
         return scored.join(bonus, "id", "left").select("id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
+    def scores(self, query: str) -> DataFrame:
+        """id, score of all sections with a term of the query, tags counted."""
+        weights = self.weights(query)
+        return self._scored(weights, {t: 0 for t in weights}, list(dict.fromkeys(query.lower().split())))
+
+    def best(self, query: str, k: int) -> DataFrame:
+        """id, score of the best k, and ``last``: blocks and postings of the query's known terms, and how many were read."""
+        weights, words = self.weights(query), list(dict.fromkeys(query.lower().split()))
+        bonus = 0.5 * min(len(words), self.stats["most_tags"] or 0) if "tags" in self.schemas else 0.0
+        needed = self.needed(weights, k, bonus)
+        if self._read(needed) > PROBE:
+            first = {t: b["level"] if (b := self._reaching(t, 4 * k)) is not None else 0 for t in needed}
+            seen = _top(self._scored(weights, first, []).select("id", "score"), k).collect()  # k at most
+            needed = self.needed(weights, k, bonus, seen[-1]["score"] if len(seen) == k else 0.0)
+        known = [b for t in weights for b in self.levels.get(t, ())]
+        self.last = {"blocks": len(known), "blocks_read": sum(b["level"] >= low for t, low in needed.items() for b in self.levels.get(t, ())), "postings": sum(b["n"] for b in known), "postings_read": self._read(needed)}
+        return _top(self._scored(weights, needed, words).select("id", F.round("score", 6).alias("score")), k)
+
     def search(self, query: str, max_results: int = 10) -> DataFrame:
         """id, title, doc_path, score, best first."""
-        top = _top(self.scores(query).select("id", F.round("score", 6).alias("score")), max_results).collect()  # max_results at most
+        top = self.best(query, max_results).collect()  # max_results at most
         spark = self.store.spark
         paths = list(dict.fromkeys(r["id"].split("::", 1)[1].rsplit("::", 1)[0] for r in top))
         rows = self._load("sections", paths).filter(F.col("id").isin(*[r["id"] for r in top])).select("id", "title", "doc_path").collect() if top else []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,19 @@ from ..functions import paths, text
 FIELDS = ("title", "summary", "content", "ancestors")
 TOP_TERMS = 5000
 ROLE_ANCESTORS = 16
+K1, B = 1.2, 0.75
+WEIGHTS = {"title": 3.0, "summary": 1.5, "content": 1.0, "ancestors": 0.5}
+#: Blocks of postings in an impact of one.
+STEPS = 8
+
+
+def bm25_part(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def averages(stats) -> dict[str, float]:
+    """The mean length of each field, from a row of ``corpus_stats``; that of ancestors follows the title's."""
+    return {f: float(stats[f"avg_{f}"] or 1.0) for f in FIELDS[:3]} | {"ancestors": float(max(stats["avg_title"], 3.0))}
 
 
 def ancestor_text(sections: DataFrame) -> DataFrame:
@@ -47,6 +60,36 @@ def postings(termed: DataFrame) -> DataFrame:
     return out.groupBy("term", "id", "field").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def impacts(termed: DataFrame, stats) -> DataFrame:
+    """term, id, impact, level, own: what a term adds to a section's score before the query weighs it, over all fields.
+
+    level: the impact in steps of 1 / ``STEPS``; the postings of a term and level are a block, and lie together where they are
+    stored. own: the term stands in a field of the section's own, so it counts in document frequencies. One grouping
+    takes all fields: a section's terms are counted before they are moved."""
+    average = averages(stats)
+    fields = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("terms")) for i, f in enumerate(FIELDS)])
+    each = termed.select("id", F.explode(fields).alias("x")).select("id", "x.f", F.size("x.terms").alias("dl"), F.explode("x.terms").alias("term"))
+    tf, dl = (lambda i: F.count_if(F.col("f") == i)), (lambda i: F.max(F.when(F.col("f") == i, F.col("dl"))))
+    counted = each.groupBy("term", "id").agg(*[x for i in range(len(FIELDS)) for x in (tf(i).alias(f"tf{i}"), dl(i).alias(f"dl{i}"))])
+    impact = F.lit(0.0)
+    for i, f in enumerate(FIELDS):
+        impact = impact + F.when(F.col(f"tf{i}") > 0, WEIGHTS[f] * bm25_part(F.col(f"tf{i}"), F.col(f"dl{i}"), F.lit(average[f]))).otherwise(0.0)
+    own = F.col("tf0") + F.col("tf1") + F.col("tf2") > 0
+    return counted.select("term", "id", impact.alias("impact"), own.alias("own")).withColumn("level", F.floor(F.col("impact") * STEPS).cast("int"))
+
+
+def impact_df(posted: DataFrame, top: int | None = TOP_TERMS) -> DataFrame:
+    """``term_df`` from postings with impacts."""
+    counted = posted.filter("own").groupBy("term").agg(F.count("*").alias("df"))
+    return counted.orderBy(F.desc("df"), "term").limit(top) if top else counted
+
+
+def impact_levels(posted: DataFrame, df: DataFrame) -> DataFrame:
+    """term, level, n, top, low: the blocks of the commonest terms, with the most and the least of their impacts."""
+    blocks = posted.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.min("impact").alias("low"))
+    return blocks.join(df.select("term"), "term", "left_semi")
+
+
 def links(sections: DataFrame) -> DataFrame:
     """A row for each reference: where it stands, and where it leads. External ones and those without a file keep ``resolved`` null."""
     each = sections.select("repo", F.col("id").alias("source_section_id"), F.col("title").alias("source_section"), F.col("doc_path").alias("source_doc"), "seq", F.posexplode("references").alias("ref_at", "href"))

@@ -11,7 +11,7 @@ from ..functions import text
 from ..operators import mining, similarity, telemetry
 from ..operators.health import detect_changes
 from ..operators.sections import structural_neighbors
-from ..scratch import cut
+from ..scratch import cut, discard
 from ..sources import documents
 from ..sources.store import Store
 from . import index
@@ -55,13 +55,31 @@ def adjacency(rows: DataFrame, top_n: int = 5, min_score: float = 0.6) -> DataFr
     return near.unionByName(close.select(F.col("id").alias("source"), F.col("other").alias("id"), F.lit("semantic").alias("kind"), "score"))
 
 
+def save_search(store: Store, repo: str, rows: DataFrame) -> None:
+    """Writes what a search reads: postings with impacts, their blocks, frequencies, statistics and tags. Texts are taken apart once,
+    and frequencies and blocks are counted from the postings that were written."""
+    termed = cut(index.terms(rows), "terms")
+    tags = rows.select("id", F.explode(F.transform("tags", lambda t: F.lower(t))).alias("tag"))
+    most = tags.groupBy("id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most_tags"))
+    stats = cut(index.corpus_stats(termed).crossJoin(most), "stats")  # one row each
+    store.save_side("corpus_stats", repo, stats)
+    store.save_side("tags", repo, tags)
+    store.save_side("postings", repo, index.impacts(termed, stats.first()))
+    posted = store.load("postings", repo)
+    if posted is None:  # no section has a term
+        posted = index.impacts(termed, stats.first())
+    df = cut(index.impact_df(posted), "df")
+    store.save_side("term_df", repo, df)
+    store.save_side("impact_levels", repo, index.impact_levels(posted, df))
+    discard(termed)
+
+
 def derive(store: Store, repo: str) -> None:
     """Writes all tables that come from a repo's sections."""
     rows = store.load("sections", repo)
-    termed = cut(index.terms(rows), "terms")
+    save_search(store, repo, rows)
     for name, table in (
-        ("postings", index.postings(termed)), ("term_df", index.term_df(termed)), ("corpus_stats", index.corpus_stats(termed)), ("glossary", mining.glossary(rows)), ("boilerplate", mining.boilerplate(rows)),
-        ("duplicates", similarity.near_duplicate_clusters(rows)), ("related", adjacency(rows)), ("tags", rows.select("id", F.explode(F.transform("tags", lambda t: F.lower(t))).alias("tag"))), ("links", index.links(rows).drop("repo")),
+        ("glossary", mining.glossary(rows)), ("boilerplate", mining.boilerplate(rows)), ("duplicates", similarity.near_duplicate_clusters(rows)), ("related", adjacency(rows)), ("links", index.links(rows).drop("repo")),
     ):
         store.save_side(name, repo, table)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import api, context, coverage, health, links, mining, search, sections, similarity, telemetry, trees
-from .plans import index, relations, shop
+from .plans import index, pipeline, relations, shop
 from .scratch import cut, shared_dir, table
 from .sources.store import Store
 
@@ -111,10 +111,8 @@ def searcher(spark, d) -> search.Searcher:
     if key not in _SEARCHERS:
         store = Store(spark, f"{shared_dir(spark).rstrip('/')}/quire/index-{uuid.uuid4().hex}")
         s = R.documents(spark, d)
-        termed = cut(index.terms(s), "terms")
-        tags = s.select("id", F.explode(F.transform("tags", lambda t: F.lower(t))).alias("tag"))
-        for name, rows in (("postings", index.postings(termed)), ("term_df", index.term_df(termed)), ("corpus_stats", index.corpus_stats(termed)), ("tags", tags), ("sections", s)):
-            store.save_side(name, "documents", rows)
+        store.save_side("sections", "documents", s)
+        pipeline.save_search(store, "documents", s)
         _SEARCHERS[key] = search.Searcher(store, "documents")
     return _SEARCHERS[key]
 

@@ -10,45 +10,51 @@ from pyspark.sql import functions as F
 
 from ..scratch import cut, read_small
 
-BUCKETS = 64
+#: Buckets of a table at least, and bytes of a bucket above which the next whole write makes more of them.
+BUCKETS, BUCKET_BYTES = 64, 256 << 20
 #: The tables of a repo, and the column whose hash deals out their rows.
 TABLES = {
     "sections": "doc_path",
     "postings": "term",
     "term_df": "term",
+    "impact_levels": "term",
     "corpus_stats": None,
     "glossary": "term",
     "boilerplate": "line",
     "duplicates": "id",
     "related": "source",
     "links": "source_doc",
+    "tree": "id",
     "tags": "tag",
     "embeddings": "content_hash",
     "canary": None,
     "roots": None,
 }
+#: How rows lie within a bucket, where that is not by key alone.
+ORDERS = {"postings": ("term", "level")}
 
 
-def bucket_of(key):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def bucket_of(key, buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def buckets_of(spark: SparkSession, keys: list[str]) -> set[str]:
-    """The buckets of some values of a key; 64 at most. The engine's hash is worked out here where the library for it is there."""
+def buckets_of(spark: SparkSession, keys: list[str], buckets: int = BUCKETS) -> set[str]:
+    """The buckets of some values of a key. The engine's hash is worked out here where the library for it is there."""
     try:
         import xxhash
     except ImportError:
-        rows = spark.createDataFrame([(k,) for k in keys], "k string").select(bucket_of("k").alias("b")).distinct().collect()
+        rows = spark.createDataFrame([(k,) for k in keys], "k string").select(bucket_of("k", buckets).alias("b")).distinct().collect()
         return {str(r["b"]) for r in rows}
     signed = (int.from_bytes(xxhash.xxh64_digest(k.encode(), seed=42), "big", signed=True) for k in keys)
-    return {str(h % BUCKETS) for h in signed}
+    return {str(h % buckets) for h in signed}
 
 
 class Store:
     """Tables of an index under one folder.
 
     Rows of a table and a repo lie in buckets, by a hash of the table's key, so an update rewrites only the buckets that
-    hold changed documents, and a search reads only those of its terms. A write goes to a new version folder. A small
+    hold changed documents, and a search reads only those of its terms. How many buckets there are follows the size of a table,
+    whenever it is written whole, and stands in its pointer; a large bucket is written by several tasks. A write goes to a new version folder. A small
     pointer file, which says for each bucket the version that counts, is replaced last, in one step: readers see the
     rows of before or those of after, whenever a writer fails. What a swap leaves behind is deleted by the next one, so
     readers that have begun can end."""
@@ -87,14 +93,14 @@ class Store:
         context.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
 
     def _pointer(self, name: str, repo: str) -> dict:
-        """repo, buckets (number: version) and left (folders to delete)."""
-        return self._get(self._pointer_at(name, repo), {"repo": repo, "buckets": {}, "left": []})
+        """repo, buckets (number: version), of (how many there can be), bytes (when it was last written whole) and left (folders to delete)."""
+        return {"of": BUCKETS, "bytes": 0} | self._get(self._pointer_at(name, repo), {"repo": repo, "buckets": {}, "left": []})
 
-    def _swap(self, name: str, repo: str, buckets: dict[str, str]) -> None:
+    def _swap(self, name: str, repo: str, buckets: dict[str, str], of: int | None = None, size: int | None = None) -> None:
         """From now on these versions count; folders that the last swap left are deleted."""
         old = self._pointer(name, repo)
         gone = [f"{version}/bucket={b}" for b, version in old["buckets"].items() if buckets.get(b) != version]
-        self._put(self._pointer_at(name, repo), {"repo": repo, "buckets": buckets, "left": gone})
+        self._put(self._pointer_at(name, repo), {"repo": repo, "buckets": buckets, "left": gone, "of": of or old["of"], "bytes": old["bytes"] if size is None else size})
         for folder in old["left"]:
             self._remove(f"{self._folder(name, repo)}/{folder}")
 
@@ -115,9 +121,10 @@ class Store:
 
     def load(self, name: str, repo: str | None = None, keys: list[str] | None = None, schema=None) -> DataFrame | None:
         """A table, or None where there is none. With values of the table's key, only their buckets are read; a known schema saves looking it up."""
-        wanted = None if keys is None else buckets_of(self.spark, keys)
-        paths = [f"{self._folder(name, p['repo'])}/{version}/bucket={b}" for p in self._pointers(name, repo) for b, version in p["buckets"].items() if wanted is None or b in wanted]
-        if not paths and wanted is not None:
+        pointers = self._pointers(name, repo)
+        wanted = {} if keys is None else {of: buckets_of(self.spark, keys, of) for of in {p["of"] for p in pointers}}
+        paths = [f"{self._folder(name, p['repo'])}/{version}/bucket={b}" for p in pointers for b, version in p["buckets"].items() if keys is None or b in wanted[p["of"]]]
+        if not paths and keys is not None:
             whole = self.load(name, repo)
             return None if whole is None else whole.limit(0)
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
@@ -156,40 +163,51 @@ class Store:
     def keep_weights(self, weights: dict[str, float]) -> None:
         self._put(f"{self.path}/_weights.json", self.weights() | weights)
 
-    def _write(self, rows: DataFrame, name: str, repo: str) -> dict[str, str]:
-        """Writes a repo's rows as a new version; the buckets it has."""
+    def _write(self, rows: DataFrame, name: str, repo: str, of: int) -> tuple[dict[str, str], int]:
+        """Writes a repo's rows as a new version; the buckets it has, and its bytes."""
         version = uuid.uuid4().hex
         path, key = f"{self._folder(name, repo)}/{version}", TABLES[name]
-        dealt = rows.withColumns({"repo": F.lit(repo), "bucket": bucket_of(key) if key else F.lit(0)})
-        # sorted, so that a reader skips what lies outside the keys it looks for
-        dealt.repartition("bucket").sortWithinPartitions("bucket", *([key] if key else [])).write.partitionBy("bucket").parquet(path)
+        dealt = rows.withColumns({"repo": F.lit(repo), "bucket": bucket_of(key, of) if key else F.lit(0)})
+        # large buckets are split among tasks; rows are sorted, so that a reader skips what lies outside the keys it looks for
+        order = ORDERS.get(name, (key,) if key else ())
+        dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
         fs, where = self._open(path)
         names = [f.getPath().getName() for f in fs.listStatus(where)]
-        return {n.removeprefix("bucket="): version for n in names if n.startswith("bucket=")}
+        return {n.removeprefix("bucket="): version for n in names if n.startswith("bucket=")}, fs.getContentSummary(where).getLength()
+
+    def _whole(self, rows: DataFrame, name: str, repo: str) -> None:
+        """Replaces a repo's part of a table, with as many buckets as its last size asks for."""
+        old = self._pointer(name, repo)
+        of = BUCKETS
+        while of * BUCKET_BYTES < old["bytes"]:
+            of *= 2
+        buckets, size = self._write(rows, name, repo, of)
+        self._swap(name, repo, buckets, of, size)
 
     def save(self, sections: DataFrame) -> None:
         """Replaces the sections of the repos in ``sections``."""
         for r in sections.select("repo").distinct().collect():  # the repos of one call
-            self._swap("sections", r[0], self._write(sections.filter(F.col("repo") == r[0]), "sections", r[0]))
+            self._whole(sections.filter(F.col("repo") == r[0]), "sections", r[0])
 
     def save_incremental(self, repo: str, changed: DataFrame, gone: DataFrame) -> None:
         """Replaces documents: ``changed`` has new rows of sections, ``gone`` the doc_path of documents that are no more.
 
         Only buckets with such documents are read and written again."""
         out = gone.select("doc_path").unionByName(changed.select("doc_path")).distinct()
-        touched = [str(r[0]) for r in out.select(bucket_of("doc_path")).distinct().collect()]  # 64 at most
-        now = self._pointer("sections", repo)["buckets"]
+        pointer = self._pointer("sections", repo)
+        now, of = pointer["buckets"], pointer["of"]
+        touched = [str(r[0]) for r in out.select(bucket_of("doc_path", of)).distinct().collect()]  # as many as there are buckets
         paths = [f"{self._folder('sections', repo)}/{now[b]}/bucket={b}" for b in touched if b in now]
         fresh = changed
         if paths:
             old = self.spark.read.parquet(*paths)
             fresh = changed.unionByName(old.join(out, "doc_path", "left_anti"), allowMissingColumns=True)
-        new = self._write(fresh, "sections", repo)
+        new, _ = self._write(fresh, "sections", repo, of)
         self._swap("sections", repo, {b: v for b, v in now.items() if b not in touched} | new)
 
     def save_side(self, name: str, repo: str, rows: DataFrame) -> None:
         """Replaces a repo's part of a table that is derived from sections."""
-        self._swap(name, repo, self._write(rows, name, repo))
+        self._whole(rows, name, repo)
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Adds to a ledger: calls, ranking events, replays."""
