@@ -5,7 +5,8 @@ into cells of ``WIDTH`` times the threshold's distance. Each table joins several
 number of vectors (unrelated vectors, at right angles, should rarely share a bucket), and the number of tables follows
 from the recall wanted for pairs right at the threshold; pairs above it are found more often. A pair in one bucket is
 first held against 128 signs of random projections (five standard deviations of room), then its cosine is worked out in
-double precision. A pair that shares buckets in several tables counts in the first of them only. Vectors of one length
+double precision. Rows whose unit vectors are the same form a class, which stands for its copies from then on and counts as often as it has
+rows, so copies of one vector cost nothing beyond the first. A pair that shares buckets in several tables counts in the first of them only. Vectors of one length
 are compared with each other; the length is part of the bucket.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import buckets
 from .components import components
-from .scratch import bounded_batches, cut, table
+from .scratch import bounded_batches, cut, settled, table
 
 COSINE, WIDTH, RECALL, SEED = 0.9, 4.0, 0.97, 11
 MOST_TABLES = 200
@@ -90,6 +91,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = RECALL
             yield at, x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def hashed(batches):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
@@ -105,9 +108,13 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = RECALL
                     bits = np.packbits(x @ signs > 0, axis=1)
                     flat = keys(x).ravel()
                     listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables), pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at)), listed, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "keys", "sketch", "data"])
+                    data = [r.tobytes() for r in x + 0.0]  # no negative zeros
+                    digests = pa.array([hashlib.blake2b(d, digest_size=16).digest() for d in data], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at)), digests, listed, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(data, pa.binary())], ["id", "same", "keys", "sketch", "data"])
 
-    items = cut(usable.select("id", "v").mapInArrow(hashed, "id bigint, keys array<bigint>, sketch binary, data binary"), "hashed")
+    every = cut(usable.select("id", "v").mapInArrow(hashed, "id bigint, same binary, keys array<bigint>, sketch binary, data binary"), "hashed")
+    classes = cut(every.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
+    items = cut(every.join(classes.select("id", "weight"), "id"), "items")
     far = math.acos(cosine) / math.pi
     most = 128 * far + 5 * math.sqrt(128 * far * (1 - far))
 
@@ -145,14 +152,15 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, recall: float = RECALL
         return ok
 
     found = buckets.units(buckets.tasks(items.select("id", "keys")), items.select("id", "sketch"), keep)
-    linked = cut(buckets.links(found, items.select("id", F.lit(1).cast("long").alias("weight"), "data"), verify), "links")
-    counts = linked.groupBy("id").agg(F.sum("n").alias("n_links"))
-    groups = components(linked.select("id", "root"), "id", "root")
-    out = marked.select("vec_id", "id").join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = out.filter("n_links IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    linked = cut(buckets.links(found, items.select("id", "weight", "data"), verify), "links")
+    counts = linked.groupBy("id").agg(F.sum("n").alias("others"))
+    groups = components(linked.select("id", "root"), "id", "root").withColumnRenamed("node", "id")
+    known = classes.join(counts, "id", "left").join(groups, "id", "left").select("same", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    out = marked.select("vec_id", "id").join(every.select("id", "same"), "id", "left").join(known, "same", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    named = out.filter("n_links > 0").groupBy("component").agg(F.min("vec_id").alias("component_id"))
     out = out.join(named, "component", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return settled(spark, lambda: near_vectors(table(spark, sf_dir, "embeddings")), "vectors")

@@ -40,3 +40,14 @@ def test_lengths_are_compared_among_themselves(spark):
     want = {i: (0, i) for i in range(1, 14)} | {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 6: (1, 6), 7: (1, 6)}
     assert got == want
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_copies_of_a_vector_are_one_class(spark):
+    """6,000 copies, in two scales that have one unit vector, cost no more than one: all pairs would be 18 million cosines in every table."""
+    rng = np.random.default_rng(5)
+    one, near = rng.standard_normal(16), rng.standard_normal(16)
+    near = one + 0.1 * near
+    rows = [(i, (one * (2 if i % 2 else 1)).tolist()) for i in range(10, 6010)] + [(3, near.tolist()), (9000, near.tolist()), (5, (-one).tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    assert got[5] == (0, 5, True) and got[3] == (6001, 3, True) and got[9000] == (6001, 3, False)
+    assert {got[i] for i in range(10, 6010)} == {(6001, 3, False)}
