@@ -95,7 +95,9 @@ class Searcher:
     """Searches of one repo in a store, from the postings with impacts written when it was indexed.
 
     Postings lie by term and by impact, in blocks of nearly equal impact. What every search needs and is bounded is read
-    once: the corpus statistics, and for the ``TOP_TERMS`` commonest terms their frequency and the extremes of their blocks.
+    once: the corpus statistics, and for the ``TOP_TERMS`` commonest terms their frequency and the sizes of their blocks.
+    Blocks are cut by the mean lengths of when the index was made; as these drift, so do the bounds of the blocks, by no
+    more than the ratio of the means, and scores are always worked out with the present means.
     The k-th best score is at least what k sections get from one term alone. A section in a block cannot be among the
     best if the block's most, and the most of all other terms and of the tags, stay under that. Such blocks are
     not read, and all others are, so the sections found have their whole scores: the rows are those of ``lexical_search``."""
@@ -103,10 +105,18 @@ class Searcher:
     def __init__(self, store, repo: str):
         self.store, self.repo = store, repo
         self.stats = store.load("corpus_stats", repo).first()
-        self.df = {r["term"]: r["df"] for r in store.load("term_df", repo).collect()}
+        top = store.load("term_counts", repo)
+        top = cut(index.top_terms(top), "top") if top is not None else None
+        self.df = {r["term"]: r["df"] for r in top.collect()} if top is not None else {}
         self.levels: dict[str, list] = {}
-        for r in store.load("impact_levels", repo).select("term", "level", "n", "top", "low").orderBy("term", F.desc("level")).collect():  # TOP_TERMS times STEPS times MOST_IMPACT at most
-            self.levels.setdefault(r["term"], []).append(r)
+        if top is not None:
+            blocks = store.load("level_counts", repo).join(top.select("term"), "term", "left_semi").groupBy("term", "level").agg(F.sum("n").alias("n")).filter("n > 0")
+            for r in blocks.orderBy("term", F.desc("level")).collect():  # TOP_TERMS times STEPS times MOST_IMPACT at most
+                self.levels.setdefault(r["term"], []).append((r["level"], r["n"]))
+        self.average = index.averages(self.stats)
+        base = index.averages({f"avg_{f}": self.stats[f"base_{f}"] for f in index.FIELDS[:3]})
+        drift = [self.average[f] / base[f] for f in index.FIELDS]
+        self.highest, self.lowest = max(1.0, *drift), min(1.0, *drift)
         self.schemas = {name: t.schema for name in ("postings", "sections", "tags") if (t := store.load(name, repo)) is not None}
         self.last: dict[str, int] = {}
 
@@ -122,30 +132,36 @@ class Searcher:
         found = {t: wanted.count(t) * rare(self.df.get(t, 1)) for t in dict.fromkeys(wanted)}
         return {t: w for t, w in found.items() if w > 0}
 
-    def _reaching(self, term: str, k: int):
-        """The block of a term with which its k best postings are complete, or None."""
+    def _most(self, level: int) -> float:
+        return (level + 1) / index.STEPS * self.highest
+
+    def _least(self, level: int) -> float:
+        return level / index.STEPS * self.lowest
+
+    def _reaching(self, term: str, k: int) -> int | None:
+        """The level down to which a term has k postings."""
         n = 0
-        for block in self.levels.get(term, ()):
-            n += block["n"]
+        for level, size in self.levels.get(term, ()):
+            n += size
             if n >= k:
-                return block
+                return level
         return None
 
     def needed(self, weights: dict[str, float], k: int, bonus: float = 0.0, least: float = 0.0) -> dict[str, int]:
         """The lowest level to read of each term; terms of which no block can matter are left out. least: what the k-th score is known to reach."""
-        most = {t: w * (self.levels[t][0]["top"] if t in self.levels else MOST_IMPACT) for t, w in weights.items()}
-        least = max([least, *(w * b["low"] for t, w in weights.items() if (b := self._reaching(t, k)) is not None)])
+        most = {t: w * (self._most(self.levels[t][0][0]) if t in self.levels else MOST_IMPACT) for t, w in weights.items()}
+        least = max([least, *(w * self._least(level) for t, w in weights.items() if (level := self._reaching(t, k)) is not None)])
         out = {}
         for t, w in weights.items():
             wanted = (least - bonus - (sum(most.values()) - most[t])) / w - SLIP
-            kept = [b["level"] for b in self.levels[t] if b["top"] >= wanted] if t in self.levels else [0]
+            kept = [level for level, _ in self.levels[t] if self._most(level) >= wanted] if t in self.levels else [0]
             if kept:
                 out[t] = kept[-1]
         return out
 
-    def _read(self, needed: dict[str, int]) -> int:
-        """Postings that lie in the blocks needed, of the terms whose blocks are known."""
-        return sum(b["n"] for t, low in needed.items() for b in self.levels.get(t, ()) if b["level"] >= low)
+    def _sizes(self, needed: dict[str, int]) -> list[int]:
+        """Sizes of the blocks needed, of the terms whose blocks are known."""
+        return [n for t, low in needed.items() for level, n in self.levels.get(t, ()) if level >= low]
 
     def _scored(self, weights: dict[str, float], needed: dict[str, int], words: list[str]) -> DataFrame:
         """id, score over the blocks needed. Weights are looked up in constant maps, so all searches share one compiled plan."""
@@ -155,9 +171,9 @@ class Searcher:
         held = lambda values, t: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), t)
         posted = self._load("postings", list(needed)).filter(F.col("term").isin(*needed) & (F.col("level") >= min(needed.values())))
         posted = posted.filter(F.col("level") >= held(needed, F.col("term")))
-        if self._read(needed) <= ONE_TASK:
+        if sum(self._sizes(needed)) <= ONE_TASK:
             posted = posted.coalesce(1)
-        scored = posted.groupBy("id").agg(F.sum(F.col("impact") * held({t: weights[t] for t in needed}, F.col("term"))).alias("score")).filter("score > 0")
+        scored = posted.groupBy("id").agg(F.sum(index.impact(self.average) * held({t: weights[t] for t in needed}, F.col("term"))).alias("score")).filter("score > 0")
         if "tags" not in self.schemas or not words:
             return scored
         bonus = self._load("tags", words).filter(F.col("tag").isin(*words)).groupBy("id").agg((0.5 * F.count("*")).alias("bonus"))
@@ -173,12 +189,12 @@ class Searcher:
         weights, words = self.weights(query), list(dict.fromkeys(query.lower().split()))
         bonus = 0.5 * min(len(words), self.stats["most_tags"] or 0) if "tags" in self.schemas else 0.0
         needed = self.needed(weights, k, bonus)
-        if self._read(needed) > PROBE:
-            first = {t: b["level"] if (b := self._reaching(t, 4 * k)) is not None else 0 for t in needed}
+        if sum(self._sizes(needed)) > PROBE:
+            first = {t: self._reaching(t, 4 * k) or 0 for t in needed}
             seen = _top(self._scored(weights, first, []).select("id", "score"), k).collect()  # k at most
             needed = self.needed(weights, k, bonus, seen[-1]["score"] if len(seen) == k else 0.0)
-        known = [b for t in weights for b in self.levels.get(t, ())]
-        self.last = {"blocks": len(known), "blocks_read": sum(b["level"] >= low for t, low in needed.items() for b in self.levels.get(t, ())), "postings": sum(b["n"] for b in known), "postings_read": self._read(needed)}
+        known, read = self._sizes(dict.fromkeys(weights, 0)), self._sizes(needed)
+        self.last = {"blocks": len(known), "blocks_read": len(read), "postings": sum(known), "postings_read": sum(read)}
         return _top(self._scored(weights, needed, words).select("id", F.round("score", 6).alias("score")), k)
 
     def search(self, query: str, max_results: int = 10) -> DataFrame:

@@ -60,34 +60,56 @@ def postings(termed: DataFrame) -> DataFrame:
     return out.groupBy("term", "id", "field").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def impacts(termed: DataFrame, stats) -> DataFrame:
-    """term, id, impact, level, own: what a term adds to a section's score before the query weighs it, over all fields.
+def search_stats(termed: DataFrame, old=None, gone: DataFrame | None = None) -> dict[str, float]:
+    """n_sections, the sum and mean of each field's terms, and base: the means that blocks of postings are cut by. With an ``old`` row and
+    the terms of sections that are ``gone`` the new ones are added to what there was, and base stays."""
+    def sums(t):
+        return t.agg(F.count("*").alias("n_sections"), *[F.coalesce(F.sum(F.size(f)), F.lit(0)).alias(f"sum_{f}") for f in FIELDS[:3]]).first().asDict()
+
+    out = sums(termed)
+    if old is not None:
+        less = sums(gone)
+        out = {k: old[k] + v - less[k] for k, v in out.items()}
+    out |= {f"avg_{f}": out[f"sum_{f}"] / out["n_sections"] if out["n_sections"] else 0.0 for f in FIELDS[:3]}
+    return out | {f"base_{f}": out[f"avg_{f}"] if old is None else old[f"base_{f}"] for f in FIELDS[:3]}
+
+
+def impact(average: dict[str, float]) -> Column:
+    """What a posting adds to its section's score before the query weighs it, over all fields."""
+    total = F.lit(0.0)
+    for i, f in enumerate(FIELDS):
+        total = total + F.when(F.col(f"tf{i}") > 0, WEIGHTS[f] * bm25_part(F.col(f"tf{i}"), F.col(f"dl{i}"), F.lit(average[f]))).otherwise(0.0)
+    return total
+
 
-    level: the impact in steps of 1 / ``STEPS``; the postings of a term and level are a block, and lie together where they are
-    stored. own: the term stands in a field of the section's own, so it counts in document frequencies. One grouping
-    takes all fields: a section's terms are counted before they are moved."""
-    average = averages(stats)
+def blocked_postings(termed: DataFrame, base: dict[str, float]) -> DataFrame:
+    """term, id, level, own, and a term's number and the length of each field (tf0 to dl3): one row for a term of a section.
+
+    level: the impact under the base means in steps of 1 / ``STEPS``; the postings of a term and level are a block, and lie together
+    where they are stored. own: the term stands in a field of the section's own, so it counts in document frequencies.
+    One grouping takes all fields: a section's terms are counted before they are moved."""
     fields = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("terms")) for i, f in enumerate(FIELDS)])
     each = termed.select("id", F.explode(fields).alias("x")).select("id", "x.f", F.size("x.terms").alias("dl"), F.explode("x.terms").alias("term"))
-    tf, dl = (lambda i: F.count_if(F.col("f") == i)), (lambda i: F.max(F.when(F.col("f") == i, F.col("dl"))))
+    tf, dl = (lambda i: F.count_if(F.col("f") == i).cast("int")), (lambda i: F.max(F.when(F.col("f") == i, F.col("dl"))))
     counted = each.groupBy("term", "id").agg(*[x for i in range(len(FIELDS)) for x in (tf(i).alias(f"tf{i}"), dl(i).alias(f"dl{i}"))])
-    impact = F.lit(0.0)
-    for i, f in enumerate(FIELDS):
-        impact = impact + F.when(F.col(f"tf{i}") > 0, WEIGHTS[f] * bm25_part(F.col(f"tf{i}"), F.col(f"dl{i}"), F.lit(average[f]))).otherwise(0.0)
     own = F.col("tf0") + F.col("tf1") + F.col("tf2") > 0
-    return counted.select("term", "id", impact.alias("impact"), own.alias("own")).withColumn("level", F.floor(F.col("impact") * STEPS).cast("int"))
+    numbers = [f"{k}{i}" for i in range(len(FIELDS)) for k in ("tf", "dl")]
+    return counted.select("term", "id", F.floor(impact(base) * STEPS).cast("int").alias("level"), own.alias("own"), *numbers)
 
 
-def impact_df(posted: DataFrame, top: int | None = TOP_TERMS) -> DataFrame:
-    """``term_df`` from postings with impacts."""
-    counted = posted.filter("own").groupBy("term").agg(F.count("*").alias("df"))
-    return counted.orderBy(F.desc("df"), "term").limit(top) if top else counted
+def term_counts(posted: DataFrame, sign: Column | None = None) -> DataFrame:
+    """term, df from blocked postings; with a sign for each, what they add and take away."""
+    return posted.filter("own").groupBy("term").agg(F.sum(F.lit(1) if sign is None else sign).alias("df")).filter("df <> 0")
+
+
+def level_counts(posted: DataFrame, sign: Column | None = None) -> DataFrame:
+    """term, level, n: the sizes of the blocks."""
+    return posted.groupBy("term", "level").agg(F.sum(F.lit(1) if sign is None else sign).alias("n")).filter("n <> 0")
 
 
-def impact_levels(posted: DataFrame, df: DataFrame) -> DataFrame:
-    """term, level, n, top, low: the blocks of the commonest terms, with the most and the least of their impacts."""
-    blocks = posted.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.min("impact").alias("low"))
-    return blocks.join(df.select("term"), "term", "left_semi")
+def top_terms(counts: DataFrame, top: int = TOP_TERMS) -> DataFrame:
+    """The most common terms, from counts that may lie in several rows; ties by term."""
+    return counts.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").orderBy(F.desc("df"), "term").limit(top)
 
 
 def links(sections: DataFrame) -> DataFrame:

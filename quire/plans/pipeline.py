@@ -55,33 +55,83 @@ def adjacency(rows: DataFrame, top_n: int = 5, min_score: float = 0.6) -> DataFr
     return near.unionByName(close.select(F.col("id").alias("source"), F.col("other").alias("id"), F.lit("semantic").alias("kind"), "score"))
 
 
+def _tags(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.explode(F.transform("tags", lambda t: F.lower(t))).alias("tag"))
+
+
+def _save_stats(store: Store, repo: str, stats: dict, tags: DataFrame, most: int = 0) -> None:
+    now = tags.groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    store.save_side("corpus_stats", repo, store.spark.createDataFrame([stats | {"most_tags": max(most, now)}]))
+
+
 def save_search(store: Store, repo: str, rows: DataFrame) -> None:
-    """Writes what a search reads: postings with impacts, their blocks, frequencies, statistics and tags. Texts are taken apart once,
-    and frequencies and blocks are counted from the postings that were written."""
+    """Writes what a search reads: postings in blocks, their numbers, statistics and tags. Texts are taken apart once, and numbers
+    are counted from the postings that were written."""
     termed = cut(index.terms(rows), "terms")
-    tags = rows.select("id", F.explode(F.transform("tags", lambda t: F.lower(t))).alias("tag"))
-    most = tags.groupBy("id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most_tags"))
-    stats = cut(index.corpus_stats(termed).crossJoin(most), "stats")  # one row each
-    store.save_side("corpus_stats", repo, stats)
-    store.save_side("tags", repo, tags)
-    store.save_side("postings", repo, index.impacts(termed, stats.first()))
-    posted = store.load("postings", repo)
-    if posted is None:  # no section has a term
-        posted = index.impacts(termed, stats.first())
-    df = cut(index.impact_df(posted), "df")
-    store.save_side("term_df", repo, df)
-    store.save_side("impact_levels", repo, index.impact_levels(posted, df))
+    stats = index.search_stats(termed)
+    posted = cut(index.blocked_postings(termed, index.averages(stats)), "postings")
+    for name, table in (("postings", posted), ("tags", _tags(rows)), ("term_counts", index.term_counts(posted)), ("level_counts", index.level_counts(posted))):
+        store.save_side(name, repo, table)
+    _save_stats(store, repo, stats, _tags(rows))
     discard(termed)
-
-
-def derive(store: Store, repo: str) -> None:
-    """Writes all tables that come from a repo's sections."""
+    discard(posted)
+
+
+#: Mean lengths may drift so far from those that blocks were cut by; then blocks are cut anew.
+MOST_DRIFT = 1.25
+
+
+def amend_search(store: Store, repo: str, docs: DataFrame, before: DataFrame, after: DataFrame) -> None:
+    """Brings what a search reads up to date, from the sections of changed documents (doc_path) before and after.
+
+    Postings and tags get the new rows; those of before are dead from then on. Numbers get the differences. So what is written
+    follows the change. When too many differences have gathered, a table is written whole again."""
+    old = store.load("corpus_stats", repo).first()
+    gone, new = cut(index.terms(before), "gone"), cut(index.terms(after), "new")
+    stats = index.search_stats(new, old, gone)
+    ratios = [stats[f"avg_{f}"] / old[f"base_{f}"] if old[f"base_{f}"] else 0.0 for f in index.FIELDS[:3]]
+    if not all(1 / MOST_DRIFT <= r <= MOST_DRIFT for r in ratios):
+        save_search(store, repo, store.load("sections", repo))
+        return
+    base = index.averages({f"avg_{f}": old[f"base_{f}"] for f in index.FIELDS[:3]})
+    added = cut(index.blocked_postings(new, base), "added")
+    signed = added.withColumn("sign", F.lit(1)).unionByName(index.blocked_postings(gone, base).withColumn("sign", F.lit(-1)))
+    signed = cut(signed.select("term", "level", "own", "sign"), "signed")
+    store.amend("postings", repo, added, docs)
+    store.amend("tags", repo, _tags(after), docs)
+    store.amend("term_counts", repo, index.term_counts(signed, F.col("sign")))
+    store.amend("level_counts", repo, index.level_counts(signed, F.col("sign")))
+    _save_stats(store, repo, stats, _tags(after), old["most_tags"])
+    for x in (gone, new, added, signed):
+        discard(x)
+
+
+def derive(store: Store, repo: str, changes: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> None:
+    """Writes all tables that come from a repo's sections. ``changes``: documents (doc_path) and their sections before and after, where the
+    tables stood for the sections of before; then postings, their numbers, tags and links are amended, and only tables that hold
+    sections against each other are made anew."""
     rows = store.load("sections", repo)
-    save_search(store, repo, rows)
-    for name, table in (
-        ("glossary", mining.glossary(rows)), ("boilerplate", mining.boilerplate(rows)), ("duplicates", similarity.near_duplicate_clusters(rows)), ("related", adjacency(rows)), ("links", index.links(rows).drop("repo")),
-    ):
+    if changes is None:
+        save_search(store, repo, rows)
+        store.save_side("links", repo, index.links(rows).drop("repo"))
+    else:
+        amend_search(store, repo, *changes)
+        store.amend("links", repo, index.links(changes[2]).drop("repo"), changes[0])
+    for name, table in (("glossary", mining.glossary(rows)), ("boilerplate", mining.boilerplate(rows)), ("duplicates", similarity.near_duplicate_clusters(rows)), ("related", adjacency(rows))):
         store.save_side(name, repo, table)
+    store.mark_derived(repo)
+
+
+def replace_documents(store: Store, repo: str, built: DataFrame, gone: DataFrame) -> None:
+    """Replaces documents in the sections (``built``: new rows, a table that is written; ``gone``: doc_path) and in all that is derived from them.
+
+    If the derived tables do not stand for the sections there are, because an earlier run failed between the two, they are all made anew."""
+    docs = cut(gone.select("doc_path").unionByName(built.select("doc_path")).distinct(), "docs")
+    old = store.load("sections", repo)
+    current = old is not None and store.is_derived(repo)
+    before = cut(old.join(docs, "doc_path", "left_semi"), "before") if current else None
+    store.save_incremental(repo, built, gone)
+    derive(store, repo, (docs, before, built) if current else None)
 
 
 def index_folder(spark: SparkSession, folder: str, repo: str, store: Store, incremental: bool = True, scope: tuple[str, ...] = (), embed: Embed | None = None, **scan) -> dict[str, int]:
@@ -107,7 +157,8 @@ def index_folder(spark: SparkSession, folder: str, repo: str, store: Store, incr
             return changes
         cache = old.filter("embedding IS NOT NULL").select("content_hash", "embedding").dropDuplicates(["content_hash"])
         fresh = files.drop("file_hash").join(status.filter("status IN ('new', 'changed')").select("doc_path"), "doc_path", "left_semi")
-        store.save_incremental(repo, cut(build(spark, fresh, cut(cache, "cache"), embed), "built"), status.filter("status = 'deleted'").select("doc_path"))
+        replace_documents(store, repo, cut(build(spark, fresh, cut(cache, "cache"), embed), "built"), status.filter("status = 'deleted'").select("doc_path"))
+        return changes
     derive(store, repo)
     return changes
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..scratch import cut, read_small
 
@@ -16,8 +17,8 @@ BUCKETS, BUCKET_BYTES = 64, 256 << 20
 TABLES = {
     "sections": "doc_path",
     "postings": "term",
-    "term_df": "term",
-    "impact_levels": "term",
+    "term_counts": "term",
+    "level_counts": "term",
     "corpus_stats": None,
     "glossary": "term",
     "boilerplate": "line",
@@ -30,6 +31,11 @@ TABLES = {
     "canary": None,
     "roots": None,
 }
+#: The document of a row, in tables that are amended by document.
+_OF_ID = "regexp_extract(id, '(?s)^.*?::(.*)::', 1)"
+DOCUMENTS = {"postings": _OF_ID, "tags": _OF_ID, "links": "source_doc"}
+#: Amendments of a table, and documents that have changed by them, until it is written whole again.
+MOST_AMENDED, MOST_CHANGED = 8, 100_000
 #: How rows lie within a bucket, where that is not by key alone.
 ORDERS = {"postings": ("term", "level")}
 
@@ -93,14 +99,17 @@ class Store:
         context.rename(fs.makeQualified(fresh), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
 
     def _pointer(self, name: str, repo: str) -> dict:
-        """repo, buckets (number: version), of (how many there can be), bytes (when it was last written whole) and left (folders to delete)."""
-        return {"of": BUCKETS, "bytes": 0} | self._get(self._pointer_at(name, repo), {"repo": repo, "buckets": {}, "left": []})
+        """repo, buckets (number: versions, the first one whole and others that amend it), of (how many there can be), bytes (when it
+        was last written whole), amended (how often since then), changed (the folder of documents changed since then) and left (folders to delete)."""
+        return {"repo": repo, "buckets": {}, "left": [], "of": BUCKETS, "bytes": 0, "amended": 0, "changed": None} | self._get(self._pointer_at(name, repo), {})
 
-    def _swap(self, name: str, repo: str, buckets: dict[str, str], of: int | None = None, size: int | None = None) -> None:
+    def _swap(self, name: str, repo: str, buckets: dict[str, list[str]], **more) -> None:
         """From now on these versions count; folders that the last swap left are deleted."""
         old = self._pointer(name, repo)
-        gone = [f"{version}/bucket={b}" for b, version in old["buckets"].items() if buckets.get(b) != version]
-        self._put(self._pointer_at(name, repo), {"repo": repo, "buckets": buckets, "left": gone, "of": of or old["of"], "bytes": old["bytes"] if size is None else size})
+        new = old | more
+        gone = [f"{version}/bucket={b}" for b, versions in old["buckets"].items() for version in versions if version not in buckets.get(b, [])]
+        gone += [old["changed"]] if old["changed"] and old["changed"] != new["changed"] else []
+        self._put(self._pointer_at(name, repo), new | {"buckets": buckets, "left": gone})
         for folder in old["left"]:
             self._remove(f"{self._folder(name, repo)}/{folder}")
 
@@ -123,12 +132,24 @@ class Store:
         """A table, or None where there is none. With values of the table's key, only their buckets are read; a known schema saves looking it up."""
         pointers = self._pointers(name, repo)
         wanted = {} if keys is None else {of: buckets_of(self.spark, keys, of) for of in {p["of"] for p in pointers}}
-        paths = [f"{self._folder(name, p['repo'])}/{version}/bucket={b}" for p in pointers for b, version in p["buckets"].items() if keys is None or b in wanted[p["of"]]]
+        paths = [f"{self._folder(name, p['repo'])}/{version}/bucket={b}" for p in pointers for b, versions in p["buckets"].items() if keys is None or b in wanted[p["of"]] for version in versions]
         if not paths and keys is not None:
             whole = self.load(name, repo)
             return None if whole is None else whole.limit(0)
+        if schema is not None and name in DOCUMENTS:
+            schema = StructType([*schema.fields, StructField("amended", IntegerType())])
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(*paths) if paths else None
+        return self._live(reader.parquet(*paths), name, pointers) if paths else None
+
+    def _live(self, rows: DataFrame, name: str, pointers: list[dict]) -> DataFrame:
+        """Rows without those of documents that a later amendment has replaced."""
+        for p in pointers:
+            if p["changed"]:
+                # MOST_CHANGED documents at most
+                changed = F.broadcast(self.spark.read.schema("doc_path string, since int").parquet(f"{self._folder(name, p['repo'])}/{p['changed']}"))
+                dead = (F.expr(DOCUMENTS[name]) == F.col("doc_path")) & (F.col("amended") < F.col("since")) & (F.col("repo") == p["repo"])
+                rows = rows.join(changed, dead, "left_anti")
+        return rows.drop("amended")
 
     def load_side(self, name: str, repo: str, schema: str) -> DataFrame:
         """A table that can be made anew from sections: empty where there is none or its files cannot be read."""
@@ -163,8 +184,9 @@ class Store:
     def keep_weights(self, weights: dict[str, float]) -> None:
         self._put(f"{self.path}/_weights.json", self.weights() | weights)
 
-    def _write(self, rows: DataFrame, name: str, repo: str, of: int) -> tuple[dict[str, str], int]:
+    def _write(self, rows: DataFrame, name: str, repo: str, of: int, amended: int = 0) -> tuple[dict[str, str], int]:
         """Writes a repo's rows as a new version; the buckets it has, and its bytes."""
+        rows = rows.withColumn("amended", F.lit(amended)) if name in DOCUMENTS else rows
         version = uuid.uuid4().hex
         path, key = f"{self._folder(name, repo)}/{version}", TABLES[name]
         dealt = rows.withColumns({"repo": F.lit(repo), "bucket": bucket_of(key, of) if key else F.lit(0)})
@@ -182,7 +204,41 @@ class Store:
         while of * BUCKET_BYTES < old["bytes"]:
             of *= 2
         buckets, size = self._write(rows, name, repo, of)
-        self._swap(name, repo, buckets, of, size)
+        self._swap(name, repo, {b: [v] for b, v in buckets.items()}, of=of, bytes=size, amended=0, changed=None)
+
+    def amend(self, name: str, repo: str, rows: DataFrame, docs: DataFrame | None = None) -> None:
+        """Adds rows to a repo's part of a table, as a version of its own in the buckets that they fall in. The rows that documents of ``docs``
+        (doc_path) had before are dead from then on. After ``MOST_AMENDED`` times, or ``MOST_CHANGED`` documents, the table is written whole."""
+        p = self._pointer(name, repo)
+        now, changed = p["amended"] + 1, p["changed"]
+        buckets, _ = self._write(rows, name, repo, p["of"], now)
+        many = now >= MOST_AMENDED
+        if docs is not None:
+            since = docs.select("doc_path", F.lit(now).alias("since"))
+            if changed:
+                since = since.unionByName(self.spark.read.schema(since.schema).parquet(f"{self._folder(name, repo)}/{changed}")).groupBy("doc_path").agg(F.max("since").alias("since"))
+            changed = f"changed-{uuid.uuid4().hex}"
+            since.coalesce(1).write.parquet(f"{self._folder(name, repo)}/{changed}")  # compared with MOST_CHANGED at every step
+            many = many or self.spark.read.parquet(f"{self._folder(name, repo)}/{changed}").count() > MOST_CHANGED
+        every = {b: [*p["buckets"].get(b, []), *([buckets[b]] if b in buckets else [])] for b in {**p["buckets"], **buckets}}
+        self._swap(name, repo, every, amended=now, changed=changed)
+        if many:
+            whole = self.load(name, repo)
+            if name == "term_counts":
+                whole = whole.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+            elif name == "level_counts":
+                whole = whole.groupBy("term", "level").agg(F.sum("n").alias("n")).filter("n <> 0")
+            self._whole(whole.drop("bucket", "repo"), name, repo)
+
+    def _state(self, repo: str) -> dict:
+        return {"sections": self._pointer("sections", repo)["buckets"]}
+
+    def mark_derived(self, repo: str) -> None:
+        """Notes that the derived tables stand for the sections there are."""
+        self._put(f"{self.path}/_derived/{_escaped(repo)}.json", self._state(repo))
+
+    def is_derived(self, repo: str) -> bool:
+        return self._get(f"{self.path}/_derived/{_escaped(repo)}.json", {}) == self._state(repo)
 
     def save(self, sections: DataFrame) -> None:
         """Replaces the sections of the repos in ``sections``."""
@@ -197,13 +253,13 @@ class Store:
         pointer = self._pointer("sections", repo)
         now, of = pointer["buckets"], pointer["of"]
         touched = [str(r[0]) for r in out.select(bucket_of("doc_path", of)).distinct().collect()]  # as many as there are buckets
-        paths = [f"{self._folder('sections', repo)}/{now[b]}/bucket={b}" for b in touched if b in now]
+        paths = [f"{self._folder('sections', repo)}/{version}/bucket={b}" for b in touched for version in now.get(b, [])]
         fresh = changed
         if paths:
             old = self.spark.read.parquet(*paths)
             fresh = changed.unionByName(old.join(out, "doc_path", "left_anti"), allowMissingColumns=True)
         new, _ = self._write(fresh, "sections", repo, of)
-        self._swap("sections", repo, {b: v for b, v in now.items() if b not in touched} | new)
+        self._swap("sections", repo, {b: v for b, v in now.items() if b not in touched} | {b: [v] for b, v in new.items()})
 
     def save_side(self, name: str, repo: str, rows: DataFrame) -> None:
         """Replaces a repo's part of a table that is derived from sections."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.pipeline import build, derive
+from ..plans.pipeline import build, replace_documents
 from ..scratch import cut
 from ..sources.store import Store
 
@@ -22,8 +22,7 @@ def index_stream(spark: SparkSession, folder: str, repo: str, store: Store, chec
         order = F.struct("at", (~F.coalesce("deleted", F.lit(False))).alias("live"), "raw", "deleted")
         latest = cut(batch.groupBy("doc_path").agg(F.max(order).alias("e")).select("doc_path", "e.raw", "e.deleted"), "batch")
         live = latest.filter("NOT coalesce(deleted, false)").select(F.lit(repo).alias("repo"), "doc_path", "raw")
-        store.save_incremental(repo, cut(build(spark, live), "built"), latest.filter("deleted").select("doc_path"))
-        derive(store, repo)
+        replace_documents(store, repo, cut(build(spark, live), "built"), latest.filter("deleted").select("doc_path"))
 
     return arriving.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

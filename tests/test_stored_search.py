@@ -39,11 +39,14 @@ def test_whole_scores_are_those_of_a_search_without_an_index(spark, searcher):
 
 
 def test_blocks_that_cannot_matter_are_skipped(searcher):
-    block = lambda level, n: {"level": level, "n": n, "top": (level + 0.9) / 8, "low": level / 8}
     one = search.Searcher.__new__(search.Searcher)
-    one.levels = {"a": [block(80, 5), block(40, 20), block(3, 1000)], "b": [block(8, 5), block(2, 500)]}
+    one.levels = {"a": [(80, 5), (40, 20), (3, 1000)], "b": [(8, 5), (2, 500)]}
+    one.highest = one.lowest = 1.0
     assert one.needed({"a": 2.0}, 10) == {"a": 40}
     assert one.needed({"a": 2.0, "b": 0.1}, 10) == {"a": 40, "b": 2}  # sections of a's blocks may have any posting of b
     assert one.needed({"a": 2.0, "b": 0.1}, 10, bonus=10.0) == {"a": 3, "b": 2}
     assert one.needed({"a": 2.0, "new": 1.0}, 10) == {"a": 3, "new": 0}
-    assert one.needed({"a": 2.0, "new": 1.0}, 10, least=60.0) == {}  # nothing reaches it
+    assert one.needed({"a": 2.0, "new": 1.0}, 10, least=60.0) == {"new": 0}  # a term whose blocks are not known is read whole
+    one.highest, one.lowest = 1.25, 0.5  # the means have drifted
+    assert one.needed({"a": 2.0}, 10) == {"a": 40} and one.needed({"a": 2.0}, 10, least=12.0) == {"a": 40}
+    assert one.needed({"a": 2.0}, 10, least=13.0) == {"a": 80}
