@@ -73,44 +73,64 @@ def most_linked(sections: DataFrame, links: DataFrame, k: int = 10) -> DataFrame
     return inbound_counts(sections, links).filter("inbound > 0").orderBy(F.desc("inbound"), "doc_path").limit(k)
 
 
-def impact(links: DataFrame, doc_path: str, slug: str = "", max_depth: int = 3, most: int | None = MAX_IMPACT) -> DataFrame:
-    """depth, doc_path, section_id, via, link_kind: documents from which the document can be reached, by how far away.
+def impact_each(links: DataFrame, sources: DataFrame, max_depth: int = 3, most: int | None = MAX_IMPACT) -> DataFrame:
+    """source, depth, doc_path, section_id, via, link_kind: for each of many sources (source, doc_path, slug) the documents from which
+    its document can be reached, by how far away. All sources walk together: one join of their frontiers with the links a level.
 
-    One join of the frontier with the links a level; a document counts where it is met first, through its first link.
-    As in the listing that users see, each of the direct and the further documents stops at ``most``; None gives them all."""
+    A document counts where it is met first, through its first link. As in the listing that users see, each of the direct
+    and the further documents of a source stops at ``most``; None gives them all. A source without links has no rows."""
     from ..scratch import cut
 
-    spark = links.sparkSession
     into = links.filter("resolved IS NOT NULL AND resolved <> source_doc").select("resolved", "source_doc", "source_section_id", "seq", "ref_at", "anchor")
-    leaf = paths.leaf_of(F.lit(slug.lower()))
-    frontier = spark.createDataFrame([(doc_path,)], "doc string")
-    seen, out = frontier, None
+    frontier = sources.select("source", F.col("doc_path").alias("doc"), F.when(F.coalesce("slug", F.lit("")) != "", paths.leaf_of(F.lower("slug"))).alias("leaf"))
+    seen, out = frontier.select("source", "doc"), None
     for depth in range(1, max(1, max_depth) + 1):
-        met = into.join(frontier, F.col("resolved") == F.col("doc")).join(seen.select(F.col("doc").alias("s")), F.col("source_doc") == F.col("s"), "left_anti")
-        first = F.row_number().over(W.partitionBy("source_doc").orderBy("seq", "ref_at", "resolved"))
-        kind = F.when(F.lit(depth == 1 and bool(slug)) & (F.col("anchor") != "") & F.contains(F.lower("anchor"), leaf), "anchor").otherwise("doc")
-        step = met.withColumn("rn", first).filter("rn = 1").select(F.lit(depth).alias("depth"), F.col("source_doc").alias("doc_path"), F.col("source_section_id").alias("section_id"), F.col("resolved").alias("via"), kind.alias("link_kind"))
-        step = cut(step.orderBy("doc_path").limit(most) if most else step, "impact")
+        known = seen.select(F.col("source").alias("s_source"), F.col("doc").alias("s_doc"))
+        met = into.join(frontier, F.col("resolved") == F.col("doc")).join(known, (F.col("source") == F.col("s_source")) & (F.col("source_doc") == F.col("s_doc")), "left_anti")
+        first = F.row_number().over(W.partitionBy("source", "source_doc").orderBy("seq", "ref_at", "resolved"))
+        kind = F.when(F.col("leaf").isNotNull() & (F.col("anchor") != "") & F.contains(F.lower("anchor"), F.col("leaf")), "anchor").otherwise("doc")
+        step = met.withColumn("rn", first).filter("rn = 1").select("source", F.lit(depth).alias("depth"), F.col("source_doc").alias("doc_path"), F.col("source_section_id").alias("section_id"), F.col("resolved").alias("via"), kind.alias("link_kind"))
+        if most:
+            step = step.withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy("doc_path"))).filter(F.col("rn") <= most).drop("rn")
+        step = cut(step, "impact")
         out = step if out is None else out.unionByName(step)
-        frontier = step.select(F.col("doc_path").alias("doc"))
-        seen = seen.unionByName(frontier)
+        frontier = step.select("source", F.col("doc_path").alias("doc"), F.lit(None).cast("string").alias("leaf"))
+        seen = seen.unionByName(frontier.select("source", "doc"))
     if not most:
         return out
-    direct, further = out.filter("depth = 1"), out.filter("depth > 1").orderBy("depth", "doc_path").limit(most)
-    return direct.unionByName(further)
+    place = F.row_number().over(W.partitionBy("source", F.col("depth") == 1).orderBy("depth", "doc_path"))
+    return out.withColumn("rn", place).filter(F.col("rn") <= most).drop("rn")
 
 
-def blast_radius(sections: DataFrame, links: DataFrame, section_id: str, max_depth: int = 3, tutorial_count: int = 0, most: int | None = MAX_IMPACT) -> DataFrame:
-    """One row: how many documents and sections an edit of a section touches, and a score of 0 to 1.
+def _place(section_id: str) -> tuple[str, str]:
+    """Document and slug of a section's id."""
+    return section_id.split("::")[-2], section_id.split("::")[-1].rsplit("#", 1)[0]
+
+
+def impact(links: DataFrame, doc_path: str, slug: str = "", max_depth: int = 3, most: int | None = MAX_IMPACT) -> DataFrame:
+    """``impact_each`` of one document."""
+    one = links.sparkSession.createDataFrame([(0, doc_path, slug)], "source int, doc_path string, slug string")
+    return impact_each(links, one, max_depth, most).drop("source")
+
+
+def blast_radius_each(sections: DataFrame, links: DataFrame, sources: DataFrame, max_depth: int = 3, tutorial_count: int = 0, most: int | None = MAX_IMPACT) -> DataFrame:
+    """A row for each source (source, doc_path, slug): how many documents and sections an edit of it touches, and a score of 0 to 1.
 
     most: where the listing stops that the score is made of, as users know it; None counts all documents."""
-    doc_path, slug = section_id.split("::")[-2], section_id.split("::")[-1].rsplit("#", 1)[0]
-    hit = impact(links, doc_path, slug, max_depth, most)
-    counts = hit.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"), F.count_if((F.col("depth") == 1) & (F.col("link_kind") == "anchor")).alias("anchors"), F.countDistinct("doc_path").alias("docs_affected"), F.countDistinct("section_id").alias("sections_affected"))
+    hit = impact_each(links, sources, max_depth, most)
+    names = ("direct", "transitive", "anchors", "docs_affected", "sections_affected")
+    counts = hit.groupBy("source").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"), F.count_if((F.col("depth") == 1) & (F.col("link_kind") == "anchor")).alias("anchors"), F.countDistinct("doc_path").alias("docs_affected"), F.countDistinct("section_id").alias("sections_affected"))
+    every = sources.select("source").join(counts, "source", "left").select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
     total = sections.agg(F.count("*").alias("total"))
     weighted = 2.0 * tutorial_count + 1.5 * F.col("anchors") + F.col("direct") + 0.5 * F.col("transitive")
     score = F.when(F.col("total") > 0, F.round(F.least(F.lit(1.0), weighted / F.greatest(F.lit(1.0), 0.2 * F.col("total"))), 3)).otherwise(0.0)
-    return counts.crossJoin(total).select("direct", "transitive", "anchors", "docs_affected", "sections_affected", score.alias("blast_score"))
+    return every.crossJoin(total).select("source", *names, score.alias("blast_score"))  # the total is one row
+
+
+def blast_radius(sections: DataFrame, links: DataFrame, section_id: str, max_depth: int = 3, tutorial_count: int = 0, most: int | None = MAX_IMPACT) -> DataFrame:
+    """``blast_radius_each`` of one section."""
+    one = links.sparkSession.createDataFrame([(0, *_place(section_id))], "source int, doc_path string, slug string")
+    return blast_radius_each(sections, links, one, max_depth, tutorial_count, most).drop("source")
 
 
 def anchor_backlinks(links: DataFrame, section_id: str) -> DataFrame:
@@ -181,11 +201,10 @@ def delete_safe(sections: DataFrame, links: DataFrame, section_id: str, depth: i
 
 
 def risk_profile(sections: DataFrame, links: DataFrame, changed: list[str], edges: DataFrame | None = None) -> DataFrame:
-    """One row: the parts of the risk of changing sections, their weighted sum, and its level."""
-    from functools import reduce
-
-    each = [blast_radius(sections, links, c, 3).select("blast_score", "direct") for c in changed]
-    both = reduce(DataFrame.unionByName, each).agg(F.avg("blast_score").alias("blast"), F.avg("direct").alias("inbound")).crossJoin(sections.agg(F.count("*").alias("total")))
+    """One row: the parts of the risk of changing sections, their weighted sum, and its level. All changed sections walk the links together."""
+    sources = links.sparkSession.createDataFrame([(i, *_place(c)) for i, c in enumerate(changed)], "source int, doc_path string, slug string")
+    each = blast_radius_each(sections, links, sources)
+    both = each.agg(F.avg("blast_score").alias("blast"), F.avg("direct").alias("inbound")).crossJoin(sections.agg(F.count("*").alias("total")))
     named = sections.filter(F.col("id").isin(*changed)).agg((F.count_if(F.coalesce("role", F.lit("unknown")).isin(*HIGH_STAKES)) / max(1, len(changed))).alias("role"))
     docs = [c.split("::")[-2] for c in changed]
     on = (edges if edges is not None else tutorial_edges(sections)).filter(F.col("doc").isin(*docs) | F.col("next").isin(*docs))
