@@ -25,6 +25,7 @@ ROLE_PATTERNS = (
 # Verbs that open an instruction; the second group counts for answerability only.
 VERBS = "install|configure|set|run|create|update|delete|deploy|build|enable|disable|add|remove|verify|check|open|close|copy|paste|click|select|navigate|generate|sign|register|connect|export|import"
 MORE_VERBS = "use|call|invoke|pass|return|ensure|launch|start|stop|restart"
+# The patterns of steps, questions, definitions, bold terms, pointers elsewhere, links, addresses and tags.
 STEP, QUESTION, FENCE = r"(?m)^\s*\d+[.)]\s+\S", r"(?m)\?\s*$", r"(?m)^```"
 DEFINITION = r"(?i)\b(?:is|are|means|refers to|stands for|defined as|denotes|represents)\b"
 BOLD_TERM = r"\*\*([A-Za-z][A-Za-z0-9 _\-./]{1,80})\*\*\s*[—–\-:]\s*\S"

@@ -12,6 +12,7 @@ from ..functions import text
 from . import search
 
 LINE_CHARS = (8, 240)
+# Fixed value: the pattern of a definition in bold.
 BOLD_DEFINITION = r"(?m)^\s*\*\*([A-Za-z][A-Za-z0-9 _\-./]{1,80})\*\*\s*[—–\-:]\s+(.{4,400}?)$"
 # What opens a comment line, by language.
 COMMENT_MARKS = {

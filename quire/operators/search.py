@@ -218,14 +218,15 @@ def lexical_search_each(sections: DataFrame, asked: DataFrame, max_results: int
     dealt = termed.repartition("id")
     field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in index.FIELDS])).alias("f")
     each = dealt.select("id", field).select("id", "f.field", F.size("f.terms").alias("dl"), F.explode("f.terms").alias("term"))
-    posted = each.join(F.broadcast(known.select("term").distinct()), "term", "left_semi").groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+    # how the query set's terms meet the texts is left to the optimizer, which knows the size of their table
+    posted = each.join(known.select("term").distinct(), "term", "left_semi").groupBy("id", "field", "dl", "term").agg(F.count("*").alias("tf"))
     avg = {f: s[f"avg_{f}"] for f in index.FIELDS[:3]} | {"ancestors": max(s["avg_title"], 3.0)}
     average, weight = F.lit(1.0), F.lit(0.0)
     for f, w in WEIGHTS.items():
         average = F.when(F.col("field") == f, float(avg[f] or 1.0)).otherwise(average)
         weight = F.when(F.col("field") == f, w).otherwise(weight)
     part = weight * F.col("times") * idf(F.col("df"), F.lit(float(s["n_sections"]))) * bm25_part(F.col("tf"), F.col("dl"), average)
-    scored = posted.join(F.broadcast(known), "term").groupBy("id", "query").agg(F.sum(part).alias("score")).filter("score > 0")
+    scored = posted.join(known, "term").groupBy("id", "query").agg(F.sum(part).alias("score")).filter("score > 0")
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
     return scored.select("query", "id", F.round("score", 6).alias("score")).withColumn("rank", place).filter(F.col("rank") <= max_results)
 
@@ -237,11 +238,11 @@ def holders(sections: DataFrame, asked: DataFrame) -> DataFrame:
     text's longest such word are searched for the text. Texts without such a word are looked for in every section."""
     words = F.split("text", r"\s+")
     inner = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
-    asked = asked.select("query", "text", inner["word"].alias("word"))
-    rare = sorted({r["word"] for r in asked.select("word").collect() if r["word"]})
-    met = F.explode(F.array_intersect(F.split("content", r"\s+"), F.array(*[F.lit(w) for w in rare]).cast("array<string>"))).alias("word")
-    by_word = sections.select("id", "content", met).join(F.broadcast(asked.filter("word <> ''")), "word")
-    other = sections.select("id", "content").join(F.broadcast(asked.filter("word IS NULL OR word = ''")), F.contains("content", "text"))
+    asked = cut(asked.select("query", "text", inner["word"].alias("word")), "asked")
+    met = sections.select("id", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("word"))
+    near = met.join(asked.filter("word <> ''"), "word").select("id", "query", "text")
+    by_word = near.join(sections.select("id", "content"), "id")
+    other = asked.filter("word IS NULL OR word = ''").join(sections.select("id", "content"), F.contains("content", "text"))
     return by_word.filter(F.contains("content", "text")).select("query", "id").unionByName(other.select("query", "id"))
 
 
