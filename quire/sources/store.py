@@ -103,10 +103,10 @@ class Store:
         was last written whole), amended (how often since then), changed (the folder of documents changed since then) and left (folders to delete)."""
         return {"repo": repo, "buckets": {}, "left": [], "of": BUCKETS, "bytes": 0, "amended": 0, "changed": None} | self._get(self._pointer_at(name, repo), {})
 
-    def _swap(self, name: str, repo: str, buckets: dict[str, list[str]], **more) -> None:
+    def _swap(self, name: str, repo: str, buckets: dict[str, list[str]], more: dict | None = None) -> None:
         """From now on these versions count; folders that the last swap left are deleted."""
         old = self._pointer(name, repo)
-        new = old | more
+        new = old | (more or {})
         gone = [f"{version}/bucket={b}" for b, versions in old["buckets"].items() for version in versions if version not in buckets.get(b, [])]
         gone += [old["changed"]] if old["changed"] and old["changed"] != new["changed"] else []
         self._put(self._pointer_at(name, repo), new | {"buckets": buckets, "left": gone})
@@ -204,7 +204,7 @@ class Store:
         while of * BUCKET_BYTES < old["bytes"]:
             of *= 2
         buckets, size = self._write(rows, name, repo, of)
-        self._swap(name, repo, {b: [v] for b, v in buckets.items()}, of=of, bytes=size, amended=0, changed=None)
+        self._swap(name, repo, {b: [v] for b, v in buckets.items()}, {"of": of, "bytes": size, "amended": 0, "changed": None})
 
     def amend(self, name: str, repo: str, rows: DataFrame, docs: DataFrame | None = None) -> None:
         """Adds rows to a repo's part of a table, as a version of its own in the buckets that they fall in. The rows that documents of ``docs``
@@ -221,7 +221,7 @@ class Store:
             since.coalesce(1).write.parquet(f"{self._folder(name, repo)}/{changed}")  # compared with MOST_CHANGED at every step
             many = many or self.spark.read.parquet(f"{self._folder(name, repo)}/{changed}").count() > MOST_CHANGED
         every = {b: [*p["buckets"].get(b, []), *([buckets[b]] if b in buckets else [])] for b in {**p["buckets"], **buckets}}
-        self._swap(name, repo, every, amended=now, changed=changed)
+        self._swap(name, repo, every, {"amended": now, "changed": changed})
         if many:
             whole = self.load(name, repo)
             if name == "term_counts":
