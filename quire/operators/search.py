@@ -118,6 +118,10 @@ class Searcher:
         drift = [self.average[f] / base[f] for f in index.FIELDS]
         self.highest, self.lowest = max(1.0, *drift), min(1.0, *drift)
         self.schemas = {name: t.schema for name in ("postings", "sections", "tags") if (t := store.load(name, repo)) is not None}
+        tags = store.load("tags", repo)
+        counted = tags.groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(index.TOP_TERMS).collect() if tags is not None else []
+        self.tags = {r["tag"]: r["count"] for r in counted}
+        self.all_tags = len(self.tags) < index.TOP_TERMS
         self.last: dict[str, int] = {}
 
     def _load(self, name: str, keys: list[str]) -> DataFrame:
@@ -125,6 +129,10 @@ class Searcher:
         found = self.store.load(name, self.repo, keys, self.schemas[name]) if name in self.schemas else None
         return spark.createDataFrame([], "id string, tag string") if found is None else found
 
+    def tag_words(self, query: str) -> list[str]:
+        """Words of the query that are tags, or may be one where there are more tags than are known."""
+        return [w for w in dict.fromkeys(query.lower().split()) if w in self.tags or not self.all_tags]
+
     def weights(self, query: str) -> dict[str, float]:
         """The query's terms, and what an impact of one is worth for each."""
         wanted, n = query_terms(self.store.spark.range(0), query), float(self.stats["n_sections"])
@@ -171,23 +179,25 @@ class Searcher:
         held = lambda values, t: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), t)
         posted = self._load("postings", list(needed)).filter(F.col("term").isin(*needed) & (F.col("level") >= min(needed.values())))
         posted = posted.filter(F.col("level") >= held(needed, F.col("term")))
-        if sum(self._sizes(needed)) <= ONE_TASK:
-            posted = posted.coalesce(1)
-        scored = posted.groupBy("id").agg(F.sum(index.impact(self.average) * held({t: weights[t] for t in needed}, F.col("term"))).alias("score")).filter("score > 0")
-        if "tags" not in self.schemas or not words:
-            return scored
-        bonus = self._load("tags", words).filter(F.col("tag").isin(*words)).groupBy("id").agg((0.5 * F.count("*")).alias("bonus"))
-        return scored.join(bonus, "id", "left").select("id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+        parts = posted.select("id", (index.impact(self.average) * held({t: weights[t] for t in needed}, F.col("term"))).alias("part"), F.lit(0.0).alias("bonus"))
+        if words:
+            tagged = self._load("tags", words).filter(F.col("tag").isin(*words))
+            parts = parts.unionByName(tagged.select("id", F.lit(0.0).alias("part"), F.lit(0.5).alias("bonus")))
+        rare = min(self.df.values(), default=0) * sum(t not in self.levels for t in needed)  # no term that is not known stands in more sections
+        if sum(self._sizes(needed)) + rare + sum(self.tags.get(w, 0) for w in words) <= ONE_TASK and (self.all_tags or not words):
+            parts = parts.coalesce(1)
+        summed = parts.groupBy("id").agg(F.sum("part").alias("part"), F.sum("bonus").alias("bonus"))
+        return summed.filter("part > 0").select("id", (F.col("part") + F.col("bonus")).alias("score"))
 
     def scores(self, query: str) -> DataFrame:
         """id, score of all sections with a term of the query, tags counted."""
         weights = self.weights(query)
-        return self._scored(weights, {t: 0 for t in weights}, list(dict.fromkeys(query.lower().split())))
+        return self._scored(weights, {t: 0 for t in weights}, self.tag_words(query))
 
     def best(self, query: str, k: int) -> DataFrame:
         """id, score of the best k, and ``last``: blocks and postings of the query's known terms, and how many were read."""
-        weights, words = self.weights(query), list(dict.fromkeys(query.lower().split()))
-        bonus = 0.5 * min(len(words), self.stats["most_tags"] or 0) if "tags" in self.schemas else 0.0
+        weights, words = self.weights(query), self.tag_words(query)
+        bonus = 0.5 * min(len(words), self.stats["most_tags"] or 0)
         needed = self.needed(weights, k, bonus)
         if sum(self._sizes(needed)) > PROBE:
             first = {t: self._reaching(t, 4 * k) or 0 for t in needed}
