@@ -51,6 +51,17 @@ def test_neighbours_on_the_whole_tree(spark):
     assert any(r["source"].startswith("o") and r["kind"] == "cousin" for r in got)
 
 
+def test_excerpt_whose_cut_falls_behind_a_line_break(spark):
+    """The 60 bytes end with a line break, one or two: only that one goes, not the line before it."""
+    long = "x" * 50
+    rows = [("a", f"{long}\nline four\nmore"), ("b", f"{long}12345678\n\nmore"), ("c", f"{long}\nline 4\r\nmore")]
+    got = {r["id"]: r["excerpt"] for r in sections.excerpts(spark.createDataFrame(rows, "id string, content string"), None, 60 + 1).collect()}
+    assert got["a"] == f"{long}\nline four"
+    got |= {r["id"]: r["excerpt"] for r in sections.excerpts(spark.createDataFrame(rows[1:], "id string, content string"), None, 60).collect()}
+    assert got["b"] == f"{long}12345678\n"
+    assert got["c"] == f"{long}\nline 4\r"
+
+
 def test_excerpts_of_every_document(spark):
     def cut(said):
         raw = said.encode()
