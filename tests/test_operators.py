@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import paths, text, vectors
-from quire.operators import components, health, links, mining, search, sections, telemetry
+from quire.operators import components, context, health, links, mining, search, sections, telemetry
 from quire.plans import index, pipeline
 from quire.sources import documents
 from quire.sources.store import Store
@@ -297,3 +297,12 @@ def test_a_links_parts_are_worked_out_once(spark):
     found = index.links(rows).filter("resolved IS NOT NULL AND resolved <> source_doc")
     assert sorted(r["resolved"] for r in found.collect()) == ["../../q/w.md", "a/z.md", "b/y.md"]
     assert not [x for x in str(found._jdf.queryExecution().optimizedPlan()).splitlines() if "Filter" in x and "aggregate(" in x]
+
+
+def test_context_moves_no_texts_of_other_documents(spark):
+    rows = [("r::a::x#1", "X", "a", "", 0, "one"), ("r::a::x/y#2", "Y", "a", "r::a::x#1", 1, "two"), ("r::a::x/z#2", "Z", "a", "r::a::x#1", 2, "three"), ("r::a::x/y/w#3", "W", "a", "r::a::x/y#2", 3, "four"), ("r::b::x#1", "B", "b", "", 0, "five")]
+    s = spark.createDataFrame(rows, "id string, title string, doc_path string, parent_id string, seq int, content string").withColumns({"level": F.lit(1), "byte_start": F.col("seq"), "repo": F.lit("r")})
+    got = context.context(s, "r::a::x/y#2", include_related=True)
+    assert [tuple(r) for r in got.orderBy("ord").collect()] == [(1, "section", "r::a::x/y#2", "two"), (2, "ancestor", "r::a::x#1", "X"), (3, "child", "r::a::x/y/w#3", "four"), (4, "sibling", "r::a::x/z#2", "three")]
+    assert all("content" not in line for line in str(got._jdf.queryExecution().optimizedPlan()).splitlines() if "Join" in line)
+    assert "five" not in str(got.collect()) and context.context(s, "none").count() == 0
