@@ -62,6 +62,21 @@ def test_excerpt_whose_cut_falls_behind_a_line_break(spark):
     assert got["c"] == f"{long}\nline 4\r"
 
 
+def test_counts_of_relatives_are_not_made_of_pairs(spark):
+    """A random forest, with parents that are not there: the counts are those of the listing, and two thousand uncles a section take no time."""
+    rng = random.Random(5)
+    rows = [(f"n{i}", "" if i < 3 or rng.random() < 0.02 else f"n{rng.randrange(i)}" if i % 40 else "lost", rng.randrange(5)) for i in range(600)]
+    s = spark.createDataFrame(rows, "id string, parent_id string, seq int")
+    for most in (1, 3, 10):
+        listed = sections.structural_neighbors(s, most, cousins=True).groupBy("source", "kind").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        want = {tuple(r) for r in listed.select("source", "kind", "n", "first_id", "last_id").collect()}
+        got = [tuple(r) for r in sections.relative_counts(s, most).select("source", "kind", "n", "first_id", "last_id").collect()]
+        assert len(got) == len(want) and set(got) == want
+    wide = spark.range(2000).selectExpr("concat('f', id) AS id", "'top' AS parent_id", "id AS seq").unionByName(spark.range(20000).selectExpr("concat('c', id) AS id", "concat('f', id % 2000) AS parent_id", "id AS seq"))
+    wide = wide.unionByName(spark.createDataFrame([("top", "", 0)], "id string, parent_id string, seq long"))
+    assert sections.relative_counts(wide).filter("kind = 'cousin'").agg(F.count("*"), F.min("n"), F.max("n")).first() == (20000, 19990, 19990)
+
+
 def test_excerpts_of_every_document(spark):
     def cut(said):
         raw = said.encode()
