@@ -138,6 +138,21 @@ def test_similar_sections_with_and_without_vectors(spark):
             assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-4 for k in want) and want
 
 
+def test_neighbours_by_products_are_those_of_the_expression(spark, monkeypatch):
+    """Copies, zero vectors, other lengths, nulls and near ties; all pairs are met in blocks, not in a nested loop of rows."""
+    rng = random.Random(8)
+    base = [[float(rng.randrange(-3, 4)) for _ in range(5)] for _ in range(60)]
+    rows = [(i, rng.choice(base) if i % 7 else [0.0] * 5 if i % 2 else [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)] + [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0])]
+    rows = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    for top, least in ((5, 0.6), (3, 0.0), (7, -1.0)):
+        monkeypatch.setattr(similarity, "FEW_QUERIES", 10_000)
+        want = sorted(map(tuple, similarity.semantic_neighbors(rows, rows, top, least).collect()))
+        monkeypatch.setattr(similarity, "FEW_QUERIES", 16)
+        met = similarity.semantic_neighbors(rows, rows, top, least)
+        assert sorted(map(tuple, met.collect())) == want and len(want) > 1000
+        assert not any(x in met._jdf.queryExecution().toString() for x in ("BroadcastNestedLoopJoin", "CartesianProduct"))
+
+
 def test_neighbours_in_blocks_are_those_of_one_block(spark, monkeypatch):
     rng = random.Random(1)
     rows = spark.createDataFrame([(f"v{i:03}", [rng.gauss(0, 1) for _ in range(6)] if i % 9 else None) for i in range(120)], "id string, embedding array<double>")
