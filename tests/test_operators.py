@@ -306,3 +306,23 @@ def test_context_moves_no_texts_of_other_documents(spark):
     assert [tuple(r) for r in got.orderBy("ord").collect()] == [(1, "section", "r::a::x/y#2", "two"), (2, "ancestor", "r::a::x#1", "X"), (3, "child", "r::a::x/y/w#3", "four"), (4, "sibling", "r::a::x/z#2", "three")]
     assert all("content" not in line for line in str(got._jdf.queryExecution().optimizedPlan()).splitlines() if "Join" in line)
     assert "five" not in str(got.collect()) and context.context(s, "none").count() == 0
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    """Nothing is exchanged where ids are unique; an id in two rows is still grouped."""
+    rng = random.Random(4)
+    draw = lambda n: [rng.choice("abcdefgh") for _ in range(rng.randrange(n))]
+    rows = [(f"i{k}", draw(4), draw(3), draw(60), None if k % 5 == 0 else draw(3)) for k in range(700)]
+    kinds = "id string, title array<string>, summary array<string>, content array<string>, ancestors array<string>"
+    want = {(t, r[0], f, v.count(t), len(v)) for r in rows for f, v in zip(index.FIELDS, r[1:], strict=True) for t in v or ()}
+    got = index.postings(spark.createDataFrame(rows, kinds))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = [tuple(r) for r in got.select("term", "id", "field", "tf", "dl").collect()]
+    assert len(found) == len(want) and set(found) == want
+    base = dict.fromkeys(index.FIELDS, 2.0)
+    blocked = index.blocked_postings(spark.createDataFrame(rows, kinds), base)
+    assert "Exchange" not in blocked._jdf.queryExecution().executedPlan().toString()
+    said = {(r["term"], r["id"], f, r[f"tf{i}"], r[f"dl{i}"]) for r in blocked.collect() for i, f in enumerate(index.FIELDS) if r[f"tf{i}"]}
+    assert said == want and all(r["dl2"] is None for r in blocked.collect() if not r["tf2"])
+    twice = spark.createDataFrame([("x", ["a"], [], ["b"], []), ("x", ["a"], [], ["c"], [])], kinds)
+    assert {(r["term"], r["field"], r["tf"]) for r in index.postings(twice).collect()} == {("a", "title", 2), ("b", "content", 1), ("c", "content", 1)}
