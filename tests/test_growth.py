@@ -85,3 +85,12 @@ def test_f20_f25_sections_are_read_without_roles_where_none_are_used(spark, monk
     monkeypatch.setattr(pipeline, "with_roles", never)
     for name in ("undocumented_symbols", "code_examples"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001") is not None
+
+
+def test_f17_f18_shingles_that_are_not_frequent_stay_in_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FLAG_CHARS", (1024, 1024))
+    rows = _written(monkeypatch, similarity, (similarity,))
+    sets = spark.range(60).select(F.format_string("s%02d", "id").alias("id"), F.expr("array_sort(array_union(sequence(1L, 20L), array(1000 + id DIV 2, 2000 + id)))").alias("set"))
+    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.near_duplicate_pairs(sets).collect()}
+    assert len(got) == 30 and set(got.values()) == {21 / 23}
+    assert rows["frequent"] == 20 and rows["flags"] == 1
