@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import cut
 from . import search
 
 LINE_CHARS = (8, 240)
@@ -81,7 +82,7 @@ def find_code_examples(sections: DataFrame, query: str, lang: str | None = None,
     if lang:
         blocks = blocks.filter(F.lower("lang") == lang.lower())
     wanted = search.query_terms(sections, query)
-    t = blocks.withColumn("terms", text.tokenize(F.col("code")))
+    t = cut(blocks.withColumn("terms", text.tokenize(F.col("code"))), "blocks")  # sections are read once, for statistics and scores
     stats = t.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg"), *[F.count_if(F.array_contains("terms", w)).alias(f"df_{i}") for i, w in enumerate(dict.fromkeys(wanted))])
     score = F.lit(0.0)
     for i, w in enumerate(dict.fromkeys(wanted)):

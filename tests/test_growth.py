@@ -104,6 +104,7 @@ def test_f20_f25_only_what_a_query_reads_leaves_the_reader(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     monkeypatch.setattr(shop, "_READ", {})
     rows = _written(monkeypatch, shop, (shop,))
+    assert queries.QUERIES["code_examples"](spark, sf).count() == 10
     found = queries.QUERIES["undocumented_symbols"](spark, sf)
     assert found.count() > 0 and not rows  # the files as read are not written
     read = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInPandas" in line)
