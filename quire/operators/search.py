@@ -218,6 +218,10 @@ class Searcher:
         return spark.createDataFrame([(r["id"], *named[r["id"]], r["score"]) for r in top], "id string, title string, doc_path string, score double")
 
 
+#: Terms of sections, and scores of sections for a query, that one task groups.
+TASK_GROUPS = 500_000
+
+
 def lexical_search_each(sections: DataFrame, asked: DataFrame, max_results: int = 10) -> DataFrame:
     """query, id, score, rank: ``lexical_search`` for every row of a stated query set (query, text) in one plan.
 
@@ -226,7 +230,9 @@ def lexical_search_each(sections: DataFrame, asked: DataFrame, max_results: int
     s = index.corpus_stats(termed).first()
     times = asked.select("query", F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     known = cut(times.join(index.term_df(termed), "term", "left").select("query", "term", "times", F.coalesce("df", F.lit(1)).alias("df")), "asked")
-    dealt = termed.repartition("id")
+    # so many partitions that what a task groups does not grow with the table
+    groups = s["n_sections"] * (sum(s[f"avg_{f}"] for f in index.FIELDS[:3]) + known.select("query").distinct().count())
+    dealt = termed.repartition(max(termed.sparkSession.sparkContext.defaultParallelism, math.ceil(groups / TASK_GROUPS)), "id")
     field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in index.FIELDS])).alias("f")
     each = dealt.select("id", field).select("id", "f.field", F.size("f.terms").alias("dl"), F.explode("f.terms").alias("term"))
     # how the query set's terms meet the texts is left to the optimizer, which knows the size of their table

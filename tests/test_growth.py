@@ -145,3 +145,21 @@ def test_f23_terms_of_texts_with_and_without_marks(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.tokenize(F.col("t")).alias("w")).collect()
     assert [r["w"] for r in got] == [terms(r["t"]) for r in got]
+
+
+def test_f26_a_task_groups_no_more_when_the_table_grows(spark, monkeypatch):
+    import re
+
+    from quire.operators import search
+
+    rows = [(f"d{i:03}", "title", "", "red green blue " * 20 + "red " * (i % 7)) for i in range(300)]
+    s = spark.createDataFrame(rows, "id string, title string, summary string, content string").withColumn("ancestors", F.lit(""))
+    asked = spark.createDataFrame([(1, "red"), (2, "blue green"), (3, "title")], "query long, text string")
+    want = sorted(tuple(r) for r in search.lexical_search_each(s, asked).collect())
+    monkeypatch.setattr(search, "TASK_GROUPS", 1000)
+    tasks = {}
+    for n in (100, 300):
+        found = search.lexical_search_each(s.limit(n), asked)
+        tasks[n] = int(re.search(r"RepartitionByExpression \[id#\d+\], (\d+)", found._jdf.queryExecution().optimizedPlan().toString())[1])
+    assert tasks[100] >= 7 and tasks[300] >= 20
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) == 30
