@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .scratch import bounded_batches, cut, table
 
 #: Characters of text that share a list of words, bytes of words that are merged at a time, and tokens of a packed row.
-BLOCK_BYTES, REPLAY_BYTES, ROW_TOKENS = 32_000_000, 4_000_000, 200_000
+BLOCK_BYTES, REPLAY_BYTES, ROW_TOKENS = 32_000_000, 2_000_000, 200_000
+#: Places in lists of words that a task holds before it writes their ids, and pairs that are looked up at a time.
+HELD_WORDS, LOOKED_UP = 4_000_000, 250_000
 #: Bytes of text for each bucket of words, and the fewest and most buckets.
 BUCKET_BYTES, BUCKETS = 32_000_000, (32, 65_536)
 #: Merged words that a task keeps while it goes from bucket to bucket.
@@ -95,12 +97,36 @@ class Merges:
                 heapq.heappush(heap, (r, h))
         return [t for t in tokens if t >= 0]
 
+    def due(self, tokens):
+        """Places of tokens that merge with the next one, in the order of the rank they merge to, and these ranks."""
+        import numpy as np
+
+        places, ranks = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for lo in range(0, len(tokens) - 1, LOOKED_UP):  # by parts: what a look-up needs is several times what it gives
+            part = tokens[lo : lo + LOOKED_UP + 1]
+            at = np.flatnonzero((part[:-1] >= 0) & (part[1:] >= 0)).astype(np.int32)
+            rank = self.pair(part[at], part[at + 1])
+            places.append(at[rank >= 0] + np.int32(lo))
+            ranks.append(rank[rank >= 0])
+        at, rank = np.concatenate(places), np.concatenate(ranks)
+        del places, ranks
+        order = np.argsort(rank, kind="stable").astype(np.int32)
+        return at[order], rank[order]
+
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers, all words merged together, in rank order."""
         import numpy as np
 
+        counts, ids = self.replayed(words)
+        data, ends = ids.tobytes(), (4 * np.cumsum(counts, dtype=np.int64)).tolist()
+        return [data[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def replayed(self, words: list[bytes]):
+        """The same as two arrays: how many ids each word has, and all ids."""
+        import numpy as np
+
         if not words:
-            return []
+            return np.zeros(0, "<u4"), np.zeros(0, "<u4")
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes + 1) - 1  # a mark that no pair reaches across stands behind each word
         raw = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
@@ -108,12 +134,9 @@ class Merges:
         tokens[ends] = -1
         n = len(tokens)
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-        at = np.flatnonzero((tokens[:-1] >= 0) & (tokens[1:] >= 0))
-        rank = self.pair(tokens[at], tokens[at + 1])
-        at, rank = at[rank >= 0].astype(np.int32), rank[rank >= 0]
-        order = np.argsort(rank, kind="stable")
-        at, bounds = at[order], np.searchsorted(rank[order], np.arange(self.size + 1))
-        del rank, order
+        at, rank = self.due(tokens)
+        bounds = np.searchsorted(rank, np.arange(self.size + 1))
+        del rank, raw
         due: dict[int, list] = {}
         lower: list = []
         for r in range(self.size):
@@ -161,13 +184,15 @@ class Merges:
                     due.setdefault(new, []).append(part)
         alive = np.flatnonzero(tokens >= 0)
         ids = tokens[alive].astype("<u4")
-        cuts = np.searchsorted(alive, ends) * 4
-        data = ids.tobytes()
-        out = [data[lo:hi] for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        counts = np.diff(np.searchsorted(alive, ends), prepend=0).astype("<u4")
         if lower:
-            for w in np.unique(np.searchsorted(ends, np.concatenate(lower))).tolist():
-                out[w] = np.array(self.alone(words[w]), "<u4").tobytes()
-        return out
+            own = {w: self.alone(words[w]) for w in np.unique(np.searchsorted(ends, np.concatenate(lower))).tolist()}
+            first, parts, upto = np.cumsum(counts, dtype=np.int64) - counts, [], 0
+            for w, tokens in own.items():
+                parts += [ids[upto : first[w]], np.array(tokens, "<u4")]
+                upto, counts[w] = first[w] + counts[w], len(tokens)
+            ids = np.concatenate([*parts, ids[upto:]])
+        return counts, ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -245,6 +270,14 @@ def _unpack(data: bytes, *kinds) -> list:
     return out
 
 
+def _places(first, counts):
+    """The places of runs: those that start at first and are as long as counts say, one after the other."""
+    import numpy as np
+
+    upto = np.cumsum(counts, dtype=np.int64)
+    return np.repeat(first - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)
+
+
 def _coder(vocab, buckets: int):
     """For each block: rows of its words, bucket by bucket; the commonest codes; rows of documents, with their ids and codes."""
 
@@ -262,17 +295,18 @@ def _coder(vocab, buckets: int):
 
         def closed():
             # places follow the buckets and the words in them, so they need not be written beside the words
-            raw = [w.encode() for w in known.new()]
+            new = known.new()
             known.clear()  # done with, and large
-            bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.int64)
-            order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+            bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in new), np.int32, len(new))
+            order = np.array(sorted(range(len(new)), key=new.__getitem__), np.int32)  # code points are in the order of their bytes
             order = order[np.argsort(bucket[order], kind="stable")]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
-                mine = [raw[i] for i in order[cuts[b] : cuts[b + 1]].tolist()]
+                mine = [new[i].encode() for i in order[cuts[b] : cuts[b + 1]].tolist()]
                 yield row(b, none, _pack(np.array([len(w) for w in mine], "<u4"), b"".join(mine)))
-            code = np.arange(size + len(raw))
-            code[size + order] = size + np.arange(len(raw))
+            code = np.arange(size + len(new), dtype=np.int32)
+            code[size + order] = size + np.arange(len(new), dtype=np.int32)
+            del new, bucket, order
             uses = sum(np.bincount(codes, minlength=len(code)) for _, _, codes in held)
             common = np.argsort(-uses, kind="stable")[:_RARE]
             yield row(_COMMON, none, _pack(code[common].astype("<u4")))
@@ -311,38 +345,44 @@ def _replayer(vocab):
         import pyarrow as pa
 
         merges = _merges(vocab)
-        ids: dict[bytes, bytes] = {}
-        new: dict[bytes, None] = {}
-        held, now, fresh, volume = [], None, 0, 0
+        place: dict[bytes, int] = {}  # of each word in counts and first
+        counts, ids = np.zeros(0, "<u4"), np.zeros(0, "<u4")
+        new, held, now, fresh, volume = [], [], None, 0, 0
 
         def merged():
-            ids.update(zip(new, merges.replay(list(new)), strict=True))
+            nonlocal counts, ids, fresh, volume
+            more, own = merges.replayed(new)
+            counts, ids = np.concatenate([counts, more]), np.concatenate([ids, own])
+            first = np.cumsum(counts, dtype=np.int64) - counts
             for block, bucket, words in held:
-                own = list(map(ids.__getitem__, words))
-                data = _pack(np.array([len(x) // 4 for x in own], "<u4"), np.frombuffer(b"".join(own), "<u4"))
+                data = _pack(counts[words], ids[_places(first[words], counts[words])])
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
             new.clear()
             held.clear()
+            fresh = volume = 0
 
         for batch in batches:
             for block, bucket, data in zip(batch["block"].to_pylist(), batch["bucket"].to_pylist(), batch["data"], strict=True):
-                if bucket != now and len(ids) > KEPT_WORDS:  # no other bucket has these words
+                if bucket != now and len(place) > KEPT_WORDS:  # no other bucket has these words
                     yield from merged()
-                    ids.clear()
-                    fresh = volume = 0
+                    place.clear()
+                    counts, ids = counts[:0], ids[:0]
                 now = bucket
                 lengths, raw = _unpack(data.as_py(), "<u4", None)
-                ends = np.cumsum(lengths, dtype=np.int64).tolist()
-                words = [raw[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
-                for w in words:
-                    if w not in ids and w not in new:
-                        new[w] = None
-                        fresh += len(w) + 1
+                words, lo = np.zeros(len(lengths), np.int32), 0
+                for i, n in enumerate(lengths.tolist()):
+                    w = raw[lo : lo + n]
+                    lo += n
+                    at = place.get(w, -1)
+                    if at < 0:
+                        at = place[w] = len(place)
+                        new.append(w)
+                        fresh += n + 1
+                    words[i] = at
                 held.append((block, bucket, words))
-                volume += len(raw)
-                if fresh >= REPLAY_BYTES or volume >= 4 * REPLAY_BYTES:
+                volume += len(words)
+                if fresh >= REPLAY_BYTES or volume >= HELD_WORDS:
                     yield from merged()
-                    fresh = volume = 0
         yield from merged()
 
     return run
@@ -378,7 +418,7 @@ def _filler(vocab, decoded: bool):
                 codes[short == _RARE] = rare
                 n = lengths[codes]
                 upto = np.concatenate([[0], np.cumsum(n)])
-                raw = flat[np.repeat(first[codes] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+                raw = flat[_places(first[codes], n)].tobytes()
                 bounds = upto[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
                 out = [raw[4 * lo : 4 * hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 columns = [batch["ids"][i].values, pa.array(out, pa.binary()), pa.array(np.diff(bounds), pa.int64())]

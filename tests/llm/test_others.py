@@ -174,3 +174,36 @@ def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark, tables):
     assert set(first) == ids | {100, 103} and sorted(second) == sorted(first)
     assert ids <= set(third) and len(third) == len(set(third)) == 61  # the texts that were emptied are one group
     assert set(fourth) <= ids and sorted(fourth) == sorted(last)
+
+
+def test_lists_of_words_take_little_memory_to_merge():
+    """Many blocks hold the same words: what a task holds of them is a place for each, and merging is done by parts."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    spec = SimpleNamespace(value=(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), P.PATTERN))
+    merges = bpe._merges(spec)
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("etaoinshr") for _ in range(12)).encode() for _ in range(60_000)]
+    lists = [(block, bucket, sorted(rng.sample(pool[bucket::2], 12_000))) for bucket in range(2) for block in range(30)]
+
+    def batches():
+        for block, bucket, words in lists:
+            data = bpe._pack(np.array([len(w) for w in words], "<u4"), b"".join(words))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+
+    tracemalloc.start()
+    try:
+        out = [(r["block"], r["bucket"], r["data"]) for batch in bpe._replayer(spec)(batches()) for r in batch.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [x[:2] for x in out] == [x[:2] for x in lists]
+    for (_, _, data), (_, _, words) in list(zip(out, lists, strict=True))[::20]:
+        counts, ids = bpe._unpack(data, "<u4", "<u4")
+        own = [merges.alone(w) for w in words]
+        assert counts.tolist() == [len(x) for x in own] and ids.tolist() == [i for x in own for i in x]
+    assert peak < 75e6, peak
