@@ -84,8 +84,9 @@ def _prefixes(sets: DataFrame, counts: Column, id_: str, halves: bool = False) -
 
     Each step is a projection whose columns the next one uses once, and the generator keeps empty arrays (there are none): a filter
     on a column or on the generator's input would be pushed down, and the arrays worked out again for it."""
-    # the bucket is a function of the hash, so the rank and 56 of its bits tell tokens apart
-    ordered = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(F.get(counts, _bucket(h).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    # the bucket is a function of the hash, so the rank and 56 of its bits tell tokens apart; never null, so that plain numbers are sorted
+    rank = lambda h: F.coalesce(F.get(counts, _bucket(h).cast("int")), F.lit(0)).cast("long")
+    ordered = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     bits = {"bits": _parity("tokens", 0), "more": _parity("tokens", 1)} if halves else {"bits": _parity("tokens")}
     out = sets.select(F.col(id_).alias("id"), F.size("tokens").alias("n"), *[x.alias(k) for k, x in bits.items()], ordered.alias("ordered"))
     length = F.col("n") - _up(F.col("n") * NUM, DEN) + 1
@@ -112,6 +113,13 @@ def _suspects(lines: DataFrame, counts: Column) -> DataFrame:
     return cut(near.select("id").distinct(), "suspects")
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose id is not in ``gone``. A table of flags tells most of them, which do not move then; the others are looked up."""
+    marked, places = _flagged(gone.select(F.xxhash64("id").alias("h")), "h")
+    maybe = flag(marked, F.pmod(F.xxhash64("id"), F.lit(places)))
+    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(gone, "id", "left_anti"))
+
+
 def _settle(sets: DataFrame, counts: Column) -> DataFrame:
     """id of lines with an earlier similar one. sets: id (in the order of the lines' first places), tokens."""
     rows = _prefixes(sets, counts, "id", halves=True)
@@ -121,15 +129,18 @@ def _settle(sets: DataFrame, counts: Column) -> DataFrame:
         index = ranked.filter(f"rank > {low}" + (f" AND rank <= {high}" if high else ""))
         x, y = probes.alias("x"), index.alias("y")
         near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("y.rank") < F.col("x.rank")) & _may("x", "y", "bits", "more"))
-        pairs = near.select(F.col("x.id").alias("id"), F.col("y.id").alias("e")).distinct()
+        # written, so that what was shuffled to find them is deleted before the sets are moved
+        pairs = cut(near.select(F.col("x.id").alias("id"), F.col("y.id").alias("e")).distinct(), "pairs")
         # both sides read the sets by the same key, so they share one exchange
         mine, theirs = sets.select("id", "tokens").alias("m"), sets.select("id", "tokens").alias("t")
         met = pairs.alias("p").join(mine, F.col("p.id") == F.col("m.id")).join(theirs, F.col("p.e") == F.col("t.id"))
         enough = F.size(F.array_intersect("m.tokens", "t.tokens")) >= _least_overlap(F.size("m.tokens"), F.size("t.tokens"))
         found = cut(met.filter(enough).select("p.id").distinct(), "similar")
+        discard(pairs)
         gone = found if gone is None else gone.unionByName(found)
         if high:
-            probes, low = ranked.filter(f"rank > {high}").join(gone, "id", "left_anti"), high
+            probes, low = _without(ranked.filter(f"rank > {high}"), gone), high
+    discard(ranked)
     return gone
 
 
@@ -155,19 +166,22 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     again = flag(repeated, F.pmod("id", F.lit(places)))
     several = cut(said.filter(again).dropDuplicates(["id"]), "several")  # written, so that the join's two sides are alike and share an exchange
     suspects = _suspects(said.filter(~again).unionByName(several), counts)
+    discard(several)
     marked, places = _flagged(suspects, "id")
     back = lines.select("doc_id", "r", "line", "s", *_hashes(F.col("s"))).filter(flag(marked, F.pmod("h", F.lit(places))))
     # grouped before the join: a line that stands everywhere is a row of each task by then
-    firsts = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first")).join(suspects.withColumnRenamed("id", "h"), "h", "left_semi")
+    firsts = back.groupBy("h", "h2").agg(F.min_by("s", place).alias("s"), F.min(place).alias("first"))
+    firsts = cut(firsts.join(suspects.withColumnRenamed("id", "h"), "h", "left_semi"), "firsts")
     # ids that rise with the lines' first places: ranges in order, and rows in order within them
     ordered = firsts.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
     sets = cut(_token_sets(ordered).select("id", "h", "h2", "tokens"), "sets")
+    discard(firsts)
     similar = sets.select("id", "h", "h2").join(_settle(sets, counts), "id", "left_semi")
     gone = copies.select("h", "h2", "first", F.lit(False).alias("near")).unionByName(similar.select("h", "h2", F.lit(None).cast(copies.schema["first"].dataType).alias("first"), F.lit(True).alias("near")))
     # written, so that the join below reads both sides as they are and a line that stands everywhere can be split
     gone = cut(gone.groupBy("h", "h2").agg(F.max("first").alias("first"), F.bool_or("near").alias("near")), "gone")
     removed = cut(named.join(gone, ["h", "h2"]).filter(F.col("near") | (place > F.col("first"))).select("doc_id", "r", "line"), "removed")
-    for used in (named, copies, several, suspects, sets, gone):
+    for used in (named, copies, suspects, sets, gone):
         discard(used)
     return removed
 

@@ -50,3 +50,38 @@ def test_a_group_of_near_copies_is_settled(spark):
         docs.append((i, " ".join(own)))
     got = {(r["doc_id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {(i, 0) for i in range(1, 400)}
+
+
+def test_sets_move_when_what_found_the_pairs_is_gone(spark, monkeypatch):
+    """Verifying reads pairs that are written, not the prefix rows; tables that no later step reads are deleted before sets are moved."""
+    done, cut, discard = [], lines.cut, lines.discard
+    named = {}
+
+    def spy(df, label="t", compression=None):
+        out = cut(df, label, compression)
+        done.append((label, "rank" in df._jdf.queryExecution().optimizedPlan().toString()))
+        named[tuple(out.inputFiles()[:1])] = label
+        return out
+
+    monkeypatch.setattr(lines, "cut", spy)
+    monkeypatch.setattr(lines, "discard", lambda df: (done.append(("-" + named[tuple(df.inputFiles()[:1])], False)), discard(df)))
+    rng = random.Random(4)
+    base = [[f"t{i}x{j}" for j in range(30)] for i in range(20)]
+    docs = []
+    for i in range(120):
+        own = list(base[i % 20])
+        own[rng.randrange(30)] = f"u{i}"
+        docs.append((i, " ".join(own)))
+    got = {(r["doc_id"], r["line"]) for r in lines.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    steps = [x for x, _ in done]
+    assert not any(ranked for x, ranked in done if x == "similar")
+    assert steps.index("-several") < steps.index("firsts") < steps.index("-firsts") < steps.index("ranked")
+    assert steps.count("-pairs") == steps.count("similar") == 2
+
+
+def test_without_is_an_anti_join(spark):
+    rows = spark.range(5000).selectExpr("id", "id % 7 AS k").repartition(3)
+    gone = spark.range(0, 5000, 3)
+    assert sorted(map(tuple, lines._without(rows, gone).collect())) == [(i, i % 7) for i in range(5000) if i % 3]
+    assert lines._without(rows, gone.filter("id < 0")).count() == 5000
