@@ -27,8 +27,8 @@ def idf(df: Column, n: Column) -> Column:
     return F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5) + 1))
 
 
-def bm25_scores(termed: DataFrame, query: str, stats: DataFrame | None = None, df: DataFrame | None = None, posted: DataFrame | None = None, written: bool = False) -> DataFrame:
-    """id, score of all sections with a term of the query. Terms that the table of common terms lacks count as standing in one section.
+def bm25_scores(termed: DataFrame, query: str, stats: DataFrame | None = None, df: DataFrame | None = None, posted: DataFrame | None = None, written: bool = False, top: int | None = index.TOP_TERMS) -> DataFrame:
+    """id, score of all sections with a term of the query. Terms that the table of common terms (``top`` of them; None: all) lacks count as standing in one section.
 
     written: ``termed`` is a table that is written. Without a stored inverted index only the query's terms are kept before anything is grouped, so little is moved."""
     wanted = query_terms(termed, query)
@@ -38,7 +38,7 @@ def bm25_scores(termed: DataFrame, query: str, stats: DataFrame | None = None, d
     if not written and (stats is None or df is None or posted is None):
         termed = cut(termed, "terms")  # texts are taken apart once, then read as terms
     stats = index.corpus_stats(termed) if stats is None else stats
-    df = index.term_df(termed) if df is None else df
+    df = index.term_df(termed, top) if df is None else df
     asked = spark.createDataFrame([(t, wanted.count(t)) for t in dict.fromkeys(wanted)], "term string, times int")
     if posted is None:
         few = termed.select("id", *[F.size(f).alias(f"n_{f}") for f in index.FIELDS], *[F.filter(f, lambda t: t.isin(*wanted)).alias(f) for f in index.FIELDS])
@@ -75,12 +75,12 @@ def _kept(scored: DataFrame, keep: DataFrame | None) -> DataFrame:
     return scored if keep is None else scored.join(keep.select("id"), "id", "left_semi")
 
 
-def lexical_search(sections: DataFrame, query: str, max_results: int | None = 10, keep: DataFrame | None = None, termed: DataFrame | None = None, **stored) -> DataFrame:
-    """id, title, score, best first; without a limit all sections that hold a term. stored: stats, df, posted as built at index time.
+def lexical_search(sections: DataFrame, query: str, max_results: int | None = 10, keep: DataFrame | None = None, termed: DataFrame | None = None, top: int | None = None, **stored) -> DataFrame:
+    """id, title, score, best first; without a limit all sections that hold a term. stored: stats, df, posted as built at index time. top: see ``bm25_scores``.
     termed: the sections' terms as a table that is written, if there is one.
 
     keep: the sections that may be results, filtered before the limit. Statistics are those of all sections."""
-    scores = _kept(bm25_scores(index.terms(sections) if termed is None else termed, query, written=termed is not None, **stored), keep)
+    scores = _kept(bm25_scores(index.terms(sections) if termed is None else termed, query, written=termed is not None, top=top, **stored), keep)
     named = scores.join(sections.select("id", "title", "doc_path", *(["tags"] if "tags" in sections.columns else [])), "id")
     bonus = tag_bonus(F.col("tags"), query) if "tags" in sections.columns else F.lit(0.0)
     return _top(named.select("id", "title", "doc_path", F.round(F.col("score") + bonus, 6).alias("score")), max_results)
@@ -95,8 +95,8 @@ SLIP, ONE_TASK, PROBE = 1e-5, 200_000, 50_000
 class Searcher:
     """Searches of one repo in a store, from the postings with impacts written when it was indexed.
 
-    Postings lie by term and by impact, in blocks of nearly equal impact. What every search needs and is bounded is read
-    once: the corpus statistics, and for the ``TOP_TERMS`` commonest terms their frequency and the sizes of their blocks.
+    Postings lie by term and by impact, in blocks of nearly equal impact. The corpus statistics are read once. Of a query's terms
+    their frequency and the sizes of their blocks, and of its words how often they are tags, are looked up, and kept for later queries.
     Blocks are cut by the mean lengths of when the index was made; as these drift, so do the bounds of the blocks, by no
     more than the ratio of the means, and scores are always worked out with the present means.
     The k-th best score is at least what k sections get from one term alone. A section in a block cannot be among the
@@ -106,23 +106,14 @@ class Searcher:
     def __init__(self, store, repo: str):
         self.store, self.repo = store, repo
         self.stats = store.load("corpus_stats", repo).first()
-        top = store.load("term_counts", repo)
-        top = cut(index.top_terms(top), "top") if top is not None else None
-        self.df = {r["term"]: r["df"] for r in top.collect()} if top is not None else {}
+        self.df: dict[str, int] = {}
         self.levels: dict[str, list] = {}
-        if top is not None:
-            blocks = store.load("level_counts", repo).join(top.select("term"), "term", "left_semi").groupBy("term", "level").agg(F.sum("n").alias("n")).filter("n > 0")
-            for r in blocks.orderBy("term", F.desc("level")).collect():  # TOP_TERMS times STEPS times MOST_IMPACT at most
-                self.levels.setdefault(r["term"], []).append((r["level"], r["n"]))
+        self.tags: dict[str, int] = {}
         self.average = index.averages(self.stats)
         base = index.averages({f"avg_{f}": self.stats[f"base_{f}"] for f in index.FIELDS[:3]})
         drift = [self.average[f] / base[f] for f in index.FIELDS]
         self.highest, self.lowest = max(1.0, *drift), min(1.0, *drift)
-        self.schemas = {name: t.schema for name in ("postings", "sections", "tags") if (t := store.load(name, repo)) is not None}
-        tags = store.load("tags", repo)
-        counted = tags.groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(index.TOP_TERMS).collect() if tags is not None else []
-        self.tags = {r["tag"]: r["count"] for r in counted}
-        self.all_tags = len(self.tags) < index.TOP_TERMS
+        self.schemas = {name: t.schema for name in ("postings", "sections", "tags", "term_counts", "level_counts") if (t := store.load(name, repo)) is not None}
         self.last: dict[str, int] = {}
 
     def _load(self, name: str, keys: list[str]) -> DataFrame:
@@ -130,15 +121,37 @@ class Searcher:
         found = self.store.load(name, self.repo, keys, self.schemas[name]) if name in self.schemas else None
         return spark.createDataFrame([], "id string, tag string") if found is None else found
 
+    def _know(self, query: str) -> None:
+        """Looks up the numbers of the query's terms and words that are not known yet."""
+        terms = [t for t in dict.fromkeys(query_terms(self.store.spark.range(0), query)) if t not in self.df]
+        words = [w for w in dict.fromkeys(query.lower().split()) if w not in self.tags]
+        asked = {"term_counts": ("term", F.sum("df"), F.lit(0), terms), "level_counts": ("term", F.sum("n"), F.col("level"), terms), "tags": ("tag", F.count("*"), F.lit(0), words)}
+        every = None
+        for name, (key, number, level, keys) in asked.items():
+            if keys and name in self.schemas:
+                found = self._load(name, keys).filter(F.col(key).isin(*keys)).groupBy(F.lit(name).alias("of"), F.col(key).alias("key"), level.alias("level")).agg(number.alias("n"))
+                every = found if every is None else every.unionByName(found)
+        self.df |= dict.fromkeys(terms, 0)
+        self.tags |= dict.fromkeys(words, 0)
+        if every is None:
+            return
+        for r in every.filter("n > 0").orderBy(F.desc("level")).collect():  # for a term one row, and STEPS times MOST_IMPACT at most
+            if r["of"] == "level_counts":
+                self.levels.setdefault(r["key"], []).append((r["level"], r["n"]))
+            else:
+                (self.df if r["of"] == "term_counts" else self.tags)[r["key"]] = r["n"]
+
     def tag_words(self, query: str) -> list[str]:
-        """Words of the query that are tags, or may be one where there are more tags than are known."""
-        return [w for w in dict.fromkeys(query.lower().split()) if w in self.tags or not self.all_tags]
+        """Words of the query that are tags."""
+        self._know(query)
+        return [w for w in dict.fromkeys(query.lower().split()) if self.tags[w]]
 
     def weights(self, query: str) -> dict[str, float]:
-        """The query's terms, and what an impact of one is worth for each."""
+        """The query's terms that have postings, and what an impact of one is worth for each. A term that stands in ancestors alone counts as in one section."""
+        self._know(query)
         wanted, n = query_terms(self.store.spark.range(0), query), float(self.stats["n_sections"])
         rare = lambda df: max(0.0, math.log((n - df + 0.5) / (df + 0.5) + 1))
-        found = {t: wanted.count(t) * rare(self.df.get(t, 1)) for t in dict.fromkeys(wanted)}
+        found = {t: wanted.count(t) * rare(self.df[t] or 1) for t in dict.fromkeys(wanted) if t in self.levels}
         return {t: w for t, w in found.items() if w > 0}
 
     def _most(self, level: int) -> float:
@@ -184,8 +197,7 @@ class Searcher:
         if words:
             tagged = self._load("tags", words).filter(F.col("tag").isin(*words))
             parts = parts.unionByName(tagged.select("id", F.lit(0.0).alias("part"), F.lit(0.5).alias("bonus")))
-        rare = min(self.df.values(), default=0) * sum(t not in self.levels for t in needed)  # no term that is not known stands in more sections
-        if sum(self._sizes(needed)) + rare + sum(self.tags.get(w, 0) for w in words) <= ONE_TASK and (self.all_tags or not words):
+        if sum(self._sizes(needed)) + sum(self.tags[w] for w in words) <= ONE_TASK:
             parts = parts.coalesce(1)
         summed = parts.groupBy("id").agg(F.sum("part").alias("part"), F.sum("bonus").alias("bonus"))
         return summed.filter("part > 0").select("id", (F.col("part") + F.col("bonus")).alias("score"))
@@ -213,23 +225,24 @@ class Searcher:
         top = self.best(query, max_results).collect()  # max_results at most
         spark = self.store.spark
         paths = list(dict.fromkeys(r["id"].split("::", 1)[1].rsplit("::", 1)[0] for r in top))
-        rows = self._load("sections", paths).filter(F.col("id").isin(*[r["id"] for r in top])).select("id", "title", "doc_path").collect() if top else []
-        named = {r["id"]: (r["title"], r["doc_path"]) for r in rows}
-        return spark.createDataFrame([(r["id"], *named[r["id"]], r["score"]) for r in top], "id string, title string, doc_path string, score double")
+        key = F.col("key" if top and "key" in self.schemas["sections"].names else "id")
+        rows = self._load("sections", paths).filter(key.isin(*[r["id"] for r in top])).select(key, "id", "title", "doc_path").collect() if top else []
+        named = {r[0]: r[1:] for r in rows}
+        return spark.createDataFrame([(*named[r["id"]], r["score"]) for r in top], "id string, title string, doc_path string, score double")
 
 
 #: Terms of sections, and scores of sections for a query, that one task groups.
 TASK_GROUPS = 500_000
 
 
-def lexical_search_each(sections: DataFrame, asked: DataFrame, max_results: int = 10) -> DataFrame:
+def lexical_search_each(sections: DataFrame, asked: DataFrame, max_results: int = 10, top: int | None = None) -> DataFrame:
     """query, id, score, rank: ``lexical_search`` for every row of a stated query set (query, text) in one plan.
 
     Terms are dealt out by section once, so postings and scores are grouped where they are, and ranks move only the best of a task."""
     termed = cut(index.terms(sections), "terms")
     s = index.corpus_stats(termed).first()
     times = asked.select("query", F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    known = cut(times.join(index.term_df(termed), "term", "left").select("query", "term", "times", F.coalesce("df", F.lit(1)).alias("df")), "asked")
+    known = cut(times.join(index.term_df(termed, top), "term", "left").select("query", "term", "times", F.coalesce("df", F.lit(1)).alias("df")), "asked")
     # so many partitions that what a task groups does not grow with the table
     groups = s["n_sections"] * (sum(s[f"avg_{f}"] for f in index.FIELDS[:3]) + known.select("query").distinct().count())
     dealt = termed.repartition(max(termed.sparkSession.sparkContext.defaultParallelism, math.ceil(groups / TASK_GROUPS)), "id")
@@ -425,7 +438,7 @@ def search_sections(sections: DataFrame, query: str, max_results: int = 10, filt
     elif vector is not None:
         found = hybrid_search(sections, embedded, query, vector, semantic_weight, first, keep)
     else:
-        found = lexical_search(sections, query, first, keep).select("id", "score")
+        found = lexical_search(sections, query, first, keep, top=index.TOP_TERMS).select("id", "score")
     out = found.join(sections, "id")
     if filter_mode == "post":
         out = filter_sections(out, **filters)
