@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..scratch import cut, read_small
+from ..scratch import cleaned, cut, read_small
 
 #: Buckets of a table at least, and bytes of a bucket above which the next whole write makes more of them.
 BUCKETS, BUCKET_BYTES = 64, 256 << 20
@@ -36,6 +36,8 @@ _OF_ID = "regexp_extract(id, '(?s)^.*?::(.*)::', 1)"
 DOCUMENTS = {"postings": _OF_ID, "tags": _OF_ID, "links": "source_doc"}
 #: Amendments of a table, and documents that have changed by them, until it is written whole again.
 MOST_AMENDED, MOST_CHANGED = 8, 100_000
+#: Parts in which a large table is moved to its buckets, so that what is shuffled at once is a part of it.
+PARTS = 8
 #: How rows lie within a bucket, where that is not by key alone.
 ORDERS = {"postings": ("term", "level")}
 
@@ -185,14 +187,17 @@ class Store:
         self._put(f"{self.path}/_weights.json", self.weights() | weights)
 
     def _write(self, rows: DataFrame, name: str, repo: str, of: int, amended: int = 0) -> tuple[dict[str, str], int]:
-        """Writes a repo's rows as a new version; the buckets it has, and its bytes."""
+        """Writes a repo's rows as a new version; the buckets it has, and its bytes. Rows with a column ``part`` are moved part by part."""
         rows = rows.withColumn("amended", F.lit(amended)) if name in DOCUMENTS else rows
         version = uuid.uuid4().hex
         path, key = f"{self._folder(name, repo)}/{version}", TABLES[name]
         dealt = rows.withColumns({"repo": F.lit(repo), "bucket": bucket_of(key, of) if key else F.lit(0)})
         # large buckets are split among tasks; rows are sorted, so that a reader skips what lies outside the keys it looks for
         order = ORDERS.get(name, (key,) if key else ())
-        dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+        each = [dealt.filter(F.col("part") == k).drop("part") for k in range(PARTS)] if "part" in rows.columns else [dealt]
+        with cleaned(self.spark):
+            for x in each:
+                x.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path, mode="append", compression="zstd")
         fs, where = self._open(path)
         names = [f.getPath().getName() for f in fs.listStatus(where)]
         return {n.removeprefix("bucket="): version for n in names if n.startswith("bucket=")}, fs.getContentSummary(where).getLength()
